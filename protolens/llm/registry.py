@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from protolens.llm import exact_dedup
+from protolens.llm import chat_format, exact_dedup, mixing, secret_scan, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": chat_format.op1_chat_format,
+    "op2_mixing": mixing.op2_mixing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op7_url_filter": url_filter.op7_url_filter,
+    "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_chat_format": chat_format.OP1_SQL,
+    "op2_mixing": mixing.OP2_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
 }
