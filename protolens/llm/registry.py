@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from protolens.llm import chat_format, exact_dedup, mixing, secret_scan, url_filter
+from protolens.llm import ann, bpe, chat_format, exact_dedup, mixing, quality, secret_scan, simhash, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_mixing": mixing.op2_mixing,
+    "op3_quality": quality.op3_quality,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_ann": ann.op5_ann,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_simhash": simhash.op8_simhash,
+    "op9_bpe": bpe.op9_bpe,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 
