@@ -93,8 +93,9 @@ def _vector(texts: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-#: The 424 features of a cleaned string as one array: histograms in Arrow batches, no shuffle.
-sequence_features = F.pandas_udf(_vector, "array<double>")
+def sequence_features(seq: Column) -> Column:
+    """The 424 features of a cleaned string as one array: histograms in Arrow batches, no shuffle."""
+    return F.pandas_udf(_vector, "array<double>")(seq)
 
 
 def model_input(seq: Column, mode: str) -> Column:

@@ -93,7 +93,7 @@ def farthest(residues: DataFrame) -> DataFrame:
     An entry is one protein: its points meet in one task, in slices of 512 against all.
     """
     lists = residues.groupBy("entry").agg(F.collect_list(F.struct("x", "y", "z")).alias("p"))
-    return lists.select("entry", _diameter("p").alias("max_dist"))
+    return lists.select("entry", F.pandas_udf(_diameter_of, "double")("p").alias("max_dist"))
 
 
 def _diameter_of(points: pd.Series) -> pd.Series:
@@ -108,9 +108,6 @@ def _diameter_of(points: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-_diameter = F.pandas_udf(_diameter_of, "double")
-
-
 def contact_stats(residues: DataFrame, letter: str = "aa") -> DataFrame:
     """(entry, 12 statistics): contacts are residues two or more apart in sequence and closer
     than CONTACT_DIST but not in one place; entries without contacts get zeros."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from protolens.operators.spatial import CONTACT_COLUMNS, contact_stats
@@ -87,7 +87,9 @@ def _states(backbones: pd.Series) -> pd.Series:
     return pd.Series([secondary_structure(np.array([np.array(list(r), float).reshape(4, 3) for r in own]).reshape(-1, 4, 3)) for own in backbones])
 
 
-assign_states = F.pandas_udf(_states, "string")
+def assign_states(backbones: Column) -> Column:
+    """Secondary structure of an array of residues' 12 backbone coordinates."""
+    return F.pandas_udf(_states, "string")(backbones)
 
 
 def _surface(frame: pd.DataFrame) -> pd.DataFrame:

@@ -73,7 +73,7 @@ def label_mismatch(spark, sf_dir):
 
 
 def _labelled(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(":", "source", (F.col("n_chars") % 7).cast("string")).alias("label"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(":", "lang", (F.col("n_chars") % 97).cast("string")).alias("label"))
     return d.where("doc_id % 5 <> 0"), d.where("doc_id % 5 = 0")
 
 
@@ -193,7 +193,7 @@ def _scale_sql(formula: str) -> str:
 
 
 _NORM = "(SELECT entry, label, list_transform(f, lambda x: CASE WHEN n > 0 THEN x / n ELSE x END) AS f FROM (SELECT *, sqrt(list_dot_product(f, f)) AS n FROM {0}))"
-_DOCS = "d AS (SELECT doc_id, source || ':' || (n_chars % 7)::VARCHAR AS label FROM documents), tr AS (SELECT * FROM d WHERE doc_id % 5 <> 0), te AS (SELECT * FROM d WHERE doc_id % 5 = 0)"
+_DOCS = "d AS (SELECT doc_id, lang || ':' || (n_chars % 97)::VARCHAR AS label FROM documents), tr AS (SELECT * FROM d WHERE doc_id % 5 <> 0), te AS (SELECT * FROM d WHERE doc_id % 5 = 0)"
 _COUNTS = "SELECT o_orderpriority AS split, o_orderstatus AS status, count(*) AS n FROM orders GROUP BY ALL"
 _COVER = "SELECT o_orderpriority AS split, count(*) AS total, count(*) FILTER (o_orderstatus IN ('F', 'O')) AS covered FROM orders GROUP BY ALL"
 

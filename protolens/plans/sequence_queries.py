@@ -148,7 +148,7 @@ j AS (SELECT conf.min_members, conf.min_enrichment, "true", coalesce(pred, '__no
 _P = """p AS (SELECT label::VARCHAR AS entry, vec_id AS i, embedding[1]::DOUBLE * 40 AS x, embedding[2]::DOUBLE * 40 AS y, embedding[3]::DOUBLE * 40 AS z, embedding[4]::DOUBLE AS b, substr('ACDEFGHIKLMNPQRSTVWY', (vec_id % 20)::INT + 1, 1) AS l FROM embeddings)"""
 _D = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
 _PAIRS = f"{_P}, pr AS (SELECT a.entry, array_to_string(list_sort([a.l, b.l]), ',') AS motif, array_to_string(list_sort([a.l || lower(a.l), b.l || lower(b.l)]), ',') AS joint FROM p a JOIN p b ON a.entry = b.entry AND b.i - a.i >= 6 AND {_D} <= 9.0)"
-_E = lambda a, b: _D.replace("a.", f"{a}.").replace("b.", f"{b}.")
+_E = lambda a, b: "sqrt(" + " + ".join(f"({a}.{c} - {b}.{c}) * ({a}.{c} - {b}.{c})" for c in "xyz") + ")"
 
 QUERIES = {
     "aa_composition": aa_composition, "dipeptide_freq": dipeptide_freq, "physico": physico, "sequence_features": sequence_features, "kmer_counts": kmer_counts, "kmer_presence": kmer_presence,

@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from protolens.functions.sequence import stem
 from protolens.schemas import HITS, HITS_SHORT, RESIDUES
 
-_NAMES = F.create_map(*[F.lit(x) for pair in RESIDUES.items() for x in pair])
+
+def _letter(name: Column) -> Column:
+    """One letter of a three-letter residue name, null for others."""
+    return F.create_map(*[F.lit(x) for pair in RESIDUES.items() for x in pair])[name]
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -56,7 +59,7 @@ def read_structures(spark: SparkSession, path: str) -> DataFrame:
     a = _atoms(spark, path).where(F.col("name").isin(*RESIDUES) & F.col("atom").isin("N", "CA", "C", "O"))
     at = lambda n, c: F.min_by(c, F.when(F.col("atom") == n, F.col("line")))
     r = a.groupBy("entry", "chain", "num", "name").agg(F.min("line").alias("line"), F.count_distinct("atom").alias("k"), *[at("CA", c).alias(c) for c in ("x", "y", "z", "b")], F.array(*[at(n, c) for n in ("N", "CA", "C", "O") for c in ("x", "y", "z")]).alias("bb"))
-    return _numbered(r.where("k = 4").select("entry", "line", _NAMES[F.col("name")].alias("aa"), "x", "y", "z", "b", "bb"))
+    return _numbered(r.where("k = 4").select("entry", "line", _letter(F.col("name")).alias("aa"), "x", "y", "z", "b", "bb"))
 
 
 def read_ca(spark: SparkSession, path: str, standard_only: bool = False) -> DataFrame:
@@ -65,7 +68,7 @@ def read_ca(spark: SparkSession, path: str, standard_only: bool = False) -> Data
     if standard_only:
         a = a.where(F.col("name").isin(*RESIDUES))
     first = a.groupBy("entry", "chain", "num", "name").agg(F.min("line").alias("line"), *[F.min_by(c, "line").alias(c) for c in ("x", "y", "z", "b")])
-    return _numbered(first.select("entry", "line", F.coalesce(_NAMES[F.col("name")], F.lit("X")).alias("aa"), "x", "y", "z", "b"))
+    return _numbered(first.select("entry", "line", F.coalesce(_letter(F.col("name")), F.lit("X")).alias("aa"), "x", "y", "z", "b"))
 
 
 def read_atoms(spark: SparkSession, path: str) -> DataFrame:
@@ -96,7 +99,7 @@ def read_pockets(spark: SparkSession, path: str) -> DataFrame:
 def lining_composition(lines: DataFrame) -> DataFrame:
     """(entry, aa, frac): shares of the distinct residues of a pocket's atom lines (entry, value)."""
     cut = lambda a, n: F.trim(F.substring("value", a, n))
-    r = lines.where(F.startswith("value", F.lit("ATOM"))).select("entry", cut(22, 1).alias("chain"), cut(23, 4).alias("num"), _NAMES[cut(18, 3)].alias("aa")).where("aa is not null").distinct()
+    r = lines.where(F.startswith("value", F.lit("ATOM"))).select("entry", cut(22, 1).alias("chain"), cut(23, 4).alias("num"), _letter(cut(18, 3)).alias("aa")).where("aa is not null").distinct()
     total = r.groupBy("entry").agg(F.count("*").alias("t"))
     return r.groupBy("entry", "aa").agg(F.count("*").alias("n")).join(total, "entry").select("entry", "aa", (F.col("n") / F.col("t")).alias("frac"))
 
