@@ -30,8 +30,8 @@ def weighted_f1(judged: DataFrame, by: list[str] | None = None) -> DataFrame:
     """
     by = by or []
     hit = F.when(F.col("true") == F.col("pred"), 1).otherwise(0)
-    sides = judged.select(*by, F.explode(F.array(F.struct(F.col("true").alias("c"), hit.alias("tp"), F.lit(1).alias("sup"), F.lit(0).alias("got")), F.struct(F.col("pred").alias("c"), F.lit(0).alias("tp"), F.lit(0).alias("sup"), F.lit(1).alias("got")))).alias("s")).select(*by, "s.*")
-    classes = sides.groupBy(*by, "c").agg(F.sum("tp").alias("tp"), F.sum("sup").alias("sup"), F.sum("got").alias("got"))
+    sides = judged.select(*by, F.explode(F.array(F.struct(F.col("true").alias("_class"), hit.alias("tp"), F.lit(1).alias("sup"), F.lit(0).alias("got")), F.struct(F.col("pred").alias("_class"), F.lit(0).alias("tp"), F.lit(0).alias("sup"), F.lit(1).alias("got")))).alias("_side")).select(*by, "_side.*")
+    classes = sides.groupBy(*by, "_class").agg(F.sum("tp").alias("tp"), F.sum("sup").alias("sup"), F.sum("got").alias("got"))
     f1 = F.col("sup") * F.when(F.col("sup") + F.col("got") > 0, 2.0 * F.col("tp") / (F.col("sup") + F.col("got"))).otherwise(0.0)
     return classes.groupBy(*by).agg(F.round(F.sum(f1) / F.sum("sup"), 6).alias("weighted_f1"))
 

@@ -121,7 +121,7 @@ def structure_features(residues: DataFrame, atoms: DataFrame | None = None) -> D
     mean = lambda c: F.aggregate("r", F.lit(0.0), lambda s, r: s + r[c]) / F.col("n")
     p = p.withColumns({"cx": mean("x"), "cy": mean("y"), "cz": mean("z"), "mean_b": mean("b")})
     spread = F.aggregate("r", F.lit(0.0), lambda s, r: s + F.pow(r["x"] - F.col("cx"), 2) + F.pow(r["y"] - F.col("cy"), 2) + F.pow(r["z"] - F.col("cz"), 2))
-    both = F.zip_with(F.filter(F.split("seq", ""), lambda c: c != ""), F.filter(F.split("ss", ""), lambda c: c != ""), F.concat)
+    both = F.zip_with(F.filter(F.split("seq", ""), lambda c: c != ""), F.filter(F.split("ss", ""), lambda c: c != ""), lambda a, b: F.concat(a, b))
     p = p.withColumns({"rg": F.sqrt(spread / F.col("n")), "both": both})
     share = lambda s, a: (F.length(s) - F.length(F.replace(F.col(s), F.lit(a), F.lit("")))) / F.col("n")
     p = p.join(contact_stats(residues).drop("n"), "entry", "left")
@@ -129,6 +129,7 @@ def structure_features(residues: DataFrame, atoms: DataFrame | None = None) -> D
         p = p.join(surfaces(atoms), "entry", "left")
     sasa = [F.coalesce(F.col(c), F.lit(0.0)) if atoms is not None else F.lit(0.0) for c in ("mean_sasa", "total_sasa")]
     vector = [share("ss", s) for s in STATES] + [F.col("rg"), F.col("mean_b"), F.col("n").cast("double"), *sasa]
-    vector += [F.size(F.filter("both", lambda x, t=a + s: x == t)) / F.col("n") for a in AMINO for s in STATES] + [F.col(c) for c in CONTACT_COLUMNS] + [share("seq", a) for a in AMINO]
+    held = lambda token: F.size(F.filter("both", lambda x: x == token)) / F.col("n")
+    vector += [held(a + s) for a in AMINO for s in STATES] + [F.col(c) for c in CONTACT_COLUMNS] + [share("seq", a) for a in AMINO]
     counts = F.map_filter(F.map_from_arrays(F.lit(list(STATES)), F.array(*[F.length("ss") - F.length(F.replace(F.col("ss"), F.lit(s), F.lit(""))) for s in STATES])), lambda _, v: v > 0)
     return p.select("entry", F.col("n").alias("n_residues"), counts.alias("ss_counts"), F.array(*[v.cast("double") for v in vector]).alias("features"))

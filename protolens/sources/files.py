@@ -39,7 +39,7 @@ def read_fasta(spark: SparkSession, path: str, upper: bool = True) -> DataFrame:
 
 def _atoms(spark: SparkSession, path: str, records: tuple[str, ...] = ("ATOM",)) -> DataFrame:
     """Atom lines of the first model of each file, by fixed columns."""
-    files = spark.read.option("wholetext", True).text(path).select(stem(F.col("_metadata.file_name")).alias("entry"), F.element_at(F.split("value", r"\nENDMDL"), 1).alias("v"))
+    files = spark.read.text(path, wholetext=True).select(stem(F.col("_metadata.file_name")).alias("entry"), F.element_at(F.split("value", r"\nENDMDL"), 1).alias("v"))
     lines = files.select("entry", F.posexplode(F.split("v", r"\r?\n")).alias("line", "l")).where(F.trim(F.substring("l", 1, 6)).isin(*records))
     cut = lambda a, n: F.trim(F.substring("l", a, n))
     number = lambda a, n: F.expr(f"try_cast(trim(substring(l, {a}, {n})) as double)")
@@ -86,13 +86,14 @@ def parse_pockets(reports: DataFrame, text: str = "value") -> DataFrame:
     pairs = F.transform(lines, lambda l: F.struct(F.trim(F.regexp_extract(l, r"^\s*([^:]*):", 1)).alias("key"), F.trim(F.regexp_extract(l, r"^[^:]*:\s*(.*?)\s*$", 1)).try_cast("double").alias("value")))
     blocks = blocks.select("entry", "at", F.filter(pairs, lambda p: p["value"].isNotNull()).alias("p")).where(F.size("p") > 0)
     last = F.map_from_entries(F.filter("p", lambda p, i: ~F.exists(F.slice("p", i + 2, F.size("p")), lambda q: q["key"] == p["key"])))
-    lists = blocks.groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("at", last.alias("props")))).alias("r"))
-    return lists.select("entry", F.posexplode("r").alias("n", "r")).select("entry", (F.col("n") + 1).alias("pocket_no"), F.col("r.props").alias("props"))
+    lists = blocks.groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("at", "p"))).alias("r"))
+    each = lists.select("entry", F.posexplode("r").alias("n", "r")).select("entry", "n", F.col("r.p").alias("p"))
+    return each.select("entry", (F.col("n") + 1).alias("pocket_no"), last.alias("props"))
 
 
 def read_pockets(spark: SparkSession, path: str) -> DataFrame:
     """Pocket reports ``<entry>_info.txt``."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return parse_pockets(files.select(F.regexp_replace(F.col("_metadata.file_name"), r"_info\.txt$", "").alias("entry"), "value"))
 
 
@@ -120,6 +121,8 @@ def mapped(df: DataFrame, make, schema: str, parts: int) -> DataFrame:
     """A function of one row's dict over all rows, ``parts`` at a time; order is not kept.
 
     For calls that leave the cluster; an error becomes the row's status."""
+    names = [f.name for f in T._parse_datatype_string(schema).fields]
+
     def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
@@ -128,7 +131,7 @@ def mapped(df: DataFrame, make, schema: str, parts: int) -> DataFrame:
                     out.append(make(row))
                 except Exception as e:
                     out.append(row | {"status": f"error:{type(e).__name__}"})
-            yield pd.DataFrame(out, columns=[f.name for f in T._parse_datatype_string(schema).fields] if out else None)
+            yield pd.DataFrame(out, columns=names)
 
     return df.repartition(parts).mapInPandas(over, schema)
 
@@ -170,5 +173,6 @@ def write_by_split(df: DataFrame, path: str) -> None:
 def write_summary(rows: DataFrame, path: str, title: str, limit: int = 1000) -> None:
     """A text report of a small table, one file; at most ``limit`` rows."""
     line = F.concat_ws("  ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in rows.columns])
-    head = rows.sparkSession.createDataFrame([(title,)], "value string")
-    head.unionByName(rows.limit(limit).select(line.alias("value"))).coalesce(1).write.mode("overwrite").text(path)
+    head = rows.sparkSession.createDataFrame([(0, title)], "n long, value string")
+    body = rows.limit(limit).select((F.monotonically_increasing_id() + 1).alias("n"), line.alias("value"))
+    head.unionByName(body).coalesce(1).sortWithinPartitions("n").select("value").write.mode("overwrite").text(path)
