@@ -45,7 +45,7 @@ FRAME = LENGTH + SIDE
 BLOCK = 2 << 20
 #: Anchors of one part of the exchange, on average; parts of the contexts are this much finer.
 PART, FINER = 1_000_000, 4
-_PIECE = 1 << 16
+_PIECE, _ROWS = 1 << 16, 1 << 12
 _NULL = np.iinfo(np.int64).min
 
 
@@ -53,15 +53,29 @@ def _u(x: int) -> np.uint64:
     return np.uint64(x & (1 << 64) - 1)
 
 
+def squeeze(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers compressed byte by byte place, as most high bytes agree."""
+    return squeeze(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes())
+
+
+def numbers(blob: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(kind).ravel()
+
+
 def pack(ids: list[int | None], texts: list[bytes]) -> bytes:
     at = np.array([_NULL if i is None else i for i in ids], np.int64)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([struct.pack("<q", len(ids)), at.tobytes(), sizes.tobytes(), *texts]))
+    return squeeze(b"".join([struct.pack("<q", len(ids)), at.tobytes(), sizes.tobytes(), *texts]))
 
 
 def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, ends of texts, bytes of all texts)."""
-    raw = zstandard.ZstdDecompressor().decompress(payload)
+    raw = zstandard.decompress(payload)
     (n,) = struct.unpack_from("<q", raw)
     ids = np.frombuffer(raw, np.int64, n, 8)
     sizes = np.frombuffer(raw, np.int64, n, 8 + 8 * n)
@@ -198,7 +212,6 @@ def _shared(group: pa.Table) -> pa.Table:
     """For each block, which of its anchors in this part more than one document has."""
     owners = group.column("block").to_numpy()
     each = [np.frombuffer(k.as_py(), np.uint64) for k in group.column("keys")]
-    which = np.repeat(np.arange(len(each)), [len(k) for k in each])
     keys = np.concatenate(each)
     order = np.argsort(keys >> _u(1), kind="stable")
     plain = keys[order] >> _u(1)
@@ -213,40 +226,46 @@ def _shared(group: pa.Table) -> pa.Table:
         own = k[keep[cut[i] : cut[i + 1]]] >> _u(1)
         if len(own):
             rows.append((int(owners[i]), own.tobytes()))
-    del which
     return _table(_SHARED, rows)
 
 
+def _mixed(words: np.ndarray, turn: int) -> np.ndarray:
+    """A hash of each row of 64-bit words."""
+    odd = np.random.default_rng(turn).integers(0, 1 << 63, words.shape[1], np.uint64) << _u(1) | _u(1)
+    with np.errstate(over="ignore"):
+        mixed = (words ^ (words >> _u(31))) * odd
+        mixed = (mixed ^ (mixed >> _u(29))) * _u(0xBF58476D1CE4E5B9)
+    return np.bitwise_xor.reduce(mixed ^ (mixed >> _u(32)), axis=1)
+
+
 def _classes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(a representative of each class, class of each row) of equal rows of 64-bit words.
 
     Rows are gathered by a hash and compared word by word; another hash is tried if that
     joined rows that differ.
     """
-    rng = np.random.default_rng(1)
+    turn = 1
     while True:
-        with np.errstate(over="ignore"):
-            mixed = (words ^ (words >> _u(31))) * (rng.integers(0, 1 << 63, words.shape[1], np.uint64) << _u(1) | _u(1))
-            mixed = (mixed ^ (mixed >> _u(29))) * _u(0xBF58476D1CE4E5B9)
-            h = np.bitwise_xor.reduce(mixed ^ (mixed >> _u(32)), axis=1)
-        _, first, same = np.unique(h, return_index=True, return_inverse=True)
+        _, first, same = np.unique(_mixed(words, turn), return_index=True, return_inverse=True)
         if (words == words[first[same]]).all():
             return first, same
+        turn += 1
 
 
 def contexts(t: np.ndarray, starts: np.ndarray, ends: np.ndarray, p: np.ndarray) -> np.ndarray:
     """The bytes around each anchor as 10 words: SIDE before, the rest of FRAME from it, zero
     outside the text; the lengths of both sides fill the last bytes."""
     left, right = np.minimum(SIDE, p - starts), np.minimum(SIDE, ends - p - GRAM)
-    at = p[:, None] + np.arange(-SIDE, LENGTH)[None, :]
-    out = np.zeros((len(p), 80), np.uint8)
-    inside = (at >= (p - left)[:, None]) & (at < (p + GRAM + right)[:, None])
-    out[:, :FRAME] = np.where(inside, t[np.clip(at, 0, len(t) - 1)], 0)
+    out, offset = np.zeros((len(p), 80), np.uint8), np.arange(-SIDE, LENGTH)[None, :]
+    for a in range(0, len(p), _ROWS):
+        q, b = p[a : a + _ROWS, None], a + _ROWS
+        inside = (offset >= -left[a:b, None]) & (offset < GRAM + right[a:b, None])
+        out[a:b, :FRAME] = np.where(inside, t[np.clip(q + offset, 0, len(t) - 1)], 0)
     out[:, FRAME], out[:, FRAME + 1] = left, right
     return out.view(np.uint64)
 
 
-_CUT = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("words", pa.binary()), ("least", pa.binary()), ("most", pa.binary()), ("number", pa.binary())])
+_CUT = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("first", pa.int64()), ("words", pa.binary()), ("docs", pa.binary())])
 
 
 def _cut_contexts(bits: int):
@@ -263,21 +282,22 @@ def _cut_contexts(bits: int):
         own = shared[at] == keys
         p, keys, doc = p[own], keys[own], doc[own]
         starts = np.concatenate([[0], ends[:-1]])
-        first, same, words = [], [], []
-        w = contexts(t, starts[doc], ends[doc], p)
-        first, same = _classes(w)
-        order = np.argsort(same, kind="stable")
-        group = np.flatnonzero(np.concatenate([[True], np.diff(same[order]) > 0]))
-        named = ids[doc[order]]
+        words = contexts(t, starts[doc], ends[doc], p)
+        first, same = _classes(words)
+        members = np.argsort(same, kind="stable")
+        group = np.flatnonzero(np.concatenate([[True], np.diff(same[members]) > 0]))
+        named = ids[doc[members]]
         least, most = np.minimum.reduceat(named, group), np.maximum.reduceat(named, group)
-        keys, words = keys[first], w[first]
+        keys, words = keys[first], words[first]
         order = np.argsort(keys, kind="stable")
+        number = np.empty(len(order), np.int32)
+        number[order] = np.arange(len(order), dtype=np.int32)
         part = (keys[order] >> _u(63 - bits)).astype(np.int64)
         cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-        rows = [(-1, name, b"", p.astype(np.int64).tobytes(), doc.astype(np.int32).tobytes(), b"", same.astype(np.int32).tobytes())]
+        rows = [(-1, name, 0, planes(np.diff(p, prepend=0).astype(np.int32)), planes(number[same]))]
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             o = order[a:b]
-            rows.append((int(part[a]), name, keys[o].tobytes(), words[o].tobytes(), least[o].tobytes(), most[o].tobytes(), o.astype(np.int32).tobytes()))
+            rows.append((int(part[a]), name, int(a), squeeze(words[o].tobytes()), planes(np.concatenate([least[o], most[o] - least[o]]))))
         return _table(_CUT, rows)
 
     return block
@@ -309,17 +329,19 @@ _VERDICT = pa.schema([("block", pa.int64()), ("number", pa.binary()), ("least",
 def _judge(group: pa.Table) -> pa.Table:
     """For each context of each block: its least document, and for that one a mask of the
     strings in it that a smaller document has."""
-    get = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in group.column(c)]
-    each = get("keys", np.uint64)
-    sizes = [len(k) for k in each]
-    keys, least, most = np.concatenate(each), np.concatenate(get("least", np.int64)), np.concatenate(get("most", np.int64))
-    words = np.concatenate([w.reshape(-1, 10) for w in get("words", np.uint64)])
+    each = [np.frombuffer(zstandard.decompress(w.as_py()), np.uint64).reshape(-1, 10) for w in group.column("words")]
+    sizes = [len(w) for w in each]
+    docs = [numbers(d.as_py(), np.int64).reshape(2, -1) for d in group.column("docs")]
+    words, least, most = np.concatenate(each), np.concatenate([d[0] for d in docs]), np.concatenate([d[0] + d[1] for d in docs])
+    del each, docs
     first, same = _classes(words)
     low, high = np.full(len(first), np.iinfo(np.int64).max), np.full(len(first), np.iinfo(np.int64).min)
     np.minimum.at(low, same, least)
     np.maximum.at(high, same, most)
     mask = np.zeros(len(first), np.uint32)
-    _, bucket, count = np.unique(keys[first], return_inverse=True, return_counts=True)
+    middle = np.zeros((len(first), 32), np.uint8)
+    middle[:, :GRAM] = words[first].view(np.uint8)[:, SIDE : SIDE + GRAM]
+    _, bucket, count = np.unique(_mixed(middle.view(np.uint64), 0), return_inverse=True, return_counts=True)
     several = np.flatnonzero(count[bucket] > 1)
     if len(several):
         raw = np.ascontiguousarray(words[first[several]]).view(np.uint8)
@@ -334,12 +356,12 @@ def _judge(group: pa.Table) -> pa.Table:
         mask[several] = (earlier.astype(np.uint32) << np.arange(SPAN, dtype=np.uint32)[None, :]).sum(axis=1, dtype=np.uint32)
     cuts = (high > low) | (mask > 0)
     out, at = [], 0
-    for block, number, n in zip(group.column("block").to_pylist(), get("number", np.int32), sizes, strict=True):
+    for block, base, n in zip(group.column("block").to_pylist(), group.column("first").to_pylist(), sizes, strict=True):
         own = same[at : at + n]
         at += n
-        keep = cuts[own]
-        if keep.any():
-            out.append((block, number[keep].tobytes(), low[own][keep].tobytes(), mask[own][keep].tobytes()))
+        keep = np.flatnonzero(cuts[own])
+        if len(keep):
+            out.append((block, planes((base + keep).astype(np.int32)), planes(low[own[keep]]), planes(mask[own[keep]])))
     return _table(_VERDICT, out)
 
 
@@ -356,12 +378,13 @@ def _cover(left: pa.Table, right: pa.Table) -> pa.Table:
     places = [r for r in right.to_pylist() if r["part"] == -1] if right.num_rows else []
     found = [r for r in right.to_pylist() if r["part"] == -2] if right.num_rows else []
     if places and found:
-        p, doc, same = np.frombuffer(places[0]["words"], np.int64), np.frombuffer(places[0]["least"], np.int32), np.frombuffer(places[0]["number"], np.int32)
+        p, same = numbers(places[0]["words"], np.int32).cumsum(dtype=np.int64), numbers(places[0]["docs"], np.int32)
+        doc = np.searchsorted(ends, p, side="right")
         low, mask = np.full(int(same.max()) + 1, np.iinfo(np.int64).max), np.zeros(int(same.max()) + 1, np.uint32)
         for r in found:
-            number = np.frombuffer(r["number"], np.int32)
-            low[number] = np.frombuffer(r["least"], np.int64)
-            mask[number] = np.frombuffer(r["words"], np.uint32)
+            number = numbers(r["number"], np.int32)
+            low[number] = numbers(r["docs"], np.int64)
+            mask[number] = numbers(r["words"], np.uint32)
         after = ids[doc] > low[same]
         q, d = p[after], doc[after]
         np.add.at(edge, np.maximum(starts[d], q - SIDE), 1)
@@ -398,12 +421,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reports = packed.mapInArrow(_report(bits), "part long, block long, keys binary")
     shared = stage(reports.groupBy("part").applyInArrow(_shared, "block long, keys binary"), "anchors", "none")
     bits = min(62, bits + int(np.log2(FINER)))
-    cut = "part long, block long, keys binary, words binary, least binary, most binary, number binary"
+    cut = "part long, block long, first long, words binary, docs binary"
     found = stage(packed.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_cut_contexts(bits), cut), "contexts")
     discard(spark, shared)
     verdicts = stage(found.where("part >= 0").groupBy("part").applyInArrow(_judge, "block long, number binary, least binary, mask binary"), "verdicts")
-    about = found.where("part = -1").select("part", "block", "words", "least", "number")
-    about = about.unionByName(verdicts.select(F.lit(-2).cast("long").alias("part"), "block", F.col("mask").alias("words"), "least", "number"))
+    about = found.where("part = -1").select("part", "block", "words", "docs", F.lit(None).cast("binary").alias("number"))
+    about = about.unionByName(verdicts.select(F.lit(-2).cast("long").alias("part"), "block", F.col("mask").alias("words"), F.col("least").alias("docs"), "number"))
     return packed.groupBy("block").cogroup(about.groupBy("block")).applyInArrow(_cover, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
