@@ -25,4 +25,5 @@ ORACLES: dict[str, str] = {
     "op1_chat_format": chat_format.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op7_url_filter": url_filter.OP7_SQL,
 }

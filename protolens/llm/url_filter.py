@@ -130,3 +130,46 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes are the quality labels under the page's id: quality 0 is a bad page."""
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"), outcomes, rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _weight_sql(source: str, rate: str) -> str:
+    """The weight of the prior at one level, as _level finds it."""
+    return f"""(SELECT CASE WHEN b IS NULL OR b <= 0 OR s - e <= 0 THEN {MOST} ELSE least({MOST}, greatest({LEAST}, (1 - (s - e) / b) / ((s - e) / b))) END::DOUBLE AS k FROM (
+      SELECT sum(n * pow(bad::DOUBLE / n - {rate}, 2)) / sum(n) AS s, sum({rate} * (1 - {rate})) / sum(n) AS e, sum(n * {rate} * (1 - {rate})) / sum(n) AS b FROM {source} WHERE n > 0))"""
+
+
+_TAIL = "array_to_string(list_slice(parts, greatest(1, len(parts) - {0} + 1), len(parts)), '.')"
+OP7_SQL = f"""
+WITH u AS (
+  SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), known AS (
+  SELECT doc_id AS page_id, max((quality = 0)::INT) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1
+), h0 AS (
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS parts FROM p LEFT JOIN known USING (page_id) GROUP BY host
+), h1 AS (
+  SELECT *, CASE WHEN len(parts) > 2 AND length(parts[-1]) = 2 AND parts[-2] IN ({', '.join(f"'{x}'" for x in SECOND_LEVEL)}) THEN 2 ELSE 1 END AS deep FROM h0
+), h AS (
+  SELECT host, n, bad, {_TAIL.format('(deep + 1)')} AS domain, {_TAIL.format('deep')} AS suffix FROM h1
+), s AS (
+  SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad, (sum(sum(bad)) OVER () + 1.0::DOUBLE) / (sum(sum(n)) OVER () + 2.0::DOUBLE) AS p0 FROM h GROUP BY suffix
+), ps AS (
+  SELECT suffix, (bad + k * p0) / (n + k) AS p_suffix FROM s, {_weight_sql('s', 'p0')}
+), d AS (
+  SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad, any_value(p_suffix) AS p_suffix FROM h JOIN ps USING (suffix) GROUP BY domain, suffix
+), pd AS (
+  SELECT domain, suffix, (bad + k * p_suffix) / (n + k) AS p_domain FROM d, {_weight_sql('d', 'p_suffix')}
+), hp AS (
+  SELECT h.*, p_domain FROM h JOIN pd USING (domain, suffix)
+), b AS (
+  SELECT host, m - {Z} * sqrt(m * (1 - m) / (n + k + 1)) AS bound FROM (SELECT host, n, k, (bad + k * p_domain) / (n + k) AS m FROM hp, {_weight_sql('hp', 'p_domain')})
+), rules(rule_host, rule_path, rule_verdict) AS (
+  VALUES {', '.join(f"('{a}', '{b}', '{v}')" for a, b, v in RULES)}
+), best AS (
+  SELECT host, path, first(rule_host || rule_path ORDER BY length(rule_host || rule_path) DESC) AS rule, first(rule_verdict ORDER BY length(rule_host || rule_path) DESC) AS verdict
+  FROM (SELECT DISTINCT host, path FROM p) JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY host, path
+)
+SELECT page_id, p.host, p.path, rule, coalesce(verdict, CASE WHEN bound > {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN b USING (host) LEFT JOIN best ON best.host = p.host AND best.path = p.path
+"""
