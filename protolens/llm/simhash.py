@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from protolens.llm._util import bounded, stage, table
+from protolens.llm._util import bounded, stage, table, text_of
 from protolens.llm.components import components
 
 DISTANCE, SHINGLE, SEED = 2, 3, 42
@@ -36,7 +36,14 @@ DISTANCE, SHINGLE, SEED = 2, 3, 42
 SAMPLE = 2_000
 #: Fingerprints of a partition value that are compared pair by pair.
 BUCKET = 128
+#: The widest threshold of a partition; wider ones have too many values to probe.
+WIDEST = 2
 _PART = 8192
+#: Near copies of the pipeline: Jaccard similarity of sets of so many words, found through
+#: fingerprints of single words, which edits change least, within so many bits.
+WORDS, SIMILARITY, WIDE = 5, 0.8, 7
+#: Fingerprints of a partition value that are compared in one task when distances are wide.
+BLOCK = 2048
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -47,7 +54,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     joined = b" ".join(words)
     ends = (np.fromiter(map(len, words), np.int64, len(words)) + 1).cumsum() - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    if len(words) <= shingle:
+    if len(words) <= shingle and shingle > 1:
         return xxhash.xxh64_intdigest(joined, seed)
     begin, stop = starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
     digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
@@ -101,7 +108,9 @@ def plan(sample: np.ndarray, total: int, distance: int = DISTANCE) -> list[tuple
     pairs = np.bitwise_xor.outer(sample, sample)[np.triu_indices(len(sample), 1)]
     scale = (total / max(2, len(sample))) ** 2
     best: tuple[float, list[tuple[int, int]]] | None = None
-    for parts in (2, 3, 4):
+    for parts in (2, 3, 4, 5, 6):
+        if distance + 1 > parts * (WIDEST + 1):
+            continue
         groups = group_bits(sample, parts)
         costs = []
         for own in groups:
@@ -109,7 +118,7 @@ def plan(sample: np.ndarray, total: int, distance: int = DISTANCE) -> list[tuple
             found = np.bincount(np.bitwise_count(pairs & mask), minlength=65)[: distance + 1].cumsum() * scale
             variants, ways = 0, 1
             row = [0.0]
-            for e in range(distance + 1):
+            for e in range(min(distance, WIDEST) + 1):
                 variants += ways
                 ways = ways * (len(own) - e) // (e + 1)
                 row.append(total * (1.0 + (variants if e else 0)) + found[e])
@@ -118,7 +127,7 @@ def plan(sample: np.ndarray, total: int, distance: int = DISTANCE) -> list[tuple
         for mask, row in costs:
             step: dict[int, tuple[float, list[tuple[int, int]]]] = {}
             for used, (cost, chosen) in reach.items():
-                for e in range(min(distance + 1 - used, distance + 1) + 1):
+                for e in range(min(distance + 1 - used, len(row) - 1) + 1):
                     new = (cost + row[e], chosen + ([(mask, e - 1)] if e else []))
                     if used + e not in step or new[0] < step[used + e][0]:
                         step[used + e] = new
@@ -171,11 +180,13 @@ def _verify(distance: int):
             fp, role = flat.field("fp").to_numpy(), flat.field("role").to_numpy()
             ends = ends - ends[0]
             for s, e in zip(ends[:-1], ends[1:], strict=True):
-                x, indexed = fp[s:e], role[s:e] < 2
-                near = np.bitwise_count((x[indexed][:, None] ^ x[None, :]).view(np.uint64)) <= distance
-                i, j = np.nonzero(near)
-                a.append(x[indexed][i])
-                b.append(x[j])
+                x = fp[s:e]
+                indexed = x[role[s:e] < 2]
+                for at in range(0, len(indexed), 256):
+                    some = indexed[at : at + 256]
+                    i, j = np.nonzero(np.bitwise_count((some[:, None] ^ x[None, :]).view(np.uint64)) <= distance)
+                    a.append(some[i])
+                    b.append(x[j])
             a, b = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
             low, high = np.minimum(a, b), np.maximum(a, b)
             keep = low < high
@@ -185,23 +196,23 @@ def _verify(distance: int):
     return over
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """(a, b) with the same components as all pairs of ``nodes`` (fp) within ``distance`` bits;
-    values of many fingerprints are linked through shared points, which needs a distance of 2."""
-    if distance != 2:
-        raise ValueError("values of many fingerprints are linked exactly for distance 2")
-    spark = nodes.sparkSession
-    total = nodes.count()
-    sample = np.array([r["fp"] for r in nodes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    parts = plan(sample, total, distance)
+def _partitions(nodes: DataFrame, distance: int) -> list[tuple[int, int]]:
+    """The plan for ``nodes``, from their number and a bounded sample."""
+    sample = [r["fp"] for r in nodes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
+    return plan(np.array(sample, np.int64).view(np.uint64), nodes.count(), distance)
+
+
+def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(a, b) with the same components as all pairs of ``nodes`` (fp) within DISTANCE (2) bits."""
+    parts = _partitions(nodes, DISTANCE)
     if not parts:
-        return spark.createDataFrame([], "a long, b long")
+        return nodes.sparkSession.createDataFrame([], "a long, b long")
     records = _records(nodes, parts)
     many = stage(records.groupBy("k").count().where(F.col("count") > bucket).select("k"), "hot-values")
     n_many = many.count()
     cold = records if not n_many else records.join(bounded(many, n_many), "k", "left_anti")
     lists = cold.groupBy("k").agg(F.collect_list(F.struct("fp", "role")).alias("own")).where(F.size("own") > 1).select("own")
-    found = lists.mapInArrow(_verify(distance), "a long, b long")
+    found = lists.mapInArrow(_verify(DISTANCE), "a long, b long")
     if n_many:
         hot = records.join(bounded(many, n_many), "k", "left_semi").select("fp").distinct()
         points = hot.select("fp", F.explode(_flips(F.col("fp"), (1 << 64) - 1, 1)).alias("at"))
@@ -211,6 +222,27 @@ def links(nodes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> D
     return found
 
 
+def pairs_within(nodes: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): every pair of distinct ``nodes`` (fp) within ``distance`` bits.
+
+    A value that more than ``block`` records share is cut into blocks, each pair of which is
+    compared where it meets; only pairs within the distance leave a task.
+    """
+    parts = _partitions(nodes, distance)
+    if not parts:
+        return nodes.sparkSession.createDataFrame([], "a long, b long")
+    records = _records(nodes, parts)
+    many = stage(records.groupBy("k").count().where(F.col("count") > block).select("k", F.ceil(F.col("count") / block).cast("int").alias("n")), "hot-values")
+    n_many = many.count()
+    cold = records if not n_many else records.join(bounded(many.select("k"), n_many), "k", "left_anti")
+    cells = cold.select("k", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "role")
+    if n_many:
+        hot = records.join(bounded(many, n_many), "k").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        cells = cells.unionByName(hot.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "role"))
+    lists = cells.groupBy("k", "i", "j").agg(F.collect_list(F.struct("fp", "role")).alias("own")).where(F.size("own") > 1).select("own")
+    return lists.mapInArrow(_verify(distance), "a long, b long").distinct()
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id): the least doc_id that links reach."""
     prints = stage(fingerprints(docs), "fingerprints")
@@ -227,7 +259,81 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingles(text: str | None, words: int = WORDS) -> set[tuple[str, ...]]:
+    """The set of ``words`` neighbouring words, A-Z lower-cased; a shorter text is one of its own."""
+    own = (text or "").encode().lower().split()
+    return {tuple(own[i : i + words]) for i in range(max(1, len(own) - words + 1))}
+
+
+def _alike(words: int, similarity: float):
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[str, set] | None = None
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if held is None or held[0] != a:
+                    held = (a, shingles(a, words))
+                other = shingles(b, words)
+                both = len(held[1] & other)
+                keep.append(both >= similarity * (len(held[1]) + len(other) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+
+    return over
+
+
+def alike(pairs: DataFrame, docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of document keys whose whole texts are as similar; ``docs`` has (u, t).
+
+    Texts of the documents that are in a pair only are read again and joined.
+    """
+    wanted = pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct()
+    texts = docs.join(bounded(wanted), "u", "left_semi")
+    full = pairs.join(texts.select(F.col("u").alias("b"), F.col("t").alias("tb")), "b").join(texts.select(F.col("u").alias("a"), F.col("t").alias("ta")), "a")
+    return full.select("a", "b", "ta", "tb").mapInArrow(_alike(words, similarity), "a long, b long")
+
+
+def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, wide: int = WIDE) -> DataFrame:
+    """(u, doc_id, root): groups of documents whose texts are similar, by key ``u`` of a row.
+
+    First, fingerprints that link within DISTANCE bits form groups, and each member is compared
+    with its group's leader, so large groups of copies cost one comparison each. Leaders and
+    members unlike theirs then meet all others within ``wide`` bits, one for each fingerprint.
+    Similar pairs of both rounds are links; a group is a component of them.
+    """
+    key = F.xxhash64("doc_id", text_of())
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("u"), text_of().alias("t"))
+    texts = base.select("u", "t")
+    prints = stage(_printed(base), "word-fingerprints")
+    nodes = stage(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "u")).alias("least")), "word-nodes")
+    own = components(links(nodes.select("fp")))
+    rooted = stage(nodes.join(own, nodes["fp"] == own["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "word-roots")
+    leaders = rooted.groupBy("root").agg(F.min("least")["u"].alias("leader"))
+    members = prints.join(rooted.join(leaders, "root").select("fp", "leader"), "fp")
+    first = stage(alike(members.where("u <> leader").select(F.col("leader").alias("a"), F.col("u").alias("b")).distinct(), texts, words, similarity), "copies")
+    rest = prints.join(first.select(F.col("b").alias("u")), "u", "left_anti")
+    rest = stage(rest.groupBy("fp").agg(F.min(F.struct("doc_id", "u"))["u"].alias("u")), "word-rest")
+    met = pairs_within(rest.select("fp"), wide)
+    met = met.join(rest.select(F.col("fp").alias("a"), F.col("u").alias("ua")), "a").join(rest.select(F.col("fp").alias("b"), F.col("u").alias("ub")), "b")
+    second = alike(stage(met.select(F.col("ua").alias("a"), F.col("ub").alias("b")), "met"), texts, words, similarity)
+    groups = components(first.unionByName(second))
+    return groups.join(prints.select("u", "doc_id").distinct(), groups["node"] == F.col("u")).select("u", "doc_id", "root")
+
+
+def _printed(base: DataFrame) -> DataFrame:
+    """(doc_id, u, fp) with fingerprints of single words."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = np.array([fingerprint(t, 1) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made)], names=["doc_id", "u", "fp"])
+
+    return base.select("doc_id", "u", "t").mapInArrow(over, "doc_id long, u long, fp long")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: the one of least id; null ids stay."""
-    drop = stage(near_groups(docs).where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(bounded(drop), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one document of each group of near copies: the one of least id (a null id
+    is least). Groups hold texts of similarity SIMILARITY or more on sets of WORDS words."""
+    groups = stage(near_copies(docs), "near-groups")
+    keep = groups.groupBy("root").agg(F.min(F.struct("doc_id", "u"))["u"].alias("keep"))
+    drop = stage(groups.join(keep, "root").where("u <> keep").select(F.col("u").alias("_u")).distinct(), "near-copies")
+    return docs.withColumn("_u", F.xxhash64("doc_id", text_of())).join(bounded(drop), "_u", "left_anti").select(*docs.columns)
