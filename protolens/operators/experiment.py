@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from protolens.functions.vector import group_ordinals, keep_ordinals
 from protolens.operators.ml import nearest_mean, nearest_neighbours
 from protolens.operators.metrics import evaluate
+from protolens.operators.retrieval import blocks_of
 
 
 def grid(spark: SparkSession, **values: list) -> DataFrame:
@@ -31,22 +32,26 @@ def subsets(columns: list[tuple[str, str]]) -> dict[str, list[int]]:
     return out
 
 
-MODELS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+MODELS: dict[str, Callable[..., DataFrame]] = {
     "ncm": nearest_mean,
-    "knn_cos_1": lambda a, b: nearest_neighbours(a, b, 1),
-    "knn_cos_5": lambda a, b: nearest_neighbours(a, b, 5),
+    "knn_cos_1": lambda a, b, **own: nearest_neighbours(a, b, 1, **own),
+    "knn_cos_5": lambda a, b, **own: nearest_neighbours(a, b, 5, **own),
 }
 
 
 def ablate(train: DataFrame, test: DataFrame, columns: list[tuple[str, str]], models: list[str]) -> DataFrame:
-    """(features, method, weighted_f1) of each subset and model. The loop makes plans, one job
-    runs them all."""
-    truth, out = test.select(F.col("entry").alias("query"), F.col("label").cast("string").alias("true")), None
-    for name, own in subsets(columns).items():
-        a, b = (t.withColumn("features", keep_ordinals(F.col("features"), own)) for t in (train, test))
-        for m in models:
-            row = evaluate(truth, MODELS[m](a, b)).select(F.lit(name).alias("features"), F.lit(m).alias("method"), "weighted_f1")
-            out = row if out is None else out.unionByName(row)
+    """(features, method, weighted_f1) of each subset and model.
+
+    Every row becomes one for each subset, and subsets never meet: one plan for each model
+    whatever the number of subsets.
+    """
+    blocks, truth, out = (blocks_of(test), blocks_of(train)), test.select(F.col("entry").alias("query"), F.col("label").cast("string").alias("true")), None
+    each = F.array(*[F.struct(F.lit(n).alias("subset"), keep_ordinals(F.col("features"), own).alias("features")) for n, own in subsets(columns).items()])
+    a, b = (t.select("entry", "label", F.explode(each).alias("s")).select("entry", "label", "s.*") for t in (train, test))
+    for m in models:
+        rows = evaluate(truth, MODELS[m](a, b, by="subset", blocks=blocks), ["subset"])
+        rows = rows.select(F.col("subset").alias("features"), F.lit(m).alias("method"), "weighted_f1")
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 

@@ -20,23 +20,27 @@ from protolens.operators.metrics import evaluate
 from protolens.operators.retrieval import similar
 
 
-def class_means(train: DataFrame) -> DataFrame:
+def class_means(train: DataFrame, by: str | None = None) -> DataFrame:
     """(entry, features): the unit mean of the unit vectors of each class, by its label."""
-    unit = train.select("label", l2_normalize(F.col("features")).alias("features"))
-    means = mean_vectors(unit, ["label"], "features")
-    return means.select(F.col("label").cast("string").alias("entry"), l2_normalize(F.col("features")).alias("features"))
+    keys = ["label", *([by] if by else [])]
+    unit = train.select(*keys, l2_normalize(F.col("features")).alias("features"))
+    means = mean_vectors(unit, keys, "features")
+    return means.select(*keys[1:], F.col("label").cast("string").alias("entry"), l2_normalize(F.col("features")).alias("features"))
 
 
-def nearest_mean(train: DataFrame, test: DataFrame) -> DataFrame:
-    """(query, pred): the class of greatest cosine, ties to the smaller label."""
-    return similar(test, class_means(train), 1).select("query", F.col("target").alias("pred"))
+def nearest_mean(train: DataFrame, test: DataFrame, by: str | None = None, blocks: tuple[int, int] | None = None) -> DataFrame:
+    """(by, query, pred): the class of greatest cosine, ties to the smaller label."""
+    found = similar(test, class_means(train, by), 1, blocks=blocks, by=by)
+    return found.select(*([by] if by else []), "query", F.col("target").alias("pred"))
 
 
-def nearest_neighbours(train: DataFrame, test: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """(query, pred): the most frequent label of the ``k`` nearest rows, ties to the smaller label."""
-    near = similar(test, train, k, metric).join(train.select(F.col("entry").alias("target"), F.col("label").cast("string").alias("label")), "target")
-    votes = near.groupBy("query", "label").agg(F.count("*").alias("n"))
-    return votes.groupBy("query").agg(F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("pred"))
+def nearest_neighbours(train: DataFrame, test: DataFrame, k: int, metric: str = "cosine", by: str | None = None, blocks: tuple[int, int] | None = None) -> DataFrame:
+    """(by, query, pred): the most frequent label of the ``k`` nearest rows, ties to the smaller label."""
+    keys = [*([by] if by else []), "query"]
+    labels = train.select(F.col("entry").alias("target"), F.col("label").cast("string").alias("label")).distinct()
+    near = similar(test, train, k, metric, blocks=blocks, by=by).join(labels, "target")
+    votes = near.groupBy(*keys, "label").agg(F.count("*").alias("n"))
+    return votes.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("pred"))
 
 
 def scaled(train: DataFrame, *others: DataFrame, with_mean: bool = True) -> list[DataFrame]:

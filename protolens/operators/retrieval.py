@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Rows of a block of the all-pairs product.
 BLOCK = 4096
-_PAIRS = pa.schema([("query", pa.string()), ("target", pa.string()), ("sim", pa.float64())])
+_PAIRS = pa.schema([("by", pa.string()), ("query", pa.string()), ("target", pa.string()), ("sim", pa.float64())])
 
 
 def _matrix(rows: pa.Table) -> np.ndarray:
@@ -23,7 +23,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _cell(metric: str, k: int):
-    def block(left: pa.Table, right: pa.Table) -> pa.Table:
+    def block(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _PAIRS.empty_table()
         a, b = _matrix(left), _matrix(right)
@@ -38,26 +38,36 @@ def _cell(metric: str, k: int):
         best = np.argsort(-sim, axis=1, kind="stable")[:, : min(k, sim.shape[1])]
         rows = np.arange(len(a))[:, None]
         queries = np.repeat(np.array(left.column("entry").to_pylist(), object), best.shape[1])
-        return pa.Table.from_arrays([pa.array(queries.tolist(), pa.string()), pa.array(names[best].ravel().tolist(), pa.string()), pa.array(sim[rows, best].ravel())], schema=_PAIRS)
+        return pa.Table.from_arrays([pa.repeat(key[0], len(queries)), pa.array(queries.tolist(), pa.string()), pa.array(names[best].ravel().tolist(), pa.string()), pa.array(sim[rows, best].ravel())], schema=_PAIRS)
 
     return block
 
 
-def similar(queries: DataFrame, targets: DataFrame, k: int, metric: str = "cosine", block: int = BLOCK) -> DataFrame:
+def blocks_of(df: DataFrame, block: int = BLOCK) -> int:
+    """Number of blocks that hold a table."""
+    return max(1, -(-df.count() // block))
+
+
+def similar(queries: DataFrame, targets: DataFrame, k: int, metric: str = "cosine", block: int = BLOCK, blocks: tuple[int, int] | None = None, by: str | None = None) -> DataFrame:
     """(query, target, sim) of the ``k`` most similar targets of each query, exactly.
 
     Both sides (entry, features) are cut into blocks; each pair of blocks is one matrix
     product that returns only its best ``k`` per query, so neither side is broadcast and no
     pair leaves a block that cannot be among the best. Similarities are rounded to 6 digits
-    before ranking; ties go to the smaller target. ``l2`` gives negative distances.
+    before ranking; ties go to the smaller target. ``l2`` gives negative distances. Rows are
+    counted for the number of blocks unless ``blocks`` gives it for both sides. With ``by``, a
+    string column of both, only rows that agree in it meet, and the result has it too.
     """
-    n_q, n_t = max(1, -(-queries.count() // block)), max(1, -(-targets.count() // block))
-    v = F.col("features").cast("array<double>").alias("v")
+    n_q, n_t = blocks or (blocks_of(queries, block), blocks_of(targets, block))
+    v, own = F.col("features").cast("array<double>").alias("v"), (F.col(by) if by else F.lit("")).alias("by")
     part = lambda n: F.pmod(F.xxhash64("entry"), F.lit(n)).cast("int")
-    left = queries.select("entry", v, part(n_q).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_t - 1))).alias("tb"))
-    right = targets.select("entry", v, part(n_t).alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
-    pairs = left.groupBy("qb", "tb").cogroup(right.groupBy("qb", "tb")).applyInArrow(_cell(metric, k), "query string, target string, sim double")
-    return top_k(pairs, k, "sim").drop("rk")
+    left = queries.select(own, "entry", v, part(n_q).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_t - 1))).alias("tb"))
+    right = targets.select(own, "entry", v, part(n_t).alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
+    cells = left.groupBy("by", "qb", "tb").cogroup(right.groupBy("by", "qb", "tb"))
+    pairs = cells.applyInArrow(_cell(metric, k), "by string, query string, target string, sim double")
+    order = Window.partitionBy("by", "query").orderBy(F.desc("sim"), "target")
+    best = pairs.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
+    return best.select(*([F.col("by").alias(by)] if by else []), "query", "target", "sim")
 
 
 def hits_from_vectors(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
