@@ -45,6 +45,8 @@ FRAME = LENGTH + SIDE
 BLOCK = 2 << 20
 #: Anchors of one part of the exchange, on average; parts of the contexts are this much finer.
 PART, FINER = 1_000_000, 4
+#: Contexts that are refined together, unless one bucket has more.
+REFINED = 4096
 _PIECE, _ROWS = 1 << 16, 1 << 12
 _NULL = np.iinfo(np.int64).min
 
@@ -323,6 +325,20 @@ def refine(frames: np.ndarray) -> np.ndarray:
     return bucket[:, :SPAN]
 
 
+def _earlier(words: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """For each context a mask of its strings that a context of a smaller document has."""
+    raw = np.ascontiguousarray(words).view(np.uint8)
+    left, right = raw[:, FRAME].astype(int), raw[:, FRAME + 1].astype(int)
+    bucket = refine(raw[:, :FRAME])
+    offset = np.arange(SPAN)[None, :]
+    inside = (offset >= SIDE - left[:, None]) & (offset <= right[:, None])
+    own = np.broadcast_to(low[:, None], inside.shape)
+    best = np.full(int(bucket.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(best, bucket[inside], own[inside])
+    earlier = inside & (best[bucket] < own)
+    return (earlier.astype(np.uint32) << np.arange(SPAN, dtype=np.uint32)[None, :]).sum(axis=1, dtype=np.uint32)
+
+
 _VERDICT = pa.schema([("block", pa.int64()), ("number", pa.binary()), ("least", pa.binary()), ("mask", pa.binary())])
 
 
@@ -343,17 +359,11 @@ def _judge(group: pa.Table) -> pa.Table:
     middle[:, :GRAM] = words[first].view(np.uint8)[:, SIDE : SIDE + GRAM]
     _, bucket, count = np.unique(_mixed(middle.view(np.uint64), 0), return_inverse=True, return_counts=True)
     several = np.flatnonzero(count[bucket] > 1)
-    if len(several):
-        raw = np.ascontiguousarray(words[first[several]]).view(np.uint8)
-        left, right = raw[:, FRAME].astype(int), raw[:, FRAME + 1].astype(int)
-        bucket = refine(raw[:, :FRAME])
-        offset = np.arange(SPAN)[None, :]
-        inside = (offset >= SIDE - left[:, None]) & (offset <= right[:, None])
-        own = np.broadcast_to(low[several][:, None], inside.shape)
-        best = np.full(int(bucket.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(best, bucket[inside], own[inside])
-        earlier = inside & (best[bucket] < own)
-        mask[several] = (earlier.astype(np.uint32) << np.arange(SPAN, dtype=np.uint32)[None, :]).sum(axis=1, dtype=np.uint32)
+    several = several[np.argsort(bucket[several], kind="stable")]
+    while len(several):  # whole buckets of equal anchors, about REFINED contexts at a time
+        n = REFINED + int(np.searchsorted(bucket[several[REFINED:]], bucket[several[REFINED - 1]], side="right")) if len(several) > REFINED else len(several)
+        own, several = several[:n], several[n:]
+        mask[own] = _earlier(words[first[own]], low[own])
     cuts = (high > low) | (mask > 0)
     out, at = [], 0
     for block, base, n in zip(group.column("block").to_pylist(), group.column("first").to_pylist(), sizes, strict=True):

@@ -42,6 +42,7 @@ def test_mosaics(spark, monkeypatch):
     """Texts pieced together from a few passages, in blocks of a few texts and small pieces."""
     monkeypatch.setattr(D, "BLOCK", 4000)
     monkeypatch.setattr(D, "_PIECE", 300)
+    monkeypatch.setattr(D, "REFINED", 5)
     r = random.Random(9)
     bits = ["".join(r.choice("ab ") for _ in range(r.choice([10, 30, 49, 50, 51, 70, 200]))) for _ in range(25)] + ["z" * 60, "yx" * 40, "é日" * 30]
     rows = [(r.randrange(150), "".join(r.choice(bits) if r.random() < 0.6 else "".join(r.choice("cdef") for _ in range(r.randrange(60))) for _ in range(r.randrange(8)))) for _ in range(200)]
