@@ -21,6 +21,7 @@ repeated rows share a component; empty tables give no rows; other columns are ig
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +39,16 @@ SAMPLE = 2_000
 BUCKET = 128
 #: The widest threshold of a partition; wider ones have too many values to probe.
 WIDEST = 2
+#: Compared pairs that cost as much as one record that is sent.
+PROBE = 20.0
 _PART = 8192
 #: Near copies of the pipeline: Jaccard similarity of sets of so many words, found through
-#: fingerprints of single words, which edits change least, within so many bits.
-WORDS, SIMILARITY, WIDE = 5, 0.8, 7
+#: fingerprints of pairs of words, which edits change less, within so many bits.
+WORDS, SIMILARITY, PAIR, WIDE, ROUNDS = 5, 0.8, 2, 9, 2
 #: Fingerprints of a partition value that are compared in one task when distances are wide.
 BLOCK = 2048
+#: Records of a heap, on average; keys of many records that tasks are told of.
+HEAP, KEYS = 250_000, 100_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -54,7 +59,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     joined = b" ".join(words)
     ends = (np.fromiter(map(len, words), np.int64, len(words)) + 1).cumsum() - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    if len(words) <= shingle and shingle > 1:
+    if len(words) <= shingle:
         return xxhash.xxh64_intdigest(joined, seed)
     begin, stop = starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
     digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
@@ -65,11 +70,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of texts in slices, so that few texts are copied at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) with the fingerprint as a signed long."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             made = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], names=["doc_id", "fp"])
 
@@ -99,8 +111,8 @@ def group_bits(sample: np.ndarray, parts: int) -> list[list[int]]:
 def plan(sample: np.ndarray, total: int, distance: int = DISTANCE) -> list[tuple[int, int]]:
     """(mask of bits, threshold) of each probed partition, by dynamic programming.
 
-    The cost of a partition at a threshold is its number of probes plus its number of
-    candidate pairs, scaled from the pairs of the sample.
+    The cost of a partition at a threshold is its number of candidate pairs, scaled from the
+    pairs of the sample, plus its number of probes, which cost PROBE pairs each.
     """
     sample = np.unique(sample.astype(np.uint64))
     if not len(sample):
@@ -121,7 +133,7 @@ def plan(sample: np.ndarray, total: int, distance: int = DISTANCE) -> list[tuple
             for e in range(min(distance, WIDEST) + 1):
                 variants += ways
                 ways = ways * (len(own) - e) // (e + 1)
-                row.append(total * (1.0 + (variants if e else 0)) + found[e])
+                row.append(PROBE * total * (1.0 + (variants if e else 0)) + found[e])
             costs.append((int(mask), row))
         reach: dict[int, tuple[float, list[tuple[int, int]]]] = {0: (0.0, [])}
         for mask, row in costs:
@@ -153,7 +165,7 @@ def _flips(value: Column, mask: int, threshold: int) -> Column:
 
 
 def _records(nodes: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
-    """(k, fp, role): role 0 is indexed and probes, 1 is indexed, 2 probes."""
+    """(k, fp, role): role 0 is indexed and probes, 2 probes."""
     out = []
     for i, (mask, threshold) in enumerate(parts):
         value = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
@@ -162,10 +174,7 @@ def _records(nodes: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
         if threshold > 0:
             probes = nodes.select("fp", F.explode(_flips(value, mask, threshold)).alias("v")).where(F.col("v") != value)
             out.append(probes.select(key(F.col("v")).alias("k"), "fp", F.lit(2).alias("role")))
-    every = out[0]
-    for more in out[1:]:
-        every = every.unionByName(more)
-    return every
+    return reduce(DataFrame.unionByName, out)
 
 
 def _verify(distance: int):
@@ -222,25 +231,134 @@ def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return found
 
 
-def pairs_within(nodes: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
-    """(a, b): every pair of distinct ``nodes`` (fp) within ``distance`` bits.
+def _keys(fp: np.ndarray, parts: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(32-bit keys, row, role) of all records of fingerprints; role 0 is indexed and probes,
+    2 probes. Keys that meet by chance cost a comparison and nothing else."""
+    keys, rows, roles = [], [], []
+    with np.errstate(over="ignore"):
+        for i, (mask, threshold) in enumerate(parts):
+            bits = [b for b in range(64) if mask >> b & 1]
+            flips = [0] + ([1 << b for b in bits] if threshold > 0 else []) + ([1 << a | 1 << b for n, a in enumerate(bits) for b in bits[n + 1 :]] if threshold > 1 else [])
+            value = (fp.view(np.uint64) & np.uint64(mask))[:, None] ^ np.array(flips, np.uint64)[None, :]
+            mixed = (value ^ np.uint64(i + 1)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            keys.append((mixed >> np.uint64(32)).astype(np.uint32).ravel())
+            rows.append(np.repeat(np.arange(len(fp)), len(flips)))
+            roles.append(np.tile(np.array([0] + [2] * (len(flips) - 1), np.uint8), len(fp)))
+    return np.concatenate(keys), np.concatenate(rows), np.concatenate(roles)
+
+
+def _counted(parts: list[tuple[int, int]]):
+    """(k, n): records of each key of a batch."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, n = np.unique(_keys(batch.column(0).to_numpy(), parts)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(n)], names=["k", "n"])
+
+    return over
+
+
+_RECORD = np.dtype([("k", "<u4"), ("cell", "<u4"), ("fp", "<i8"), ("u", "<i8"), ("root", "<i8"), ("role", "u1")])
+
+
+def _dealt(parts: list[tuple[int, int]], heaps: int, many: dict[int, int], every: int):
+    """(heap, blob): records of a batch by the heap of their key, packed. A key of ``many`` is
+    cut into blocks of nodes; each pair of blocks is a cell of its own, perhaps in another heap."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.array(sorted(many), np.uint32)
+        cuts = np.array([many[int(k)] for k in hot], np.int64)
+        for whole in batches:
+            for first in range(0, whole.num_rows, 2048):
+                u, fp, root = (whole.column(i).slice(first, 2048).to_numpy() for i in range(3))
+                k, row, role = _keys(fp, parts)
+                n = np.full(len(k), every, np.int64)
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, k), len(hot) - 1)
+                    n = np.where(hot[at] == k, cuts[at], n)
+                own = (u[row].view(np.uint64) >> np.uint64(7)) % n.astype(np.uint64)
+                again = np.repeat(np.arange(len(k)), n)
+                other = np.arange(len(again)) - np.repeat(n.cumsum() - n, n)
+                own = own[again].astype(np.int64)
+                out = np.empty(len(again), _RECORD)
+                out["k"], out["role"] = k[again], role[again]
+                out["fp"], out["u"], out["root"] = fp[row[again]], u[row[again]], root[row[again]]
+                out["cell"] = np.minimum(own, other) << 16 | np.maximum(own, other)  # cells are 2 ** 16 a side at most
+                with np.errstate(over="ignore"):
+                    heap = ((out["k"].astype(np.uint64) + out["cell"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(heaps)).astype(np.int64)
+                order = np.argsort(heap, kind="stable")
+                heap, out = heap[order], out[order]
+                cut = np.flatnonzero(np.concatenate([[True], heap[1:] != heap[:-1], [True]]))
+                blobs = [out[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(heap[cut[:-1]]), pa.array(blobs, pa.binary())], names=["heap", "blob"])
+
+    return over
+
+
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _between(distance: int, few: bool):
+    """Pairs (keys u) within the distance of records whose roots differ: indexed ones against
+    all of their cell. Of each indexed one all partners, or (``few``) its nearest and its most
+    central one, which has the least mean distance to its own partners."""
+
+    def over(group: pa.Table) -> pa.Table:
+        r = np.concatenate([np.frombuffer(x.as_py(), _RECORD) for x in group.column("blob")])
+        r = r[np.lexsort((r["u"], r["fp"], r["cell"], r["k"]))]
+        cut = np.flatnonzero(np.concatenate([[True], (r["k"][1:] != r["k"][:-1]) | (r["cell"][1:] != r["cell"][:-1]), [True]]))
+        a, b = [], []
+        for s, e in zip(cut[:-1], cut[1:], strict=True):
+            x, u, roots = r["fp"][s:e], r["u"][s:e], r["root"][s:e]
+            own = np.flatnonzero(r["role"][s:e] == 0)
+            if e - s < 2 or not len(own):
+                continue
+            bits = np.concatenate([np.bitwise_count((x[own[i : i + 256]][:, None] ^ x[None, :]).view(np.uint64)) for i in range(0, len(own), 256)])
+            ok = (bits <= distance) & (roots[own][:, None] != roots[None, :])
+            if not few:
+                i, j = np.nonzero(ok)
+            else:
+                some = np.flatnonzero(ok.any(axis=1))
+                if not len(some):
+                    continue
+                total, n = (bits * ok).sum(axis=0, dtype=np.int64), ok.sum(axis=0)
+                mean = np.where(n > 1, total / np.maximum(n, 1), 100.0)
+                near = np.where(ok[some], bits[some], 127).argmin(axis=1)
+                central = np.where(ok[some], mean[None, :], 1000.0).argmin(axis=1)
+                i, j = np.concatenate([some, some]), np.concatenate([near, central])
+            a.append(u[own[i]])
+            b.append(u[j])
+        a, b = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_PAIR)
+
+    return over
+
 
-    A value that more than ``block`` records share is cut into blocks, each pair of which is
-    compared where it meets; only pairs within the distance leave a task.
+def pairs_within(nodes: DataFrame, distance: int, few: bool = False, block: int = BLOCK) -> DataFrame:
+    """(a, b): every pair of ``nodes`` (u, fp, root) of different roots within ``distance`` bits,
+    or for each node the nearest and the most central such in each value that it is indexed under.
+
+    Records travel packed, a row for each batch and heap of keys. A key that more than ``block``
+    records share is cut into blocks, each pair of which meets on its own; only pairs within
+    the distance leave a task. If there are too many such keys to tell each task of them, every
+    key is cut as the largest is.
     """
     parts = _partitions(nodes, distance)
     if not parts:
         return nodes.sparkSession.createDataFrame([], "a long, b long")
-    records = _records(nodes, parts)
-    many = stage(records.groupBy("k").count().where(F.col("count") > block).select("k", F.ceil(F.col("count") / block).cast("int").alias("n")), "hot-values")
-    n_many = many.count()
-    cold = records if not n_many else records.join(bounded(many.select("k"), n_many), "k", "left_anti")
-    cells = cold.select("k", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "role")
-    if n_many:
-        hot = records.join(bounded(many, n_many), "k").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        cells = cells.unionByName(hot.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "role"))
-    lists = cells.groupBy("k", "i", "j").agg(F.collect_list(F.struct("fp", "role")).alias("own")).where(F.size("own") > 1).select("own")
-    return lists.mapInArrow(_verify(distance), "a long, b long").distinct()
+    counts = nodes.select("fp").mapInArrow(_counted(parts), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    counts = stage(counts, "key-counts")
+    total, largest = counts.agg(F.sum("n"), F.max("n")).first()
+    many = counts.where(F.col("n") > block).limit(KEYS + 1).collect()
+    every = 1 if len(many) <= KEYS else -(-largest // block)
+    hot = {r["k"]: -(-r["n"] // block) for r in many} if every == 1 else {}
+    heaps = max(1, -(-total * every // HEAP))
+    if max([every, *hot.values()]) > 1 << 16:
+        raise ValueError("a key has more blocks than cells can name; use larger blocks")
+    dealt = nodes.select("u", "fp", "root").repartition(1 + heaps // 8, "u").mapInArrow(_dealt(parts, heaps, hot, every), "heap long, blob binary")
+    return dealt.groupBy("heap").applyInArrow(_between(distance, few), "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -268,7 +386,7 @@ def shingles(text: str | None, words: int = WORDS) -> set[tuple[str, ...]]:
 def _alike(words: int, similarity: float):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[str, set] | None = None
-        for batch in batches:
+        for batch in _few(batches):
             keep = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if held is None or held[0] != a:
@@ -276,7 +394,7 @@ def _alike(words: int, similarity: float):
                 other = shingles(b, words)
                 both = len(held[1] & other)
                 keep.append(both >= similarity * (len(held[1]) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
     return over
 
@@ -295,36 +413,33 @@ def alike(pairs: DataFrame, docs: DataFrame, words: int = WORDS, similarity: flo
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, wide: int = WIDE) -> DataFrame:
     """(u, doc_id, root): groups of documents whose texts are similar, by key ``u`` of a row.
 
-    First, fingerprints that link within DISTANCE bits form groups, and each member is compared
-    with its group's leader, so large groups of copies cost one comparison each. Leaders and
-    members unlike theirs then meet all others within ``wide`` bits, one for each fingerprint.
-    Similar pairs of both rounds are links; a group is a component of them.
+    Candidates have fingerprints within ``wide`` bits; whole texts decide. In each of ROUNDS
+    rounds a document is compared with its nearest and its most central candidate outside its
+    group, in each partition: all pairs of a large group would be too many, and of many
+    candidates that are not similar only these are tried. A group is a component of the
+    similar pairs.
     """
     key = F.xxhash64("doc_id", text_of())
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("u"), text_of().alias("t"))
     texts = base.select("u", "t")
     prints = stage(_printed(base), "word-fingerprints")
-    nodes = stage(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "u")).alias("least")), "word-nodes")
-    own = components(links(nodes.select("fp")))
-    rooted = stage(nodes.join(own, nodes["fp"] == own["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "word-roots")
-    leaders = rooted.groupBy("root").agg(F.min("least")["u"].alias("leader"))
-    members = prints.join(rooted.join(leaders, "root").select("fp", "leader"), "fp")
-    first = stage(alike(members.where("u <> leader").select(F.col("leader").alias("a"), F.col("u").alias("b")).distinct(), texts, words, similarity), "copies")
-    rest = prints.join(first.select(F.col("b").alias("u")), "u", "left_anti")
-    rest = stage(rest.groupBy("fp").agg(F.min(F.struct("doc_id", "u"))["u"].alias("u")), "word-rest")
-    met = pairs_within(rest.select("fp"), wide)
-    met = met.join(rest.select(F.col("fp").alias("a"), F.col("u").alias("ua")), "a").join(rest.select(F.col("fp").alias("b"), F.col("u").alias("ub")), "b")
-    second = alike(stage(met.select(F.col("ua").alias("a"), F.col("ub").alias("b")), "met"), texts, words, similarity)
-    groups = components(first.unionByName(second))
-    return groups.join(prints.select("u", "doc_id").distinct(), groups["node"] == F.col("u")).select("u", "doc_id", "root")
+    nodes = stage(prints.groupBy("u").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("doc_id")), "word-nodes")
+    rooted, similar, groups = nodes.withColumn("root", F.col("u")), None, None
+    for _ in range(ROUNDS):
+        met = stage(pairs_within(rooted.select("u", "fp", "root"), wide, few=True), "met")
+        new = stage(alike(met, texts, words, similarity), "similar")
+        similar = new if similar is None else similar.unionByName(new)
+        groups = stage(components(similar), "groups")
+        rooted = stage(nodes.join(groups, nodes["u"] == groups["node"], "left").select("u", "fp", F.coalesce("root", "u").alias("root")), "word-roots")
+    return groups.join(nodes.select("u", "doc_id"), groups["node"] == F.col("u")).select("u", "doc_id", "root")
 
 
 def _printed(base: DataFrame) -> DataFrame:
-    """(doc_id, u, fp) with fingerprints of single words."""
+    """(doc_id, u, fp) with fingerprints of PAIR words."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = np.array([fingerprint(t, 1) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+        for batch in _few(batches):
+            made = np.array([fingerprint(t, PAIR) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made)], names=["doc_id", "u", "fp"])
 
     return base.select("doc_id", "u", "t").mapInArrow(over, "doc_id long, u long, fp long")

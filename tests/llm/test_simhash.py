@@ -130,9 +130,11 @@ def test_pairs_within(spark):
     values = set(map(int, rng.integers(0, 1 << 63, 300, np.int64)))
     one = next(iter(values))
     values |= {one ^ int(sum(1 << int(b) for b in rng.choice(62, k, replace=False))) for k in range(1, 9) for _ in range(40)}
-    nodes = spark.createDataFrame([(v,) for v in values], "fp long")
+    nodes = spark.createDataFrame([(v, v, v % 3) for v in values], "u long, fp long, root long")
     v = np.array(sorted(values), np.int64)
     i, j = np.nonzero(np.bitwise_count((v[:, None] ^ v[None]).view(np.uint64)) <= 7)
-    want = {(int(v[a]), int(v[b])) for a, b in zip(i, j, strict=True) if a < b}
+    want = {(int(v[a]), int(v[b])) for a, b in zip(i, j, strict=True) if a < b and v[a] % 3 != v[b] % 3}
     for block in (S.BLOCK, 20):
-        assert {tuple(r) for r in S.pairs_within(nodes, 7, block).select("a", "b").collect()} == want
+        assert {tuple(r) for r in S.pairs_within(nodes, 7, block=block).select("a", "b").collect()} == want
+        some = {tuple(r) for r in S.pairs_within(nodes, 7, few=True, block=block).select("a", "b").collect()}
+        assert some <= want and {x for p in some for x in p} == {x for p in want for x in p}
