@@ -42,9 +42,16 @@ WIDEST = 2
 #: Compared pairs that cost as much as one record that is sent.
 PROBE = 20.0
 _PART = 8192
-#: Near copies of the pipeline: Jaccard similarity of sets of so many words, found through
-#: fingerprints of pairs of words, which edits change less, within so many bits.
-WORDS, SIMILARITY, PAIR, WIDE, ROUNDS = 5, 0.8, 2, 9, 2
+#: Near copies of the pipeline: Jaccard similarity of sets of so many words.
+WORDS, SIMILARITY = 5, 0.8
+#: Rows beside each other that are compared in each round of near copies; None is all.
+REACHES = (1, 8, None)
+#: Texts of the sample that orders shingles, and texts of it that make a shingle common.
+ORDERED, COMMON = 10_000, 4
+#: Places of a sketch of a set, a multiple of 64.
+SKETCH = 256
+#: Words and bits of a wide search by fingerprints (``pairs_within``), which misses pairs.
+PAIR, WIDE = 2, 9
 #: Fingerprints of a partition value that are compared in one task when distances are wide.
 BLOCK = 2048
 #: Records of a heap, on average; keys of many records that tasks are told of.
@@ -410,39 +417,166 @@ def alike(pairs: DataFrame, docs: DataFrame, words: int = WORDS, similarity: flo
     return full.select("a", "b", "ta", "tb").mapInArrow(_alike(words, similarity), "a long, b long")
 
 
-def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, wide: int = WIDE) -> DataFrame:
+def hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Distinct hashes of the shingles of a text, ascending."""
+    own = (text or "").encode().lower().split()
+    joined = b" ".join(own)
+    if len(own) <= words:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = (np.fromiter(map(len, own), np.int64, len(own)) + 1).cumsum() - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(own) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ascending; counts) of shingles that several texts of a bounded sample have."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _few(batches):
+            h = [hashes(t, words) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], names=["h"])
+
+    every = max(1, texts.count() // ORDERED)
+    some = texts.where(F.pmod(F.xxhash64("u"), F.lit(every)) == 0).select("t").mapInArrow(over, "h long")
+    rows = some.groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(KEYS).collect()
+    h, n = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["count"] for r in rows], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _prefixes(words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]):
+    """(k, u, n, at): the first shingles of a text in an order that all texts share, rare ones
+    first, with the size of its set and the place in the order. Two sets of the similarity
+    share one of these."""
+    own, times = common
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _few(batches):
+            first, sizes = [], []
+            for t in batch.column(1).to_pylist():
+                h = hashes(t, words)
+                rank = np.zeros(len(h), np.int64)
+                if len(own):
+                    at = np.minimum(np.searchsorted(own, h), len(own) - 1)
+                    rank = np.where(own[at] == h, times[at], 0)
+                sizes.append(len(h))
+                first.append(h[np.lexsort((h, rank))][: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1])
+            n = np.fromiter(map(len, first), np.int64, len(first))
+            at = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
+            u = np.repeat(batch.column(0).to_numpy(), n)
+            columns = [np.concatenate(first).view(np.int64), u, np.repeat(np.array(sizes, np.int32), n), at.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k", "u", "n", "at"])
+
+    return over
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of whole runs of the first column, by which rows are sorted."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+        last = int(np.searchsorted(held[0], held[0][-1]))
+        if last:
+            yield [c[:last] for c in held]
+            held = [c[last:].copy() for c in held]
+    if held is not None:
+        yield held
+
+
+def _sketches(words: int):
+    """(u, sketch): the parities of a set's hashes in SKETCH places; two sets differ in at least
+    as many shingles as their sketches in places."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _few(batches):
+            odd = [np.bincount((hashes(t, words) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1 for t in batch.column(1).to_pylist()]
+            packed = np.packbits(np.array(odd, np.uint8).reshape(-1, SKETCH), axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.tobytes() for p in packed], pa.binary())], names=["u", "sketch"])
+
+    return over
+
+
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of keys that more than one row has."""
+    for own in _whole(batches):
+        same = own[0][1:] == own[0][:-1]
+        keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in own], names=["k", "u", "n", "at"])
+
+
+def _partners(similarity: float, reach: int | None):
+    """(a, b): pairs of a key's texts of different roots that lie within ``reach`` rows of each
+    other (None: all), without those whose sizes, places or sketches rule the similarity out."""
+    share = similarity / (1 + similarity)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, u, n, at, root, sketch in _whole(batches):
+            cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            mixed = np.minimum.reduceat(root, cut) < np.maximum.reduceat(root, cut)
+            keep = np.repeat(mixed, np.diff(np.concatenate([cut, [len(k)]])))
+            k, u, n, at, root, sketch = (c[keep] for c in (k, u, n, at, root, sketch))
+            bits = np.frombuffer(b"".join(sketch), np.uint64).reshape(-1, SKETCH // 64)
+            i, d, held, count = np.arange(len(k)), 0, [], 0
+            while len(i) and (reach is None or d < reach):
+                d += 1
+                i = i[: np.searchsorted(i, len(k) - d)]
+                i = i[k[i] == k[i + d]]
+                j = i + d
+                most = np.minimum(at[i], at[j]) + 1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1
+                both = n[i].astype(np.int64) + n[j]
+                ok = np.flatnonzero((root[i] != root[j]) & (most >= share * both - 1e-9))
+                differ = np.bitwise_count(bits[i[ok]] ^ bits[j[ok]]).sum(axis=1, dtype=np.int64)
+                ok = ok[differ <= (1 - 2 * share) * both[ok] + 1e-9]
+                held.append(np.stack([np.minimum(u[i[ok]], u[j[ok]]), np.maximum(u[i[ok]], u[j[ok]])], axis=1))
+                count += len(ok)
+                if count > HEAP:
+                    yield _pairs(held)
+                    held, count = [], 0
+            if count:
+                yield _pairs(held)
+
+    return over
+
+
+def _pairs(held: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.unique(np.concatenate(held), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, reaches: tuple[int | None, ...] = REACHES) -> DataFrame:
     """(u, doc_id, root): groups of documents whose texts are similar, by key ``u`` of a row.
 
-    Candidates have fingerprints within ``wide`` bits; whole texts decide. In each of ROUNDS
-    rounds a document is compared with its nearest and its most central candidate outside its
-    group, in each partition: all pairs of a large group would be too many, and of many
-    candidates that are not similar only these are tried. A group is a component of the
-    similar pairs.
+    Exact: a group is a component of all pairs of the similarity. Two such sets of shingles
+    share one of their first shingles in any common order, so texts meet under these; whole
+    texts decide. The first rounds compare neighbours under a shingle, which joins large
+    groups without all their pairs; the last round compares every pair that has met under a
+    shingle, is not in one group yet and was not compared before.
     """
+    if reaches[-1] is not None:
+        raise ValueError("the last round compares all")
     key = F.xxhash64("doc_id", text_of())
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("u"), text_of().alias("t"))
     texts = base.select("u", "t")
-    prints = stage(_printed(base), "word-fingerprints")
-    nodes = stage(prints.groupBy("u").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("doc_id")), "word-nodes")
-    rooted, similar, groups = nodes.withColumn("root", F.col("u")), None, None
-    for _ in range(ROUNDS):
-        met = stage(pairs_within(rooted.select("u", "fp", "root"), wide, few=True), "met")
+    nodes = stage(base.groupBy("u").agg(F.min("doc_id").alias("doc_id")), "nodes")
+    placed = texts.mapInArrow(_prefixes(words, similarity, _common(texts, words)), "k long, u long, n int, at int")
+    cells = stage(placed.repartition("k").sortWithinPartitions("k", "u").mapInArrow(_several, "k long, u long, n int, at int"), "cells")
+    sketches = texts.join(bounded(cells.select("u").distinct()), "u", "left_semi").mapInArrow(_sketches(words), "u long, sketch binary")
+    sketched = stage(sketches.dropDuplicates(["u"]), "sketches")
+    rooted, tested, similar, groups = nodes.select("u", F.col("u").alias("root")), None, None, None
+    for reach in reaches:
+        known = cells.join(sketched.join(rooted, "u"), "u").select("k", "u", "n", "at", "root", "sketch")
+        met = known.repartition("k").sortWithinPartitions("k", "u").mapInArrow(_partners(similarity, reach), "a long, b long").distinct()
+        met = stage(met if tested is None else met.join(tested, ["a", "b"], "left_anti"), "met")
         new = stage(alike(met, texts, words, similarity), "similar")
+        tested = met if tested is None else tested.unionByName(met)
         similar = new if similar is None else similar.unionByName(new)
         groups = stage(components(similar), "groups")
-        rooted = stage(nodes.join(groups, nodes["u"] == groups["node"], "left").select("u", "fp", F.coalesce("root", "u").alias("root")), "word-roots")
-    return groups.join(nodes.select("u", "doc_id"), groups["node"] == F.col("u")).select("u", "doc_id", "root")
-
-
-def _printed(base: DataFrame) -> DataFrame:
-    """(doc_id, u, fp) with fingerprints of PAIR words."""
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _few(batches):
-            made = np.array([fingerprint(t, PAIR) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made)], names=["doc_id", "u", "fp"])
-
-    return base.select("doc_id", "u", "t").mapInArrow(over, "doc_id long, u long, fp long")
+        rooted = stage(nodes.join(groups, nodes["u"] == groups["node"], "left").select("u", F.coalesce("root", "u").alias("root")), "roots")
+    return groups.join(nodes, groups["node"] == F.col("u")).select("u", "doc_id", "root")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

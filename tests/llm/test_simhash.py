@@ -138,3 +138,35 @@ def test_pairs_within(spark):
         assert {tuple(r) for r in S.pairs_within(nodes, 7, block=block).select("a", "b").collect()} == want
         some = {tuple(r) for r in S.pairs_within(nodes, 7, few=True, block=block).select("a", "b").collect()}
         assert some <= want and {x for p in some for x in p} == {x for p in want for x in p}
+
+
+def test_near_copies_are_whole(spark):
+    """Groups are those of a plain five-word join, whatever the fingerprints' distance and the
+    number of unlike texts that share much of a template."""
+    rng = np.random.default_rng(31)
+    word = lambda: f"w{rng.integers(0, 400)}"
+    texts = []
+    for _ in range(6):  # templates whose fillings are unlike, each with a few copies near 0.8
+        template = [word() for _ in range(26)]
+        for _ in range(40):
+            own = [word() for _ in range(14)]
+            texts.append([*template[:13], *own, *template[13:]])
+            if rng.random() < 0.4:
+                near = list(texts[-1])
+                near[int(rng.integers(0, 3))] = "new"
+                texts.append(near)
+    for _ in range(40):  # long texts with changes at random places
+        base = [word() for _ in range(int(rng.integers(60, 200)))]
+        for c in range(4):
+            own = list(base)
+            for at in rng.choice(len(own), c * len(own) // 80, replace=False):
+                own[at] = word()
+            texts.append(own)
+    rows = list(enumerate(map(" ".join, texts)))
+    sets = [S.shingles(t) for _, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    prints = [S.fingerprint(t, S.PAIR) for _, t in rows]
+    assert sum((prints[a] ^ prints[b]).bit_count() > S.WIDE for a, b in links) > 5
+    root = roots(range(len(rows)), links)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r["doc_id"] for r in S.one_of_each(df).collect()) == sorted(set(root.values()))
