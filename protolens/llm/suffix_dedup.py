@@ -152,7 +152,7 @@ def anchors(t: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     np.add.at(valid, starts[long], 1)
     np.add.at(valid, ends[long] - LENGTH + 1, -1)
     valid = valid.cumsum() > 0
-    for at in range(0, len(t) - LENGTH + 1, _PIECE):
+    for at in range(0, len(t) - GRAM + 1, _PIECE):  # anchors lie up to the last q-gram
         # strings that start in this piece, and those before it whose anchors may lie in it
         low, high = max(0, at - SPAN + 1), min(len(t), at + _PIECE + LENGTH + SPAN)
         part = t[low:high]

@@ -70,3 +70,27 @@ def test_anchors_do_not_depend_on_place():
     q, g = D.anchors(np.concatenate([t[:77], t]), np.array([77, 5077]))
     assert set(zip(p.tolist(), h.tolist(), strict=True)) <= set(zip((q - 77).tolist(), g.tolist(), strict=True))
     assert len(p) < 0.15 * 5000
+
+
+def test_anchors_at_ends_of_blocks(monkeypatch):
+    """Every place of a least q-gram is an anchor, at all lengths around a multiple of a piece."""
+    monkeypatch.setattr(D, "_PIECE", 300)
+    rng = np.random.default_rng(6)
+    for n in range(590, 660):
+        t = rng.integers(97, 123, n).astype(np.uint8)
+        h = D._grams(t, D.GRAM)
+        want = {s + int(i) for s in range(n - D.LENGTH + 1) for i in np.flatnonzero(h[s : s + D.SPAN] == h[s : s + D.SPAN].min())}
+        assert set(D.anchors(t, np.array([n]))[0].tolist()) == want
+
+
+def test_repeat_at_the_end_of_a_block(spark):
+    """The block is 40 bytes longer than a piece; its last string has an anchor in those only."""
+    r = random.Random(2)
+    tail = ""
+    while not tail or D._grams(np.frombuffer(tail.encode(), np.uint8), D.GRAM).argmin() < 10:
+        tail = "".join(r.choice("abcdefgh") for _ in range(D.LENGTH))
+    first = tail + "".join(r.choice("abcdefgh") for _ in range(D._PIECE + 40 - 2 * D.LENGTH))
+    rows = [(1, first), (2, tail)]
+    out = got(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert out == brute(rows)
+    assert out[1][2] == D.LENGTH
