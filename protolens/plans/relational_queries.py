@@ -143,6 +143,15 @@ def model_inputs(spark, sf_dir):
     return d.select("doc_id", S.model_input(F.col("s"), "aa").alias("aa"), S.model_input(F.col("s"), "3di").alias("di"))
 
 
+def clean_letters_whole(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", S.clean(F.col("text")).alias("letters"))
+
+
+def model_inputs_whole(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", S.clean(F.col("text"), ascii_only=True).alias("s"))
+    return d.select("doc_id", S.model_input(F.col("s"), "aa").alias("aa"), S.model_input(F.col("s"), "3di").alias("di"))
+
+
 def slugs(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", S.slug(F.col("url")).alias("slug"), S.stem(F.col("url")).alias("stem"))
@@ -201,7 +210,7 @@ QUERIES = {
     "union_splits": union_splits, "l2norm": l2norm, "standardize": standardize, "standardize_without_mean": standardize_without_mean, "concat_blocks": concat_blocks, "slice_groups": slice_groups,
     "align_inner": align_inner, "align_strict": align_strict, "label_mismatch": label_mismatch, "known_label_semi": known_label_semi, "unseen_anti": unseen_anti, "look_up_left": look_up_left,
     "status_counts": status_counts, "status_coverage": status_coverage, "not_like": not_like, "threshold_filter": threshold_filter, "dropna_distinct": dropna_distinct, "report_union": report_union,
-    "ablation": ablation, "ablation_pivot": ablation_pivot, "clean_letters": clean_letters, "model_inputs": model_inputs, "slugs": slugs, "class_means": class_means,
+    "ablation": ablation, "ablation_pivot": ablation_pivot, "clean_letters": clean_letters, "model_inputs": model_inputs, "clean_letters_whole": clean_letters_whole, "model_inputs_whole": model_inputs_whole, "slugs": slugs, "class_means": class_means,
     "lr_predict": lr_predict, "rf_predict": rf_predict, "svc_linear": svc_linear, "svc_rbf": svc_rbf, "suite": suite,
 }
 
@@ -228,6 +237,8 @@ ORACLES = {
     "ablation_pivot": f"SELECT features, max(weighted_f1) FILTER (method = 'ncm') AS ncm, max(weighted_f1) FILTER (method = 'knn_cos_1') AS knn_cos_1 FROM ({_ablation_sql()}) GROUP BY features",
     "clean_letters": r"SELECT doc_id, left(upper(replace(regexp_replace(text, '[^\p{L}]', '', 'g'), 'ß', 'SS')), 100) AS letters FROM documents",
     "model_inputs": "WITH d AS (SELECT doc_id, left(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 60) AS s FROM documents) SELECT doc_id, '<AA2fold> ' || rtrim(regexp_replace(regexp_replace(s, '[UZOB]', 'X', 'g'), '(.)', '\\1 ', 'g')) AS aa, '<fold2AA> ' || rtrim(regexp_replace(lower(s), '(.)', '\\1 ', 'g')) AS di FROM d",
+    "clean_letters_whole": r"SELECT doc_id, upper(replace(regexp_replace(text, '[^\p{L}]', '', 'g'), 'ß', 'SS')) AS letters FROM documents",
+    "model_inputs_whole": "WITH d AS (SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS s FROM documents) SELECT doc_id, '<AA2fold> ' || rtrim(regexp_replace(regexp_replace(s, '[UZOB]', 'X', 'g'), '(.)', '\\1 ', 'g')) AS aa, '<fold2AA> ' || rtrim(regexp_replace(lower(s), '(.)', '\\1 ', 'g')) AS di FROM d",
     "slugs": r"SELECT page_id, trim(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '_') AS slug, replace(regexp_replace(regexp_extract(url, '([^/\\]*)$', 1), '(.)\.[^.]*$', '\1'), '.pdb', '') AS stem FROM pages",
     "class_means": f"WITH {_V}{_NCM}, x AS {_NORM.format('(SELECT label AS entry, label, f FROM m0)')} {_LONG('x')}",
 }

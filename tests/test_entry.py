@@ -40,6 +40,18 @@ def test_oracle(spark, tables, name):
     assert rows(map(tuple, df.select(*names).collect())) == rows(want.project(", ".join(f'"{n}"' for n in names)).fetchall())
 
 
+def test_whole_texts(spark):
+    """Letters beyond the prefixes of clean_letters and model_inputs are there."""
+    letters = {r["doc_id"]: r["letters"] for r in entry.queries()["clean_letters_whole"](spark, DIR).collect()}
+    inputs = entry.queries()["model_inputs_whole"](spark, DIR).collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    assert max(map(len, letters.values())) > 1024
+    for r in inputs:
+        own = [c for c in texts[r["doc_id"]] if c.isascii() and c.isalpha()]
+        assert r["di"].split() == ["<fold2AA>", *"".join(own).lower()]
+        assert len(letters[r["doc_id"]] or "") >= len(own)
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["weighted_f1", "n_predicted", "n_none"]
 
