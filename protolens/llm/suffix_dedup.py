@@ -158,7 +158,7 @@ def anchors(t: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         part = t[low:high]
         if len(part) < LENGTH:
             continue
-        h = _grams(part, GRAM)
+        h = np.maximum(_grams(part, GRAM), _u(1))  # NUL bytes hash to 0, which marks strings that cross texts
         least = _slide(h, SPAN, np.minimum)
         least[~valid[low : low + len(least)]] = 0
         pad = np.zeros(SPAN - 1, np.uint64)

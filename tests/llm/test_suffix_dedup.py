@@ -94,3 +94,10 @@ def test_repeat_at_the_end_of_a_block(spark):
     out = got(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
     assert out == brute(rows)
     assert out[1][2] == D.LENGTH
+
+
+def test_runs_of_nul_bytes(spark):
+    rows = [(1, "one" + "\0" * 70 + "more"), (2, "two" + "\0" * 60 + "other"), (3, "\0" * 50), (4, "x" * 24 + "\0" * 26), (5, "y" + "x" * 24 + "\0" * 26 + "z"), (6, "\0" * 49)]
+    out = got(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert out == brute(rows)
+    assert [r[2] for r in out] == [0, 60, 50, 0, 50, 0]
