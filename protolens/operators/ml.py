@@ -78,11 +78,11 @@ def linear_svm(train: DataFrame, test: DataFrame, c: float = 1.0, max_iter: int
     return _fit_predict(OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=1.0 / (c * n), standardization=False), labelCol="y", parallelism=4), train, test)
 
 
-def _dual(kernel: np.ndarray, y: np.ndarray, c: float, rounds: int = 2000, tol: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights of a two-class machine by maximal violating pairs."""
+def _dual(kernel: np.ndarray, y: np.ndarray, c: float, tol: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights of a two-class machine by maximal violating pairs, until none violates by ``tol``."""
     a, g = np.zeros(len(y)), -np.ones(len(y))
     q = kernel * np.outer(y, y)
-    for _ in range(rounds):
+    while True:
         v = -y * g
         up, low = ((y > 0) & (a < c)) | ((y < 0) & (a > 0)), ((y > 0) & (a > 0)) | ((y < 0) & (a < c))
         i, j = int(np.where(up, v, -np.inf).argmax()), int(np.where(low, v, np.inf).argmin())
@@ -92,6 +92,8 @@ def _dual(kernel: np.ndarray, y: np.ndarray, c: float, rounds: int = 2000, tol:
         step = min(step, (c - a[i]) if y[i] > 0 else a[i], a[j] if y[j] > 0 else (c - a[j]))
         a[i] += y[i] * step
         a[j] -= y[j] * step
+        for m in (i, j):  # rounding must not leave a weight just beside a bound
+            a[m] = 0.0 if a[m] < 1e-12 * c else c if c - a[m] < 1e-12 * c else a[m]
         g += q[:, i] * y[i] * step - q[:, j] * y[j] * step
     v = -y * g
     free = (a > 1e-8) & (a < c - 1e-8)

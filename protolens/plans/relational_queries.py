@@ -178,7 +178,7 @@ def svc_rbf(spark, sf_dir):
 
 
 def suite(spark, sf_dir):
-    return M.run_suite(*vectors(spark, sf_dir), ["ncm", "knn_cos_1", "knn_cos_3", "knn_cos_5", "lr_l2"])
+    return M.run_suite(*vectors(spark, sf_dir))
 
 
 _ALL = "v AS (SELECT vec_id::VARCHAR AS entry, vec_id AS row_no, label::VARCHAR AS label, list_transform(embedding, lambda x: x::DOUBLE) AS f FROM embeddings)"

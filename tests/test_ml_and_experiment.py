@@ -75,3 +75,23 @@ def test_affinity_vectors(spark):
     m = spark.createDataFrame([("q", "a", 2.0), ("q", "c", 1.0)], "query string, target string, value double")
     t = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "entry string, row_no long")
     assert R.as_vectors(m, t, 3).first()["vector"].toArray().tolist() == [2.0, 0.0, 1.0]
+
+
+def test_dual_reaches_its_tolerance():
+    """Overlapping classes that take more than 2,000 pair updates."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 3))
+    y = np.where(rng.random(600) < 0.5, 1.0, -1.0)
+    k = np.exp(-0.5 * ((x[:, None] - x[None]) ** 2).sum(-1))
+    a, _ = M._dual(k, y, 10.0)
+    v = y - k @ (a * y)
+    up, low = ((y > 0) & (a < 10)) | ((y < 0) & (a > 0)), ((y > 0) & (a > 0)) | ((y < 0) & (a < 10))
+    assert v[up].max() - v[low].min() < 2e-4
+    assert abs(a @ y) < 1e-6
+
+
+def test_suite_query_has_every_model(spark, monkeypatch):
+    from protolens.plans import relational_queries as Q
+
+    monkeypatch.setattr(Q.M, "run_suite", lambda train, test, names=None: names or list(M.SUITE))
+    assert Q.suite(spark, "/root/testdata/sf0.001") == list(M.SUITE)
