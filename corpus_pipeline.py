@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from protolens.llm import bpe, exact_dedup, mixing, quality, simhash
+from protolens.llm import bpe, exact_dedup, mixing, near_copies, quality
 from protolens.llm._util import stage, table
 
 
@@ -25,7 +25,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least id stays."""
-    return simhash.one_of_each(docs)
+    return near_copies.one_of_each(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

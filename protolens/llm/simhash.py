@@ -42,20 +42,6 @@ WIDEST = 2
 #: Compared pairs that cost as much as one record that is sent.
 PROBE = 20.0
 _PART = 8192
-#: Near copies of the pipeline: Jaccard similarity of sets of so many words.
-WORDS, SIMILARITY = 5, 0.8
-#: Rows beside each other that are compared in each round of near copies; None is all.
-REACHES = (1, 8, None)
-#: Texts of the sample that orders shingles, and texts of it that make a shingle common.
-ORDERED, COMMON = 10_000, 4
-#: Places of a sketch of a set, a multiple of 64.
-SKETCH = 256
-#: Words and bits of a wide search by fingerprints (``pairs_within``), which misses pairs.
-PAIR, WIDE = 2, 9
-#: Fingerprints of a partition value that are compared in one task when distances are wide.
-BLOCK = 2048
-#: Records of a heap, on average; keys of many records that tasks are told of.
-HEAP, KEYS = 250_000, 100_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -238,136 +224,6 @@ def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return found
 
 
-def _keys(fp: np.ndarray, parts: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(32-bit keys, row, role) of all records of fingerprints; role 0 is indexed and probes,
-    2 probes. Keys that meet by chance cost a comparison and nothing else."""
-    keys, rows, roles = [], [], []
-    with np.errstate(over="ignore"):
-        for i, (mask, threshold) in enumerate(parts):
-            bits = [b for b in range(64) if mask >> b & 1]
-            flips = [0] + ([1 << b for b in bits] if threshold > 0 else []) + ([1 << a | 1 << b for n, a in enumerate(bits) for b in bits[n + 1 :]] if threshold > 1 else [])
-            value = (fp.view(np.uint64) & np.uint64(mask))[:, None] ^ np.array(flips, np.uint64)[None, :]
-            mixed = (value ^ np.uint64(i + 1)) * np.uint64(0x9E3779B97F4A7C15)
-            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            keys.append((mixed >> np.uint64(32)).astype(np.uint32).ravel())
-            rows.append(np.repeat(np.arange(len(fp)), len(flips)))
-            roles.append(np.tile(np.array([0] + [2] * (len(flips) - 1), np.uint8), len(fp)))
-    return np.concatenate(keys), np.concatenate(rows), np.concatenate(roles)
-
-
-def _counted(parts: list[tuple[int, int]]):
-    """(k, n): records of each key of a batch."""
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k, n = np.unique(_keys(batch.column(0).to_numpy(), parts)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(n)], names=["k", "n"])
-
-    return over
-
-
-_RECORD = np.dtype([("k", "<u4"), ("cell", "<u4"), ("fp", "<i8"), ("u", "<i8"), ("root", "<i8"), ("role", "u1")])
-
-
-def _dealt(parts: list[tuple[int, int]], heaps: int, many: dict[int, int], every: int):
-    """(heap, blob): records of a batch by the heap of their key, packed. A key of ``many`` is
-    cut into blocks of nodes; each pair of blocks is a cell of its own, perhaps in another heap."""
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = np.array(sorted(many), np.uint32)
-        cuts = np.array([many[int(k)] for k in hot], np.int64)
-        for whole in batches:
-            for first in range(0, whole.num_rows, 2048):
-                u, fp, root = (whole.column(i).slice(first, 2048).to_numpy() for i in range(3))
-                k, row, role = _keys(fp, parts)
-                n = np.full(len(k), every, np.int64)
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, k), len(hot) - 1)
-                    n = np.where(hot[at] == k, cuts[at], n)
-                own = (u[row].view(np.uint64) >> np.uint64(7)) % n.astype(np.uint64)
-                again = np.repeat(np.arange(len(k)), n)
-                other = np.arange(len(again)) - np.repeat(n.cumsum() - n, n)
-                own = own[again].astype(np.int64)
-                out = np.empty(len(again), _RECORD)
-                out["k"], out["role"] = k[again], role[again]
-                out["fp"], out["u"], out["root"] = fp[row[again]], u[row[again]], root[row[again]]
-                out["cell"] = np.minimum(own, other) << 16 | np.maximum(own, other)  # cells are 2 ** 16 a side at most
-                with np.errstate(over="ignore"):
-                    heap = ((out["k"].astype(np.uint64) + out["cell"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(heaps)).astype(np.int64)
-                order = np.argsort(heap, kind="stable")
-                heap, out = heap[order], out[order]
-                cut = np.flatnonzero(np.concatenate([[True], heap[1:] != heap[:-1], [True]]))
-                blobs = [out[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(heap[cut[:-1]]), pa.array(blobs, pa.binary())], names=["heap", "blob"])
-
-    return over
-
-
-_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
-def _between(distance: int, few: bool):
-    """Pairs (keys u) within the distance of records whose roots differ: indexed ones against
-    all of their cell. Of each indexed one all partners, or (``few``) its nearest and its most
-    central one, which has the least mean distance to its own partners."""
-
-    def over(group: pa.Table) -> pa.Table:
-        r = np.concatenate([np.frombuffer(x.as_py(), _RECORD) for x in group.column("blob")])
-        r = r[np.lexsort((r["u"], r["fp"], r["cell"], r["k"]))]
-        cut = np.flatnonzero(np.concatenate([[True], (r["k"][1:] != r["k"][:-1]) | (r["cell"][1:] != r["cell"][:-1]), [True]]))
-        a, b = [], []
-        for s, e in zip(cut[:-1], cut[1:], strict=True):
-            x, u, roots = r["fp"][s:e], r["u"][s:e], r["root"][s:e]
-            own = np.flatnonzero(r["role"][s:e] == 0)
-            if e - s < 2 or not len(own):
-                continue
-            bits = np.concatenate([np.bitwise_count((x[own[i : i + 256]][:, None] ^ x[None, :]).view(np.uint64)) for i in range(0, len(own), 256)])
-            ok = (bits <= distance) & (roots[own][:, None] != roots[None, :])
-            if not few:
-                i, j = np.nonzero(ok)
-            else:
-                some = np.flatnonzero(ok.any(axis=1))
-                if not len(some):
-                    continue
-                total, n = (bits * ok).sum(axis=0, dtype=np.int64), ok.sum(axis=0)
-                mean = np.where(n > 1, total / np.maximum(n, 1), 100.0)
-                near = np.where(ok[some], bits[some], 127).argmin(axis=1)
-                central = np.where(ok[some], mean[None, :], 1000.0).argmin(axis=1)
-                i, j = np.concatenate([some, some]), np.concatenate([near, central])
-            a.append(u[own[i]])
-            b.append(u[j])
-        a, b = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_PAIR)
-
-    return over
-
-
-def pairs_within(nodes: DataFrame, distance: int, few: bool = False, block: int = BLOCK) -> DataFrame:
-    """(a, b): every pair of ``nodes`` (u, fp, root) of different roots within ``distance`` bits,
-    or for each node the nearest and the most central such in each value that it is indexed under.
-
-    Records travel packed, a row for each batch and heap of keys. A key that more than ``block``
-    records share is cut into blocks, each pair of which meets on its own; only pairs within
-    the distance leave a task. If there are too many such keys to tell each task of them, every
-    key is cut as the largest is.
-    """
-    parts = _partitions(nodes, distance)
-    if not parts:
-        return nodes.sparkSession.createDataFrame([], "a long, b long")
-    counts = nodes.select("fp").mapInArrow(_counted(parts), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    counts = stage(counts, "key-counts")
-    total, largest = counts.agg(F.sum("n"), F.max("n")).first()
-    many = counts.where(F.col("n") > block).limit(KEYS + 1).collect()
-    every = 1 if len(many) <= KEYS else -(-largest // block)
-    hot = {r["k"]: -(-r["n"] // block) for r in many} if every == 1 else {}
-    heaps = max(1, -(-total * every // HEAP))
-    if max([every, *hot.values()]) > 1 << 16:
-        raise ValueError("a key has more blocks than cells can name; use larger blocks")
-    dealt = nodes.select("u", "fp", "root").repartition(1 + heaps // 8, "u").mapInArrow(_dealt(parts, heaps, hot, every), "heap long, blob binary")
-    return dealt.groupBy("heap").applyInArrow(_between(distance, few), "a long, b long").distinct()
-
-
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id): the least doc_id that links reach."""
     prints = stage(fingerprints(docs), "fingerprints")
@@ -382,207 +238,3 @@ def near_groups(docs: DataFrame) -> DataFrame:
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def shingles(text: str | None, words: int = WORDS) -> set[tuple[str, ...]]:
-    """The set of ``words`` neighbouring words, A-Z lower-cased; a shorter text is one of its own."""
-    own = (text or "").encode().lower().split()
-    return {tuple(own[i : i + words]) for i in range(max(1, len(own) - words + 1))}
-
-
-def _alike(words: int, similarity: float):
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[str, set] | None = None
-        for batch in _few(batches):
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if held is None or held[0] != a:
-                    held = (a, shingles(a, words))
-                other = shingles(b, words)
-                both = len(held[1] & other)
-                keep.append(both >= similarity * (len(held[1]) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
-
-    return over
-
-
-def alike(pairs: DataFrame, docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of document keys whose whole texts are as similar; ``docs`` has (u, t).
-
-    Texts of the documents that are in a pair only are read again and joined.
-    """
-    wanted = pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct()
-    texts = docs.join(bounded(wanted), "u", "left_semi")
-    full = pairs.join(texts.select(F.col("u").alias("b"), F.col("t").alias("tb")), "b").join(texts.select(F.col("u").alias("a"), F.col("t").alias("ta")), "a")
-    return full.select("a", "b", "ta", "tb").mapInArrow(_alike(words, similarity), "a long, b long")
-
-
-def hashes(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Distinct hashes of the shingles of a text, ascending."""
-    own = (text or "").encode().lower().split()
-    joined = b" ".join(own)
-    if len(own) <= words:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    ends = (np.fromiter(map(len, own), np.int64, len(own)) + 1).cumsum() - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(own) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64))
-
-
-def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, ascending; counts) of shingles that several texts of a bounded sample have."""
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _few(batches):
-            h = [hashes(t, words) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], names=["h"])
-
-    every = max(1, texts.count() // ORDERED)
-    some = texts.where(F.pmod(F.xxhash64("u"), F.lit(every)) == 0).select("t").mapInArrow(over, "h long")
-    rows = some.groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(KEYS).collect()
-    h, n = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["count"] for r in rows], np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
-def _prefixes(words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]):
-    """(k, u, n, at): the first shingles of a text in an order that all texts share, rare ones
-    first, with the size of its set and the place in the order. Two sets of the similarity
-    share one of these."""
-    own, times = common
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _few(batches):
-            first, sizes = [], []
-            for t in batch.column(1).to_pylist():
-                h = hashes(t, words)
-                rank = np.zeros(len(h), np.int64)
-                if len(own):
-                    at = np.minimum(np.searchsorted(own, h), len(own) - 1)
-                    rank = np.where(own[at] == h, times[at], 0)
-                sizes.append(len(h))
-                first.append(h[np.lexsort((h, rank))][: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1])
-            n = np.fromiter(map(len, first), np.int64, len(first))
-            at = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
-            u = np.repeat(batch.column(0).to_numpy(), n)
-            columns = [np.concatenate(first).view(np.int64), u, np.repeat(np.array(sizes, np.int32), n), at.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k", "u", "n", "at"])
-
-    return over
-
-
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of whole runs of the first column, by which rows are sorted."""
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-        last = int(np.searchsorted(held[0], held[0][-1]))
-        if last:
-            yield [c[:last] for c in held]
-            held = [c[last:].copy() for c in held]
-    if held is not None:
-        yield held
-
-
-def _sketches(words: int):
-    """(u, sketch): the parities of a set's hashes in SKETCH places; two sets differ in at least
-    as many shingles as their sketches in places."""
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _few(batches):
-            odd = [np.bincount((hashes(t, words) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1 for t in batch.column(1).to_pylist()]
-            packed = np.packbits(np.array(odd, np.uint8).reshape(-1, SKETCH), axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.tobytes() for p in packed], pa.binary())], names=["u", "sketch"])
-
-    return over
-
-
-def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of keys that more than one row has."""
-    for own in _whole(batches):
-        same = own[0][1:] == own[0][:-1]
-        keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in own], names=["k", "u", "n", "at"])
-
-
-def _partners(similarity: float, reach: int | None):
-    """(a, b): pairs of a key's texts of different roots that lie within ``reach`` rows of each
-    other (None: all), without those whose sizes, places or sketches rule the similarity out."""
-    share = similarity / (1 + similarity)
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, u, n, at, root, sketch in _whole(batches):
-            cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            mixed = np.minimum.reduceat(root, cut) < np.maximum.reduceat(root, cut)
-            keep = np.repeat(mixed, np.diff(np.concatenate([cut, [len(k)]])))
-            k, u, n, at, root, sketch = (c[keep] for c in (k, u, n, at, root, sketch))
-            bits = np.frombuffer(b"".join(sketch), np.uint64).reshape(-1, SKETCH // 64)
-            i, d, held, count = np.arange(len(k)), 0, [], 0
-            while len(i) and (reach is None or d < reach):
-                d += 1
-                i = i[: np.searchsorted(i, len(k) - d)]
-                i = i[k[i] == k[i + d]]
-                j = i + d
-                most = np.minimum(at[i], at[j]) + 1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1
-                both = n[i].astype(np.int64) + n[j]
-                ok = np.flatnonzero((root[i] != root[j]) & (most >= share * both - 1e-9))
-                differ = np.bitwise_count(bits[i[ok]] ^ bits[j[ok]]).sum(axis=1, dtype=np.int64)
-                ok = ok[differ <= (1 - 2 * share) * both[ok] + 1e-9]
-                held.append(np.stack([np.minimum(u[i[ok]], u[j[ok]]), np.maximum(u[i[ok]], u[j[ok]])], axis=1))
-                count += len(ok)
-                if count > HEAP:
-                    yield _pairs(held)
-                    held, count = [], 0
-            if count:
-                yield _pairs(held)
-
-    return over
-
-
-def _pairs(held: list[np.ndarray]) -> pa.RecordBatch:
-    pairs = np.unique(np.concatenate(held), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-
-def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, reaches: tuple[int | None, ...] = REACHES) -> DataFrame:
-    """(u, doc_id, root): groups of documents whose texts are similar, by key ``u`` of a row.
-
-    Exact: a group is a component of all pairs of the similarity. Two such sets of shingles
-    share one of their first shingles in any common order, so texts meet under these; whole
-    texts decide. The first rounds compare neighbours under a shingle, which joins large
-    groups without all their pairs; the last round compares every pair that has met under a
-    shingle, is not in one group yet and was not compared before.
-    """
-    if reaches[-1] is not None:
-        raise ValueError("the last round compares all")
-    key = F.xxhash64("doc_id", text_of())
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("u"), text_of().alias("t"))
-    texts = base.select("u", "t")
-    nodes = stage(base.groupBy("u").agg(F.min("doc_id").alias("doc_id")), "nodes")
-    placed = texts.mapInArrow(_prefixes(words, similarity, _common(texts, words)), "k long, u long, n int, at int")
-    cells = stage(placed.repartition("k").sortWithinPartitions("k", "u").mapInArrow(_several, "k long, u long, n int, at int"), "cells")
-    sketches = texts.join(bounded(cells.select("u").distinct()), "u", "left_semi").mapInArrow(_sketches(words), "u long, sketch binary")
-    sketched = stage(sketches.dropDuplicates(["u"]), "sketches")
-    rooted, tested, similar, groups = nodes.select("u", F.col("u").alias("root")), None, None, None
-    for reach in reaches:
-        known = cells.join(sketched.join(rooted, "u"), "u").select("k", "u", "n", "at", "root", "sketch")
-        met = known.repartition("k").sortWithinPartitions("k", "u").mapInArrow(_partners(similarity, reach), "a long, b long").distinct()
-        met = stage(met if tested is None else met.join(tested, ["a", "b"], "left_anti"), "met")
-        new = stage(alike(met, texts, words, similarity), "similar")
-        tested = met if tested is None else tested.unionByName(met)
-        similar = new if similar is None else similar.unionByName(new)
-        groups = stage(components(similar), "groups")
-        rooted = stage(nodes.join(groups, nodes["u"] == groups["node"], "left").select("u", F.coalesce("root", "u").alias("root")), "roots")
-    return groups.join(nodes, groups["node"] == F.col("u")).select("u", "doc_id", "root")
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near copies: the one of least id (a null id
-    is least). Groups hold texts of similarity SIMILARITY or more on sets of WORDS words."""
-    groups = stage(near_copies(docs), "near-groups")
-    keep = groups.groupBy("root").agg(F.min(F.struct("doc_id", "u"))["u"].alias("keep"))
-    drop = stage(groups.join(keep, "root").where("u <> keep").select(F.col("u").alias("_u")).distinct(), "near-copies")
-    return docs.withColumn("_u", F.xxhash64("doc_id", text_of())).join(bounded(drop), "_u", "left_anti").select(*docs.columns)

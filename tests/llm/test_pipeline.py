@@ -11,7 +11,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from protolens.llm import quality, simhash
+from protolens.llm import near_copies, quality, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -48,8 +48,8 @@ def plain(rows, labels):
         last[r[1] or ""] = max(last.get(r[1] or "", -1), r[0])
     rows = [r for r in rows if last[r[1] or ""] == r[0]]
     group = {r[0]: r[0] for r in rows}
-    prints = {r[0]: simhash.fingerprint(r[1], simhash.PAIR) for r in rows}
-    sets = {r[0]: simhash.shingles(r[1]) for r in rows}
+    prints = {r[0]: simhash.fingerprint(r[1], near_copies.PAIR) for r in rows}
+    sets = {r[0]: near_copies.shingles(r[1]) for r in rows}
 
     def find(x):
         while group[x] != x:
@@ -58,7 +58,7 @@ def plain(rows, labels):
 
     for a in group:
         for b in group:
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= simhash.WIDE and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= near_copies.WIDE and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 group[max(x, y)] = min(x, y)
     rows = [r for r in rows if find(r[0]) == r[0]]

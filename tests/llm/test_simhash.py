@@ -87,86 +87,3 @@ def test_documents(odd_docs, odd_rows, no_docs):
     want = sorted(((r[0], p, min(least[root[p]])) for r, p in zip(odd_rows, prints, strict=True)), key=str)
     assert sorted(((r["doc_id"], r["fp"], r["component_id"]) for r in got), key=str) == want
     assert S.near_groups(no_docs).count() == 0
-
-
-def jaccard(a, b):
-    a, b = S.shingles(a), S.shingles(b)
-    return len(a & b) / len(a | b)
-
-
-def test_one_of_each(spark, odd_docs, odd_rows, no_docs):
-    out = S.one_of_each(odd_docs)
-    assert out.columns == odd_docs.columns
-    kept = [r["text"] for r in out.collect()]
-    for r in odd_rows:
-        assert any(jaccard(r[1], k) >= 0.8 for k in kept)
-    assert len({k or "" for k in kept}) == len({t or "" for t in kept})
-    assert S.one_of_each(no_docs).count() == 0
-
-
-def test_near_copies_are_caught(spark):
-    """Copies with a few changed words leave, in small groups and in a large one."""
-    rng = np.random.default_rng(12)
-    text = lambda n: [f"w{i}" for i in rng.integers(0, 3000, n)]
-    rows, origin, i = [], {}, 0
-    for g in range(60):
-        base = text(int(rng.integers(60, 300)))
-        for c in range(300 if g == 0 else 3):
-            own = list(base)
-            for at in rng.choice(len(own), 0 if c == 0 else max(1, len(own) // 60), replace=False):
-                own[at] = f"x{rng.integers(0, 10**6)}"
-            if jaccard(" ".join(base), " ".join(own)) >= 0.8:
-                rows.append((i, " ".join(own)))
-                origin[i] = g
-                i += 1
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    kept = sorted(origin[r["doc_id"]] for r in S.one_of_each(df).collect())
-    assert set(kept) == set(range(60))
-    assert len(kept) <= 63
-
-
-def test_pairs_within(spark):
-    rng = np.random.default_rng(5)
-    values = set(map(int, rng.integers(0, 1 << 63, 300, np.int64)))
-    one = next(iter(values))
-    values |= {one ^ int(sum(1 << int(b) for b in rng.choice(62, k, replace=False))) for k in range(1, 9) for _ in range(40)}
-    nodes = spark.createDataFrame([(v, v, v % 3) for v in values], "u long, fp long, root long")
-    v = np.array(sorted(values), np.int64)
-    i, j = np.nonzero(np.bitwise_count((v[:, None] ^ v[None]).view(np.uint64)) <= 7)
-    want = {(int(v[a]), int(v[b])) for a, b in zip(i, j, strict=True) if a < b and v[a] % 3 != v[b] % 3}
-    for block in (S.BLOCK, 20):
-        assert {tuple(r) for r in S.pairs_within(nodes, 7, block=block).select("a", "b").collect()} == want
-        some = {tuple(r) for r in S.pairs_within(nodes, 7, few=True, block=block).select("a", "b").collect()}
-        assert some <= want and {x for p in some for x in p} == {x for p in want for x in p}
-
-
-def test_near_copies_are_whole(spark):
-    """Groups are those of a plain five-word join, whatever the fingerprints' distance and the
-    number of unlike texts that share much of a template."""
-    rng = np.random.default_rng(31)
-    word = lambda: f"w{rng.integers(0, 400)}"
-    texts = []
-    for _ in range(6):  # templates whose fillings are unlike, each with a few copies near 0.8
-        template = [word() for _ in range(26)]
-        for _ in range(40):
-            own = [word() for _ in range(14)]
-            texts.append([*template[:13], *own, *template[13:]])
-            if rng.random() < 0.4:
-                near = list(texts[-1])
-                near[int(rng.integers(0, 3))] = "new"
-                texts.append(near)
-    for _ in range(40):  # long texts with changes at random places
-        base = [word() for _ in range(int(rng.integers(60, 200)))]
-        for c in range(4):
-            own = list(base)
-            for at in rng.choice(len(own), c * len(own) // 80, replace=False):
-                own[at] = word()
-            texts.append(own)
-    rows = list(enumerate(map(" ".join, texts)))
-    sets = [S.shingles(t) for _, t in rows]
-    links = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    prints = [S.fingerprint(t, S.PAIR) for _, t in rows]
-    assert sum((prints[a] ^ prints[b]).bit_count() > S.WIDE for a, b in links) > 5
-    root = roots(range(len(rows)), links)
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert sorted(r["doc_id"] for r in S.one_of_each(df).collect()) == sorted(set(root.values()))
