@@ -12,8 +12,9 @@ text of each class goes on.
    compared, which joins large groups without all their pairs; then all pairs of a cell that
    lie in different groups. Whole texts decide.
 3. What lies beyond WIDE bits is found by an exact join: two similar sets share one of their
-   first fifth of shingles in any common order (rare ones first). Only shingles that texts of
-   different groups share are kept, and only pairs between groups are compared.
+   first fifth of shingles in any common order (rare ones first). These travel packed, a row
+   for each task and heap of hashes; only those that texts of different groups share go on,
+   and only pairs between groups are compared.
 
 A key that more than ``block`` records share is cut into blocks and each pair of blocks meets
 on its own; blocks of one large group do not meet each other, so such a group costs its
@@ -26,11 +27,14 @@ any other name are kept as they are.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +59,8 @@ BLOCK = 4096
 #: Records of a key that are compared to find out whether a fingerprint has a partner; all of
 #: a longer key are taken to have one.
 LONGEST = 1 << 16
+#: Records of a heap of first shingles, on average, and that a task holds before it deals them.
+HEAP, _HELD = 250_000, 1_000_000
 _PAIRS = 250_000
 
 _CELL = "c long, side int, role int, u long, root long, n int, at int, fp long, sketch binary"
@@ -93,8 +99,9 @@ def _signed(values: list[int]) -> pa.Array:
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _few(batches):
         texts = batch.column(2).to_pylist()
-        made = [_signed([_name(_split(t)) for t in texts]), _signed([fingerprint(t, PAIR) for t in texts])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["row", "doc_id", "u", "fp"])
+        own = [_split(t) for t in texts]
+        made = [_signed([_name(x) for x in own]), _signed([fingerprint(t, PAIR) for t in texts]), pa.array([len(x) for x in own], pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["row", "doc_id", "u", "fp", "words"])
 
 
 def _keys(fp: np.ndarray, parts: list[tuple[int, int]], probes: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,7 +128,7 @@ def _probed(parts: list[tuple[int, int]]):
         for batch in _few(batches, 1024):
             fp = batch.column(0).to_numpy()
             k, row, role = _keys(fp, parts)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(fp[row]), pa.array(role)], names=["k", "fp", "role"])
+            yield pa.RecordBatch.from_arrays([pa.array((k - (1 << 31)).astype(np.int32)), pa.array(fp[row]), pa.array(role.astype(np.int8))], names=["k", "fp", "role"])
 
     return over
 
@@ -311,21 +318,26 @@ def alike(pairs: DataFrame, texts: DataFrame, words: int = WORDS, similarity: fl
     return full.select("a", "b", "ta", "tb").mapInArrow(_alike(words, similarity), "a long, b long")
 
 
+def _sketch(h: np.ndarray) -> bytes:
+    """The parities of a set of hashes in SKETCH places; two sets differ in at least as many
+    shingles as their sketches in places."""
+    odd = np.bincount((h % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, n, sketch, t): the size of a text's set of shingles and the parities of its hashes in
-    SKETCH places; two sets differ in at least as many shingles as their sketches in places."""
+    """(u, n, sketch, t): the size of a text's set of shingles and its sketch."""
     for batch in _few(batches):
         texts = batch.column(0).to_pylist()
         own = [_split(t) for t in texts]
         h = [hashes(x) for x in own]
-        odd = [np.bincount((x % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1 for x in h]
-        packed = np.packbits(np.array(odd, np.uint8).reshape(-1, SKETCH), axis=1)
         n = pa.array(np.fromiter(map(len, h), np.int32, len(h)))
-        yield pa.RecordBatch.from_arrays([_signed([_name(x) for x in own]), n, pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(texts, pa.string())], names=["u", "n", "sketch", "t"])
+        yield pa.RecordBatch.from_arrays([_signed([_name(x) for x in own]), n, pa.array([_sketch(x) for x in h], pa.binary()), pa.array(texts, pa.string())], names=["u", "n", "sketch", "t"])
 
 
-def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, ascending; counts) of shingles that several texts of a bounded sample have."""
+def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """(hashes, ascending; counts) of shingles that several texts of a bounded sample have, and how
+    many texts there are for each of the sample."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _few(batches):
@@ -337,37 +349,100 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rows = some.groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(TOLD).collect()
     h, n = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["count"] for r in rows], np.int64)
     order = np.argsort(h)
-    return h[order], n[order]
+    return h[order], n[order], every
 
 
-def _first(similarity: float, common: tuple[np.ndarray, np.ndarray]):
-    """(c, u, n, at): the first shingles of a text in an order that all texts share, rare ones
-    first, with the size of its set and the place in the order. Two sets of the similarity
-    share one of these."""
+def _prefix(h: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first hashes of a set in an order that all sets share, rare ones first. Two sets of
+    the similarity share one of these."""
     known, times = common
+    rank = np.zeros(len(h), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        rank = np.where(known[at] == h, times[at], 0)
+    return h[np.lexsort((h, rank))][: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
+
+
+_PACKED = np.dtype([("c", "<u8"), ("num", "<i8"), ("at", "<i4"), ("root", "<u4")])
+_DEALT = pa.schema([("heap", pa.int64()), ("blob", pa.binary())])
+
+
+def _planes(r: np.ndarray) -> bytes:
+    """Records compressed byte by byte place, as most high bytes agree."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(r.view(np.uint8).reshape(len(r), -1).T).tobytes())
+
+
+def _records(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(_PACKED.itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(_PACKED).ravel()
+
+
+def _dealt(similarity: float, common: tuple[np.ndarray, np.ndarray], hot: np.ndarray, heaps: int):
+    """(heap, blob): the first shingles of texts (t, root) by heaps of hashes, packed with the
+    text's number, the place in the order and a hash of the root. Heap -1 holds each text's
+    number, name, root, size and sketch. Records of ``hot`` shingles are spread over the heaps."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, about, size = TaskContext.get().partitionId() << 33, [], [], 0
+
+        def full() -> pa.RecordBatch:
+            r = np.concatenate(held)
+            heap = ((r["c"] >> np.uint64(32)) * np.uint64(heaps) >> np.uint64(32)).astype(np.int64)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, r["c"]), len(hot) - 1)
+                heap = np.where(hot[at] == r["c"], r["num"] % heaps, heap)
+            order = np.lexsort((r["c"], heap))
+            r, heap = r[order], heap[order]
+            cut = _runs(heap)
+            rows = [(int(heap[a]), _planes(r[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)] + [(-1, zstandard.compress(b"".join(about)))]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(_DEALT)], schema=_DEALT)
+
         for batch in _few(batches):
-            first, sizes, names = [], [], []
-            for t in batch.column(0).to_pylist():
+            for t, root in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = _split(t)
                 h = hashes(own)
-                rank = np.zeros(len(h), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    rank = np.where(known[at] == h, times[at], 0)
-                sizes.append(len(h))
-                names.append(_name(own))
-                first.append(h[np.lexsort((h, rank))][: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1])
-            n = np.fromiter(map(len, first), np.int64, len(first))
-            at = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
-            u = np.repeat(np.array(names, np.uint64).view(np.int64), n)
-            columns = [np.concatenate(first).view(np.int64), u, np.repeat(np.array(sizes, np.int32), n), at.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["c", "u", "n", "at"])
+                u = int(np.uint64(_name(own)).view(np.int64))
+                root = u if root is None else root
+                first = _prefix(h, similarity, common)
+                r = np.empty(len(first), _PACKED)
+                r["c"], r["num"], r["at"], r["root"] = first, number, np.arange(len(first)), root & 0xFFFFFFFF
+                held.append(r)
+                about.append(struct.pack("<qqqi", number, u, root, len(h)) + _sketch(h))
+                number, size = number + 1, size + len(r)
+                if size >= _HELD:
+                    yield full()
+                    held, about, size = [], [], 0
+        if held:
+            yield full()
+
+    return over
+
+
+def _sharing(hot: np.ndarray):
+    """(c, num, at): the records of a heap whose shingle texts of several roots have."""
+
+    def over(group: pa.Table) -> pa.Table:
+        r = np.concatenate([_records(x.as_py()) for x in group.column("blob")])
+        r = r[np.argsort(r["c"], kind="stable")]
+        cut = _runs(r["c"])
+        mixed = np.minimum.reduceat(r["root"], cut[:-1]) < np.maximum.reduceat(r["root"], cut[:-1])
+        mixed |= np.isin(r["c"][cut[:-1]], hot)
+        r = r[np.repeat(mixed, np.diff(cut))]
+        return pa.table({"c": pa.array(np.ascontiguousarray(r["c"]).view(np.int64)), "num": pa.array(np.ascontiguousarray(r["num"])), "at": pa.array(np.ascontiguousarray(r["at"]))})
 
     return over
 
 
+def _about(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(num, u, root, n, sketch) of heap -1."""
+    kind = np.dtype([("num", "<i8"), ("u", "<i8"), ("root", "<i8"), ("n", "<i4"), ("sketch", f"V{SKETCH // 8}")])
+    for batch in batches:
+        for blob in batch.column(0):
+            r = np.frombuffer(zstandard.decompress(blob.as_py()), kind)
+            columns = [pa.array(np.ascontiguousarray(r[c])) for c in ("num", "u", "root", "n")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in r["sketch"]], pa.binary())], names=list(kind.names))
+
+
 def pairs_within(nodes: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
     """(a, b): the pairs of ``nodes`` (u, root, n, fp, sketch) of different roots within
     ``distance`` bits whose sizes and sketches allow the similarity."""
@@ -384,7 +459,7 @@ def with_partners(values: DataFrame, distance: int, longest: int = LONGEST) -> D
     parts = _partitions(values, distance)
     if not parts:
         return values.select("fp")
-    rows = values.select("fp").mapInArrow(_probed(parts), "k long, fp long, role int")
+    rows = values.select("fp").mapInArrow(_probed(parts), "k int, fp long, role tinyint")
     return rows.repartitionByRange("k", "fp").sortWithinPartitions("k").mapInArrow(_with_partner(distance, longest), "fp long").distinct()
 
 
@@ -416,31 +491,40 @@ def _by_prints(texts: DataFrame, nodes: DataFrame, distance: int, block: int, lo
     return similar.unionByName(stage(alike(met, known), "similar")), tested.unionByName(met)
 
 
-def _by_shingles(texts: DataFrame, nodes: DataFrame, groups: DataFrame | None, tested: DataFrame | None, block: int) -> DataFrame:
-    """Pairs of similar texts of different groups, found by shared first shingles."""
-    first = texts.select("t").mapInArrow(_first(SIMILARITY, _common(texts)), "c long, u long, n int, at int")
-    first = stage(_rooted(first, groups), "first-shingles")
-    mixed = first.groupBy("c").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("c")
-    first = stage(first.join(bounded(stage(mixed, "mixed")), "c", "left_semi"), "shared-shingles")
-    wanted = stage(first.select("u").distinct().join(nodes.select("u", "row"), "u").select("row"), "sharing")
-    known = stage(texts.join(bounded(wanted), "row", "left_semi").select("t").mapInArrow(_sketched, "u long, n int, sketch binary, t string"), "sharing-texts")
+def _by_shingles(texts: DataFrame, nodes: DataFrame, groups: DataFrame | None, tested: DataFrame | None, words: int, block: int) -> DataFrame:
+    """Pairs of similar texts of different groups, found by shared first shingles.
+
+    ``words`` of all texts set the number of heaps. A shingle that the sample says is in more
+    than a heap's records is spread over all heaps and goes on whatever texts have it.
+    """
+    known, times, every = _common(texts)
+    heaps = max(1, int(words * (1 - SIMILARITY)) // HEAP)
+    hot = known[times * every > HEAP]
+    none = F.lit(None).cast("long")
+    rooted = texts.select("t", none.alias("root")) if groups is None else texts.join(bounded(groups.join(nodes, groups["node"] == nodes["u"]).select("row", "root")), "row", "left").select("t", "root")
+    dealt = stage(rooted.mapInArrow(_dealt(SIMILARITY, (known, times), hot, heaps), "heap long, blob binary"), "first-shingles", "none")
+    shared = dealt.where("heap >= 0").groupBy("heap").applyInArrow(_sharing(hot), "c long, num long, at int")
+    about = dealt.where("heap < 0").select("blob").mapInArrow(_about, "num long, u long, root long, n int, sketch binary")
     none, zero = F.lit(-1).cast("int"), F.lit(0)
-    cells = first.join(known.select("u", "sketch"), "u").select("c", none.alias("side"), zero.alias("role"), "u", "root", "n", "at", zero.cast("long").alias("fp"), "sketch")
+    cells = stage(shared, "shared-shingles").join(about, "num").select("c", none.alias("side"), zero.alias("role"), "u", "root", "n", "at", zero.cast("long").alias("fp"), "sketch")
     met = _meet(_cells(cells, block), None)
     met = stage(met if tested is None else met.join(tested, ["a", "b"], "left_anti"), "met")
-    return stage(alike(met, known), "similar")
+    wanted = met.select(F.col("a").alias("u")).unionByName(met.select(F.col("b").alias("u"))).distinct()
+    rows = stage(wanted.join(nodes.select("u", "row"), "u"), "meeting")
+    full = texts.join(bounded(rows), "row").select("u", "t")
+    return stage(alike(met, stage(full, "meeting-texts")), "similar")
 
 
 def near_copies(docs: DataFrame, distance: int = WIDE, block: int = BLOCK, longest: int = LONGEST, rest: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(members, prints): (u, root) of the classes that have near copies, and (row, doc_id, u, fp)
-    of all rows, which are named by a hash of id and text.
+    """(members, prints): (u, root) of the classes that have near copies, and (row, doc_id, u, fp,
+    words) of all rows, which are named by a hash of id and text.
 
     With ``rest`` groups are exact but for collisions of 64-bit hashes; without it, pairs whose
     fingerprints lie further apart than ``distance`` bits are not looked for.
     """
     name = F.xxhash64("doc_id", text_of())
     base = docs.select(name.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t"))
-    prints = stage(base.mapInArrow(_prints, "row long, doc_id long, u long, fp long"), "prints")
+    prints = stage(base.mapInArrow(_prints, "row long, doc_id long, u long, fp long, words long"), "prints")
     nodes = stage(prints.groupBy("u", "fp").agg(F.min(F.struct("doc_id", "row"))["row"].alias("row")), "classes")
     others = stage(prints.join(nodes.select("row"), "row", "left_anti").select("row").distinct(), "class-members")
     texts = base.select("row", "t").join(bounded(others), "row", "left_anti")
@@ -448,7 +532,8 @@ def near_copies(docs: DataFrame, distance: int = WIDE, block: int = BLOCK, longe
     similar, tested = found or (None, None)
     groups = None if similar is None else stage(components(similar), "groups")
     if rest:
-        more = _by_shingles(texts, nodes, groups, tested, block)
+        words = prints.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+        more = _by_shingles(texts, nodes, groups, tested, words, block)
         similar = more if similar is None else similar.unionByName(more)
         groups = components(similar)
     if groups is None:
