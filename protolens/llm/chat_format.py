@@ -3,10 +3,11 @@
 Turns are rendered with a reversible template and counted in tokens. Prefix sums of the
 tokens place each turn: with a stride that leaves room for the system turn and the history,
 a turn that lies inside one stride joins the window of that stride, one that crosses a
-border gets a window of its own. So windows are turn-aligned, need no sequential scan, and
-stay within the budget unless one turn alone is larger. Each window repeats the leading
-system turn and as much history as its limit allows; repeated turns carry no loss, each
-assistant turn is a target once.
+border gets a window of its own. So windows are turn-aligned and need no sequential scan.
+Each window repeats the leading system turn and as much history, latest turns first, as its
+limit and the budget leave after the system turn and the window's own turns; repeated turns
+carry no loss, each assistant turn is a target once. A window stays within the budget unless
+the system turn and one turn alone are larger.
 
 Prefix sums are taken in blocks of turns and offset by sums of blocks: no conversation has
 to fit into one task. A window's rows are bounded by the budget.
@@ -60,13 +61,15 @@ def _prefixed(rows: DataFrame, history: int, budget: int) -> tuple[DataFrame, Da
     rows = rows.withColumn("ahead", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
     rows = rows.join(sums, F.expr("conv_id <=> b_conv and block <=> b_block")).withColumn("start", F.col("offset") + F.col("ahead"))
     rows = rows.withColumn("is_system", (F.col("start") == 0) & (F.col("s_tokens") > 0))
-    rows = rows.withColumn("stride", F.greatest(F.lit(budget // 4), F.lit(budget - history) - F.col("s_tokens")))
+    free = F.lit(budget) - F.col("s_tokens")
+    rows = rows.withColumn("stride", F.greatest(F.lit(1), F.least(F.greatest(F.lit(budget // 4), free - history), free)))
+    rows = rows.withColumn("most_history", F.greatest(F.lit(0), F.least(F.lit(history), free)))
     rows = rows.withColumn("from", F.when(F.col("is_system"), -F.col("tokens")).otherwise(F.col("start") - F.col("s_tokens")))
     rows = rows.withColumn("to", F.col("from") + F.col("tokens"))
     cell = F.floor(F.col("from") / F.col("stride"))
     crosses = F.floor((F.col("to") - 1) / F.col("stride")) > cell
     rows = rows.withColumn("window", F.when(F.col("is_system"), F.lit(0)).otherwise(2 * cell + crosses.cast("int")).cast("long"))
-    return rows.select("conv_id", "role", "text", "tokens", "from", "to", "stride", "is_system", "window"), system
+    return rows.select("conv_id", "role", "text", "tokens", "from", "to", "stride", "most_history", "is_system", "window"), system
 
 
 def format_chats(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
@@ -82,10 +85,13 @@ def format_chats(conversations: DataFrame, budget: int = BUDGET, history: int =
     turns, system = _prefixed(rows, history, budget)
     turns = stage(turns, "chat-turns")
     own = turns.select("conv_id", "window", "from", F.lit(1).alias("own"), "role", "text", "tokens")
-    first = turns.where("not is_system").groupBy("conv_id", "window").agg(F.min("from").alias("begin")).select(F.col("conv_id").alias("w_conv"), F.col("window").alias("w_window"), "begin")
-    reach = F.sequence(F.floor(F.col("to") / F.col("stride")), F.greatest(F.floor(F.col("to") / F.col("stride")), F.floor((F.col("from") + history) / F.col("stride"))))
-    near = turns.where(f"not is_system and tokens <= {history}").withColumn("cell", F.explode(reach)).withColumn("target", F.explode(F.array(2 * F.col("cell"), 2 * F.col("cell") + 1)))
-    again = near.join(first, F.expr(f"conv_id <=> w_conv and target = w_window and to <= begin and from >= begin - {history}"))
+    first = turns.where("not is_system").groupBy("conv_id", "window").agg(F.min("from").alias("begin"), F.sum("tokens").alias("own"))
+    first = first.join(system.select(F.col("conv_id").alias("s_conv"), "s_tokens"), F.expr("conv_id <=> s_conv"), "left")
+    room = F.least(F.lit(history), F.lit(budget) - F.coalesce("s_tokens", F.lit(0)) - F.col("own"))
+    first = first.select(F.col("conv_id").alias("w_conv"), F.col("window").alias("w_window"), "begin", room.alias("room"))
+    reach = F.sequence(F.floor(F.col("to") / F.col("stride")), F.greatest(F.floor(F.col("to") / F.col("stride")), F.floor((F.col("from") + F.col("most_history")) / F.col("stride"))))
+    near = turns.where("not is_system and tokens <= most_history").withColumn("cell", F.explode(reach)).withColumn("target", F.explode(F.array(2 * F.col("cell"), 2 * F.col("cell") + 1)))
+    again = near.join(first, F.expr("conv_id <=> w_conv and target = w_window and to <= begin and from >= begin - room"))
     again = again.select("conv_id", F.col("target").alias("window"), "from", F.lit(0).alias("own"), "role", "text", "tokens")
     heads = first.join(system, F.expr("w_conv <=> conv_id")).join(turns.where("is_system").select(F.col("conv_id").alias("o_conv"), F.col("window").alias("o_window")), F.expr("w_conv <=> o_conv and w_window = o_window"), "left_anti")
     heads = heads.select(F.col("w_conv").alias("conv_id"), F.col("w_window").alias("window"), (-F.col("s_tokens")).alias("from"), F.lit(0).alias("own"), F.col("s_role").alias("role"), F.col("s_text").alias("text"), F.col("s_tokens").alias("tokens"))
@@ -177,13 +183,13 @@ WITH c AS (
   SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
     coalesce(max(CASE WHEN i = 1 AND role = 'system' THEN tokens END) OVER (PARTITION BY conv_id), 0) AS s FROM k
 ), q AS (
-  SELECT *, i = 1 AND role = 'system' AS sys, greatest(256, 768 - s) AS stride, start - s AS a, start - s + tokens AS b FROM p
+  SELECT *, i = 1 AND role = 'system' AS sys, greatest(1, least(greatest(256, 768 - s), 1024 - s)) AS stride, start - s AS a, start - s + tokens AS b FROM p
 ), w AS (
   SELECT *, CASE WHEN sys THEN 0 ELSE 2 * (a // stride) + CASE WHEN (b - 1) // stride > a // stride THEN 1 ELSE 0 END END AS win FROM q
 ), f AS (
-  SELECT conv_id, win, min(a) AS begin_ FROM w WHERE NOT sys GROUP BY ALL
+  SELECT conv_id, win, min(a) AS begin_, least(256, 1024 - any_value(s) - sum(tokens)) AS room FROM w WHERE NOT sys GROUP BY ALL
 ), h AS (
-  SELECT w.conv_id, sum(size) AS chars FROM w JOIN f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND NOT sys AND b <= begin_ AND a >= begin_ - 256 AND tokens <= 256 GROUP BY ALL
+  SELECT w.conv_id, sum(size) AS chars FROM w JOIN f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND NOT sys AND b <= begin_ AND a >= begin_ - room GROUP BY ALL
 ), y AS (
   SELECT w.conv_id, sum(size) AS chars FROM w JOIN f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND sys AND f.win <> 0 GROUP BY ALL
 ), g AS (

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from protolens.llm import chat_format as C
 
@@ -38,5 +39,30 @@ def test_windows(spark):
     assert sum(len(w["loss"]) for w in windows) == 350
 
 
+def test_budget_with_large_turns_and_system_turns(spark):
+    """No window is above the budget unless the system turn and one turn are."""
+    r = random.Random(4)
+    given, system, largest = [], {}, {}
+    for conv in range(40):
+        system[conv] = 0 if conv % 4 == 0 else r.choice([20, 500, 700, 900, 1000, 1019, 1100])
+        if system[conv]:
+            given.append((conv, 0, "system", "s " * system[conv]))
+            system[conv] += C.OVERHEAD
+        for i in range(1, 40):
+            n = r.choice([3, 40, 200, 260, 700, 804, 900, 1000, 1020] if conv % 2 else [1, 5, 30, 120, 250])
+            given.append((conv, i, ("user", "assistant")[i % 2], "w " * n))
+    df = spark.createDataFrame(given, "conv_id long, turn long, role string, text string")
+    windows = C.format_chats(df)
+    for w in windows.collect():
+        own = w["n_turns"] - w["n_context"]
+        if own == 1:
+            words = len(w["text"].rsplit("<turn ", 1)[1].split(">", 1)[1].replace("</turn>", "").split())
+            assert w["n_tokens"] <= C.BUDGET or system[w["conv_id"]] + words + C.OVERHEAD > C.BUDGET
+        else:
+            assert w["n_tokens"] <= C.BUDGET
+    got = {x["conv_id"]: (x["n_turns"], x["turns_sha256"], x["loss_chars"], x["loss_sha256"]) for x in C.conversation_digests(windows).collect()}
+    assert got == expected(given)
+
+
 def test_empty(spark):
     assert C.conversation_digests(C.format_chats(spark.createDataFrame([], SCHEMA))).count() == 0
