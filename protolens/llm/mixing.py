@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from protolens.llm._util import bounded, stage, table, text_of
+from protolens.llm._util import bounded, spare, stage, table, text_of
 
 WEIGHTS, SHARE, MAX_EPOCHS, SEED = (5.0, 2.0, 1.0), 1.5, 2, "mix-1"
 #: Rows of a block on average; at least two blocks and at most 2 ** 24 for each source.
@@ -30,11 +30,11 @@ def words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def keyed(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """``docs`` with size and hash-random key."""
+def keyed(docs: DataFrame, seed: str = SEED, size: str = "size", key: str = "key") -> DataFrame:
+    """``docs`` with size and hash-random key under these names."""
     return docs.withColumns({
-        "_size": words(text_of()),
-        "_key": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
+        size: words(text_of()),
+        key: F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
     })
 
 
@@ -62,7 +62,7 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: i
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = MAX_EPOCHS, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
     """(rows, sources): for each document its size, source's size and target and the words
     taken; for each source its budget and, as ``cut``, the document in which the last epoch ends."""
-    base = stage(keyed(docs.select("doc_id", "source", "text"), seed).select("doc_id", "source", F.col("_size").alias("size"), F.col("_key").alias("key")), "mix-sizes")
+    base = stage(keyed(docs.select("doc_id", "source", "text"), seed).select("doc_id", "source", "size", "key"), "mix-sizes")
     sums = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     src = stage(targets(sums, weights, share, epochs), "mix-sources")
     rows = base.alias("b").join(bounded(src).alias("s"), F.expr("b.source <=> s.source"))
@@ -119,8 +119,9 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs
     place = F.struct("key", "doc_id", "size")
     last = rows.where("part > 0 and 2 * part >= size").groupBy("sid").agg(F.max(place).alias("cut"))
     plan = stage(src.select("sid", "source", "epochs").join(last, "sid", "left"), "mix-cuts")
-    own = F.struct(F.col("d._key").alias("key"), F.col("d.doc_id").alias("doc_id"), F.col("d._size").alias("size"))
-    taken = keyed(docs, seed).alias("d").join(bounded(plan).alias("s"), F.expr("d.source <=> s.source"))
-    copies = F.col("s.epochs") + F.when(F.col("s.cut").isNotNull() & (own <= F.col("s.cut")), F.lit(1)).otherwise(F.lit(0))
-    taken = taken.where("d._size > 0").withColumn("_copies", copies).where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"d.{c}") for c in docs.columns])
+    size, key, copies, copy = (spare(docs, f"mix_{n}") for n in ("size", "key", "copies", "copy"))
+    own = F.struct(F.col(f"d.{key}").alias("key"), F.col("d.doc_id").alias("doc_id"), F.col(f"d.{size}").alias("size"))
+    taken = keyed(docs, seed, size, key).alias("d").join(bounded(plan).alias("s"), F.expr("d.source <=> s.source"))
+    times = F.col("s.epochs") + F.when(F.col("s.cut").isNotNull() & (own <= F.col("s.cut")), F.lit(1)).otherwise(F.lit(0))
+    taken = taken.where(F.col(f"d.{size}") > 0).withColumn(copies, times).where(F.col(copies) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*[F.col(f"d.`{c}`") for c in docs.columns])

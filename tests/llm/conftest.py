@@ -2,12 +2,16 @@ import random
 
 import pytest
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, _size long, key string, k long"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, _size long, key string, k long, mix_size string, Mix_Key long, _sha long, dedup_keep string, _score double, quality_score string, _copies long"
 
 
 def row(doc_id, text, source="a"):
     """A document with extra columns whose names clash with inner ones."""
-    return (doc_id, text, "en", source, len(text or ""), 7, "x", 1)
+    return (doc_id, text, "en", source, len(text or ""), 7, "x", 1, *CLASHING)
+
+
+#: Values of the columns whose names clash with inner ones; every operator hands them on.
+CLASHING = ("s", 8, 9, "k", 0.25, "q", 10)
 
 
 @pytest.fixture(scope="session")

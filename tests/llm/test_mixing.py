@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import defaultdict
 
+from conftest import CLASHING
+
 from protolens.llm import mixing
 
 
@@ -51,6 +53,7 @@ def test_documents(odd_docs, no_docs):
     rows, src = mixing.mix(odd_docs)
     out = mixing.mix_documents(odd_docs)
     assert out.columns == odd_docs.columns
+    assert {tuple(r)[5:] for r in out.collect()} == {(7, "x", 1, *CLASHING)}
     words = defaultdict(int)
     for r in out.collect():
         words[r["source"]] += len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))
