@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from protolens.llm._util import table
+from protolens.llm._util import spare, table
 
 #: At most so many labelled rows are learnt from.
 TRAIN_ROWS = 20_000
@@ -187,4 +187,5 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those that the classifier rejects."""
-    return score(docs, train(docs, labels), "_score").where("_score >= 0.5").select(*docs.columns)
+    made = spare(docs, "quality_score")
+    return score(docs, train(docs, labels), made).where(F.col(made) >= 0.5).drop(made)

@@ -2,6 +2,8 @@ import zlib
 
 import numpy as np
 
+from conftest import CLASHING
+
 from protolens.llm import quality as Q
 
 
@@ -34,8 +36,8 @@ def test_held_out(spark):
 
 
 def test_documents(spark, odd_docs, odd_rows, no_docs):
-    bad = [(1000 + i, ("!!! BUY *** $$$ " * (20 + i)), "en", "a", 1, 7, "x", 1) for i in range(60)]
-    good = [(2000 + i, ("A calm sentence about item %d follows here. " % i) * (5 + i % 9), "en", "a", 1, 7, "x", 1) for i in range(60)]
+    bad = [(1000 + i, ("!!! BUY *** $$$ " * (20 + i)), "en", "a", 1, 7, "x", 1, *CLASHING) for i in range(60)]
+    good = [(2000 + i, ("A calm sentence about item %d follows here. " % i) * (5 + i % 9), "en", "a", 1, 7, "x", 1, *CLASHING) for i in range(60)]
     docs = odd_docs.unionByName(spark.createDataFrame(bad + good, odd_docs.schema))
     labels = spark.createDataFrame([(r[0], 0, 0) for r in bad] + [(r[0], 1, 0) for r in good] + [(1, None, 0), (None, 1, 0), (9999, 1, 1)], "doc_id long, quality int, toxic int")
     got = Q.score(docs, Q.train(docs, labels)).select("doc_id", "score", Q.held_out(Q.F.col("doc_id")).alias("h")).collect()
@@ -46,6 +48,7 @@ def test_documents(spark, odd_docs, odd_rows, no_docs):
     assert np.mean([(r["score"] >= 0.5) == (r["doc_id"] >= 2000) for r in held]) == 1
     kept = Q.good_documents(docs, labels)
     assert kept.columns == docs.columns
+    assert {tuple(r)[5:] for r in kept.collect()} == {(7, "x", 1, *CLASHING)}
     assert kept.where("doc_id >= 2000").count() == 60
     assert Q.good_documents(no_docs, labels.limit(0)).count() == 0
     assert {r["score"] for r in Q.score(docs, Q.train(docs, labels.limit(0))).collect()} == {0.5}
