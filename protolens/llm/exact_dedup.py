@@ -19,10 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from protolens.llm._util import bounded, stage, table, text_of
+from protolens.llm._util import BROADCAST_ROWS, bounded, shared_dir, spare, stage, table, text_of
 
 #: Distinct snapshot digests of one filter, on average; a filter takes about 1.2 MB.
 SHARD_KEYS = 1 << 19
+#: Rows of a class that is joined by broadcast, if there are too many classes for that.
+HOT = 10_000
 #: Bits of a fingerprint; false positives: about 2 ** -16.
 _FP = np.uint16
 
@@ -117,7 +119,8 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def build_filters(snapshot_digests: DataFrame, shards: int) -> DataFrame:
-    """The filters of a snapshot; ``snapshot_digests`` has the 64-bit ``key`` of each class."""
+    """The filters of a snapshot (shard, seed, segment, segments, slots); ``snapshot_digests``
+    has the 64-bit ``key`` of each class."""
     keys = snapshot_digests.select(F.pmod("key", F.lit(shards)).alias("shard"), "key")
     return keys.groupBy("shard").applyInPandas(_build, "shard long, seed long, segment long, segments long, slots binary")
 
@@ -130,17 +133,52 @@ def _screen(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return left.loc[made.has(left["key"].to_numpy(np.int64).view(np.uint64)), ["sha"]]
 
 
+def snapshot_filters(snapshot_digests: DataFrame, folder: str | None = None) -> tuple[DataFrame, int]:
+    """(filters, number of shards) of an immutable snapshot.
+
+    They are written once, to a folder named by the snapshot's keys under ``folder`` (or the
+    shared folder of this run), and read from there for every later batch.
+    """
+    spark = snapshot_digests.sparkSession
+    keys, mark = snapshot_digests.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("key").cast("decimal(38,0)")), F.lit(0))).first()
+    shards = max(1, -(-keys // SHARD_KEYS))
+    path = f"{folder or shared_dir(spark) + '/protolens'}/fuse-{keys}-{int(mark) % (1 << 64):016x}"
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        build_filters(snapshot_digests, shards).write.mode("overwrite").parquet(path)
+    return spark.read.schema("shard long, seed long, segment long, segments long, slots binary").parquet(path), shards
+
+
 def screen(batch_digests: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """The distinct batch digests that may be in the snapshot."""
-    keyed = batch_digests.select("sha", "key", F.pmod("key", F.lit(shards)).alias("shard"))
-    return keyed.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(_screen, "sha binary")
+    """The distinct batch digests that may be in the snapshot.
+
+    A batch that is larger than the snapshot meets each filter in several parts, so that no
+    task holds more than about SHARD_KEYS digests.
+    """
+    parts = max(1, -(-batch_digests.count() // (shards * SHARD_KEYS)))
+    keyed = batch_digests.select("sha", "key", F.pmod("key", F.lit(shards)).alias("shard"), F.pmod(F.xxhash64("sha"), F.lit(parts)).alias("part"))
+    each = filters.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return keyed.groupBy("shard", "part").cogroup(each.groupBy("shard", "part")).applyInPandas(_screen, "sha binary")
+
+
+def _with_classes(d: DataFrame, classes: DataFrame) -> DataFrame:
+    """Each row with its class, if it has one. Beyond what may be broadcast, classes of very many
+    rows are still joined by broadcast, so that no task gets all rows of one digest."""
+    classes = stage(classes, "judged")
+    n = classes.count()
+    if n <= BROADCAST_ROWS:
+        return d.join(F.broadcast(classes), "sha", "left")
+    hot, cold = classes.where(F.col("n") > HOT), classes.where(F.col("n") <= HOT)
+    rest = d.join(bounded(hot.select("sha")), "sha", "left_anti").join(cold, "sha", "left")
+    return d.join(bounded(hot), "sha").unionByName(rest)
 
 
-def exact_dedup(rows: DataFrame, snapshot_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(rows: DataFrame, snapshot_col: str, id_col: str = "doc_id", text_col: str = "text", filters: str | None = None) -> DataFrame:
     """Classes of equal texts over a snapshot (``snapshot_col`` true) and a new batch.
 
     Returns (id, keep_id, group_size, kept, seen, sha): ``seen`` marks batch rows whose text
-    the snapshot has.
+    the snapshot has. ``filters`` is a folder that keeps the snapshot's filters between runs.
     """
     d = stage(digests(rows, id_col, text_col, snapshot_col), "digests")
     best = F.max(F.struct("id", (-F.col("rid")).alias("nrid")))
@@ -148,8 +186,7 @@ def exact_dedup(rows: DataFrame, snapshot_col: str, id_col: str = "doc_id", text
     new = d.where("not old").groupBy("sha", "key").agg(F.count("*").alias("n"), best.alias("best"))
     old = stage(old, "snapshot")
     new = stage(new, "batch")
-    shards = max(1, -(-old.count() // SHARD_KEYS))
-    maybe = screen(new, build_filters(old, shards), shards)
+    maybe = screen(new, *snapshot_filters(old, filters))
     both = maybe.join(new, "sha").join(old.select("sha", F.col("n").alias("n0"), F.col("best").alias("best0")), "sha")
     seen = both.select("sha", "key", (F.col("n") + F.col("n0")).alias("n"), F.greatest("best", "best0").alias("best"), F.lit(True).alias("seen"))
     seen = stage(seen, "seen")
@@ -160,7 +197,7 @@ def exact_dedup(rows: DataFrame, snapshot_col: str, id_col: str = "doc_id", text
         "sha", "seen", F.col("best.id").alias("keep_id"), (-F.col("best.nrid")).alias("keep_rid"),
         F.when((F.col("texts") == 1) & (F.col("n_bytes_equal") == F.col("n")), F.col("n")).otherwise(F.raise_error(F.lit("texts that differ share a SHA-256 digest")).cast("long")).alias("n"),
     )
-    joined = d.join(classes, "sha", "left")
+    joined = _with_classes(d, classes)
     return joined.select(
         "id",
         F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -203,10 +240,11 @@ def dedup_documents(docs: DataFrame) -> DataFrame:
     The narrow result is joined back by id; ids that occur more than once with the same text
     keep one row.
     """
-    marked = docs.withColumn("_sha", F.unhex(F.sha2(text_of(), 256)))
+    sha, keep_id, many = (spare(docs, f"dedup_{n}") for n in ("sha", "keep", "many"))
+    marked = docs.withColumn(sha, F.unhex(F.sha2(text_of(), 256)))
     found = exact_dedup(arrival(docs.select("doc_id", "text")), "_old").where("group_size > 1 and kept")
-    keep = stage(found.select(F.unhex("sha").alias("_sha"), F.col("id").alias("_keep"), F.lit(True).alias("_many")), "keepers")
-    out = marked.join(bounded(keep), "_sha", "left")
-    single = out.where("_many is null")
-    chosen = out.where(F.col("_many") & F.col("doc_id").eqNullSafe(F.col("_keep"))).dropDuplicates(["doc_id", "_sha"])
-    return single.unionByName(chosen).select(*docs.columns)
+    keep = stage(found.select(F.unhex("sha").alias(sha), F.col("id").alias(keep_id), F.lit(True).alias(many)), "keepers")
+    out = marked.join(bounded(keep), sha, "left")
+    single = out.where(F.col(many).isNull())
+    chosen = out.where(F.col(many) & F.col("doc_id").eqNullSafe(F.col(keep_id))).dropDuplicates(["doc_id", sha])
+    return single.unionByName(chosen).drop(sha, keep_id, many)

@@ -4,6 +4,8 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
+from conftest import CLASHING
+
 from protolens.llm import exact_dedup as X
 
 
@@ -50,7 +52,28 @@ def test_all_in_one_side(odd_docs, odd_rows):
 def test_pipeline_form(odd_docs, odd_rows, no_docs):
     out = X.dedup_documents(odd_docs)
     assert out.columns == odd_docs.columns
+    assert {tuple(r)[5:] for r in out.collect()} == {(7, "x", 1, *CLASHING)}
     texts = [r["text"] or "" for r in out.collect()]
     assert sorted(texts) == sorted(expected(odd_rows))
     assert X.dedup_documents(no_docs).count() == 0
     assert X.exact_dedup(X.arrival(no_docs), "_old").count() == 0
+
+
+def test_small_snapshot_and_large_batch(spark, monkeypatch, tmp_path):
+    """Neither an empty snapshot nor a batch of several shards changes the classes, and kept
+    filters serve a later batch."""
+    monkeypatch.setattr(X, "SHARD_KEYS", 40)
+    monkeypatch.setattr(X, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(X, "HOT", 5)
+    rows = [(i, f"text {i % 170}" if i < 300 else "hot text") for i in range(400)]
+    groups = expected(rows)
+    sizes = {hashlib.sha256(t.encode()).hexdigest(): len(ids) for t, ids in groups.items()}
+    for old in (F.lit(False), F.col("doc_id") < 7, F.col("doc_id") % 2 == 0):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("_old", old)
+        for _ in range(2):
+            got = X.exact_dedup(df, "_old", filters=str(tmp_path)).collect()
+            assert len(got) == len(rows) and all(r["group_size"] == sizes[r["sha"]] for r in got)
+            assert sum(r["kept"] for r in got) == len(groups)
+    assert len(list(tmp_path.glob("fuse-*"))) == 3
+    shards = X.snapshot_filters(spark.range(100).select(F.xxhash64("id").alias("key")), str(tmp_path))[1]
+    assert shards == 3
