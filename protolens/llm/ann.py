@@ -1,18 +1,20 @@
 """Approximate nearest neighbours: an inverted file with product-quantised residuals.
 
-Coarse centroids and the quantiser are fitted on a bounded sample (``SAMPLE``); every vector
-is indexed: assigned to its nearest centroid's list, its residual coded by product
+Coarse centroids and the quantiser are fitted on a bounded sample (of ``SAMPLE`` vectors or
+``SHARE`` for each list, whichever is more; there are as many lists as the square root of the
+vectors, up to ``LISTS``); every vector is indexed: assigned to its nearest centroid's list, its residual coded by product
 quantisation. The number of lists that a query probes is set on the same sample, so that
 probing would find ``TARGET`` of the sample's true neighbours. Lists are salted into blocks of
 bounded size, and so are the queries of a list; a block is searched with asymmetric distance
 tables, its shortlist reranked by exact distances on the original vectors. Equal vectors of a
 block are searched as one and expanded to as many copies as can matter, so copies never
-crowd others out. Only each query's nearest of each block leave it.
+crowd others out. Only each query's nearest of each block leave it. A query for which the
+probed lists hold fewer candidates than wanted is searched in all lists.
 
 Results for odd input: vectors that are null, zero, of another length than most, or hold null
 or non-finite numbers take no part; rows with a null id are neither queries nor candidates;
 repeated rows are candidates each; a query never finds its own id; ties go to the smaller id;
-with fewer candidates all are returned where probed; empty tables give no rows; other columns
+with fewer candidates all are returned; empty tables give no rows; other columns
 are ignored.
 """
 
@@ -30,11 +32,11 @@ from protolens.llm._util import bounded, stage, table
 
 K = 10
 SAMPLE, TARGET = 20_000, 0.985
-LISTS, CODES, SUBSPACES = 1024, 256, 16
+LISTS, SHARE, CODES, SUBSPACES = 32_768, 8, 256, 16
 #: Vectors and queries of one searched block, on average.
 BLOCK, QUERIES = 8_192, 2_048
-#: Shortlist of a query in a block.
-RERANK = 48
+#: Shortlist of a query in a block: at least so many, and so many for each wanted neighbour.
+RERANK, PER_NEIGHBOUR = 48, 5
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -56,7 +58,8 @@ def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)[None]
 
 
-def _nearest(x: np.ndarray, c: np.ndarray, part: int = 4096) -> np.ndarray:
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    part = max(64, (1 << 22) // max(1, len(c)))
     return np.concatenate([_squares(x[i : i + part], c).argmin(1) for i in range(0, len(x), part)] + [np.zeros(0, np.int64)])
 
 
@@ -73,10 +76,14 @@ class Index:
         return np.stack([_nearest(np.ascontiguousarray(r[:, s]), f) for s, f in enumerate(self.fine)], axis=1).astype(np.uint8)
 
 
+def lists_for(total: int) -> int:
+    return min(LISTS, round(np.sqrt(total)))
+
+
 def fit(sample: np.ndarray, total: int, k: int = K) -> Index:
     """An index from a sample of the ``total`` vectors that it will hold."""
     x = np.asarray(sample, np.float32)
-    lists = int(max(1, min(LISTS, len(x), round(np.sqrt(total)))))
+    lists = int(max(1, min(lists_for(total), len(x))))
     coarse = _kmeans(x, lists)
     near = _nearest(x, coarse)
     dim = x.shape[1]
@@ -110,47 +117,52 @@ def _assigned(index: Index):
                 continue
             x = np.array(pdf["v"].tolist(), np.float32)
             lists = _nearest(x, index.coarse)
-            yield pd.DataFrame({"list": lists.astype(np.int32), "vec_id": pdf["vec_id"], "codes": [c.tobytes() for c in index.code(x, lists)], "v": pdf["v"]})
+            yield pd.DataFrame({"list": lists.astype(np.int32), "vec_id": pdf["vec_id"], "rid": pdf["rid"], "codes": [c.tobytes() for c in index.code(x, lists)], "v": pdf["v"]})
 
     return over
 
 
-def _probed(index: Index):
+def _probed(index: Index, probes: int):
     def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if pdf.empty:
                 continue
             x = np.array(pdf["v"].tolist(), np.float32)
-            near = np.argsort(_squares(x, index.coarse), axis=1, kind="stable")[:, : index.probes]
+            near = np.argsort(_squares(x, index.coarse), axis=1, kind="stable")[:, :probes]
             yield pd.DataFrame({"query_id": pdf["vec_id"], "lists": [n.astype(np.int32) for n in near], "q": pdf["v"]})
 
     return over
 
 
 def _search(index: Index, k: int):
+    short_list = max(RERANK, PER_NEIGHBOUR * k)
+
+    def first(other: np.ndarray, query: int, ids: np.ndarray) -> np.ndarray:
+        """The first ``k`` of equal vectors, sorted by id, that are not the query's own."""
+        a, b = np.searchsorted(ids[other], [query, query + 1])
+        return np.concatenate([other[: min(a, k)], other[b : b + k]])[:k]
+
     def block(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(queries) and len(rows):
             rows = rows.sort_values("vec_id", kind="stable")
             v = np.array(rows["v"].tolist(), float)
             ids = rows["vec_id"].to_numpy()
-            _, first, same = np.unique(v.view(np.dtype((np.void, v.dtype.itemsize * v.shape[1]))).ravel(), return_index=True, return_inverse=True)
+            _, one, same = np.unique(v.view(np.dtype((np.void, v.dtype.itemsize * v.shape[1]))).ravel(), return_index=True, return_inverse=True)
             members = np.argsort(same.ravel(), kind="stable")
             ends = np.concatenate([[0], np.cumsum(np.bincount(same.ravel()))])
-            codes = np.frombuffer(b"".join(rows["codes"].iloc[first]), np.uint8).reshape(len(first), -1).astype(np.int64)
+            codes = np.frombuffer(b"".join(rows["codes"].iloc[one]), np.uint8).reshape(len(one), -1).astype(np.int64)
             centre = index.coarse[int(rows["list"].iloc[0])]
             subs = np.arange(codes.shape[1])
             for query, q in zip(queries["query_id"], queries["q"], strict=True):
                 q = np.asarray(q, float)
                 r = (q - centre).reshape(len(index.fine), 1, -1)
                 near = ((r - index.fine) ** 2).sum(2)[subs, codes].sum(1)
-                short = np.argpartition(near, RERANK)[:RERANK] if len(near) > RERANK else np.arange(len(near))
-                exact = np.sqrt(((v[first[short]] - q) ** 2).sum(1))
-                own = [members[ends[s] : ends[s + 1]][: k + 1] for s in short]
+                short = np.argpartition(near, short_list)[:short_list] if len(near) > short_list else np.arange(len(near))
+                exact = np.sqrt(((v[one[short]] - q) ** 2).sum(1))
+                own = [first(members[ends[s] : ends[s + 1]], query, ids) for s in short]
                 at = np.concatenate(own)
                 d = np.repeat(exact, [len(o) for o in own])
-                other = ids[at] != query
-                at, d = at[other], d[other]
                 best = np.lexsort((ids[at], d))[:k]
                 out["query_id"].append(np.full(len(best), query))
                 out["vec_id"].append(ids[at[best]])
@@ -167,21 +179,33 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     spark = vectors.sparkSession
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(SAMPLE, SHARE * lists_for(total))).toPandas()
     index = fit(np.array(sample["v"].tolist(), np.float32), total, k)
-    placed = stage(rows.mapInPandas(_assigned(index), "list int, vec_id long, codes binary, v array<double>"), "ivf")
-    asked = stage(rows.where(is_query).select("vec_id", "v").distinct().mapInPandas(_probed(index), "query_id long, lists array<int>, q array<double>"), "queries")
+    named = rows.withColumn("rid", F.monotonically_increasing_id())
+    placed = stage(named.mapInPandas(_assigned(index), "list int, vec_id long, rid long, codes binary, v array<double>"), "ivf")
+    queries = rows.where(is_query).select("vec_id", "v").distinct()
+    found = stage(_found(queries, placed, index, index.probes, k), "found")
+    if index.probes < len(index.coarse):
+        some = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"))
+        few = queries.join(some, "vec_id", "left_anti")
+        if not few.isEmpty():
+            found = found.join(few.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(_found(few, placed, index, len(index.coarse), k))
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _found(queries: DataFrame, placed: DataFrame, index: Index, probes: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the nearest of each searched block of the probed lists."""
+    asked = stage(queries.mapInPandas(_probed(index, probes), "query_id long, lists array<int>, q array<double>"), "queries")
     pairs = asked.select("query_id", F.explode("lists").alias("list"), "q")
     loads = pairs.groupBy("list").agg(F.count("*").alias("asked")).join(placed.groupBy("list").agg(F.count("*").alias("held")), "list")
     loads = stage(loads.select("list", F.ceil(F.col("held") / BLOCK).cast("int").alias("salts"), F.ceil(F.col("asked") / QUERIES).cast("int").alias("turns")), "loads")
     loads = bounded(loads)
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     left = pairs.join(loads, "list").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.col("turns")).cast("int")).withColumn("salt", F.explode(upto("salts")))
-    right = placed.join(loads, "list").withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("salts")).cast("int")).withColumn("turn", F.explode(upto("turns")))
+    right = placed.join(loads, "list").withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("salts")).cast("int")).withColumn("turn", F.explode(upto("turns")))
     key = ["list", "salt", "turn"]
-    found = left.select(*key, "query_id", "q").groupBy(*key).cogroup(right.select(*key, "vec_id", "codes", "v").groupBy(*key)).applyInPandas(_search(index, k), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.select(*key, "query_id", "q").groupBy(*key).cogroup(right.select(*key, "vec_id", "codes", "v").groupBy(*key)).applyInPandas(_search(index, k), "query_id long, vec_id long, score double")
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

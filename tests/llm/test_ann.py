@@ -68,3 +68,34 @@ def test_testdata(spark):
         found += len(set(group["vec_id"]) & set(ids[np.lexsort((ids, d))[:10]]))
         total += 10
     assert found / total >= 0.9
+
+
+def test_few_lists_and_repeated_ids(spark, monkeypatch):
+    """Probed lists that hold too few are topped up, and a query's own rows never crowd others out."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 16)) * 50
+    vectors = [(i, centres[i % 12] + rng.normal(size=16)) for i in range(60)]  # five rows about each centre
+    vectors += [(0, vectors[0][1])] * 40
+    whole = ann.fit
+    monkeypatch.setattr(ann, "fit", lambda x, total, k: (lambda index: ann.Index(index.coarse, index.fine, 1))(whole(x, total, k)))
+    got = ann.search(table(spark, vectors), ann.F.pmod("vec_id", ann.F.lit(10)) == 0).collect()
+    want = brute(vectors)
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert {q: len(rows) for q, rows in by.items()} == dict.fromkeys(want, 10)
+    assert all(v != q for q, rows in by.items() for _, v in rows)
+
+
+def test_recall_on_more_vectors(spark):
+    """Recall against brute force at sf0.1; on these vectors most lists have to be probed."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    found = total = 0
+    for q, group in ann.search(df, ann.F.pmod("vec_id", ann.F.lit(20)) == 0).toPandas().groupby("query_id"):
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        found += len(set(group["vec_id"]) & set(ids[np.lexsort((ids, d))[:10]]))
+        total += 10
+    assert total == 1000 and found / total >= 0.9
