@@ -6,6 +6,10 @@ of all, each through a beta-binomial prior whose weight comes from the spread of
 at that level (method of moments). A host is blocked if the lower bound of its posterior
 rate passes a threshold, so hosts with few outcomes are left alone.
 
+Suffixes come from ``suffix_rules``, written as in the public suffix list (``co.uk``, ``*.ck``,
+``!www.ck``; data of the caller); without them a suffix is the last label, and two labels
+under a country for those in SECOND_LEVEL.
+
 Everything is counted per host before it is joined with the pages; the tables that meet the
 pages have one row for each host and are broadcast only when counted small.
 
@@ -49,24 +53,47 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.translate(host, _UPPER, _LOWER), path
 
 
-def suffixes(host: Column) -> Column:
-    """A host and all domains above it."""
+def suffixes(host: Column, deepest: int) -> Column:
+    """A host and the domains above it, of at most ``deepest`` labels."""
     n = F.size(F.split(host, r"\."))
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(F.split(host, r"\."), n - i + 1, i), "."))
+    return F.transform(F.sequence(F.lit(1), F.least(n, F.lit(deepest))), lambda i: F.array_join(F.slice(F.split(host, r"\."), n - i + 1, i), "."))
+
+
+def _tail(parts: Column, k: Column) -> Column:
+    n = F.size(parts)
+    return F.array_join(F.slice(parts, F.greatest(F.lit(1), n - k + 1), F.least(n, k)), ".")
+
+
+def _labels(host: Column) -> Column:
+    return F.split(F.regexp_replace(host, r":[0-9]*$", ""), r"\.")
 
 
 def domain_and_suffix(host: Column) -> tuple[Column, Column]:
-    parts = F.split(F.regexp_replace(host, r":[0-9]*$", ""), r"\.")
+    parts = _labels(host)
     n = F.size(parts)
     deep = (n > 2) & (F.length(F.element_at(parts, -1)) == 2) & F.element_at(parts, F.when(n > 1, -2).otherwise(-1)).isin(SECOND_LEVEL)
     k = F.when(deep, 2).otherwise(1)
-    tail = lambda i: F.array_join(F.slice(parts, F.greatest(F.lit(1), n - i + 1), F.least(n, i)), ".")
-    return tail(k + 1), tail(k)
+    return _tail(parts, k + 1), _tail(parts, k)
+
+
+def by_suffix_rules(hosts: DataFrame, suffix_rules: list[str]) -> DataFrame:
+    """``hosts`` with domain and suffix by rules: an exception wins, else the longest, else ``*``."""
+    spark = hosts.sparkSession
+    table_ = [(r.lstrip("!").lower(), r.count(".") + (0 if r.startswith("!") else 1), r.startswith("!")) for r in suffix_rules]
+    rules = spark.createDataFrame(table_, "rule string, labels int, exception boolean")
+    deepest = max([1, *(r[0].count(".") + 1 for r in table_)])
+    own = hosts.select("host", suffixes(F.regexp_replace("host", r":[0-9]*$", ""), deepest).alias("ends"))
+    tips = own.select("host", F.explode("ends").alias("tip"))
+    forms = tips.select("host", F.explode(F.array("tip", F.regexp_replace("tip", r"^[^.]*", "*"))).alias("rule"))
+    fits = forms.join(bounded(rules, len(table_)), "rule").groupBy("host").agg(F.max(F.struct("exception", "labels"))["labels"].alias("k"))
+    parts, k = _labels(F.col("host")), F.coalesce("k", F.lit(1))
+    return hosts.join(fits, "host", "left").withColumns({"domain": _tail(parts, k + 1), "suffix": _tail(parts, k)}).drop("k")
 
 
 def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     """For each host the rules that fit it or a domain above it, longest first."""
-    up = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("over"))
+    deepest = rules.agg(F.max(F.size(F.split("rule_host", r"\.")))).first()[0] or 1
+    up = hosts.select("host", F.explode(suffixes(F.col("host"), deepest)).alias("over"))
     fits = up.join(bounded(rules), up["over"] == rules["rule_host"]).select("host", F.struct(F.length("rule").alias("n"), "rule", "rule_path", "rule_verdict").alias("r"))
     return fits.groupBy("host").agg(F.sort_array(F.collect_set("r"), asc=False).alias("rules"))
 
@@ -83,10 +110,10 @@ def _level(t: DataFrame, rate: str) -> tuple[DataFrame, float]:
     return t, MOST if rho <= 0 else min(MOST, max(LEAST, (1 - rho) / rho))
 
 
-def reputation(hosts: DataFrame) -> DataFrame:
+def reputation(hosts: DataFrame, suffix_rules: list[str] | None = None) -> DataFrame:
     """(host, mean, bound) from (host, n, bad); hosts without outcomes get their domain's rate."""
     domain, suffix = domain_and_suffix(F.col("host"))
-    h = hosts.withColumns({"domain": domain, "suffix": suffix})
+    h = hosts.withColumns({"domain": domain, "suffix": suffix}) if suffix_rules is None else stage(by_suffix_rules(hosts, suffix_rules), "host-domains")
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     d = h.groupBy("domain", "suffix").agg(*sums)
     s = stage(d.groupBy("suffix").agg(*sums), "suffixes")
@@ -105,7 +132,7 @@ def reputation(hosts: DataFrame) -> DataFrame:
     return h.select("host", "mean", (F.col("mean") - F.lit(Z) * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.lit(k + 1)))).alias("bound"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: DataFrame, threshold: float = THRESHOLD, suffix_rules: list[str] | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, mean, bound) for each row of ``pages``.
 
     ``outcomes`` has (page_id, bad), ``rules`` (rule_host, rule_path, rule, rule_verdict).
@@ -115,7 +142,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: DataFrame, threshold: fl
     known = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     seen = p.join(known, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     hosts = stage(seen, "host-counts")
-    about = stage(reputation(hosts).join(host_rules(hosts.select("host"), rules), "host", "left"), "host-verdicts")
+    about = stage(reputation(hosts, suffix_rules).join(host_rules(hosts.select("host"), rules), "host", "left"), "host-verdicts")
     out = p.join(bounded(about), "host", "left")
     out = out.withColumn("r", F.when(F.col("rules").isNotNull() & (F.size("rules") > 0), F.try_element_at(F.filter("rules", lambda r: F.startswith(F.col("path"), r["rule_path"])), F.lit(1))))
     by_host = F.when(F.col("bound") > threshold, F.lit("block")).otherwise(F.lit("allow"))
@@ -129,7 +156,8 @@ def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes are the quality labels under the page's id: quality 0 is a bad page."""
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
-    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), outcomes, rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
+    out = judge(table(spark, sf_dir, "pages").select("page_id", "url"), outcomes, rule_table(spark))
+    return out.select("page_id", "host", "path", "rule", "verdict", F.round("mean", 6).alias("mean"), F.round("bound", 6).alias("bound"))
 
 
 def _weight_sql(source: str, rate: str) -> str:
@@ -163,13 +191,13 @@ WITH u AS (
 ), hp AS (
   SELECT h.*, p_domain FROM h JOIN pd USING (domain, suffix)
 ), b AS (
-  SELECT host, m - {Z} * sqrt(m * (1 - m) / (n + k + 1)) AS bound FROM (SELECT host, n, k, (bad + k * p_domain) / (n + k) AS m FROM hp, {_weight_sql('hp', 'p_domain')})
+  SELECT host, m AS mean, m - {Z} * sqrt(m * (1 - m) / (n + k + 1)) AS bound FROM (SELECT host, n, k, (bad + k * p_domain) / (n + k) AS m FROM hp, {_weight_sql('hp', 'p_domain')})
 ), rules(rule_host, rule_path, rule_verdict) AS (
   VALUES {', '.join(f"('{a}', '{b}', '{v}')" for a, b, v in RULES)}
 ), best AS (
   SELECT host, path, first(rule_host || rule_path ORDER BY length(rule_host || rule_path) DESC) AS rule, first(rule_verdict ORDER BY length(rule_host || rule_path) DESC) AS verdict
   FROM (SELECT DISTINCT host, path FROM p) JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY host, path
 )
-SELECT page_id, p.host, p.path, rule, coalesce(verdict, CASE WHEN bound > {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, p.host, p.path, rule, coalesce(verdict, CASE WHEN bound > {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, round(mean, 6) AS mean, round(bound, 6) AS bound
 FROM p LEFT JOIN b USING (host) LEFT JOIN best ON best.host = p.host AND best.path = p.path
 """

@@ -44,3 +44,20 @@ def test_domains(spark):
     d, s = U.domain_and_suffix(U.F.col("h"))
     got = [tuple(r) for r in spark.createDataFrame([(h,) for h in hosts], "h string").select(d, s).collect()]
     assert got == [("b.co.uk", "co.uk"), ("co.uk", "uk"), ("uk", "uk"), ("y.com", "com"), ("com", "com"), ("b.de", "de"), ("", ""), ("q.com.au", "com.au")]
+
+
+def test_suffix_rules(spark):
+    """Rules of a suffix list: plain, wildcard and exception."""
+    rules = ["com", "co.uk", "*.ck", "!www.ck"]
+    hosts = ["a.b.co.uk", "co.uk", "uk", "x.y.com:80", "a.b.c.ck", "c.ck", "www.ck", "a.www.ck", "q.org", ""]
+    got = {r["host"]: (r["domain"], r["suffix"]) for r in U.by_suffix_rules(spark.createDataFrame([(h,) for h in hosts], "host string"), rules).collect()}
+    assert got == {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "uk": ("uk", "uk"), "x.y.com:80": ("y.com", "com"), "a.b.c.ck": ("b.c.ck", "c.ck"), "c.ck": ("c.ck", "c.ck"), "www.ck": ("www.ck", "ck"), "a.www.ck": ("www.ck", "ck"), "q.org": ("q.org", "org"), "": ("", "")}
+
+
+def test_very_long_hosts(spark):
+    """A host of many labels costs as many rows as the deepest rule has labels."""
+    host = ".".join(["x"] * 20_000) + ".example.com"
+    pages = spark.createDataFrame([(1, f"http://{host}/en/")], "page_id long, url string")
+    none = spark.createDataFrame([], "page_id long, bad boolean")
+    r = U.judge(pages, none, U.rule_table(spark)).first()
+    assert (r["rule"], r["verdict"]) == ("example.com/en/", "block")
