@@ -46,7 +46,7 @@ _FREE, _BITS, _WIDEST, _TOGETHER = 1 << 30, 6, 64, 8192
 #: Pieces that are merged together; a longer text is split as a stream.
 _GROUP, _LONG = 200_000, 1 << 20
 #: Multiplier and shift of the table of ranks.
-_SPREAD, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - 18)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def byte_letters() -> list[str]:
@@ -79,9 +79,10 @@ class Codec:
         for word, i in self.special.items():
             self.bytes[i] = word.encode()
         self.start_array, self.merged_array = np.array(self.start), np.array(self.merged)
-        self.slots, self.slot_ranks = np.full(1 << 64 - int(_SHIFT), -1), np.zeros(1 << 64 - int(_SHIFT), np.int64)
+        bits = max(8, (3 * len(self.rank)).bit_length())  # at most a third of the slots is used
+        self.shift, self.slots, self.slot_ranks = np.uint64(64 - bits), np.full(1 << bits, -1), np.zeros(1 << bits, np.int64)
         for key, r in self.rank.items():
-            slot = (key * int(_SPREAD) & (1 << 64) - 1) >> int(_SHIFT)
+            slot = (key * int(_SPREAD) & (1 << 64) - 1) >> 64 - bits
             while self.slots[slot] >= 0:
                 slot = (slot + 1) % len(self.slots)
             self.slots[slot], self.slot_ranks[slot] = key, r
@@ -139,7 +140,7 @@ class Codec:
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of pairs of symbols, _FREE where they do not merge or one is absent."""
         key = a << 24 | b
-        slot = (key.view(np.uint64) * _SPREAD >> _SHIFT).astype(np.int64)
+        slot = (key.view(np.uint64) * _SPREAD >> self.shift).astype(np.int64)
         found = self.slots[slot]
         out = np.where(found == key, self.slot_ranks[slot], _FREE)
         left = np.flatnonzero((found != key) & (found >= 0))
@@ -287,7 +288,10 @@ def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
 
 
 def _mapped(df: DataFrame, column: str, made: list[tuple[str, T.DataType]], run) -> DataFrame:
-    """``df`` with columns computed from ``column``, a few hundred rows at a time."""
+    """``df`` with columns computed from ``column``, a few hundred rows at a time; a name that
+    ``df`` has already is refused."""
+    if clash := {c.lower() for c in df.columns} & {n.lower() for n, _ in made}:
+        raise ValueError(f"the table already has {', '.join(sorted(clash))}; name the made columns otherwise")
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in made)])
     at, names = df.columns.index(column), [n for n, _ in made]
 
