@@ -2,7 +2,8 @@
 
 Two bigram models, one of random strings and one of ordinary identifiers, are trained from
 labelled samples; a candidate token is a secret if its log-likelihood ratio, in total and
-per character, passes a threshold. All of it is DataFrame expressions: the samples are made
+per character, passes a threshold. Candidates are runs of 20 or more characters of TOKEN that
+no base span touches, in one case or in several. All of it is DataFrame expressions: the samples are made
 and counted by Spark, the trained table (one ratio for each pair of symbols of a fixed
 alphabet, about 4,600 numbers) is a literal in the scan, which reads every text once and
 shuffles nothing.
@@ -66,12 +67,17 @@ web week weight wheel width window with word work worker wrap write year zone"""
 
 
 def _spans(kind: str, text: Column, pattern: str, value: int = 0) -> Column:
-    """All leftmost non-overlapping matches as (start, kind, end, match, value)."""
+    """All leftmost non-overlapping matches as (start, kind, end, match, value).
+
+    Offsets are running sums, taken in chunks of about the root of the number of matches: an
+    array that grows by one is copied each time, so a single one would cost the square.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value)) if value else found
     gaps = F.split(text, pattern, -1)
     parts = F.arrays_zip(F.transform(F.slice(gaps, 1, F.size(found)), F.length).alias("gap"), found.alias("m"), values.alias("v"))
-    empty = F.array().cast("array<struct<start:int,k:int,kind:string,end:int,m:string,v:string>>")
+    span = "struct<start:int,k:int,kind:string,end:int,m:string,v:string>"
+    empty, none = F.array().cast(f"array<{span}>"), F.array().cast(f"array<array<{span}>>")
     order = ["assign", "access", "hex", "markov"].index(kind)
 
     def step(acc: Column, p: Column) -> Column:
@@ -80,20 +86,26 @@ def _spans(kind: str, text: Column, pattern: str, value: int = 0) -> Column:
         one = F.struct(start.alias("start"), F.lit(order).alias("k"), F.lit(kind).alias("kind"), end.alias("end"), p["m"].alias("m"), p["v"].alias("v"))
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans"))
 
-    spans = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+    each = F.ceil(F.sqrt(F.size(found))).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / each).cast("int")), lambda i: F.slice(parts, i * each + 1, each))
+    inner = lambda at, chunk: F.aggregate(chunk, F.struct(at.alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+    ahead = lambda at, chunk: F.aggregate(chunk, at, lambda n, p: n + p["gap"] + F.length(p["m"]))
+    outer = lambda acc, chunk: F.struct(ahead(acc["at"], chunk).alias("at"), F.concat(acc["all"], F.array(inner(acc["at"], chunk))).alias("all"))
+    spans = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), none.alias("all")), outer, lambda acc: F.flatten(acc["all"]))
     return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(empty)
 
 
-def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
-    """(text, secret): ``n`` random strings of common shapes, ``n`` ordinary identifiers."""
+def labelled_samples(spark: SparkSession, n: int = SAMPLES, first: int = 0) -> DataFrame:
+    """(text, secret): ``n`` random strings of common shapes, ``n`` ordinary identifiers, numbered
+    from ``first``; other numbers make other samples."""
     hashed = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 512)
     b64 = F.base64(F.unhex(hashed))
-    shapes = [F.substring(b64, 1, 40), F.substring(hashed, 1, 40), F.substring(F.translate(b64, "+/=", "-_"), 1, 44), F.upper(F.substring(F.regexp_replace(b64, "[^A-Za-z0-9]", ""), 1, 32)), F.substring(F.regexp_replace(b64, "[^A-Za-z0-9]", ""), 1, 36)]
+    shapes = [F.substring(b64, 1, 40), F.substring(hashed, 1, 40), F.substring(F.translate(b64, "+/=", "-_"), 1, 44), F.upper(F.substring(F.regexp_replace(b64, "[^A-Za-z0-9]", ""), 1, 32)), F.substring(F.regexp_replace(b64, "[^A-Za-z0-9]", ""), 1, 36), F.lower(F.substring(F.regexp_replace(b64, "[^A-Za-z]", ""), 1, 40)), F.upper(F.substring(F.regexp_replace(b64, "[^A-Za-z]", ""), 1, 40))]
     shape = F.pmod(F.col("id"), F.lit(len(shapes)))
     secret = shapes[-1]
     for i, s in enumerate(shapes[:-1]):
         secret = F.when(shape == i, s).otherwise(secret)
-    random = spark.range(n).select(secret.alias("text"), F.lit(1).alias("secret"))
+    random = spark.range(first, first + n).select(secret.alias("text"), F.lit(1).alias("secret"))
     parts = F.split(F.lit(" ".join(PARTS)), " ")
     pick = lambda i: F.element_at(parts, F.pmod(F.hash(F.col("id"), F.lit(i)), F.lit(len(PARTS))) + 1)
     w = [pick(i) for i in range(5)]
@@ -103,7 +115,7 @@ def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     plain = shapes[-1]
     for i, s in enumerate(shapes[:-1]):
         plain = F.when(shape == i, s).otherwise(plain)
-    return random.unionByName(spark.range(n).select(plain.alias("text"), F.lit(0).alias("secret")))
+    return random.unionByName(spark.range(first, first + n).select(plain.alias("text"), F.lit(0).alias("secret")))
 
 
 def train(samples: DataFrame) -> list[float]:
@@ -141,7 +153,7 @@ def scan(docs: DataFrame, model: list[float], total: float = TOTAL, each: float
     })
     base = base.withColumn("base", F.concat("assign", "access", "hex"))
     free = F.filter("token", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    odd = F.filter(free, lambda s: F.rlike(s["m"], F.lit("[0-9]|[a-z][A-Z]")) & (ratio(s["m"], model) >= F.greatest(F.lit(total), F.lit(each) * F.length(s["m"]))))
+    odd = F.filter(free, lambda s: ratio(s["m"], model) >= F.greatest(F.lit(total), F.lit(each) * F.length(s["m"])))
     return base.select(id_col, F.array_sort(F.concat("base", odd)).alias("spans"))
 
 

@@ -1,4 +1,6 @@
+import random
 import re
+import string
 
 import pytest
 
@@ -34,7 +36,43 @@ def test_spans(spark, model, odd_rows):
     assert S.scan(df.limit(0), model).count() == 0
 
 
+def plain_ratio(token, model):
+    size, at = len(S.ALPHABET), [S.ALPHABET.find(c) for c in token]
+    return sum(model[a * size + b] for a, b in zip(at, at[1:]) if a >= 0 and b >= 0)
+
+
+def test_added_spans_against_plain(spark, model):
+    """Added spans are the runs of candidates without a base span whose ratio passes."""
+    r = random.Random(7)
+    letters = string.ascii_letters + string.digits
+    texts = []
+    for i in range(60):
+        secret = "".join(r.choice([letters, string.ascii_lowercase, string.ascii_uppercase][i % 3]) for _ in range(r.randrange(16, 50)))
+        texts.append(f"run {secret} of some_ordinary_identifier_name and token={secret} or anotherOrdinaryIdentifierName {secret[::-1]}")
+    got = {r["doc_id"]: r["s"] for r in S.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).select("doc_id", S.listed(S.F.col("spans")).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        held = [(int(a), int(b)) for _, a, b in (x.split(":") for x in base(t).split(",") if x)]
+        want = [f"markov:{m.start()}:{m.end()}" for m in re.finditer(S.TOKEN, t) if not any(a < m.end() and m.start() < b for a, b in held) and plain_ratio(m[0], model) >= max(S.TOTAL, S.EACH * len(m[0]))]
+        assert [x for x in got[i].split(",") if x.startswith("markov")] == want
+
+
+def test_precision_and_recall_on_planted_strings(spark, model):
+    """Random strings of one case and of several among ordinary words, at ids of no sample."""
+    r = random.Random(19)
+    rows, planted = [], {}
+    for i in range(300):
+        kind = [string.ascii_letters + string.digits, string.ascii_lowercase, string.ascii_uppercase][i % 3]
+        secret = "".join(r.choice(kind) for _ in range(32))
+        words = " ".join(r.choice(["Donaudampfschifffahrtsgesellschaft", "internationalization", "the", "responsabilidades", "default_configuration_value", "getElementsByClassName"]) for _ in range(20))
+        rows.append((i, f"{words} {secret} {words}"))
+        planted[i] = f"markov:{len(words) + 1}:{len(words) + 33}"
+    got = {x["doc_id"]: x["s"].split(",") if x["s"] else [] for x in S.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).select("doc_id", S.listed(S.F.col("spans")).alias("s")).collect()}
+    hit = sum(planted[i] in got[i] for i in got)
+    assert hit >= 0.95 * len(rows)
+    assert sum(len(v) for v in got.values()) <= hit / 0.95
+
+
 def test_models_tell_held_out_samples(spark, model):
-    more = S.labelled_samples(spark, 6000).orderBy(S.F.desc("secret")).withColumn("r", S.ratio(S.F.col("text"), model))
+    more = S.labelled_samples(spark, 6000, first=S.SAMPLES).orderBy(S.F.desc("secret")).withColumn("r", S.ratio(S.F.col("text"), model))
     wrong = more.where((S.F.col("r") >= S.F.greatest(S.F.lit(S.TOTAL), S.EACH * S.F.length("text"))) != (S.F.col("secret") == 1)).count()
     assert wrong < 0.01 * 12_000
