@@ -14,10 +14,14 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: a lambda would compute it for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def l2_normalize(a: Column) -> Column:
     """Unit length; a zero vector stays zero."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(x))
+    return _once(a, lambda v: _once(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x))))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -35,6 +35,7 @@ def subsets(columns: list[tuple[str, str]]) -> dict[str, list[int]]:
 MODELS: dict[str, Callable[..., DataFrame]] = {
     "ncm": nearest_mean,
     "knn_cos_1": lambda a, b, **own: nearest_neighbours(a, b, 1, **own),
+    "knn_cos_3": lambda a, b, **own: nearest_neighbours(a, b, 3, **own),
     "knn_cos_5": lambda a, b, **own: nearest_neighbours(a, b, 5, **own),
 }
 
@@ -49,7 +50,7 @@ def ablate(train: DataFrame, test: DataFrame, columns: list[tuple[str, str]], mo
     each = F.array(*[F.struct(F.lit(n).alias("subset"), keep_ordinals(F.col("features"), own).alias("features")) for n, own in subsets(columns).items()])
     a, b = (t.select("entry", "label", F.explode(each).alias("s")).select("entry", "label", "s.*") for t in (train, test))
     for m in models:
-        rows = evaluate(truth, MODELS[m](a, b, by="subset", blocks=blocks), ["subset"])
+        rows = evaluate(truth, MODELS[m](a, b, by="subset", blocks=blocks), ["subset"], [{"subset": n} for n in subsets(columns)])
         rows = rows.select(F.col("subset").alias("features"), F.lit(m).alias("method"), "weighted_f1")
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,40 +11,49 @@ from pyspark.sql import functions as F
 MISSING = "__none__"
 
 
-def with_truth(truth: DataFrame, preds: DataFrame, by: list[str] | None = None) -> DataFrame:
+def combinations(**values: list) -> list[dict]:
+    """Every combination of named parameter values."""
+    return [dict(zip(values, own, strict=True)) for own in product(*values.values())]
+
+
+def with_truth(truth: DataFrame, preds: DataFrame, by: list[str] | None = None, configs: list[dict] | None = None) -> DataFrame:
     """(by, query, true, pred): every truth row, the sentinel where nothing was predicted.
 
     ``by`` names columns of ``preds`` that tell configurations apart; each is held against the
-    whole truth.
+    whole truth. They are ``configs`` if given, which are spelled out beside each truth row, else
+    those that occur in ``preds``, which meet the truth under one constant key; the few of them
+    are broadcast by size at run time.
     """
     by = by or []
     if not by:
         return truth.join(preds.select("query", "pred"), "query", "left").withColumn("pred", F.coalesce("pred", F.lit(MISSING)))
-    configs = preds.select(*by).distinct()
-    full = truth.join(F.broadcast(configs))
+    if configs:
+        each = F.array(*[F.struct(*[F.lit(c[b]).alias(b) for b in by]) for c in configs])
+        full = truth.withColumn("_c", F.explode(each)).select(*truth.columns, "_c.*")
+    else:
+        full = truth.withColumn("_on", F.lit(1)).join(preds.select(*by, F.lit(1).alias("_on")).distinct(), "_on").drop("_on")
     return full.join(preds.select(*by, "query", "pred"), [*by, "query"], "left").withColumn("pred", F.coalesce("pred", F.lit(MISSING)))
 
 
-def weighted_f1(judged: DataFrame, by: list[str] | None = None) -> DataFrame:
+def weighted_f1(judged: DataFrame, by: list[str] | None = None, counts: bool = False) -> DataFrame:
     """Weighted F1 of (true, pred) rows: classes weigh their support, F1 is 0 where undefined.
 
     Rows become one for the true class and one for the predicted, summed map-side per class.
+    With ``counts`` n_predicted and n_none come from the same sums.
     """
     by = by or []
-    hit = F.when(F.col("true") == F.col("pred"), 1).otherwise(0)
-    sides = judged.select(*by, F.explode(F.array(F.struct(F.col("true").alias("_class"), hit.alias("tp"), F.lit(1).alias("sup"), F.lit(0).alias("got")), F.struct(F.col("pred").alias("_class"), F.lit(0).alias("tp"), F.lit(0).alias("sup"), F.lit(1).alias("got")))).alias("_side")).select(*by, "_side.*")
-    classes = sides.groupBy(*by, "_class").agg(F.sum("tp").alias("tp"), F.sum("sup").alias("sup"), F.sum("got").alias("got"))
+    hit, none = F.when(F.col("true") == F.col("pred"), 1).otherwise(0), F.when(F.col("pred") == MISSING, 1).otherwise(0)
+    side = lambda own, tp, sup, got, missing: F.struct(F.col(own).alias("_class"), tp.alias("tp"), F.lit(sup).alias("sup"), F.lit(got).alias("got"), missing.alias("missing"))
+    sides = judged.select(*by, F.explode(F.array(side("true", hit, 1, 0, none), side("pred", F.lit(0), 0, 1, F.lit(0)))).alias("_side")).select(*by, "_side.*")
+    classes = sides.groupBy(*by, "_class").agg(*[F.sum(c).alias(c) for c in ("tp", "sup", "got", "missing")])
     f1 = F.col("sup") * F.when(F.col("sup") + F.col("got") > 0, 2.0 * F.col("tp") / (F.col("sup") + F.col("got"))).otherwise(0.0)
-    return classes.groupBy(*by).agg(F.round(F.sum(f1) / F.sum("sup"), 6).alias("weighted_f1"))
+    more = [F.coalesce(F.sum("sup") - F.sum("missing"), F.lit(0)).cast("long").alias("n_predicted"), F.coalesce(F.sum("missing"), F.lit(0)).cast("long").alias("n_none")] if counts else []
+    return classes.groupBy(*by).agg(F.round(F.sum(f1) / F.sum("sup"), 6).alias("weighted_f1"), *more)
 
 
-def evaluate(truth: DataFrame, preds: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Weighted F1 over all truth rows with n_predicted and n_none."""
-    by = by or []
-    judged = with_truth(truth, preds, by)
-    counts = judged.groupBy(*by).agg(F.count_if(F.col("pred") != MISSING).cast("long").alias("n_predicted"), F.count_if(F.col("pred") == MISSING).cast("long").alias("n_none"))
-    scores = weighted_f1(judged, by)
-    return scores.join(counts, by) if by else scores.withColumn("_k", F.lit(1)).join(counts.withColumn("_k", F.lit(1)), "_k").drop("_k")
+def evaluate(truth: DataFrame, preds: DataFrame, by: list[str] | None = None, configs: list[dict] | None = None) -> DataFrame:
+    """Weighted F1 over all truth rows with n_predicted and n_none, in one pass."""
+    return weighted_f1(with_truth(truth, preds, by, configs), by, counts=True)
 
 
 def evaluate_predicted_only(truth: DataFrame, preds: DataFrame) -> DataFrame:

@@ -56,7 +56,11 @@ def _fit_predict(estimator, train: DataFrame, test: DataFrame, weight: bool = Fa
         total = sizes.agg((F.sum("n") / F.count("*")).alias("w")).first()["w"]
         data = data.join(sizes, "label").withColumn("weight", F.lit(total) / F.col("n")).drop("n")
     index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(data)
-    model = estimator.fit(index.transform(data).cache())
+    indexed = index.transform(data).cache()
+    try:
+        model = estimator.fit(indexed)
+    finally:
+        indexed.unpersist()
     out = model.transform(test.select(F.col("entry").alias("query"), array_to_vector("features").alias("features")))
     return IndexToString(inputCol="prediction", outputCol="pred", labels=index.labels).transform(out).select("query", "pred")
 
@@ -68,12 +72,14 @@ def logistic_regression(train: DataFrame, test: DataFrame, c: float = 1.0, max_i
 
 
 def random_forest(train: DataFrame, test: DataFrame, trees: int = 100, balanced: bool = False, seed: int = 0) -> DataFrame:
-    e = RandomForestClassifier(labelCol="y", numTrees=trees, maxDepth=12, seed=seed)
+    """Trees are grown until their leaves are pure, or to the library's limit of 30 levels."""
+    e = RandomForestClassifier(labelCol="y", numTrees=trees, maxDepth=30, seed=seed)
     return _fit_predict(e.setWeightCol("weight") if balanced else e, train, test, balanced)
 
 
-def linear_svm(train: DataFrame, test: DataFrame, c: float = 1.0, max_iter: int = 50) -> DataFrame:
-    """One hinge-loss separator for each class against the rest."""
+def linear_svm(train: DataFrame, test: DataFrame, c: float = 1.0, max_iter: int = 100) -> DataFrame:
+    """One hinge-loss separator for each class against the rest; the optimiser stops after
+    ``max_iter`` steps at the latest."""
     n = max(1, train.count())
     return _fit_predict(OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=1.0 / (c * n), standardization=False), labelCol="y", parallelism=4), train, test)
 
@@ -106,14 +112,23 @@ def rbf_svm(train: DataFrame, test: DataFrame, c: float = 1.0) -> DataFrame:
     label; gamma is 1 / (width * variance of all entries).
 
     Pairs of classes are rows: each machine is fitted where its two classes meet and judges
-    the test rows in blocks, so only single pairs of classes have to fit into a task.
+    the test rows in blocks, so only single pairs of classes have to fit into a task. Classes
+    are numbered, so that pairs and blocks meet by equal numbers.
     """
     long = train.select(F.explode("features").alias("v"))
     width = train.select(F.size("features").alias("n")).first()["n"]
     gamma = 1.0 / (width * max(long.agg(F.var_pop("v").alias("s")).first()["s"], 1e-12))
     rows = train.select(F.col("label").cast("string").alias("label"), F.col("features").alias("v")).groupBy("label").agg(F.collect_list("v").alias("rows"))
-    pairs = rows.alias("a").join(rows.alias("b"), F.col("a.label") < F.col("b.label")).select(F.col("a.label").alias("la"), F.col("b.label").alias("lb"), F.col("a.rows").alias("ra"), F.col("b.rows").alias("rb"))
-    blocks = test.select("entry", "features", F.pmod(F.xxhash64("entry"), F.lit(max(1, test.count() // 2000))).alias("t")).groupBy("t").agg(F.collect_list(F.struct("entry", "features")).alias("own"))
+    labels = [r["label"] for r in rows.select("label").orderBy("label").collect()]
+    if len(labels) < 2:
+        return test.select(F.col("entry").alias("query"), F.lit(labels[0] if labels else None).cast("string").alias("pred"))
+    number = F.array_position(F.lit(labels), F.col("label")).cast("int")
+    n_blocks = max(1, test.count() // 2000)
+    last, every = F.lit(len(labels)), F.sequence(F.lit(0), F.lit(n_blocks - 1))
+    left = rows.where(number < last).select(F.col("label").alias("la"), F.col("rows").alias("ra"), F.explode(F.sequence(number + 1, last)).alias("b"))
+    right = rows.select(F.col("label").alias("lb"), F.col("rows").alias("rb"), number.alias("b"))
+    pairs = left.join(right, "b").select("la", "ra", "lb", "rb", F.explode(every).alias("t"))
+    blocks = test.select("entry", "features", F.pmod(F.xxhash64("entry"), F.lit(n_blocks)).cast("int").alias("t")).groupBy("t").agg(F.collect_list(F.struct("entry", "features")).alias("own"))
 
     def judged(frames):
         for pdf in frames:
@@ -129,7 +144,7 @@ def rbf_svm(train: DataFrame, test: DataFrame, c: float = 1.0) -> DataFrame:
             if out:
                 yield pd.concat(out)
 
-    votes = pairs.join(F.broadcast(blocks) if blocks.count() <= 64 else blocks).mapInPandas(judged, "query string, label string").groupBy("query", "label").agg(F.count("*").alias("n"))
+    votes = pairs.join(blocks, "t").select("la", "lb", "ra", "rb", "own").mapInPandas(judged, "query string, label string").groupBy("query", "label").agg(F.count("*").alias("n"))
     return votes.groupBy("query").agg(F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("pred"))
 
 

@@ -7,8 +7,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of the all-pairs product.
-BLOCK = 4096
+from protolens.operators.relational import last_label
+
+#: Rows of a block of the all-pairs product, and of a slice of it that is held at a time.
+BLOCK, SLICE = 4096, 512
 _PAIRS = pa.schema([("by", pa.string()), ("query", pa.string()), ("target", pa.string()), ("sim", pa.float64())])
 
 
@@ -22,23 +24,39 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1.0)
 
 
+def _best(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, value) of the ``k`` greatest of each row, ties to the smaller column."""
+    k = min(k, sim.shape[1])
+    least = np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k]
+    row, column = np.nonzero(sim >= least[:, None])
+    value = sim[row, column]
+    order = np.lexsort((column, -value, row))
+    row, column, value = row[order], column[order], value[order]
+    first = np.searchsorted(row, np.arange(len(sim)))
+    keep = np.arange(len(row)) - first[row] < k
+    return row[keep], column[keep], value[keep]
+
+
 def _cell(metric: str, k: int):
     def block(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _PAIRS.empty_table()
         a, b = _matrix(left), _matrix(right)
-        if metric == "cosine":
-            sim = _unit(a) @ _unit(b).T
-        else:
-            sim = -np.sqrt(np.maximum(0, np.stack([((b - x) ** 2).sum(1) for x in a])))
-        sim = np.round(sim, 6) + 0.0
         names = np.array(right.column("entry").to_pylist(), object)
         order = np.argsort(names, kind="stable")
-        sim, names = sim[:, order], names[order]
-        best = np.argsort(-sim, axis=1, kind="stable")[:, : min(k, sim.shape[1])]
-        rows = np.arange(len(a))[:, None]
-        queries = np.repeat(np.array(left.column("entry").to_pylist(), object), best.shape[1])
-        return pa.Table.from_arrays([pa.repeat(key[0], len(queries)), pa.array(queries.tolist(), pa.string()), pa.array(names[best].ravel().tolist(), pa.string()), pa.array(sim[rows, best].ravel())], schema=_PAIRS)
+        b, names = b[order], names[order]
+        if metric == "cosine":
+            a, b = _unit(a), _unit(b)
+        found = []
+        step = SLICE if metric == "cosine" else max(1, (SLICE << 12) // b.size)
+        for at in range(0, len(a), step):
+            x = a[at : at + step]
+            sim = x @ b.T if metric == "cosine" else -np.sqrt(((b[None] - x[:, None]) ** 2).sum(2))
+            rows, targets, values = _best(np.round(sim, 6) + 0.0, k)
+            found.append((rows + at, targets, values))
+        rows, targets, values = (np.concatenate(c) for c in zip(*found, strict=True))
+        queries = np.array(left.column("entry").to_pylist(), object)[rows]
+        return pa.Table.from_arrays([pa.repeat(key[0], len(queries)), pa.array(queries.tolist(), pa.string()), pa.array(names[targets].tolist(), pa.string()), pa.array(values)], schema=_PAIRS)
 
     return block
 
@@ -85,9 +103,11 @@ def top_k(hits: DataFrame, k: int, by: str = "bits", tie: str = "target", min_pr
 
 
 def top_1(hits: DataFrame, labels: DataFrame) -> DataFrame:
-    """(query, pred, prob) of each query's best hit; pred is null if its target has no label."""
+    """(query, pred, prob) of each query's best hit; pred is null if its target has no label, and
+    the last label of a repeated entry."""
     best = top_k(hits, 1).select("query", "target", "bits", "prob")
-    return best.join(labels.select(F.col("entry").alias("target"), F.col("label").alias("pred")), "target", "left").select("query", "target", "pred", "prob")
+    own = last_label(labels) if "row_no" in labels.columns else labels.groupBy("entry").agg(F.max("label").alias("label"))
+    return best.join(own.select(F.col("entry").alias("target"), F.col("label").alias("pred")), "target", "left").select("query", "target", "pred", "prob")
 
 
 def best_residues(residues: DataFrame, k: int) -> DataFrame:
@@ -135,13 +155,15 @@ def argmax_label(matrix: DataFrame, queries: DataFrame, targets: DataFrame, gues
     return out.withColumn("k", F.lit(1)).join(first.withColumn("k", F.lit(1)), "k", "left").select("query", F.coalesce("pred", "first").alias("pred"))
 
 
-def as_vectors(matrix: DataFrame, targets: DataFrame, width: int) -> DataFrame:
-    """Affinity rows as sparse vectors over target row numbers, for model fitting."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    numbered = matrix.join(targets.select(F.col("entry").alias("target"), F.col("row_no").cast("int").alias("pos")), "target")
-    lists = numbered.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("cells"))
-    make = F.udf(lambda cells: SparseVector(width, [c["pos"] for c in cells], [c["value"] for c in cells]), VectorUDT())
-    return lists.select(F.col("query").alias("entry"), make("cells").alias("vector"))
+def affinity_features(matrix: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """(entry, label, features): affinity rows over target row numbers, for model fitting; a query
+    without hits is a row of zeros. The width is the largest row number and one."""
+    width = (targets.agg(F.max("row_no")).first()[0] or 0) + 1
+    numbered = matrix.join(targets.select(F.col("entry").alias("target"), F.col("row_no").alias("pos")), "target")
+    lists = numbered.groupBy("query").agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("cells"))
+    own = queries.select("entry", "label").join(lists.withColumnRenamed("query", "entry"), "entry", "left")
+    cells = F.coalesce("cells", F.create_map().cast("map<bigint,double>"))
+    features = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")), lambda i: F.coalesce(F.try_element_at(cells, i), F.lit(0.0)))
+    return own.select("entry", "label", features.alias("features"))
 
 

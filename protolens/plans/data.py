@@ -13,8 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """More partitions before costly work per row: a file of one row group is one partition."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    """At least as many partitions as cores before costly work per row: a file of one row group
+    is one partition. Tables that are read in as many stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -35,6 +37,6 @@ def sequences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The embeddings as residues of chains: three dimensions for a place, a fourth for the
-    confidence, 20 letters."""
+    confidence, 20 letters. A chain has one label and at most 1,000 residues."""
     at = lambda i: (F.element_at("embedding", i).cast("double") * 40).alias
-    return table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("entry"), F.col("vec_id").alias("i"), at(1)("x"), at(2)("y"), at(3)("z"), F.element_at("embedding", 4).cast("double").alias("b"), F.expr("substr('ACDEFGHIKLMNPQRSTVWY', cast(vec_id % 20 as int) + 1, 1)").alias("letter"))
+    return table(spark, sf_dir, "embeddings").select(F.concat_ws("/", F.col("label").cast("string"), F.floor(F.col("vec_id") / 1000).cast("string")).alias("entry"), F.col("vec_id").alias("i"), at(1)("x"), at(2)("y"), at(3)("z"), F.element_at("embedding", 4).cast("double").alias("b"), F.expr("substr('ACDEFGHIKLMNPQRSTVWY', cast(vec_id % 20 as int) + 1, 1)").alias("letter"))

@@ -15,6 +15,7 @@ from protolens.plans.data import table, vectors
 from protolens.plans.retrieval_queries import _NCM, _V, f1_sql, knn_sql
 
 WIDTHS = [("g1", 16), ("g2", 40), ("g3", 8)]
+ABLATED = ["ncm", "knn_cos_1", "knn_cos_3", "knn_cos_5"]
 COLUMNS = [(f"{g}_{i}", g) for g, n in WIDTHS for i in range(n)]
 
 
@@ -57,7 +58,7 @@ def slice_groups(spark, sf_dir):
 
 def align_inner(spark, sf_dir):
     v = _both(spark, sf_dir)
-    a, b = v.where("row_no % 3 <> 0"), v.where("row_no % 4 <> 0")
+    a, b = v.where("features[0] > 0"), v.where("features[1] > 0")  # tables that overlap in part
     half = lambda d, i: d.select("split", "entry", "label", X.slice_range(F.col("features"), i, i + 4).alias("features"))
     return _values(J.align(half(a, 0), half(b, 8), ["split", "entry"]))
 
@@ -126,28 +127,18 @@ def report_union(spark, sf_dir):
 
 
 def ablation(spark, sf_dir):
-    return G.ablate(*vectors(spark, sf_dir), COLUMNS, ["ncm", "knn_cos_1"])
+    return G.ablate(*vectors(spark, sf_dir), COLUMNS, ABLATED)
 
 
 def ablation_pivot(spark, sf_dir):
-    return G.pivoted(ablation(spark, sf_dir), "features", "method", ["ncm", "knn_cos_1"])
+    return G.pivoted(ablation(spark, sf_dir), "features", "method", ABLATED)
 
 
 def clean_letters(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", S.clean(F.col("text"), 100).alias("letters"))
-
-
-def model_inputs(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", S.clean(F.col("text"), 60, ascii_only=True).alias("s"))
-    return d.select("doc_id", S.model_input(F.col("s"), "aa").alias("aa"), S.model_input(F.col("s"), "3di").alias("di"))
-
-
-def clean_letters_whole(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.clean(F.col("text")).alias("letters"))
 
 
-def model_inputs_whole(spark, sf_dir):
+def model_inputs(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", S.clean(F.col("text"), ascii_only=True).alias("s"))
     return d.select("doc_id", S.model_input(F.col("s"), "aa").alias("aa"), S.model_input(F.col("s"), "3di").alias("di"))
 
@@ -166,7 +157,7 @@ def lr_predict(spark, sf_dir):
 
 
 def rf_predict(spark, sf_dir):
-    return M.random_forest(*vectors(spark, sf_dir), trees=20, balanced=True)
+    return M.random_forest(*vectors(spark, sf_dir), trees=100, balanced=True)
 
 
 def svc_linear(spark, sf_dir):
@@ -191,7 +182,7 @@ def _ablation_sql() -> str:
     for name, own in _ORD.items():
         pick = f"[{', '.join(f'f[{i + 1}]' for i in own)}]"
         base = _V.replace("list_transform(embedding, lambda x: x::DOUBLE) AS f", f"(SELECT {pick} FROM (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS f)) AS f")
-        for method, preds in (("ncm", "SELECT * FROM ncm"), ("knn_cos_1", knn_sql(1))):
+        for method, preds in (("ncm", "SELECT * FROM ncm"), *((f"knn_cos_{k}", knn_sql(k)) for k in (1, 3, 5))):
             parts.append(f"SELECT '{name}' AS features, '{method}' AS method, weighted_f1 FROM (WITH {base}{_NCM}, truth AS (SELECT entry AS query, label AS \"true\" FROM te), p AS ({preds}), j AS (SELECT \"true\", coalesce(pred, '__none__') AS pred FROM truth LEFT JOIN p USING (query)) {f1_sql('j')})")
     return " UNION ALL ".join(parts)
 
@@ -210,7 +201,7 @@ QUERIES = {
     "union_splits": union_splits, "l2norm": l2norm, "standardize": standardize, "standardize_without_mean": standardize_without_mean, "concat_blocks": concat_blocks, "slice_groups": slice_groups,
     "align_inner": align_inner, "align_strict": align_strict, "label_mismatch": label_mismatch, "known_label_semi": known_label_semi, "unseen_anti": unseen_anti, "look_up_left": look_up_left,
     "status_counts": status_counts, "status_coverage": status_coverage, "not_like": not_like, "threshold_filter": threshold_filter, "dropna_distinct": dropna_distinct, "report_union": report_union,
-    "ablation": ablation, "ablation_pivot": ablation_pivot, "clean_letters": clean_letters, "model_inputs": model_inputs, "clean_letters_whole": clean_letters_whole, "model_inputs_whole": model_inputs_whole, "slugs": slugs, "class_means": class_means,
+    "ablation": ablation, "ablation_pivot": ablation_pivot, "clean_letters": clean_letters, "model_inputs": model_inputs, "slugs": slugs, "class_means": class_means,
     "lr_predict": lr_predict, "rf_predict": rf_predict, "svc_linear": svc_linear, "svc_rbf": svc_rbf, "suite": suite,
 }
 
@@ -221,7 +212,7 @@ ORACLES = {
     "standardize_without_mean": _scale_sql("x / d"),
     "concat_blocks": f"WITH {_ALL}, a AS (SELECT entry, label, f[1:16] AS f FROM v), b AS (SELECT entry, label, f[17:64] AS f FROM v), x AS {_NORM.format('a')}, y AS {_NORM.format('b')}, c AS (SELECT x.entry, list_concat(x.f, y.f) AS f FROM x JOIN y USING (entry)) {_LONG('c')}",
     "slice_groups": f"WITH {_ALL}, c AS (SELECT entry, list_concat(f[1:16], f[57:64]) AS f FROM v) {_LONG('c')}",
-    "align_inner": f"WITH {_ALL}, c AS (SELECT entry, list_concat(f[1:4], f[9:12]) AS f FROM v WHERE row_no % 3 <> 0 AND row_no % 4 <> 0) {_LONG('c')}",
+    "align_inner": f"WITH {_ALL}, c AS (SELECT entry, list_concat(f[1:4], f[9:12]) AS f FROM v WHERE f[1] > 0 AND f[2] > 0) {_LONG('c')}",
     "align_strict": "SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey",
     "label_mismatch": "SELECT doc_id, quality AS label, toxic AS other FROM labels WHERE quality IS DISTINCT FROM toxic",
     "known_label_semi": f"WITH {_DOCS} SELECT * FROM te WHERE label IN (SELECT label FROM tr)",
@@ -234,11 +225,9 @@ ORACLES = {
     "dropna_distinct": "SELECT source, count(DISTINCT (lang, quality)) AS n FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY source",
     "report_union": f"SELECT split, status, n, NULL::BIGINT AS total, NULL::BIGINT AS covered FROM ({_COUNTS}) UNION ALL SELECT split, NULL, NULL, total, covered FROM ({_COVER})",
     "ablation": _ablation_sql(),
-    "ablation_pivot": f"SELECT features, max(weighted_f1) FILTER (method = 'ncm') AS ncm, max(weighted_f1) FILTER (method = 'knn_cos_1') AS knn_cos_1 FROM ({_ablation_sql()}) GROUP BY features",
-    "clean_letters": r"SELECT doc_id, left(upper(replace(regexp_replace(text, '[^\p{L}]', '', 'g'), 'ß', 'SS')), 100) AS letters FROM documents",
-    "model_inputs": "WITH d AS (SELECT doc_id, left(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 60) AS s FROM documents) SELECT doc_id, '<AA2fold> ' || rtrim(regexp_replace(regexp_replace(s, '[UZOB]', 'X', 'g'), '(.)', '\\1 ', 'g')) AS aa, '<fold2AA> ' || rtrim(regexp_replace(lower(s), '(.)', '\\1 ', 'g')) AS di FROM d",
-    "clean_letters_whole": r"SELECT doc_id, upper(replace(regexp_replace(text, '[^\p{L}]', '', 'g'), 'ß', 'SS')) AS letters FROM documents",
-    "model_inputs_whole": "WITH d AS (SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS s FROM documents) SELECT doc_id, '<AA2fold> ' || rtrim(regexp_replace(regexp_replace(s, '[UZOB]', 'X', 'g'), '(.)', '\\1 ', 'g')) AS aa, '<fold2AA> ' || rtrim(regexp_replace(lower(s), '(.)', '\\1 ', 'g')) AS di FROM d",
+    "ablation_pivot": f"SELECT features, {', '.join(f"max(weighted_f1) FILTER (method = '{m}') AS {m}" for m in ABLATED)} FROM ({_ablation_sql()}) GROUP BY features",
+    "clean_letters": r"SELECT doc_id, upper(replace(regexp_replace(text, '[^\p{L}]', '', 'g'), 'ß', 'SS')) AS letters FROM documents",
+    "model_inputs": "WITH d AS (SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS s FROM documents) SELECT doc_id, '<AA2fold> ' || rtrim(regexp_replace(regexp_replace(s, '[UZOB]', 'X', 'g'), '(.)', '\\1 ', 'g')) AS aa, '<fold2AA> ' || rtrim(regexp_replace(lower(s), '(.)', '\\1 ', 'g')) AS di FROM d",
     "slugs": r"SELECT page_id, trim(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '_') AS slug, replace(regexp_replace(regexp_extract(url, '([^/\\]*)$', 1), '(.)\.[^.]*$', '\1'), '.pdb', '') AS stem FROM pages",
     "class_means": f"WITH {_V}{_NCM}, x AS {_NORM.format('(SELECT label AS entry, label, f FROM m0)')} {_LONG('x')}",
 }

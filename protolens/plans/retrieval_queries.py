@@ -12,7 +12,8 @@ from protolens.operators import retrieval as R
 from protolens.operators import vote as V
 from protolens.plans.data import truth, vectors
 
-KS, THRESHOLDS, MIN_PROBS = [1, 3, 5, 10, 20], [0.3, 0.5, 0.7, 0.9], [0.0, 0.6, 0.65]
+KS, THRESHOLDS, MIN_PROBS = [1, 3, 5, 10, 20], [0.3, 0.5, 0.7, 0.9], [0.0, 0.6, 0.65, 0.7]
+SWEEP_KS, BACKED = [1, 3, 5], ["bits", "alntmscore"]
 
 
 def _hits(spark: SparkSession, sf_dir: str, k: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -52,17 +53,20 @@ def vote_f1_predicted_only(spark, sf_dir):
 
 def sweep_vote(spark, sf_dir):
     train, test, hits = _hits(spark, sf_dir)
-    return A.evaluate(truth(test), V.vote_sweep(hits, train, KS, V.WEIGHTS), ["k", "weight"])
+    return A.evaluate(truth(test), V.vote_sweep(hits, train, KS, V.WEIGHTS), ["k", "weight"], A.combinations(k=KS, weight=V.WEIGHTS))
 
 
 def sweep_vote_fallback(spark, sf_dir):
-    """k x weight x threshold with the nearest mean as fallback."""
+    """k x weight x threshold alone (60), and with the nearest mean as fallback (18)."""
     train, test, hits = _hits(spark, sf_dir)
-    found = V.vote_sweep(hits, train, [1, 3, 5], ["bits", "prob"], MIN_PROBS).select("k", "weight", "min_prob", "query", F.col("pred").alias("r"))
-    configs = found.select("k", "weight", "min_prob").distinct()
+    found = V.vote_sweep(hits, train, SWEEP_KS, V.WEIGHTS, MIN_PROBS).select("k", "weight", "min_prob", "query", F.col("pred").alias("r"))
     model = M.nearest_mean(train, test).select("query", F.col("pred").alias("m"))
-    full = model.join(F.broadcast(configs)).join(found, ["k", "weight", "min_prob", "query"], "left")
-    return A.evaluate(truth(test), full.select("k", "weight", "min_prob", "query", F.coalesce("r", "m").alias("pred")), ["k", "weight", "min_prob"])
+    by = ["k", "weight", "min_prob"]
+    alone, backed = A.combinations(k=SWEEP_KS, weight=V.WEIGHTS, min_prob=MIN_PROBS), A.combinations(k=SWEEP_KS, weight=BACKED, min_prob=MIN_PROBS[:3])
+    preds = A.with_truth(test.select(F.col("entry").alias("query"), F.lit("").alias("true")), found.withColumnRenamed("r", "pred"), by, alone).select(*by, "query", F.expr(f"nullif(pred, '{A.MISSING}')").alias("pred"))
+    first = A.evaluate(truth(test), preds, by, alone).withColumn("fallback", F.lit("none"))
+    both = preds.join(model, "query", "left").select(*by, "query", F.coalesce("pred", "m").alias("pred"))
+    return first.unionByName(A.evaluate(truth(test), both, by, backed).withColumn("fallback", F.lit("ncm")))
 
 
 def best_config(spark, sf_dir):
@@ -101,7 +105,7 @@ def gate_0_65(spark, sf_dir):
 
 def gate_sweep_f1(spark, sf_dir):
     q, test, r, v = _voters(spark, sf_dir)
-    return A.evaluate(truth(test), N.gate_sweep(q, r, v[2], THRESHOLDS), ["threshold"])
+    return A.evaluate(truth(test), N.gate_sweep(q, r, v[2], THRESHOLDS), ["threshold"], A.combinations(threshold=THRESHOLDS))
 
 
 def coverage(spark, sf_dir):
@@ -120,7 +124,8 @@ def agreement_prefer_model(spark, sf_dir):
 
 def layered(spark, sf_dir):
     q, _, r, v = _voters(spark, sf_dir)
-    return N.layered(q, r.where("prob >= 0.9"), v[1].where("query % 10 = 0"), v[2])
+    """Sure retrievals, then neighbours where the retrieval is less sure, then the class means."""
+    return N.layered(q, r.where("prob >= 0.72"), v[1].join(r.where("prob >= 0.68"), "query", "left_semi"), v[2])
 
 
 def majority(spark, sf_dir):
@@ -222,7 +227,8 @@ gated AS (SELECT query, CASE WHEN prob >= 0.65 THEN r.pred ELSE ncm.pred END AS
 head AS (SELECT query, CASE WHEN prob >= 0.65 THEN r.pred ELSE maj.pred END AS pred, CASE WHEN prob >= 0.65 THEN 'retrieval' ELSE 'fallback' END AS source FROM r JOIN maj USING (query))"""
 _EACH = " UNION ALL ".join(f"SELECT {k} AS k, '{w}' AS weight, query, label, rk, {w}::DOUBLE AS w FROM hits WHERE rk <= {k}" for k in KS for w in V.WEIGHTS)
 _SWEEP = f"WITH {_HITS}, each AS ({_EACH}), preds AS ({vote_sql('each', 'w', 'k, weight, query')}), conf AS (SELECT DISTINCT k, weight FROM preds), j AS (SELECT conf.k, conf.weight, \"true\", coalesce(pred, '__none__') AS pred FROM conf CROSS JOIN truth LEFT JOIN preds ON preds.k = conf.k AND preds.weight = conf.weight AND preds.query = truth.query)"
-_EACH3 = " UNION ALL ".join(f"SELECT {k} AS k, '{w}' AS weight, {t}::DOUBLE AS min_prob, query, label, row_number() OVER (PARTITION BY query ORDER BY bits DESC, target) AS rk, {w}::DOUBLE AS w FROM hits WHERE {t} <= 0 OR prob >= {t} QUALIFY row_number() OVER (PARTITION BY query ORDER BY bits DESC, target) <= {k}" for k in (1, 3, 5) for w in ("bits", "prob") for t in MIN_PROBS)
+_EACH3 = " UNION ALL ".join(f"SELECT {k} AS k, '{w}' AS weight, {t}::DOUBLE AS min_prob, query, label, row_number() OVER (PARTITION BY query ORDER BY bits DESC, target) AS rk, {w}::DOUBLE AS w FROM hits WHERE {t} <= 0 OR prob >= {t} QUALIFY row_number() OVER (PARTITION BY query ORDER BY bits DESC, target) <= {k}" for k in SWEEP_KS for w in V.WEIGHTS for t in MIN_PROBS)
+_CONF = "(" + " UNION ALL ".join(f"SELECT {k} AS k, '{w}' AS weight, {t}::DOUBLE AS min_prob, '{b}' AS fallback" for b, ws, ts in (("none", V.WEIGHTS, MIN_PROBS), ("ncm", BACKED, MIN_PROBS[:3])) for k in SWEEP_KS for w in ws for t in ts) + ")"
 
 QUERIES = {
     "topk_hits": topk_hits, "top1": top1, "vote_k5_bits": vote_k5_bits, "vote_k10_lddt_min_prob": vote_k10_lddt_min_prob, "vote_f1": vote_f1,
@@ -242,7 +248,7 @@ ORACLES = {
     "vote_f1": f"WITH {_HITS}, p AS ({vote_sql('(SELECT * FROM hits WHERE rk <= 5)', 'bits')}), j AS ({judged_sql('p')}) {f1_sql('j')}",
     "vote_f1_predicted_only": f"WITH {_HITS}, x AS (SELECT query, label, bits, row_number() OVER (PARTITION BY query ORDER BY bits DESC, target) AS rk FROM hits WHERE prob >= 0.65 QUALIFY row_number() OVER (PARTITION BY query ORDER BY bits DESC, target) <= 5), p AS ({vote_sql('x', 'bits')}), j AS (SELECT \"true\", pred FROM truth JOIN p USING (query)) {f1_sql('j', counts=False)}",
     "sweep_vote": f"{_SWEEP} {f1_sql('j', 'k, weight')}",
-    "sweep_vote_fallback": f"WITH {_HITS}{_NCM}, each AS ({_EACH3}), preds AS ({vote_sql('each', 'w', 'k, weight, min_prob, query')}), conf AS (SELECT DISTINCT k, weight, min_prob FROM preds), j AS (SELECT conf.k, conf.weight, conf.min_prob, \"true\", coalesce(p.pred, ncm.pred) AS pred FROM conf CROSS JOIN truth JOIN ncm ON ncm.query = truth.query LEFT JOIN preds p ON p.k = conf.k AND p.weight = conf.weight AND p.min_prob = conf.min_prob AND p.query = truth.query) {f1_sql('j', 'k, weight, min_prob')}",
+    "sweep_vote_fallback": f"WITH {_HITS}{_NCM}, each AS ({_EACH3}), preds AS ({vote_sql('each', 'w', 'k, weight, min_prob, query')}), conf AS {_CONF}, j AS (SELECT conf.k, conf.weight, conf.min_prob, conf.fallback, \"true\", coalesce(p.pred, CASE WHEN fallback = 'ncm' THEN ncm.pred END, '__none__') AS pred FROM conf CROSS JOIN truth JOIN ncm ON ncm.query = truth.query LEFT JOIN preds p ON p.k = conf.k AND p.weight = conf.weight AND p.min_prob = conf.min_prob AND p.query = truth.query) {f1_sql('j', 'k, weight, min_prob, fallback')}",
     "best_config": f"{_SWEEP} SELECT * FROM ({f1_sql('j', 'k, weight')}) ORDER BY weighted_f1 DESC, k, weight LIMIT 1",
     "ncm": f"WITH {_HITS}{_NCM} SELECT * FROM ncm",
     **{f"knn_cos_{k}": f"WITH {_V} {knn_sql(k)}" for k in (1, 3, 5)},
@@ -256,7 +262,7 @@ ORACLES = {
     "coverage": f"WITH {_VOTERS} SELECT count(*) FILTER (source = 'retrieval') AS n_retrieval, count(*) FILTER (source = 'fallback') AS n_fallback, count(*) FILTER (source IS NULL) AS n_none FROM gated",
     "agreement_prefer_retrieval": f"WITH {_VOTERS} SELECT query, pred FROM r",
     "agreement_prefer_model": f"WITH {_VOTERS} SELECT query, pred FROM ncm",
-    "layered": f"WITH {_VOTERS} SELECT query, CASE WHEN prob >= 0.9 THEN r.pred WHEN query::BIGINT % 10 = 0 THEN k5.pred ELSE ncm.pred END AS pred FROM r JOIN k5 USING (query) JOIN ncm USING (query)",
+    "layered": f"WITH {_VOTERS} SELECT query, CASE WHEN prob >= 0.72 THEN r.pred WHEN prob >= 0.68 THEN k5.pred ELSE ncm.pred END AS pred FROM r JOIN k5 USING (query) JOIN ncm USING (query)",
     "majority": f"WITH {_VOTERS} SELECT * FROM maj",
     "majority_of_two": f"WITH {_VOTERS} SELECT * FROM ncm",
     "headline_ensemble": f"WITH {_VOTERS} SELECT * FROM head",

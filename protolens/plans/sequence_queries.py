@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from protolens.functions import sequence as S
@@ -13,7 +16,7 @@ from protolens.plans.retrieval_queries import f1_sql
 from protolens.schemas import AMINO, AROMATIC, HYDROPATHY
 
 K, MEMBERS, ENRICHMENT = 4, 3, 5.0
-SWEEP_MEMBERS, SWEEP_ENRICHMENT = [2, 3, 4], [2.0, 5.0, 10.0]
+SWEEP_K, SWEEP_MEMBERS, SWEEP_ENRICHMENT = [4, 5, 6, 7, 8], [3, 4, 5], [2.0, 5.0, 10.0]
 
 
 def _all(spark, sf_dir):
@@ -61,7 +64,7 @@ def motif_background(spark, sf_dir):
 
 def _motifs(spark, sf_dir):
     train, test = _train(spark, sf_dir)
-    return train, test, O.discover(O.kmer_presence(train, K), train, MEMBERS, ENRICHMENT)
+    return train, test, O.discover(O.kmer_presence(train, K, keys=("entry", "label")), train, MEMBERS, ENRICHMENT)
 
 
 def motif_discover(spark, sf_dir):
@@ -95,8 +98,11 @@ def motif_f1(spark, sf_dir):
 
 def sweep_motif(spark, sf_dir):
     train, test = _train(spark, sf_dir)
-    preds = O.sweep(O.kmer_presence(train, K), train, SWEEP_MEMBERS, SWEEP_ENRICHMENT, O.kmer_counts(test, K))
-    return A.evaluate(truth(test), preds, ["min_members", "min_enrichment"])
+    every = lambda made: reduce(DataFrame.unionByName, map(made, SWEEP_K))
+    held, tests = every(lambda k: O.kmer_presence(train, k, keys=("entry", "label"))), every(lambda k: O.kmer_counts(test, k))
+    preds = O.sweep(held, train, SWEEP_MEMBERS, SWEEP_ENRICHMENT, tests)
+    configs = A.combinations(k=SWEEP_K, min_members=SWEEP_MEMBERS, min_enrichment=SWEEP_ENRICHMENT)
+    return A.evaluate(truth(test), preds, ["k", "min_members", "min_enrichment"], configs)
 
 
 def motifs_per_class(spark, sf_dir):
@@ -140,12 +146,13 @@ mot AS (SELECT *, log2(enrichment) AS weight FROM enr WHERE size >= {MEMBERS} AN
 sc AS (SELECT kc.entry AS query, class, round(sum(round(weight, 9) * n), 6) AS score FROM kc JOIN te USING (entry) JOIN mot USING (motif) GROUP BY ALL),
 ord AS (SELECT label AS class, min(row_no) AS ordinal FROM tr GROUP BY label), truth AS (SELECT entry AS query, label AS "true" FROM te),
 pr AS (SELECT query, first(class ORDER BY score DESC, ordinal) AS pred, max(score) AS score FROM sc JOIN ord USING (class) WHERE score > 0 GROUP BY query)"""
-_SW = f"""{_M}, conf AS (SELECT m AS min_members, e AS min_enrichment FROM (SELECT unnest({SWEEP_MEMBERS}) AS m), (SELECT unnest({SWEEP_ENRICHMENT})::DOUBLE AS e)),
-sm AS (SELECT min_members, min_enrichment, class, motif, log2(enrichment) AS weight FROM enr JOIN conf ON size >= min_members AND held >= min_members AND round(enrichment, 9) >= min_enrichment),
-ss AS (SELECT min_members, min_enrichment, kc.entry AS query, class, round(sum(weight * n), 6) AS score FROM kc JOIN te USING (entry) JOIN sm USING (motif) GROUP BY ALL),
-sp AS (SELECT min_members, min_enrichment, query, first(class ORDER BY score DESC, ordinal) AS pred FROM ss JOIN ord USING (class) WHERE score > 0 GROUP BY ALL),
-j AS (SELECT conf.min_members, conf.min_enrichment, "true", coalesce(pred, '__none__') AS pred FROM conf CROSS JOIN truth LEFT JOIN sp ON sp.min_members = conf.min_members AND sp.min_enrichment = conf.min_enrichment AND sp.query = truth.query)"""
-_P = """p AS (SELECT label::VARCHAR AS entry, vec_id AS i, embedding[1]::DOUBLE * 40 AS x, embedding[2]::DOUBLE * 40 AS y, embedding[3]::DOUBLE * 40 AS z, embedding[4]::DOUBLE AS b, substr('ACDEFGHIKLMNPQRSTVWY', (vec_id % 20)::INT + 1, 1) AS l FROM embeddings)"""
+_MANY = "kc AS (" + " UNION ALL ".join(f"SELECT entry, motif, count(*) AS n FROM (SELECT entry, unnest(list_transform(range(1, length(s) - {k - 2}), lambda i: substr(s, i, {k}))) AS motif FROM s) GROUP BY ALL" for k in SWEEP_K) + ")"
+_SW = f"""{_M.replace(_K(K), _MANY)}, conf AS (SELECT k::INT AS k, m AS min_members, e AS min_enrichment FROM (SELECT unnest({SWEEP_K}) AS k), (SELECT unnest({SWEEP_MEMBERS}) AS m), (SELECT unnest({SWEEP_ENRICHMENT})::DOUBLE AS e)),
+sm AS (SELECT k, min_members, min_enrichment, class, motif, log2(enrichment) AS weight FROM enr JOIN conf ON length(motif) = k AND size >= min_members AND held >= min_members AND round(enrichment, 9) >= min_enrichment),
+ss AS (SELECT k, min_members, min_enrichment, kc.entry AS query, class, round(sum(weight * n), 6) AS score FROM kc JOIN te USING (entry) JOIN sm USING (motif) GROUP BY ALL),
+sp AS (SELECT k, min_members, min_enrichment, query, first(class ORDER BY score DESC, ordinal) AS pred FROM ss JOIN ord USING (class) WHERE score > 0 GROUP BY ALL),
+j AS (SELECT conf.k, conf.min_members, conf.min_enrichment, "true", coalesce(pred, '__none__') AS pred FROM conf CROSS JOIN truth LEFT JOIN sp ON sp.k = conf.k AND sp.min_members = conf.min_members AND sp.min_enrichment = conf.min_enrichment AND sp.query = truth.query)"""
+_P = """p AS (SELECT label::VARCHAR || '/' || (vec_id // 1000)::VARCHAR AS entry, vec_id AS i, embedding[1]::DOUBLE * 40 AS x, embedding[2]::DOUBLE * 40 AS y, embedding[3]::DOUBLE * 40 AS z, embedding[4]::DOUBLE AS b, substr('ACDEFGHIKLMNPQRSTVWY', (vec_id % 20)::INT + 1, 1) AS l FROM embeddings)"""
 _D = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
 _PAIRS = f"{_P}, pr AS (SELECT a.entry, array_to_string(list_sort([a.l, b.l]), ',') AS motif, array_to_string(list_sort([a.l || lower(a.l), b.l || lower(b.l)]), ',') AS joint FROM p a JOIN p b ON a.entry = b.entry AND b.i - a.i >= 6 AND {_D} <= 9.0)"
 _E = lambda a, b: "sqrt(" + " + ".join(f"({a}.{c} - {b}.{c}) * ({a}.{c} - {b}.{c})" for c in "xyz") + ")"
@@ -173,7 +180,7 @@ ORACLES = {
     "motif_score_presence": f"WITH {_M} SELECT kc.entry AS query, class, round(sum(round(weight, 9)), 6) AS score FROM kc JOIN te USING (entry) JOIN mot USING (motif) GROUP BY ALL",
     "motif_predict": f"WITH {_M} SELECT * FROM pr",
     "motif_f1": f"WITH {_M}, j AS (SELECT \"true\", coalesce(pred, '__none__') AS pred FROM truth LEFT JOIN pr USING (query)) {f1_sql('j')}",
-    "sweep_motif": f"WITH {_SW} {f1_sql('j', 'min_members, min_enrichment')}",
+    "sweep_motif": f"WITH {_SW} {f1_sql('j', 'k, min_members, min_enrichment')}",
     "motifs_per_class": f"WITH {_M} SELECT round(coalesce(avg(n), 0), 6) AS avg_motifs FROM (SELECT count(*) AS n FROM mot GROUP BY class)",
     "spatial_pairs": f"WITH {_PAIRS} SELECT DISTINCT entry, motif FROM pr",
     "spatial_pair_counts": f"WITH {_PAIRS} SELECT entry, motif, count(*) AS n FROM pr GROUP BY ALL",

@@ -41,9 +41,9 @@ def test_oracle(spark, tables, name):
 
 
 def test_whole_texts(spark):
-    """Letters beyond the prefixes of clean_letters and model_inputs are there."""
-    letters = {r["doc_id"]: r["letters"] for r in entry.queries()["clean_letters_whole"](spark, DIR).collect()}
-    inputs = entry.queries()["model_inputs_whole"](spark, DIR).collect()
+    """clean_letters and model_inputs take whole texts."""
+    letters = {r["doc_id"]: r["letters"] for r in entry.queries()["clean_letters"](spark, DIR).collect()}
+    inputs = entry.queries()["model_inputs"](spark, DIR).collect()
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
     assert max(map(len, letters.values())) > 1024
     for r in inputs:

@@ -74,7 +74,8 @@ def test_experiments(spark, blobs, tmp_path):
 def test_affinity_vectors(spark):
     m = spark.createDataFrame([("q", "a", 2.0), ("q", "c", 1.0)], "query string, target string, value double")
     t = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "entry string, row_no long")
-    assert R.as_vectors(m, t, 3).first()["vector"].toArray().tolist() == [2.0, 0.0, 1.0]
+    q = spark.createDataFrame([("q", "A"), ("none", "B")], "entry string, label string")
+    assert {r["entry"]: (r["label"], r["features"]) for r in R.affinity_features(m, q, t).collect()} == {"q": ("A", [2.0, 0.0, 1.0]), "none": ("B", [0.0, 0.0, 0.0])}
 
 
 def test_dual_reaches_its_tolerance():
