@@ -1,9 +1,14 @@
-"""Sources and sinks: tables, hit lists, FASTA, protein structures, pocket reports."""
+"""Sources and sinks: tables, hit lists, FASTA, protein structures, pocket reports, matrices."""
 
 from __future__ import annotations
 
+import io
+import pickle
+import tempfile
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +23,17 @@ def _letter(name: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in RESIDUES.items() for x in pair])[name]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``); only a
+    session with a local master may use a temporary folder of its machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="protolens-")
+    return f"{shared.rstrip('/')}/protolens-files/{name}-{uuid.uuid4().hex}"
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A table with a header; the schema is declared, so labels stay strings."""
     return spark.read.schema(schema).option("header", True).csv(path)
@@ -37,9 +53,20 @@ def read_fasta(spark: SparkSession, path: str, upper: bool = True) -> DataFrame:
     return rows.groupBy("entry").agg(F.max_by("sequence", "n").alias("sequence"))
 
 
-def _atoms(spark: SparkSession, path: str, records: tuple[str, ...] = ("ATOM",)) -> DataFrame:
+def write_fasta(rows: DataFrame, path: str, width: int = 60) -> None:
+    """FASTA files of (entry, sequence), lines of ``width`` letters."""
+    body = F.regexp_replace("sequence", f"(.{{{width}}})(?=.)", "$1\n")
+    rows.select(F.concat(F.lit(">"), F.col("entry"), F.lit("\n"), body)).write.mode("overwrite").text(path)
+
+
+def structure_files(spark: SparkSession, path: str) -> DataFrame:
+    """(entry, value): whole structure files, named by their stem."""
+    return spark.read.text(path, wholetext=True).select(stem(F.col("_metadata.file_name")).alias("entry"), "value")
+
+
+def _atoms(files: DataFrame, records: tuple[str, ...] = ("ATOM",)) -> DataFrame:
     """Atom lines of the first model of each file, by fixed columns."""
-    files = spark.read.text(path, wholetext=True).select(stem(F.col("_metadata.file_name")).alias("entry"), F.element_at(F.split("value", r"\nENDMDL"), 1).alias("v"))
+    files = files.select("entry", F.element_at(F.split("value", r"\nENDMDL"), 1).alias("v"))
     lines = files.select("entry", F.posexplode(F.split("v", r"\r?\n")).alias("line", "l")).where(F.trim(F.substring("l", 1, 6)).isin(*records))
     cut = lambda a, n: F.trim(F.substring("l", a, n))
     number = lambda a, n: F.expr(f"try_cast(trim(substring(l, {a}, {n})) as double)")
@@ -54,17 +81,27 @@ def _numbered(residues: DataFrame) -> DataFrame:
 
 
 def read_structures(spark: SparkSession, path: str) -> DataFrame:
+    """``parse_structures`` of the files at a path."""
+    return parse_structures(structure_files(spark, path))
+
+
+def parse_structures(files: DataFrame) -> DataFrame:
     """(entry, i, aa, x, y, z, b, bb): standard residues that have all of N, CA, C and O; place
     and confidence of CA, ``bb`` the 12 backbone coordinates."""
-    a = _atoms(spark, path).where(F.col("name").isin(*RESIDUES) & F.col("atom").isin("N", "CA", "C", "O"))
+    a = _atoms(files).where(F.col("name").isin(*RESIDUES) & F.col("atom").isin("N", "CA", "C", "O"))
     at = lambda n, c: F.min_by(c, F.when(F.col("atom") == n, F.col("line")))
     r = a.groupBy("entry", "chain", "num", "name").agg(F.min("line").alias("line"), F.count_distinct("atom").alias("k"), *[at("CA", c).alias(c) for c in ("x", "y", "z", "b")], F.array(*[at(n, c) for n in ("N", "CA", "C", "O") for c in ("x", "y", "z")]).alias("bb"))
     return _numbered(r.where("k = 4").select("entry", "line", _letter(F.col("name")).alias("aa"), "x", "y", "z", "b", "bb"))
 
 
 def read_ca(spark: SparkSession, path: str, standard_only: bool = False) -> DataFrame:
+    """``parse_ca`` of the files at a path."""
+    return parse_ca(structure_files(spark, path), standard_only)
+
+
+def parse_ca(files: DataFrame, standard_only: bool = False) -> DataFrame:
     """(entry, i, aa, x, y, z, b) of every residue with a CA, or of the standard ones."""
-    a = _atoms(spark, path, ("ATOM",) if standard_only else ("ATOM", "HETATM")).where("atom = 'CA'")
+    a = _atoms(files, ("ATOM",) if standard_only else ("ATOM", "HETATM")).where("atom = 'CA'")
     if standard_only:
         a = a.where(F.col("name").isin(*RESIDUES))
     first = a.groupBy("entry", "chain", "num", "name").agg(F.min("line").alias("line"), *[F.min_by(c, "line").alias(c) for c in ("x", "y", "z", "b")])
@@ -72,8 +109,13 @@ def read_ca(spark: SparkSession, path: str, standard_only: bool = False) -> Data
 
 
 def read_atoms(spark: SparkSession, path: str) -> DataFrame:
+    """``parse_surface_atoms`` of the files at a path."""
+    return parse_surface_atoms(structure_files(spark, path))
+
+
+def parse_surface_atoms(files: DataFrame) -> DataFrame:
     """(entry, res, element, x, y, z) of standard residues, for surfaces."""
-    a = _atoms(spark, path).where(F.col("name").isin(*RESIDUES))
+    a = _atoms(files).where(F.col("name").isin(*RESIDUES))
     element = F.when(F.col("element") != "", F.col("element")).otherwise(F.substring(F.regexp_replace("atom", "[0-9]", ""), 1, 1))
     return a.select("entry", F.concat_ws(":", "chain", "num", "name").alias("res"), element.alias("element"), "x", "y", "z")
 
@@ -136,26 +178,69 @@ def mapped(df: DataFrame, make, schema: str, parts: int) -> DataFrame:
     return df.repartition(parts).mapInPandas(over, schema)
 
 
+class _Strings(pickle.Unpickler):
+    """Unpickles arrays of plain values and nothing else, so that a file cannot run code."""
+
+    def find_class(self, module: str, name: str):
+        known = {"numpy.core.multiarray": "numpy._core.multiarray", "numpy._core.multiarray": "numpy._core.multiarray", "numpy": "numpy"}
+        if (known.get(module), name) not in {("numpy._core.multiarray", "_reconstruct"), ("numpy._core.multiarray", "scalar"), ("numpy", "ndarray"), ("numpy", "dtype")}:
+            raise pickle.UnpicklingError(f"{module}.{name} is not allowed in a matrix file")
+        return super().find_class(known[module], name)
+
+
+def _array(z: np.lib.npyio.NpzFile, name: str) -> np.ndarray:
+    """One array of a matrix file, of plain values or of objects that are plain values."""
+    with z.zip.open(f"{name}.npy") as f:
+        version = np.lib.format.read_magic(f)
+        header = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+        kind = header(f)[2]
+        if kind.hasobject:
+            return _Strings(io.BytesIO(f.read())).load()
+    return z[name]
+
+
 def read_npz(spark: SparkSession, path: str) -> DataFrame:
     """(split, row_no, entry, label, features) of matrix files with X_, y_ and entries_ arrays of
-    each split. Each file is read where its bytes are; objects are strings only."""
-    def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
-        import numpy as np
+    each split. Each file is read where its bytes are; arrays of objects may hold plain values."""
 
+    def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for content in pdf["content"]:
                 z = np.load(io.BytesIO(content), allow_pickle=False)
                 for split in ("train", "test"):
                     if f"X_{split}" in z:
-                        x, y, e = (z[f"{c}_{split}"] for c in ("X", "y", "entries"))
+                        x, y, e = (_array(z, f"{c}_{split}") for c in ("X", "y", "entries"))
                         yield pd.DataFrame({"split": split, "row_no": np.arange(len(e)), "entry": e.astype(str), "label": y.astype(str), "features": [r.astype(float) for r in x]})
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInPandas(over, "split string, row_no long, entry string, label string, features array<double>")
 
 
+def write_npz(vectors: DataFrame, path: str, rows: int = 50_000) -> None:
+    """Matrix files ``<split>-<number>.npz`` of (split, row_no, entry, label, features), of about
+    ``rows`` rows each, in order of row_no. Files are made by the executors; the driver copies
+    them to ``path``, one at a time."""
+
+    def made(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        split, n = key
+        own, out = pdf.sort_values("row_no"), io.BytesIO()
+        arrays = {"X": np.array(own["features"].tolist(), np.float32), "y": own["label"].to_numpy(str), "entries": own["entry"].to_numpy(str)}
+        np.savez_compressed(out, **{f"{k}_{split}": v for k, v in arrays.items()})
+        return pd.DataFrame({"name": [f"{split}-{n:05d}.npz"], "content": [out.getvalue()]})
+
+    part = F.floor(F.col("row_no") / rows).cast("long")
+    files = vectors.groupBy("split", part).applyInPandas(made, "name string, content binary")
+    spark = vectors.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for file in files.toLocalIterator():
+        target = jvm.org.apache.hadoop.fs.Path(path, file["name"])
+        stream = target.getFileSystem(conf).create(target, True)
+        try:
+            stream.write(bytearray(file["content"]))
+        finally:
+            stream.close()
+
+
 def write_vectors(vectors: DataFrame, path: str) -> None:
     """Vectors as Parquet, one folder for each split."""
     vectors.write.mode("overwrite").partitionBy("split").parquet(path)
