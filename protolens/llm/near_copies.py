@@ -268,7 +268,7 @@ def _partners(similarity: float, distance: int | None, reach: int | None):
                     ok &= np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= distance
                     most = np.minimum(n[i], n[j])
                 else:
-                    most = np.minimum(at[i], at[j]) + 1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1
+                    most = np.minimum(n[i] - at[i], n[j] - at[j])  # in common, if this is the first of it
                 both = n[i].astype(np.int64) + n[j]
                 ok = np.flatnonzero(ok & (most >= share * both - 1e-9))
                 x, y = i[ok], j[ok]
@@ -312,6 +312,50 @@ def _alike(words: int, similarity: float):
     return over
 
 
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, n, wide): a sketch of a text with twice as many places as its set has shingles."""
+    for batch in _few(batches):
+        names, sizes, made = [], [], []
+        for t in batch.column(0).to_pylist():
+            own = _split(t)
+            h = hashes(own)
+            places = max(SKETCH, 1 << (2 * len(h) - 1).bit_length())
+            odd = np.bincount((h % np.uint64(places)).astype(np.int64), minlength=places) & 1
+            names.append(_name(own))
+            sizes.append(len(h))
+            made.append(np.packbits(odd.astype(np.uint8)).tobytes())
+        yield pa.RecordBatch.from_arrays([_signed(names), pa.array(sizes, pa.int32()), pa.array(made, pa.binary())], names=["u", "n", "wide"])
+
+
+def _possible(similarity: float):
+    """The pairs (a, b, na, wa, nb, wb) that their wide sketches allow; a sketch of twice the
+    places is folded onto one of half."""
+    share = similarity / (1 + similarity)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, x, m, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                while len(x) != len(y):
+                    x, y = (x, y) if len(x) > len(y) else (y, x)
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                differ = int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+                keep.append(min(n, m) >= share * (n + m) - 1e-9 and differ <= (1 - 2 * share) * (n + m) + 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
+
+    return over
+
+
+def possible(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) that sketches as wide as their texts (t) are long allow: these are a
+    twentieth of the texts, so only texts of pairs that are nearly similar have to meet."""
+    wide = stage(texts.select("t").mapInArrow(_wide, "u long, n int, wide binary"), "wide")
+    side = lambda c: wide.select(F.col("u").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "wa", "nb", "wb")
+    return stage(both.mapInArrow(_possible(similarity), "a long, b long"), "possible")
+
+
 def alike(pairs: DataFrame, texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) of names whose whole texts are as similar; ``texts`` has (u, t)."""
     full = pairs.join(texts.select(F.col("u").alias("b"), F.col("t").alias("tb")), "b").join(texts.select(F.col("u").alias("a"), F.col("t").alias("ta")), "a")
@@ -484,11 +528,11 @@ def _by_prints(texts: DataFrame, nodes: DataFrame, distance: int, block: int, lo
     beside = _rooted(known, None).select("u", "root", "n", "fp", "sketch").mapInArrow(_placed(parts, False), _CELL)
     beside = beside.repartitionByRange("c", "fp", "u").sortWithinPartitions("c", "fp", "u")
     tested = stage(beside.mapInArrow(_partners(SIMILARITY, distance, REACH), "a long, b long").distinct(), "beside")
-    similar = stage(alike(tested, known), "similar")
+    similar = stage(alike(possible(tested, known), known), "similar")
     groups = stage(components(similar), "groups")
     met = pairs_within(_rooted(known, groups), distance, block)
     met = stage(met.join(tested, ["a", "b"], "left_anti"), "met")
-    return similar.unionByName(stage(alike(met, known), "similar")), tested.unionByName(met)
+    return similar.unionByName(stage(alike(possible(met, known), known), "similar")), tested.unionByName(met)
 
 
 def _by_shingles(texts: DataFrame, nodes: DataFrame, groups: DataFrame | None, tested: DataFrame | None, words: int, block: int) -> DataFrame:
@@ -509,10 +553,13 @@ def _by_shingles(texts: DataFrame, nodes: DataFrame, groups: DataFrame | None, t
     cells = stage(shared, "shared-shingles").join(about, "num").select("c", none.alias("side"), zero.alias("role"), "u", "root", "n", "at", zero.cast("long").alias("fp"), "sketch")
     met = _meet(_cells(cells, block), None)
     met = stage(met if tested is None else met.join(tested, ["a", "b"], "left_anti"), "met")
-    wanted = met.select(F.col("a").alias("u")).unionByName(met.select(F.col("b").alias("u"))).distinct()
-    rows = stage(wanted.join(nodes.select("u", "row"), "u"), "meeting")
-    full = texts.join(bounded(rows), "row").select("u", "t")
-    return stage(alike(met, stage(full, "meeting-texts")), "similar")
+
+    def of(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct()
+        return texts.join(bounded(stage(wanted.join(nodes.select("u", "row"), "u"), "meeting")), "row").select("u", "t")
+
+    near = possible(met, of(met))
+    return stage(alike(near, stage(of(near), "meeting-texts")), "similar")
 
 
 def near_copies(docs: DataFrame, distance: int = WIDE, block: int = BLOCK, longest: int = LONGEST, rest: bool = True) -> tuple[DataFrame, DataFrame]:
