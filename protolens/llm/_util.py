@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: A side is broadcast only when it was counted and holds no more rows than this.
 BROADCAST_ROWS = 500_000
 
+#: Rows of an Arrow batch of whole texts.
+TEXT_ROWS = 1_024
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -63,6 +66,16 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose whole texts are about to go to Python: rows travel in batches of a number of
+    rows, whatever their size, and are held by both sides. The session's limit is lowered to
+    TEXT_ROWS where it is higher; it stays, as the plan may run at any later time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= TEXT_ROWS:
+        df.sparkSession.conf.set(name, str(TEXT_ROWS))
+    return df
+
+
 def bounded(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows stay within ``limit``, else unchanged,
     which leaves a shuffled join that adaptive execution can split."""

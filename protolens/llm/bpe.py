@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from protolens.llm._util import table, text_of
+from protolens.llm._util import small_batches, table, text_of
 
 #: Pieces of a worker's memo; when it is full only those at hand stay.
 MEMO = 400_000
@@ -300,7 +300,7 @@ def _mapped(df: DataFrame, column: str, made: list[tuple[str, T.DataType]], run)
             for batch in _slices(whole, at):
                 yield pa.RecordBatch.from_arrays([*batch.columns, *run(batch.column(at))], names=[*batch.schema.names, *names])
 
-    return df.mapInArrow(over, schema)
+    return small_batches(df).mapInArrow(over, schema)
 
 
 _IDS = T.ArrayType(T.IntegerType())

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from protolens.llm._util import bounded, spare, stage, text_of
+from protolens.llm._util import bounded, small_batches, spare, stage, text_of
 from protolens.llm.components import components
 from protolens.llm.simhash import SEED, _few, _partitions, fingerprint
 
@@ -570,7 +570,7 @@ def near_copies(docs: DataFrame, distance: int = WIDE, block: int = BLOCK, longe
     fingerprints lie further apart than ``distance`` bits are not looked for.
     """
     name = F.xxhash64("doc_id", text_of())
-    base = docs.select(name.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t"))
+    base = small_batches(docs).select(name.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t"))
     prints = stage(base.mapInArrow(_prints, "row long, doc_id long, u long, fp long, words long"), "prints")
     nodes = stage(prints.groupBy("u", "fp").agg(F.min(F.struct("doc_id", "row"))["row"].alias("row")), "classes")
     others = stage(prints.join(nodes.select("row"), "row", "left_anti").select("row").distinct(), "class-members")

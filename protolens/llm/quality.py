@@ -24,12 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from protolens.llm._util import spare, table
+from protolens.llm._util import small_batches, spare, table
 
 #: At most so many labelled rows are learnt from.
 TRAIN_ROWS = 20_000
 BINS, TREES, DEPTH, RATE, L2, LEAST_WEIGHT = 64, 120, 4, 0.12, 1.0, 2.0
-BATCH = 1024
+BATCH = 256
 
 _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" ", b"\n", b".,;:", b"!?", b"*#$%&@~^", b"|<>{}[]()/\\_=+", b"-'\""]
 FEATURES = ["log_chars", "upper", "lower", "digit", "space", "line", "stops", "calls", "symbols", "markup", "quotes", "control", "wide", "entropy", "log_words", "word_length", "word_spread", "longest", "distinct_words", "distinct_pairs", "top_word", "single", "line_length", "distinct_lines", "top_line", "short_lines", "adjacent", "ends", "capital", "tail"]
@@ -146,11 +146,13 @@ def held_out(doc_id: Column) -> Column:
 
 def _features(df: DataFrame, keep: list[str]) -> DataFrame:
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [statistics(t) for t in batch.column(batch.schema.names.index("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in keep), pa.array(rows, pa.list_(pa.float64()))], names=[*keep, "x"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(first, BATCH)
+                rows = [statistics(t) for t in batch.column(batch.schema.names.index("text")).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in keep), pa.array(rows, pa.list_(pa.float64()))], names=[*keep, "x"])
 
-    return df.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(over, T.StructType([*(df.schema[c] for c in keep), T.StructField("x", T.ArrayType(T.DoubleType()))]))
+    return small_batches(df).select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(over, T.StructType([*(df.schema[c] for c in keep), T.StructField("x", T.ArrayType(T.DoubleType()))]))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Forest:
@@ -175,7 +177,7 @@ def score(docs: DataFrame, forest: Forest, made: str = "score") -> DataFrame:
                 x = np.array([statistics(t) for t in batch.column(at).to_pylist()], float).reshape(-1, len(FEATURES))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forest.score(x), pa.float64())], names=[*batch.schema.names, made])
 
-    return docs.mapInArrow(over, schema)
+    return small_batches(docs).mapInArrow(over, schema)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
