@@ -7,6 +7,8 @@ made only at the border to an estimator.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from protolens.functions.vector import l2_normalize, mean_vectors, scaling, standardize
 from protolens.operators.metrics import evaluate
 from protolens.operators.retrieval import similar
+from protolens.sources.files import kept
 
 
 def class_means(train: DataFrame, by: str | None = None) -> DataFrame:
@@ -84,11 +87,14 @@ def linear_svm(train: DataFrame, test: DataFrame, c: float = 1.0, max_iter: int
     return _fit_predict(OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=1.0 / (c * n), standardization=False), labelCol="y", parallelism=4), train, test)
 
 
-def _dual(kernel: np.ndarray, y: np.ndarray, c: float, tol: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights of a two-class machine by maximal violating pairs, until none violates by ``tol``."""
+def _dual(kernel: np.ndarray, y: np.ndarray, c: float, tol: float = 1e-4, steps: int = 5_000_000) -> tuple[np.ndarray, float]:
+    """Weights of a two-class machine by maximal violating pairs, until none violates by ``tol``;
+    an error if the kernel isn't finite or that many steps don't get there."""
+    if not np.isfinite(kernel).all():
+        raise ValueError("the kernel holds numbers that are not finite")
     a, g = np.zeros(len(y)), -np.ones(len(y))
     q = kernel * np.outer(y, y)
-    while True:
+    for _ in range(steps):
         v = -y * g
         up, low = ((y > 0) & (a < c)) | ((y < 0) & (a > 0)), ((y > 0) & (a > 0)) | ((y < 0) & (a < c))
         i, j = int(np.where(up, v, -np.inf).argmax()), int(np.where(low, v, np.inf).argmin())
@@ -101,6 +107,8 @@ def _dual(kernel: np.ndarray, y: np.ndarray, c: float, tol: float = 1e-4) -> tup
         for m in (i, j):  # rounding must not leave a weight just beside a bound
             a[m] = 0.0 if a[m] < 1e-12 * c else c if c - a[m] < 1e-12 * c else a[m]
         g += q[:, i] * y[i] * step - q[:, j] * y[j] * step
+    else:
+        raise RuntimeError(f"pairs still violate by {tol} after {steps} steps")
     v = -y * g
     free = (a > 1e-8) & (a < c - 1e-8)
     up, low = ((y > 0) & (a < c)) | ((y < 0) & (a > 0)), ((y > 0) & (a > 0)) | ((y < 0) & (a < c))
@@ -111,9 +119,10 @@ def rbf_svm(train: DataFrame, test: DataFrame, c: float = 1.0) -> DataFrame:
     """Radial kernel, one machine for each pair of classes, most votes win, ties to the smaller
     label; gamma is 1 / (width * variance of all entries).
 
-    Pairs of classes are rows: each machine is fitted where its two classes meet and judges
-    the test rows in blocks, so only single pairs of classes have to fit into a task. Classes
-    are numbered, so that pairs and blocks meet by equal numbers.
+    Pairs of classes are rows: each machine is fitted once, where its two classes meet, and
+    written to the shared folder as the rows that carry weight; then it judges the test rows in
+    blocks. Only single pairs of classes have to fit into a task. Classes are numbered, so that
+    pairs meet by equal numbers.
     """
     long = train.select(F.explode("features").alias("v"))
     width = train.select(F.size("features").alias("n")).first()["n"]
@@ -127,24 +136,35 @@ def rbf_svm(train: DataFrame, test: DataFrame, c: float = 1.0) -> DataFrame:
     last, every = F.lit(len(labels)), F.sequence(F.lit(0), F.lit(n_blocks - 1))
     left = rows.where(number < last).select(F.col("label").alias("la"), F.col("rows").alias("ra"), F.explode(F.sequence(number + 1, last)).alias("b"))
     right = rows.select(F.col("label").alias("lb"), F.col("rows").alias("rb"), number.alias("b"))
-    pairs = left.join(right, "b").select("la", "ra", "lb", "rb", F.explode(every).alias("t"))
+    pairs = left.join(right, "b").select("la", "ra", "lb", "rb")
     blocks = test.select("entry", "features", F.pmod(F.xxhash64("entry"), F.lit(n_blocks)).cast("int").alias("t")).groupBy("t").agg(F.collect_list(F.struct("entry", "features")).alias("own"))
 
-    def judged(frames):
+    k = lambda p, q: np.exp(-gamma * np.maximum(0, (p**2).sum(1)[:, None] + (q**2).sum(1)[None] - 2 * p @ q.T))
+
+    def fitted(frames):
         for pdf in frames:
             out = []
-            for la, lb, ra, rb, own in zip(pdf["la"], pdf["lb"], pdf["ra"], pdf["rb"], pdf["own"], strict=True):
+            for la, lb, ra, rb in zip(pdf["la"], pdf["lb"], pdf["ra"], pdf["rb"], strict=True):
                 x = np.array([list(r) for r in [*ra, *rb]], float)
                 y = np.array([1.0] * len(ra) + [-1.0] * len(rb))
-                k = lambda p, q: np.exp(-gamma * np.maximum(0, (p**2).sum(1)[:, None] + (q**2).sum(1)[None] - 2 * p @ q.T))
                 a, bias = _dual(k(x, x), y, c)
+                held = a > 0
+                out.append((la, lb, x[held].tolist(), (a * y)[held].tolist(), bias))
+            yield pd.DataFrame(out, columns=["la", "lb", "rows", "weights", "bias"])
+
+    def judged(frames):
+        for pdf in frames:
+            out = []
+            for la, lb, rows, weights, bias, own in zip(*[pdf[n] for n in ("la", "lb", "rows", "weights", "bias", "own")], strict=True):
                 t = np.array([list(o["features"]) for o in own], float)
-                side = k(t, x) @ (a * y) + bias > 0
+                side = k(t, np.array([list(r) for r in rows], float).reshape(-1, t.shape[1])) @ np.array(weights, float) + bias > 0
                 out.append(pd.DataFrame({"query": [o["entry"] for o in own], "label": np.where(side, la, lb)}))
             if out:
                 yield pd.concat(out)
 
-    votes = pairs.join(blocks, "t").select("la", "lb", "ra", "rb", "own").mapInPandas(judged, "query string, label string").groupBy("query", "label").agg(F.count("*").alias("n"))
+    machines = kept(pairs.mapInPandas(fitted, "la string, lb string, rows array<array<double>>, weights array<double>, bias double"), "machines")
+    met = machines.withColumn("t", F.explode(every)).join(blocks, "t").select("la", "lb", "rows", "weights", "bias", "own")
+    votes = met.mapInPandas(judged, "query string, label string").groupBy("query", "label").agg(F.count("*").alias("n"))
     return votes.groupBy("query").agg(F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("pred"))
 
 
@@ -162,16 +182,19 @@ SUITE = {
 
 
 def run_suite(train: DataFrame, test: DataFrame, names: list[str] | None = None, skip_failures: bool = True) -> DataFrame:
-    """(method, weighted_f1, n_predicted, n_none) of each model; null scores where one fails."""
+    """(method, weighted_f1, n_predicted, n_none) of each model; null scores, and a warning that
+    names the fault, where one fails. Each row is computed here, so that faults of running count
+    like those of planning."""
     spark, out = train.sparkSession, None
     truth = test.select(F.col("entry").alias("query"), F.col("label").cast("string").alias("true"))
     for name in names or list(SUITE):
         scale, run = SUITE[name]
         try:
-            row = evaluate(truth, run(*(scaled(train, test) if scale else (train, test)))).select(F.lit(name).alias("method"), "weighted_f1", "n_predicted", "n_none")
-        except Exception:
+            row = kept(evaluate(truth, run(*(scaled(train, test) if scale else (train, test)))).select(F.lit(name).alias("method"), "weighted_f1", "n_predicted", "n_none"), "suite")
+        except Exception as fault:
             if not skip_failures:
                 raise
+            warnings.warn(f"{name}: {type(fault).__name__}: {str(fault)[:200]}", stacklevel=2)
             row = spark.createDataFrame([(name, None, None, None)], "method string, weighted_f1 double, n_predicted long, n_none long")
         out = row if out is None else out.unionByName(row)
     return out

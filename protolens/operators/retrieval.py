@@ -157,13 +157,16 @@ def argmax_label(matrix: DataFrame, queries: DataFrame, targets: DataFrame, gues
 
 def affinity_features(matrix: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
     """(entry, label, features): affinity rows over target row numbers, for model fitting; a query
-    without hits is a row of zeros. The width is the largest row number and one."""
+    without hits is a row of zeros. The width is the largest row number and one. A row is put
+    together from its hits in order and the runs of zeros between them."""
     width = (targets.agg(F.max("row_no")).first()[0] or 0) + 1
     numbered = matrix.join(targets.select(F.col("entry").alias("target"), F.col("row_no").alias("pos")), "target")
-    lists = numbered.groupBy("query").agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("cells"))
+    lists = numbered.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("cells"))
     own = queries.select("entry", "label").join(lists.withColumnRenamed("query", "entry"), "entry", "left")
-    cells = F.coalesce("cells", F.create_map().cast("map<bigint,double>"))
-    features = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")), lambda i: F.coalesce(F.try_element_at(cells, i), F.lit(0.0)))
-    return own.select("entry", "label", features.alias("features"))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    held = own.withColumn("cells", F.coalesce("cells", F.array().cast("array<struct<pos:bigint,value:double>>")))
+    runs = F.transform("cells", lambda c, i: F.concat(zeros(c["pos"] - F.coalesce(F.get("cells", i - 1)["pos"], F.lit(-1)) - 1), F.array(c["value"])))
+    tail = zeros(F.lit(width - 1) - F.coalesce(F.get("cells", F.size("cells") - 1)["pos"], F.lit(-1)))
+    return held.select("entry", "label", F.concat(F.flatten(runs), tail).alias("features"))
 
 

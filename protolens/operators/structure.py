@@ -1,107 +1,164 @@
 """Structural features of proteins: secondary structure, accessible surface, the 100-D vector.
 
-Secondary structure follows the published hydrogen-bond rule (electrostatic energy below
--0.5 kcal/mol between C=O and N-H), surfaces the rolling-probe method with points on spheres.
-Both need geometry that column expressions lack, so a protein is one call on Arrow data.
+Secondary structure follows the published hydrogen-bond rule: electrostatic energy below
+-0.5 kcal/mol between C=O and N-H, of residues whose CA atoms are nearer than 9 Å. Residues meet
+in an equi-join of grid cells; turns, helices and bridges are joins of the bonds on their
+numbers. Surfaces follow the rolling-probe method: atoms are dealt to blocks of space, with the
+atoms around each block, and a block's points on spheres are tested in one call. So neither a
+long chain nor a whole protein is a task's unit.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from protolens.operators.spatial import CONTACT_COLUMNS, contact_stats
+from protolens.operators.spatial import CONTACT_COLUMNS, contact_stats, near_pairs
 from protolens.schemas import AMINO
+from protolens.sources.files import kept
 
 STATES = "HEL"
-#: charges' factor in kcal/mol, the energy under which a bond counts.
-_FACTOR, _BOND = 0.084 * 332, -0.5
-#: Van der Waals radii in Å and the probe's.
-RADII, OTHER, PROBE = {"H": 1.2, "C": 1.7, "N": 1.55, "O": 1.52, "S": 1.8, "P": 1.8}, 1.7, 1.4
-
-
-def bonds(backbone: np.ndarray) -> np.ndarray:
-    """Matrix of hydrogen bonds, C=O of row i to N-H of column j; backbone is n x (N, CA, C, O) x 3."""
-    n = len(backbone)
-    nitrogen, carbon, oxygen = backbone[:, 0], backbone[:, 2], backbone[:, 3]
-    towards = lambda v: v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-9)
-    hydrogen = nitrogen.copy()
-    hydrogen[1:] += 1.01 * towards(towards(nitrogen[1:] - carbon[:-1]) + towards(nitrogen[1:] - backbone[1:, 1]))
-    far = lambda a, b: np.maximum(np.linalg.norm(a[:, None] - b[None], axis=-1), 1e-3)
-    energy = _FACTOR * (1 / far(oxygen, nitrogen) + 1 / far(carbon, hydrogen) - 1 / far(oxygen, hydrogen) - 1 / far(carbon, nitrogen))
-    made = energy < _BOND
-    i, j = np.indices((n, n))
-    made[np.abs(i - j) < 2] = False
-    made[:, 0] = False
-    return made
-
-
-def secondary_structure(backbone: np.ndarray) -> str:
-    """H, E or L for each residue; all L under 4 residues."""
-    n = len(backbone)
-    if n < 4:
-        return "L" * n
-    b = bonds(backbone)
-    helix = np.zeros(n, bool)
-    for turn in (3, 4, 5):
-        starts = np.array([i + turn < n and b[i, i + turn] for i in range(n)])
-        for i in range(1, n):
-            if starts[i] and starts[i - 1]:
-                helix[i : i + turn] = True
-    inner = np.arange(1, n - 1)
-    strand = np.zeros(n, bool)
-    if len(inner):
-        p, q = np.meshgrid(inner, inner, indexing="ij")
-        parallel = (b[p - 1, q] & b[q, p + 1]) | (b[q - 1, p] & b[p, q + 1])
-        anti = (b[p, q] & b[q, p]) | (b[p - 1, q + 1] & b[q - 1, p + 1])
-        bridge = (parallel | anti) & (np.abs(p - q) > 2)
-        strand[inner] = bridge.any(axis=1)
-    return "".join("H" if h else "E" if s else "L" for h, s in zip(helix, strand, strict=True))
-
-
-def accessible_surface(points: np.ndarray, radii: np.ndarray, probe: float = PROBE, dots: int = 100) -> np.ndarray:
-    """Accessible surface of each atom in square Å, by points on its expanded sphere."""
+#: charges' factor in kcal/mol, the energy under which a bond counts, the distance
+#: of CA atoms in Å within which it is sought.
+FACTOR, BOND, CA_NEAR = 0.084 * 332, -0.5, 9.0
+#: Van der Waals radii in Å and the probe's; points on a sphere.
+RADII, OTHER, PROBE, DOTS = {"H": 1.2, "C": 1.7, "N": 1.55, "O": 1.52, "S": 1.8, "P": 1.8}, 1.7, 1.4, 100
+#: Edge in Å of the blocks of space in which surfaces are measured: about a thousand atoms.
+EDGE = 25.6
+
+
+def _three(name: str, at: int) -> list[Column]:
+    return [F.get("bb", F.lit(at + k)).alias(f"{name}{c}") for k, c in enumerate("xyz")]
+
+
+def _apart(a: Column, p: str, b: Column, q: str) -> Column:
+    """Distance of the places p of a and q of b, not under 0.001."""
+    square = lambda c: (a[p + c] - b[q + c]) * (a[p + c] - b[q + c])
+    return F.greatest(F.sqrt(square("x") + square("y") + square("z")), F.lit(1e-3))
+
+
+def _unit(v: list[Column]) -> list[Column]:
+    length = F.greatest(F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2]), F.lit(1e-9))
+    return [c / length for c in v]
+
+
+def placed(residues: DataFrame) -> DataFrame:
+    """``residues`` with ``place``, counted from 0 in each entry by i."""
+    return residues.withColumn("place", (F.row_number().over(Window.partitionBy("entry").orderBy("i")) - 1).cast("long"))
+
+
+def bonds(sites: DataFrame) -> DataFrame:
+    """(entry, i, j): hydrogen bonds from C=O of place i to N-H of place j, two or more apart.
+
+    ``sites`` are placed residues. The hydrogen lies 1.01 Å from N, away from the C before and
+    from CA; the first residue of an entry has none.
+    """
+    own = sites.select("entry", F.col("place").alias("i"), *_three("n", 0), *_three("a", 3), *_three("c", 6), *_three("o", 9))
+    before = own.select("entry", (F.col("i") + 1).alias("i"), *[F.col(f"c{c}").alias(f"p{c}") for c in "xyz"])
+    own = own.join(before, ["entry", "i"], "left")
+    towards = lambda p: _unit([F.col(f"n{c}") - F.col(p + c) for c in "xyz"])
+    both = _unit([u + v for u, v in zip(towards("p"), towards("a"), strict=True)])
+    own = own.withColumns({f"h{c}": F.col(f"n{c}") + 1.01 * u for c, u in zip("xyz", both, strict=True)} | {c: F.col(f"a{c}") for c in "xyz"})
+    near = near_pairs(own.drop("px", "py", "pz", "ax", "ay", "az"), 2, CA_NEAR, strict=True)
+    energy = lambda a, b: FACTOR * (1 / _apart(a, "o", b, "n") + 1 / _apart(a, "c", b, "h") - 1 / _apart(a, "o", b, "h") - 1 / _apart(a, "c", b, "n"))
+    way = lambda a, b: F.struct(a["i"].alias("i"), b["i"].alias("j"), energy(a, b).alias("energy"))
+    a, b = F.col("a"), F.col("b")
+    made = near.select("entry", F.explode(F.array(way(a, b), way(b, a))).alias("w"))
+    return made.where((F.col("w.energy") < BOND) & (F.col("w.j") > 0)).select("entry", "w.i", "w.j")
+
+
+def _helices(made: DataFrame) -> DataFrame:
+    """(entry, place) between two turns of one kind that follow each other."""
+    turns = made.select("entry", "i", (F.col("j") - F.col("i")).alias("turn")).where("turn between 3 and 5")
+    after = turns.select("entry", (F.col("i") + 1).alias("i"), "turn")
+    return turns.join(after, ["entry", "i", "turn"]).select("entry", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("turn") - 1)).alias("place"))
+
+
+def _bridges(made: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(entry, place) in a bridge of p and q, both inside the chain and more than two apart. A
+    bond and the one that it asks for: parallel p-1 to q and q to p+1, antiparallel p to q and
+    back, or p-1 to q+1 and q-1 to p+1."""
+    i, j = F.col("i"), F.col("j")
+    ask = lambda want_i, want_j, p, q: F.struct(want_i.alias("i"), want_j.alias("j"), p.alias("p"), q.alias("q"))
+    asked = made.select("entry", F.explode(F.array(ask(j, i + 2, i + 1, j), ask(j, i, i, j), ask(j - 2, i + 2, i + 1, j - 1))).alias("w")).select("entry", "w.*")
+    met = asked.join(made, ["entry", "i", "j"]).join(sizes, "entry")
+    inside = lambda c: (F.col(c) >= 1) & (F.col(c) <= F.col("n") - 2)
+    return met.where(inside("p") & inside("q") & (F.abs(F.col("p") - F.col("q")) > 2)).select("entry", F.explode(F.array("p", "q")).alias("place"))
+
+
+def secondary_structure(residues: DataFrame) -> DataFrame:
+    """``residues`` (entry, i, bb, ...) with ``ss``: H, E or L; all L in entries under 4 residues.
+
+    ``bb`` are the 12 coordinates of N, CA, C and O. Bonds are used four times: they are
+    written to the shared folder once.
+    """
+    sites = placed(residues)
+    sizes = sites.groupBy("entry").agg(F.count("*").alias("n"))
+    made = kept(bonds(sites), "bonds")
+    marks = _helices(made).withColumn("mark", F.lit("H")).unionByName(_bridges(made, sizes).withColumn("mark", F.lit("E")))
+    marks = marks.groupBy("entry", "place").agg(F.max("mark").alias("mark"))
+    out = sites.join(marks, ["entry", "place"], "left").join(sizes, "entry")
+    return out.select(*[F.col(c) for c in residues.columns], F.when(F.col("n") < 4, F.lit("L")).otherwise(F.coalesce("mark", F.lit("L"))).alias("ss"))
+
+
+def accessible_surface(points: np.ndarray, radii: np.ndarray, probe: float = PROBE, dots: int = DOTS, own: np.ndarray | None = None) -> np.ndarray:
+    """Accessible surface of each atom in square Å, or of those that ``own`` numbers, by points
+    on its expanded sphere."""
     k = np.arange(dots) + 0.5
     polar, turn = np.arccos(1 - 2 * k / dots), np.pi * (1 + 5**0.5) * k
     sphere = np.stack([np.cos(turn) * np.sin(polar), np.sin(turn) * np.sin(polar), np.cos(polar)], axis=1)
-    wide, out = radii + probe, np.zeros(len(points))
-    cells: dict[tuple, list[int]] = {}
-    width = 2 * (wide.max() if len(wide) else 1.0)
-    keys = np.floor(points / width).astype(int)
-    for i, c in enumerate(map(tuple, keys)):
-        cells.setdefault(c, []).append(i)
-    around = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
-    for i, c in enumerate(map(tuple, keys)):
-        near = np.array([j for d in around for j in cells.get((c[0] + d[0], c[1] + d[1], c[2] + d[2]), ()) if j != i], int)
-        surface = points[i] + wide[i] * sphere
-        if len(near):
-            near = near[np.linalg.norm(points[near] - points[i], axis=1) < wide[near] + wide[i]]
-        hidden = (np.linalg.norm(surface[:, None] - points[near][None], axis=-1) < wide[near][None]).any(axis=1) if len(near) else np.zeros(dots, bool)
-        out[i] = 4 * np.pi * wide[i] ** 2 * (1 - hidden.mean())
+    wide, own = radii + probe, np.arange(len(points)) if own is None else own
+    out = np.zeros(len(own))
+    for at in range(0, len(own), 64):
+        some = own[at : at + 64]
+        apart = np.sqrt(((points[some, None] - points[None]) ** 2).sum(-1))
+        near = apart < wide[some, None] + wide[None]
+        near[np.arange(len(some)), some] = False
+        for k, (i, others) in enumerate(zip(some, near, strict=True)):
+            others = np.flatnonzero(others)
+            surface = points[i] + wide[i] * sphere
+            hidden = (((surface[:, None] - points[others][None]) ** 2).sum(-1) < wide[others] ** 2).any(axis=1) if len(others) else np.zeros(dots, bool)
+            out[at + k] = 4 * np.pi * wide[i] ** 2 * (1 - hidden.mean())
     return out
 
 
-def _states(backbones: pd.Series) -> pd.Series:
-    return pd.Series([secondary_structure(np.array([np.array(list(r), float).reshape(4, 3) for r in own]).reshape(-1, 4, 3)) for own in backbones])
+def radius_of(element: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in RADII.items() for x in pair])[element], F.lit(OTHER))
+
+
+def in_blocks(atoms: DataFrame, edge: float, reach: float) -> DataFrame:
+    """``atoms`` dealt to blocks of space (bx, by, bz): an atom's own block, where ``own`` is set,
+    and all others that it lies within ``reach`` of."""
+    rows = atoms.where("x is not null and y is not null and z is not null")
+    for c in "xyz":
+        cell = lambda v: F.floor(v / F.lit(edge))
+        rows = rows.withColumn(f"b{c}", F.explode(F.sequence(cell(F.col(c) - reach), cell(F.col(c) + reach))))
+    mine = [F.floor(F.col(c) / F.lit(edge)) == F.col(f"b{c}") for c in "xyz"]
+    return rows.withColumn("own", mine[0] & mine[1] & mine[2])
 
 
-def assign_states(backbones: Column) -> Column:
-    """Secondary structure of an array of residues' 12 backbone coordinates."""
-    return F.pandas_udf(_states, "string")(backbones)
+def _block_surfaces(rows: pa.Table) -> pa.Table:
+    p = np.stack([rows.column(c).to_numpy() for c in "xyz"], axis=1).astype(float)
+    own = np.flatnonzero(rows.column("own").to_numpy(zero_copy_only=False))
+    area = accessible_surface(p, rows.column("radius").to_numpy(), own=own)
+    return pa.table({"entry": rows.column("entry").take(own), "atom": rows.column("atom").take(own), "area": pa.array(area)})
 
 
-def _surface(frame: pd.DataFrame) -> pd.DataFrame:
-    p = frame[["x", "y", "z"]].to_numpy(float)
-    r = np.array([RADII.get(e, OTHER) for e in frame["element"]])
-    total = pd.Series(accessible_surface(p, r)).groupby(frame["res"].to_numpy()).sum()
-    return pd.DataFrame({"entry": [frame["entry"].iloc[0]], "mean_sasa": [float(total.mean())], "total_sasa": [float(total.sum())]})
+def atom_surfaces(atoms: DataFrame) -> DataFrame:
+    """(entry, atom, area) of (entry, atom, element, x, y, z): a task for each block of space with
+    the atoms around it; atoms are told apart by (entry, atom)."""
+    reach = 2 * (max(*RADII.values(), OTHER) + PROBE)
+    rows = in_blocks(atoms.select("entry", "atom", radius_of(F.col("element")).alias("radius"), *[F.col(c).cast("double").alias(c) for c in "xyz"]), EDGE, reach)
+    name = atoms.schema["atom"].dataType.simpleString()
+    return rows.groupBy("entry", "bx", "by", "bz").applyInArrow(_block_surfaces, f"entry string, atom {name}, area double")
 
 
 def surfaces(atoms: DataFrame) -> DataFrame:
     """(entry, mean_sasa, total_sasa) over the residues of (entry, res, element, x, y, z)."""
-    return atoms.groupBy("entry").applyInPandas(_surface, "entry string, mean_sasa double, total_sasa double")
+    each = atom_surfaces(atoms.withColumn("atom", F.col("res"))).groupBy("entry", "atom").agg(F.sum("area").alias("area"))
+    return each.groupBy("entry").agg(F.avg("area").alias("mean_sasa"), F.sum("area").alias("total_sasa"))
 
 
 def feature_columns() -> list[tuple[str, str]]:
@@ -113,23 +170,20 @@ def structure_features(residues: DataFrame, atoms: DataFrame | None = None) -> D
     """(entry, n_residues, ss_counts, features): the 100-D vector of each entry.
 
     ``residues`` has (entry, i, aa, x, y, z, b, bb) with ``bb`` the 12 backbone coordinates.
-    Shares are counted with arrays per protein; contacts come from the grid join. Without
-    ``atoms`` surfaces are 0, as where they can't be computed.
+    Shares are conditional sums by entry; contacts come from the grid join. Without ``atoms``
+    surfaces are 0, as where they can't be computed.
     """
-    ordered = residues.groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("i", "aa", "x", "y", "z", "b", "bb"))).alias("r"))
-    p = ordered.select("entry", F.size("r").alias("n"), F.array_join(F.transform("r", lambda r: r["aa"]), "").alias("seq"), assign_states(F.transform("r", lambda r: r["bb"])).alias("ss"), "r")
-    mean = lambda c: F.aggregate("r", F.lit(0.0), lambda s, r: s + r[c]) / F.col("n")
-    p = p.withColumns({"cx": mean("x"), "cy": mean("y"), "cz": mean("z"), "mean_b": mean("b")})
-    spread = F.aggregate("r", F.lit(0.0), lambda s, r: s + F.pow(r["x"] - F.col("cx"), 2) + F.pow(r["y"] - F.col("cy"), 2) + F.pow(r["z"] - F.col("cz"), 2))
-    both = F.zip_with(F.filter(F.split("seq", ""), lambda c: c != ""), F.filter(F.split("ss", ""), lambda c: c != ""), lambda a, b: F.concat(a, b))
-    p = p.withColumns({"rg": F.sqrt(spread / F.col("n")), "both": both})
-    share = lambda s, a: (F.length(s) - F.length(F.replace(F.col(s), F.lit(a), F.lit("")))) / F.col("n")
-    p = p.join(contact_stats(residues).drop("n"), "entry", "left")
+    p = secondary_structure(residues)
+    count = lambda when: F.count_if(when).cast("double")
+    sums = [F.count("*").alias("n"), F.sqrt(F.var_pop("x") + F.var_pop("y") + F.var_pop("z")).alias("rg"), F.avg("b").alias("mean_b")]
+    sums += [count(F.col("ss") == s).alias(f"ss_{s}") for s in STATES] + [count(F.col("aa") == a).alias(f"aa_{a}") for a in AMINO]
+    sums += [count((F.col("aa") == a) & (F.col("ss") == s)).alias(f"both_{a}{s}") for a in AMINO for s in STATES]
+    p = p.groupBy("entry").agg(*sums).join(contact_stats(residues).drop("n"), "entry", "left")
     if atoms is not None:
         p = p.join(surfaces(atoms), "entry", "left")
     sasa = [F.coalesce(F.col(c), F.lit(0.0)) if atoms is not None else F.lit(0.0) for c in ("mean_sasa", "total_sasa")]
-    vector = [share("ss", s) for s in STATES] + [F.col("rg"), F.col("mean_b"), F.col("n").cast("double"), *sasa]
-    held = lambda token: F.size(F.filter("both", lambda x: x == token)) / F.col("n")
-    vector += [held(a + s) for a in AMINO for s in STATES] + [F.col(c) for c in CONTACT_COLUMNS] + [share("seq", a) for a in AMINO]
-    counts = F.map_filter(F.map_from_arrays(F.lit(list(STATES)), F.array(*[F.length("ss") - F.length(F.replace(F.col("ss"), F.lit(s), F.lit(""))) for s in STATES])), lambda _, v: v > 0)
-    return p.select("entry", F.col("n").alias("n_residues"), counts.alias("ss_counts"), F.array(*[v.cast("double") for v in vector]).alias("features"))
+    share = lambda c: F.col(c) / F.col("n")
+    vector = [share(f"ss_{s}") for s in STATES] + [F.col("rg"), F.col("mean_b"), F.col("n").cast("double"), *sasa]
+    vector += [share(f"both_{a}{s}") for a in AMINO for s in STATES] + [F.col(c) for c in CONTACT_COLUMNS] + [share(f"aa_{a}") for a in AMINO]
+    counts = F.map_filter(F.map_from_arrays(F.lit(list(STATES)), F.array(*[F.col(f"ss_{s}").cast("int") for s in STATES])), lambda _, v: v > 0)
+    return p.select("entry", F.col("n").cast("int").alias("n_residues"), counts.alias("ss_counts"), F.array(*[v.cast("double") for v in vector]).alias("features"))

@@ -13,10 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """At least as many partitions as cores before costly work per row: a file of one row group
-    is one partition. Tables that are read in as many stay where they are."""
+    """Rows dealt to all cores before costly work, if they come from fewer files than that: a small
+    file is one row group, which one task reads whatever the splits. Tables of many files stay
+    where they are. Only the list of files is looked at; nothing is planned or run."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

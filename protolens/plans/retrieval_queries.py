@@ -122,6 +122,13 @@ def agreement_prefer_model(spark, sf_dir):
     return N.agreement(q, r, v[2], "model")
 
 
+def agreement_gaps(spark, sf_dir):
+    """Agreement where the retrieval has no answer for its less sure rows, the model none for
+    some of its classes."""
+    q, _, r, v = _voters(spark, sf_dir)
+    return N.agreement(q, r.where("prob >= 0.66"), v[2].where("pred > '4'"), "model")
+
+
 def layered(spark, sf_dir):
     q, _, r, v = _voters(spark, sf_dir)
     """Sure retrievals, then neighbours where the retrieval is less sure, then the class means."""
@@ -235,7 +242,7 @@ QUERIES = {
     "vote_f1_predicted_only": vote_f1_predicted_only, "sweep_vote": sweep_vote, "sweep_vote_fallback": sweep_vote_fallback, "best_config": best_config, "ncm": ncm,
     "knn_cos_1": _knn(1, "cosine"), "knn_cos_3": _knn(3, "cosine"), "knn_cos_5": _knn(5, "cosine"), "knn_l2_1": _knn(1, "l2"), "knn_l2_3": _knn(3, "l2"), "knn_l2_5": _knn(5, "l2"),
     "knn_l2_scaled_5": knn_l2_scaled_5, "fallback": fallback, "gate_0_65": gate_0_65, "gate_sweep_f1": gate_sweep_f1, "coverage": coverage,
-    "agreement_prefer_retrieval": agreement_prefer_retrieval, "agreement_prefer_model": agreement_prefer_model, "layered": layered, "majority": majority, "majority_of_two": majority_of_two,
+    "agreement_prefer_retrieval": agreement_prefer_retrieval, "agreement_prefer_model": agreement_prefer_model, "agreement_gaps": agreement_gaps, "layered": layered, "majority": majority, "majority_of_two": majority_of_two,
     "headline_ensemble": headline_ensemble, "headline_f1": headline_f1, "affinity_long": affinity_long, "affinity_log1p": affinity_log1p, "affinity_argmax": affinity_argmax,
     "affinity_argmax_first": affinity_argmax_first, "selfhit_masked": selfhit_masked, "class_size_hist": class_size_hist, "class_size_hist_dense": class_size_hist_dense,
 }
@@ -262,6 +269,7 @@ ORACLES = {
     "coverage": f"WITH {_VOTERS} SELECT count(*) FILTER (source = 'retrieval') AS n_retrieval, count(*) FILTER (source = 'fallback') AS n_fallback, count(*) FILTER (source IS NULL) AS n_none FROM gated",
     "agreement_prefer_retrieval": f"WITH {_VOTERS} SELECT query, pred FROM r",
     "agreement_prefer_model": f"WITH {_VOTERS} SELECT query, pred FROM ncm",
+    "agreement_gaps": f"WITH {_VOTERS} SELECT query, coalesce(CASE WHEN ncm.pred > '4' THEN ncm.pred END, CASE WHEN prob >= 0.66 THEN r.pred END) AS pred FROM r JOIN ncm USING (query)",
     "layered": f"WITH {_VOTERS} SELECT query, CASE WHEN prob >= 0.72 THEN r.pred WHEN prob >= 0.68 THEN k5.pred ELSE ncm.pred END AS pred FROM r JOIN k5 USING (query) JOIN ncm USING (query)",
     "majority": f"WITH {_VOTERS} SELECT * FROM maj",
     "majority_of_two": f"WITH {_VOTERS} SELECT * FROM ncm",

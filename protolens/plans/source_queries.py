@@ -45,6 +45,14 @@ def hit_list(spark, sf_dir):
     return X.read_hits(spark, path)
 
 
+def hit_list_short(spark, sf_dir):
+    """Events as a hit list of six columns, some of them empty."""
+    e = table(spark, sf_dir, "events")
+    path = X.scratch(spark, "hits")
+    e.select(F.col("user_id").cast("string"), F.col("event_id").cast("string"), "value", F.lit(0.001), F.col("value") / 500, F.when(F.col("value") > 50, F.lit(0.5))).write.option("sep", "\t").csv(path)
+    return X.read_hits(spark, path, short=True)
+
+
 def fasta_round_trip(spark, sf_dir):
     path = X.scratch(spark, "fasta")
     a, b = sequences(spark, sf_dir)
@@ -76,6 +84,15 @@ def present_files(spark, sf_dir):
     return X.present(spark, wanted, _npz(spark, sf_dir))
 
 
+def present_entries(spark, sf_dir):
+    """Matrix files of a hundred rows each, asked for by names of which half are not there."""
+    path, wanted = X.scratch(spark, "npz"), table(spark, sf_dir, "embeddings")
+    a, b = vectors(spark, sf_dir)
+    X.write_npz(J.all_splits(train=a, test=b), path, 100)
+    names = wanted.select(F.concat(F.lit("test-"), F.lpad(F.floor(F.col("vec_id") / 50).cast("string"), 5, "0")).alias("entry")).distinct()
+    return X.present(spark, names, path)
+
+
 def mapped_status(spark, sf_dir):
     """A call for each page that fails for some."""
 
@@ -114,6 +131,17 @@ def ca_scan(spark, sf_dir):
     return _placed(X.parse_ca(_structures(spark, sf_dir), standard_only=True))
 
 
+def ca_scan_any(spark, sf_dir):
+    """Each residue with a CA, where every seventh is a ligand's residue that has no letter."""
+    p = points(spark, sf_dir)
+    other = F.col("i") % 7 == 0
+    name = F.when(other, F.lit("MSE")).otherwise(F.element_at(F.array(*map(F.lit, _ORDERED)), F.instr(F.lit(AMINO), F.col("letter"))))
+    line = _line(name, "CA", (F.col("i") % 1000).cast("int"), F.col("x"), F.col("y"), F.col("z"), F.abs("b"))
+    line = F.when(other, F.concat(F.lit("HETATM"), F.substring(line, 7, 200))).otherwise(line)
+    rows = p.select("entry", "i", line.alias("l")).groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("i", "l"))).alias("r"))
+    return _placed(X.parse_ca(rows.select("entry", F.array_join(F.transform("r", lambda r: r["l"]), "\n").alias("value"))))
+
+
 def surface_atoms(spark, sf_dir):
     a = X.parse_surface_atoms(_structures(spark, sf_dir))
     return a.groupBy("entry", "element").agg(F.count("*").alias("n"), F.count_distinct("res").alias("residues"))
@@ -214,7 +242,7 @@ QUERIES = {
     "csv_round_trip": csv_round_trip, "hit_list": hit_list, "fasta_round_trip": fasta_round_trip, "split_files": split_files, "npz_round_trip": npz_round_trip, "present_files": present_files,
     "mapped_status": mapped_status, "structure_scan": structure_scan, "ca_scan": ca_scan, "surface_atoms": surface_atoms, "structure_features": structure_features, "pocket_scan": pocket_scan,
     "lining_scan": lining_scan, "pocket_features": pocket_features, "mean_pool": mean_pool, "embedder": embedder, "external_search": external_search, "gate_concat": gate_concat,
-    "affinity_lr": affinity_lr, "affinity_svm": affinity_svm,
+    "hit_list_short": hit_list_short, "present_entries": present_entries, "ca_scan_any": ca_scan_any, "affinity_lr": affinity_lr, "affinity_svm": affinity_svm,
 }
 
 _PLACED = "SELECT entry, row_number() OVER (PARTITION BY entry ORDER BY i) - 1 AS i, l AS aa, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y, round(z, 3) + 0.0 AS z FROM p"
@@ -226,6 +254,9 @@ _CONTACT_AT = "".join(f" UNION ALL SELECT entry, {68 + i}, {c} FROM cs" for i, c
 ORACLES = {
     "csv_round_trip": "SELECT c_custkey, c_name, c_mktsegment, c_acctbal::DOUBLE AS c_acctbal FROM customer",
     "hit_list": "SELECT user_id::VARCHAR AS query, event_id::VARCHAR AS target, value AS bits, 0.001::DOUBLE AS evalue, value / 500 AS prob, 0.5::DOUBLE AS alntmscore, 0.25::DOUBLE AS fident, value / 1000 AS lddt FROM events",
+    "hit_list_short": "SELECT user_id::VARCHAR AS query, event_id::VARCHAR AS target, value AS bits, 0.001::DOUBLE AS evalue, value / 500 AS prob, CASE WHEN value > 50 THEN 0.5::DOUBLE END AS alntmscore FROM events",
+    "present_entries": "SELECT DISTINCT 'test-' || lpad((vec_id // 50)::VARCHAR, 5, '0') AS entry FROM embeddings WHERE vec_id // 50 IN (SELECT vec_id // 100 FROM embeddings WHERE vec_id % 5 = 0)",
+    "ca_scan_any": f"WITH {_P} {_PLACED.replace('l AS aa', chr(39).join(['CASE WHEN i % 7 = 0 THEN ', 'X', ' ELSE l END AS aa']))}",
     "fasta_round_trip": f"WITH {_S} SELECT entry, s AS sequence FROM s",
     "split_files": f"WITH {_ALL} SELECT CASE WHEN row_no % 5 = 0 THEN 'test' ELSE 'train' END AS split, entry, label FROM v",
     "npz_round_trip": f"WITH {_ALL} SELECT CASE WHEN row_no % 5 = 0 THEN 'test' ELSE 'train' END AS split, entry, label, (generate_subscripts(f, 1) - 1)::BIGINT AS pos, round(unnest(f), 6) AS value FROM v",

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/protolens-files/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: what is used again is not computed
+    again, and a lost executor costs no more than what it was doing."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A table with a header; the schema is declared, so labels stay strings."""
     return spark.read.schema(schema).option("header", True).csv(path)
@@ -216,29 +225,48 @@ def read_npz(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(over, "split string, row_no long, entry string, label string, features array<double>")
 
 
+class _Sink(io.RawIOBase):
+    """A stream that a zip file can be written to without going back."""
+
+    def __init__(self, out):
+        self.out, self.at = out, 0
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self.out.write(bytes(data))
+        self.at += len(data)
+        return len(data)
+
+
 def write_npz(vectors: DataFrame, path: str, rows: int = 50_000) -> None:
     """Matrix files ``<split>-<number>.npz`` of (split, row_no, entry, label, features), of about
-    ``rows`` rows each, in order of row_no. Files are made by the executors; the driver copies
-    them to ``path``, one at a time."""
+    ``rows`` rows each, in order of row_no. Executors write them to ``path`` under a name of the
+    attempt; the driver, which sees names only, gives them theirs when all are written."""
+    place, files = (path[5:] if path.startswith("file:") else path).rstrip("/"), vectors.sparkSession.sparkContext
 
     def made(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         split, n = key
-        own, out = pdf.sort_values("row_no"), io.BytesIO()
+        own = pdf.sort_values("row_no")
         arrays = {"X": np.array(own["features"].tolist(), np.float32), "y": own["label"].to_numpy(str), "entries": own["entry"].to_numpy(str)}
-        np.savez_compressed(out, **{f"{k}_{split}": v for k, v in arrays.items()})
-        return pd.DataFrame({"name": [f"{split}-{n:05d}.npz"], "content": [out.getvalue()]})
+        name = f"{split}-{n:05d}.npz"
+        attempt = f".{name}.{uuid.uuid4().hex}"
+        system, folder = pafs.FileSystem.from_uri(place)
+        system.create_dir(folder, recursive=True)
+        with system.open_output_stream(f"{folder}/{attempt}") as out:
+            np.savez_compressed(_Sink(out), **{f"{k}_{split}": v for k, v in arrays.items()})
+        return pd.DataFrame({"name": [name], "attempt": [attempt]})
 
     part = F.floor(F.col("row_no") / rows).cast("long")
-    files = vectors.groupBy("split", part).applyInPandas(made, "name string, content binary")
-    spark = vectors.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for file in files.toLocalIterator():
-        target = jvm.org.apache.hadoop.fs.Path(path, file["name"])
-        stream = target.getFileSystem(conf).create(target, True)
-        try:
-            stream.write(bytearray(file["content"]))
-        finally:
-            stream.close()
+    made_files = kept(vectors.groupBy("split", part).applyInPandas(made, "name string, attempt string"), "npz-names")
+    conf = files._jsc.hadoopConfiguration()
+    for file in made_files.toLocalIterator():
+        source, target = (files._jvm.org.apache.hadoop.fs.Path(place, file[c]) for c in ("attempt", "name"))
+        system = source.getFileSystem(conf)
+        system.delete(target, False)
+        if not system.rename(source, target):
+            raise OSError(f"{source} was not renamed")
 
 
 def write_vectors(vectors: DataFrame, path: str) -> None:

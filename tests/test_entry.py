@@ -76,3 +76,17 @@ def test_nothing_else_imports_the_optional_part():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "protolens.llm" not in p.read_text()
+
+
+def test_small_files_are_dealt_to_all_cores(spark, tmp_path):
+    """A file of one row group is one partition with rows, whatever the splits; a union of two
+    such tables is dealt too, a table of many files stays."""
+    from protolens.plans.data import spread
+
+    spark.range(4000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(4000).repartition(16).write.parquet(str(tmp_path / "many"))
+    one, many = spark.read.parquet(str(tmp_path / "one")), spark.read.parquet(str(tmp_path / "many"))
+    sizes = lambda df: [n for n in df.rdd.glom().map(len).collect() if n]
+    for df in (one, one.unionByName(one)):
+        assert len(sizes(spread(df))) >= 4 and max(sizes(spread(df))) < 0.5 * df.count()
+    assert spread(many) is many

@@ -36,6 +36,25 @@ def test_failures_become_nulls(blobs, monkeypatch):
     assert rows[1]["weighted_f1"] is None and rows[0]["weighted_f1"] is not None
 
 
+def test_faults_of_running_become_nulls(blobs, monkeypatch):
+    def fails(frames):
+        raise ValueError("while running")
+        yield from frames
+
+    monkeypatch.setitem(M.SUITE, "broken", (False, lambda a, b: b.select("entry").mapInPandas(fails, "query string, pred string")))
+    with pytest.warns(UserWarning, match="broken"):
+        rows = M.run_suite(*blobs, ["broken", "ncm"]).collect()
+    assert rows[0]["weighted_f1"] is None and rows[1]["weighted_f1"] is not None
+
+
+def test_machine_ends():
+    with pytest.raises(ValueError, match="not finite"):
+        M._dual(np.array([[1.0, np.nan], [np.nan, 1.0]]), np.array([1.0, -1.0]), 1.0)
+    x = np.random.default_rng(1).normal(size=(40, 2))
+    with pytest.raises(RuntimeError, match="violate"):
+        M._dual(x @ x.T, np.where(np.arange(40) % 2, 1.0, -1.0), 10.0, steps=3)
+
+
 def test_two_class_machine():
     x = np.array([[0.0], [1.0], [3.0], [4.0]])
     y = np.array([1.0, 1.0, -1.0, -1.0])
@@ -71,6 +90,17 @@ def test_experiments(spark, blobs, tmp_path):
     assert len(built) == 2
 
 
+def test_affinity_rows_are_filled(spark):
+    """Rows of many gaps against a plain filling."""
+    rng = np.random.default_rng(5)
+    cells = {(f"q{q}", int(t)): float(rng.random()) for q in range(20) for t in rng.choice(90, rng.integers(0, 30), replace=False)}
+    m = spark.createDataFrame([(q, f"t{t}", v) for (q, t), v in cells.items()], "query string, target string, value double")
+    t = spark.createDataFrame([(f"t{i}", i) for i in range(90)], "entry string, row_no long")
+    q = spark.createDataFrame([(f"q{i}", "A") for i in range(20)], "entry string, label string")
+    for r in R.affinity_features(m, q, t).collect():
+        assert r["features"] == [cells.get((r["entry"], i), 0.0) for i in range(90)]
+
+
 def test_affinity_vectors(spark):
     m = spark.createDataFrame([("q", "a", 2.0), ("q", "c", 1.0)], "query string, target string, value double")
     t = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "entry string, row_no long")

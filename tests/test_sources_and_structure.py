@@ -74,14 +74,15 @@ def test_structure_features(spark, folder):
     assert v["contact_radius_per_n"] == pytest.approx(d.max() / 14**0.5, abs=1e-3)
 
 
-def test_surface():
+def test_surface(spark):
     one = U.accessible_surface(np.zeros((1, 3)), np.array([1.7]))
     assert one[0] == pytest.approx(4 * np.pi * 3.1**2)
     far = U.accessible_surface(np.array([[0, 0, 0], [100, 0, 0]], float), np.array([1.7, 1.7]))
     assert far.sum() == pytest.approx(2 * one[0])
     near = U.accessible_surface(np.array([[0, 0, 0], [3.1, 0, 0]], float), np.array([1.7, 1.7]))
     assert near[0] == pytest.approx(4 * np.pi * 3.1**2 * 0.75, rel=0.03)  # a cap of half the radius is hidden
-    assert U.secondary_structure(np.zeros((3, 4, 3))) == "LLL"
+    three = spark.createDataFrame([("e", i, [0.0] * 12) for i in range(3)], "entry string, i long, bb array<double>")
+    assert [r["ss"] for r in U.secondary_structure(three).orderBy("i").collect()] == ["L", "L", "L"]
 
 
 def test_pockets(spark, folder):
@@ -118,6 +119,21 @@ def test_sinks(spark, tmp_path):
     assert [(r["split"], r["entry"], r["label"], r["features"]) for r in got] == [("train", "e", "A", [1.0, 0.0]), ("train", "f", "B", [0.0, 1.0])]
 
 
+def test_matrix_files(spark, tmp_path):
+    """Files of the sink hold their rows in order, and arrays of objects are read as text."""
+    rows = [("train", 7 - i, f"e{7 - i}", None if i == 2 else f"L{i}", [float(i), 0.5]) for i in range(8)] + [("test", 3, "q", "A", [1.0, 2.0])]
+    S.write_npz(spark.createDataFrame(rows, "split string, row_no long, entry string, label string, features array<double>"), str(tmp_path / "out"), 3)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.suffix == ".npz" and not p.name.startswith(".")) == ["test-00001.npz", "train-00000.npz", "train-00001.npz", "train-00002.npz"]
+    one = np.load(tmp_path / "out/train-00001.npz")
+    assert one["entries_train"].tolist() == ["e3", "e4", "e5"] and one["X_train"].tolist() == [[4.0, 0.5], [3.0, 0.5], [2.0, 0.5]]
+    back = S.read_npz(spark, str(tmp_path / "out")).where("split = 'train'")
+    assert sorted(r["entry"] for r in back.collect()) == [f"e{i}" for i in range(8)]
+    (tmp_path / "objects").mkdir()
+    np.savez(tmp_path / "objects/m.npz", X_test=np.eye(2), y_test=np.array(["A", "B"], object), entries_test=np.array(["e", "ü" * 40], object))
+    got = S.read_npz(spark, str(tmp_path / "objects")).orderBy("row_no").collect()
+    assert [(r["split"], r["entry"], r["label"], r["features"]) for r in got] == [("test", "e", "A", [1.0, 0.0]), ("test", "ü" * 40, "B", [0.0, 1.0])]
+
+
 def test_mapped(spark):
     def fetch(row):
         if row["id"] == "bad":
