@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from protolens.llm._util import small_batches, table, text_of
 
 #: Pieces of a worker's memo; when it is full only those at hand stay.
-MEMO = 400_000
+MEMO = 100_000
 #: Rows of a returned batch, and its characters unless one text has more.
 BATCH, CHARS = 512, 1 << 20
 #: Code points with the Unicode property White_Space.
