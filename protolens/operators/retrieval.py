@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from protolens.operators.relational import last_label
@@ -102,6 +102,19 @@ def top_k(hits: DataFrame, k: int, by: str = "bits", tie: str = "target", min_pr
     return hits.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
 
 
+def write_ranked(hits: DataFrame, path: str, by: str = "bits", tie: str = "target") -> None:
+    """Hits with their rank, files sorted by query and rank: sorted once, when they are written."""
+    order = Window.partitionBy("query").orderBy(F.desc(by), tie)
+    hits.withColumn("rk", F.row_number().over(order)).write.mode("overwrite").parquet(path)
+
+
+def read_ranked(spark: SparkSession, path: str, k: int | None = None) -> DataFrame:
+    """The best ``k`` hits of each query, or all, of such files: a filter that the scan takes, with
+    no shuffle and no sort."""
+    hits = spark.read.parquet(path)
+    return hits if k is None else hits.where(F.col("rk") <= k)
+
+
 def top_1(hits: DataFrame, labels: DataFrame) -> DataFrame:
     """(query, pred, prob) of each query's best hit; pred is null if its target has no label, and
     the last label of a repeated entry."""

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from protolens.operators import ml as M
+from protolens.operators import retrieval as R
 from protolens.operators.store import ModelStore
 from protolens.plans.data import table, vectors
+from protolens.plans.retrieval_queries import ORACLES as RETRIEVAL_ORACLES
 from protolens.sources import files as X
 from protolens.sources.fetch import FetchLog
 
@@ -47,9 +49,18 @@ def stored_path(spark, sf_dir):
     return store.linear_path(train, [0.1, 1.0]).predict(test)
 
 
-QUERIES = {"fetch_status": fetch_status, "fetch_quarantine": fetch_quarantine, "stored_path": stored_path}
+def ranked_head(spark, sf_dir):
+    """The best five hits of each query from hits that were ranked when they were written."""
+    train, test = vectors(spark, sf_dir)
+    path = X.scratch(spark, "ranked")
+    R.write_ranked(R.hits_from_vectors(test, train, 20), path)
+    return R.read_ranked(spark, path, 5).select("query", "target", "bits", "prob", "rk")
+
+
+QUERIES = {"ranked_head": ranked_head, "fetch_status": fetch_status, "fetch_quarantine": fetch_quarantine, "stored_path": stored_path}
 _FAILS = "url IS NOT NULL AND contains(url, 'net') AND contains(url, '/es')"
 ORACLES = {
+    "ranked_head": RETRIEVAL_ORACLES["topk_hits"],
     "fetch_status": f"SELECT DISTINCT page_id::VARCHAR AS key, CASE WHEN url IS NULL THEN 'no_entry' WHEN {_FAILS} THEN 'error:ConnectionError' WHEN contains(url, 'net') THEN 'ok' ELSE 'exists' END AS status FROM pages WHERE page_id IS NOT NULL",
     "fetch_quarantine": f"SELECT page_id::VARCHAR AS key, url AS error, 2::INT AS run FROM pages WHERE {_FAILS}",
 }

@@ -283,6 +283,40 @@ def write_by_split(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+def copy_by_split(splits: DataFrame, source: str, target: str) -> DataFrame:
+    """Copies the file of each entry (entry, split) to the folder of its split; (entry, split,
+    status) with ``copied``, ``exists`` and ``missing``.
+
+    Executors copy, each file under a name of the attempt that is changed at the end; files that
+    are there are left alone, so that a run that is cut off is run again. File names without
+    their ending are unique in ``source``.
+    """
+    spark = splits.sparkSession
+    place = (target[5:] if target.startswith("file:") else target).rstrip("/")
+
+    def copied(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, folder = pafs.FileSystem.from_uri(place)
+        for pdf in frames:
+            done = []
+            for split, path, content in zip(pdf["split"], pdf["path"], pdf["content"], strict=True):
+                own = f"{folder}/{split}/{path.rsplit('/', 1)[-1]}"
+                if system.get_file_info(own).type == pafs.FileType.File:
+                    done.append("exists")
+                    continue
+                system.create_dir(f"{folder}/{split}", recursive=True)
+                attempt = f"{folder}/{split}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(attempt) as out:
+                    out.write(content)
+                system.move(attempt, own)
+                done.append("copied")
+            yield pd.DataFrame({"entry": pdf["entry"], "status": done})
+
+    files = spark.read.format("binaryFile").load(source).select(stem(F.col("path")).alias("entry"), "path", "content")
+    found = files.join(splits.select("entry", "split"), "entry").mapInPandas(copied, "entry string, status string")
+    found = kept(found, "copies")
+    return splits.select("entry", "split").join(found, "entry", "left").select("entry", "split", F.coalesce("status", F.lit("missing")).alias("status"))
+
+
 def write_summary(rows: DataFrame, path: str, title: str, limit: int = 1000) -> None:
     """A text report of a small table, one file; at most ``limit`` rows."""
     line = F.concat_ws("  ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in rows.columns])

@@ -134,6 +134,20 @@ def test_matrix_files(spark, tmp_path):
     assert [(r["split"], r["entry"], r["label"], r["features"]) for r in got] == [("test", "e", "A", [1.0, 0.0]), ("test", "ü" * 40, "B", [0.0, 1.0])]
 
 
+def test_copies_by_split(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for n in range(6):
+        (tmp_path / f"in/e{n}.pdb").write_bytes(bytes([n]) * 1000)
+    splits = spark.createDataFrame([(f"e{n}", "train" if n % 2 else "test") for n in range(8)], "entry string, split string")
+    status = lambda df: {r["entry"]: r["status"] for r in df.collect()}
+    first = status(S.copy_by_split(splits.where("entry < 'e2'"), str(tmp_path / "in"), str(tmp_path / "out")))
+    assert first == {"e0": "copied", "e1": "copied"}
+    (tmp_path / "out/train/e1.pdb").write_text("kept")
+    assert status(S.copy_by_split(splits, str(tmp_path / "in"), str(tmp_path / "out"))) == {"e0": "exists", "e1": "exists", **{f"e{n}": "copied" for n in range(2, 6)}, "e6": "missing", "e7": "missing"}
+    assert sorted(p.name for p in (tmp_path / "out/test").iterdir() if not p.name.startswith(".")) == ["e0.pdb", "e2.pdb", "e4.pdb"]
+    assert (tmp_path / "out/test/e4.pdb").read_bytes() == bytes([4]) * 1000 and (tmp_path / "out/train/e1.pdb").read_text() == "kept"
+
+
 def test_mapped(spark):
     def fetch(row):
         if row["id"] == "bad":

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from protolens.operators import path as L
+from protolens.operators import retrieval as R
 from protolens.operators import store as S
 from protolens.sources.fetch import FetchLog
 
@@ -80,6 +81,20 @@ def test_cut_off_run_goes_on(spark, tmp_path):
     assert got == {f"k{i:02}": "exists" if f"k{i:02}" in before else "ok" for i in range(30)}
 
 
+def test_ranked_hits(spark, tmp_path):
+    """Written ranks are those of a window over the hits, and reading needs neither shuffle nor sort."""
+    g = np.random.default_rng(4)
+    rows = [(f"q{i % 9}", f"t{i}", float(v)) for i, v in enumerate(g.integers(0, 20, 300))]
+    hits = spark.createDataFrame(rows, "query string, target string, bits double").repartition(5)
+    R.write_ranked(hits, str(tmp_path / "hits"))
+    for k in (1, 3, 50):
+        got = R.read_ranked(spark, str(tmp_path / "hits"), k)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, R.top_k(hits, k).collect()))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort" not in plan and "PushedFilters: [IsNotNull(rk), LessThanOrEqual(rk" in plan
+    assert R.read_ranked(spark, str(tmp_path / "hits")).count() == 300
+
+
 def test_models(spark, tmp_path, monkeypatch):
     g = np.random.default_rng(2)
     rows = [(f"e{i}", f"c{i % 3}", [float(v) for v in g.normal(i % 3, 1, 4)]) for i in range(60)]
