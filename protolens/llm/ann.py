@@ -6,7 +6,11 @@ vectors, up to ``LISTS``); every vector is indexed: assigned to its nearest cent
 quantisation. The number of lists that a query probes is set on the same sample, so that
 probing would find ``TARGET`` of the sample's true neighbours. Lists are salted into blocks of
 bounded size, and so are the queries of a list; a block is searched with asymmetric distance
-tables, its shortlist reranked by exact distances on the original vectors. Equal vectors of a
+tables, its shortlist reranked by exact distances on the original vectors. A vector is never
+further from its code than its own coding error, so every other vector of the block that could
+still be nearer than the shortlist's last is ranked too: codes lose no neighbour of a probed
+list, however unlike the vectors' lengths are. The index works on vectors moved and scaled to
+the sample's middle and size, so neither an offset nor the unit matters. Equal vectors of a
 block are searched as one and expanded to as many copies as can matter, so copies never
 crowd others out. Only each query's nearest of each block leave it. A query for which the
 probed lists hold fewer candidates than wanted is searched in all lists.
@@ -54,6 +58,11 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray
     return c
 
 
+def _short(x: np.ndarray) -> np.ndarray:
+    """Moved vectors as 32-bit numbers whose squares stay finite."""
+    return np.clip(x, -1e15, 1e15).astype(np.float32)
+
+
 def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)[None]
 
@@ -65,11 +74,17 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Fitted centroids: lists x dim, and subspaces x codes x width; lists to probe."""
+    """Fitted centroids of moved and scaled vectors: lists x dim, and subspaces x codes x width;
+    lists to probe."""
 
     coarse: np.ndarray
     fine: np.ndarray
     probes: int
+    middle: np.ndarray | float = 0.0
+    factor: float = 1.0
+
+    def moved(self, x: np.ndarray) -> np.ndarray:
+        return (np.asarray(x, float) - self.middle) * self.factor
 
     def code(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
         r = (x - self.coarse[lists]).reshape(len(x), len(self.fine), -1)
@@ -82,7 +97,11 @@ def lists_for(total: int) -> int:
 
 def fit(sample: np.ndarray, total: int, k: int = K) -> Index:
     """An index from a sample of the ``total`` vectors that it will hold."""
-    x = np.asarray(sample, np.float32)
+    x = np.unique(np.asarray(sample, float), axis=0)  # copies would take centroids and hide what others need
+    middle = np.median(x, axis=0)
+    far = np.median(np.abs(x - middle).max(axis=1))
+    factor = 1.0 / far if far > 0 else 1.0
+    x = _short((x - middle) * factor)
     lists = int(max(1, min(lists_for(total), len(x))))
     coarse = _kmeans(x, lists)
     near = _nearest(x, coarse)
@@ -98,7 +117,7 @@ def fit(sample: np.ndarray, total: int, k: int = K) -> Index:
     place = np.argsort(np.argsort(_squares(x[q], coarse), axis=1), axis=1)
     deep = np.sort(place[np.arange(len(q))[:, None], near[wanted]].ravel())
     probes = 1 if not len(deep) else int(deep[min(len(deep) - 1, int(np.ceil(TARGET * len(deep))) - 1)]) + 1
-    return Index(coarse, fine, min(lists, max(8, probes)))
+    return Index(coarse, fine, min(lists, max(8, probes)), middle, factor)
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -115,7 +134,7 @@ def _assigned(index: Index):
         for pdf in frames:
             if pdf.empty:
                 continue
-            x = np.array(pdf["v"].tolist(), np.float32)
+            x = _short(index.moved(pdf["v"].tolist()))
             lists = _nearest(x, index.coarse)
             yield pd.DataFrame({"list": lists.astype(np.int32), "vec_id": pdf["vec_id"], "rid": pdf["rid"], "codes": [c.tobytes() for c in index.code(x, lists)], "v": pdf["v"]})
 
@@ -127,7 +146,7 @@ def _probed(index: Index, probes: int):
         for pdf in frames:
             if pdf.empty:
                 continue
-            x = np.array(pdf["v"].tolist(), np.float32)
+            x = _short(index.moved(pdf["v"].tolist()))
             near = np.argsort(_squares(x, index.coarse), axis=1, kind="stable")[:, :probes]
             yield pd.DataFrame({"query_id": pdf["vec_id"], "lists": [n.astype(np.int32) for n in near], "q": pdf["v"]})
 
@@ -154,15 +173,28 @@ def _search(index: Index, k: int):
             codes = np.frombuffer(b"".join(rows["codes"].iloc[one]), np.uint8).reshape(len(one), -1).astype(np.int64)
             centre = index.coarse[int(rows["list"].iloc[0])]
             subs = np.arange(codes.shape[1])
+            off = np.sqrt(((index.moved(v[one]) - centre - index.fine[subs, codes].reshape(len(one), -1)) ** 2).sum(1))
+
+            def ranked(some: np.ndarray, query: int, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """Rows of some distinct vectors, at most ``k`` of each, and their distances."""
+                exact = np.sqrt(((v[one[some]] - q) ** 2).sum(1))
+                own = [first(members[ends[s] : ends[s + 1]], query, ids) for s in some]
+                return np.concatenate([*own, np.zeros(0, np.int64)]), np.repeat(exact, [len(o) for o in own])
+
             for query, q in zip(queries["query_id"], queries["q"], strict=True):
                 q = np.asarray(q, float)
-                r = (q - centre).reshape(len(index.fine), 1, -1)
+                r = (index.moved(q) - centre).reshape(len(index.fine), 1, -1)
                 near = ((r - index.fine) ** 2).sum(2)[subs, codes].sum(1)
                 short = np.argpartition(near, short_list)[:short_list] if len(near) > short_list else np.arange(len(near))
-                exact = np.sqrt(((v[one[short]] - q) ** 2).sum(1))
-                own = [first(members[ends[s] : ends[s + 1]], query, ids) for s in short]
-                at = np.concatenate(own)
-                d = np.repeat(exact, [len(o) for o in own])
+                at, d = ranked(short, query, q)
+                if len(short) < len(near):
+                    # Moved by at most its coding error, so a vector that can be among the nearest is ranked as well.
+                    last = np.partition(d, k - 1)[k - 1] * index.factor if len(d) >= k else np.inf
+                    code = np.sqrt(near)
+                    able = code - off <= last + 1e-9 * (last + code + off)
+                    able[short] = False
+                    more = ranked(np.flatnonzero(able), query, q)
+                    at, d = np.concatenate([at, more[0]]), np.concatenate([d, more[1]])
                 best = np.lexsort((ids[at], d))[:k]
                 out["query_id"].append(np.full(len(best), query))
                 out["vec_id"].append(ids[at[best]])
@@ -180,7 +212,7 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(SAMPLE, SHARE * lists_for(total))).toPandas()
-    index = fit(np.array(sample["v"].tolist(), np.float32), total, k)
+    index = fit(np.array(sample["v"].tolist(), float), total, k)
     named = rows.withColumn("rid", F.monotonically_increasing_id())
     placed = stage(named.mapInPandas(_assigned(index), "list int, vec_id long, rid long, codes binary, v array<double>"), "ivf")
     queries = rows.where(is_query).select("vec_id", "v").distinct()

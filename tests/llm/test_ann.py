@@ -99,3 +99,15 @@ def test_recall_on_more_vectors(spark):
         found += len(set(group["vec_id"]) & set(ids[np.lexsort((ids, d))[:10]]))
         total += 10
     assert total == 1000 and found / total >= 0.9
+
+
+@pytest.mark.parametrize("kind", ["lengths", "clusters", "large", "small", "offset"])
+def test_recall_on_other_rows(spark, kind):
+    """Vectors of very unlike lengths, tight clusters, and values far from 1."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(4000, 16))
+    x = {"lengths": x * np.exp(2 * rng.normal(size=(4000, 1))), "clusters": rng.normal(size=(20, 16))[np.arange(4000) % 20] + 0.05 * x, "large": x * 1e25, "small": x * 1e-25, "offset": x + 1000}[kind]
+    vectors = list(enumerate(x.astype(np.float32)))
+    want = brute(vectors)
+    found = [r for r in ann.search(table(spark, vectors), ann.F.pmod("vec_id", ann.F.lit(10)) == 0).collect() if r["vec_id"] in dict(want[r["query_id"]])]
+    assert len(want) == 400 and len(found) / 4000 >= 0.95
