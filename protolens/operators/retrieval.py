@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from protolens.operators.relational import last_label
 
 #: Rows of a block of the all-pairs product, and of a slice of it that is held at a time.
-BLOCK, SLICE = 4096, 512
+BLOCK, SLICE = 8192, 256
+#: Pairs whose vectors are held at a time.
+_HELD = 1 << 15
 _PAIRS = pa.schema([("by", pa.string()), ("query", pa.string()), ("target", pa.string()), ("sim", pa.float64())])
 
 
@@ -24,19 +26,31 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1.0)
 
 
-def _best(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _able(sim: np.ndarray, k: int, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of all that can be among the ``k`` greatest of each row, if values may be off
+    by half of ``slack``: the ``k``-th of the maxima of runs of columns bounds the ``k``-th of all."""
+    n = sim.shape[1]
+    tops = np.maximum.reduceat(sim, np.arange(0, n, max(1, n // (8 * k))), axis=1)
+    k = min(k, tops.shape[1])
+    least = np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k]
+    return np.nonzero(sim >= (least - slack)[:, None])
+
+
+def _best(row: np.ndarray, column: np.ndarray, value: np.ndarray, rows: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, value) of the ``k`` greatest of each row, ties to the smaller column."""
-    k = min(k, sim.shape[1])
-    least = np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k]
-    row, column = np.nonzero(sim >= least[:, None])
-    value = sim[row, column]
     order = np.lexsort((column, -value, row))
     row, column, value = row[order], column[order], value[order]
-    first = np.searchsorted(row, np.arange(len(sim)))
+    first = np.searchsorted(row, np.arange(rows))
     keep = np.arange(len(row)) - first[row] < k
     return row[keep], column[keep], value[keep]
 
 
+def _distances(x: np.ndarray, b: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    step = max(1, (_HELD << 6) // b.shape[1])
+    parts = [np.sqrt(((b[column[i : i + step]] - x[row[i : i + step]]) ** 2).sum(1)) for i in range(0, len(row), step)]
+    return np.concatenate([*parts, np.zeros(0)])
+
+
 def _cell(metric: str, k: int):
     def block(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -44,15 +58,32 @@ def _cell(metric: str, k: int):
         a, b = _matrix(left), _matrix(right)
         names = np.array(right.column("entry").to_pylist(), object)
         order = np.argsort(names, kind="stable")
+        order = order[np.isfinite(b[order]).all(axis=1)]
         b, names = b[order], names[order]
+        if not len(b):
+            return _PAIRS.empty_table()
         if metric == "cosine":
             a, b = _unit(a), _unit(b)
+        else:
+            # Products tell which distances can be among the least; these are computed from the vectors.
+            middle = b.mean(axis=0)
+            moved = b - middle
+            squares = (moved**2).sum(1)
         found = []
-        step = SLICE if metric == "cosine" else max(1, (SLICE << 12) // b.size)
-        for at in range(0, len(a), step):
-            x = a[at : at + step]
-            sim = x @ b.T if metric == "cosine" else -np.sqrt(((b[None] - x[:, None]) ** 2).sum(2))
-            rows, targets, values = _best(np.round(sim, 6) + 0.0, k)
+        for at in range(0, len(a), SLICE):
+            x = a[at : at + SLICE]
+            if metric == "cosine":
+                sim = x @ b.T
+                row, column = _able(sim, k, np.full(len(x), 2e-6))
+                value = sim[row, column]
+            else:
+                y = x - middle
+                own = (y**2).sum(1)
+                sim = 2 * (y @ moved.T) - squares
+                far = np.sqrt(own) + np.sqrt(squares.max())
+                row, column = _able(sim, k, 1e-5 * (far + 1e-5) + 1e-11 * far**2)
+                value = -_distances(x, b, row, column)
+            rows, targets, values = _best(row, column, np.round(value, 6) + 0.0, len(x), k)
             found.append((rows + at, targets, values))
         rows, targets, values = (np.concatenate(c) for c in zip(*found, strict=True))
         queries = np.array(left.column("entry").to_pylist(), object)[rows]

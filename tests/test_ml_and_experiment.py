@@ -126,3 +126,26 @@ def test_suite_query_has_every_model(spark, monkeypatch):
 
     monkeypatch.setattr(Q.M, "run_suite", lambda train, test, names=None: names or list(M.SUITE))
     assert Q.suite(spark, "/root/testdata/sf0.001") == list(M.SUITE)
+
+
+def test_block_of_distances_holds_few_pairs():
+    """Least distances are those of all pairs, with ties and far offsets, but only pairs that can be
+    among the least are computed one by one."""
+    import numpy as np
+    import pyarrow as pa
+
+    from protolens.operators import retrieval as R
+
+    rng, held = np.random.default_rng(3), []
+    a, b = rng.normal(size=(50, 8)) + 1000, rng.normal(size=(700, 8)) + 1000
+    b[5:20] = b[5]
+    a[0] = b[5]
+    table = lambda x: pa.table({"entry": [f"{i:04}" for i in range(len(x))], "v": pa.array(x.tolist(), pa.list_(pa.float64()))})
+    whole, R._distances = R._distances, lambda x, b, row, column: (held.append(len(row)), whole(x, b, row, column))[1]
+    try:
+        got = R._cell("l2", 5)(("",), table(a), table(b)).to_pydict()
+    finally:
+        R._distances = whole
+    d = -np.round(np.sqrt(((b[None] - a[:, None]) ** 2).sum(2)), 6) + 0.0
+    want = [(f"{i:04}", f"{j:04}", d[i, j]) for i in range(50) for j in np.lexsort((np.arange(700), -d[i]))[:5]]
+    assert list(zip(got["query"], got["target"], got["sim"], strict=True)) == want and sum(held) < 50 * 40
