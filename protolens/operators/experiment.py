@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from protolens.functions.vector import group_ordinals, keep_ordinals
-from protolens.operators.ml import nearest_mean, nearest_neighbours
 from protolens.operators.metrics import evaluate
-from protolens.operators.retrieval import blocks_of
+from protolens.operators.ml import most_frequent, nearest_mean
+from protolens.operators.retrieval import blocks_of, similar
+from protolens.sources.files import kept
 
 
 def grid(spark: SparkSession, **values: list) -> DataFrame:
@@ -32,25 +33,27 @@ def subsets(columns: list[tuple[str, str]]) -> dict[str, list[int]]:
     return out
 
 
-MODELS: dict[str, Callable[..., DataFrame]] = {
-    "ncm": nearest_mean,
-    "knn_cos_1": lambda a, b, **own: nearest_neighbours(a, b, 1, **own),
-    "knn_cos_3": lambda a, b, **own: nearest_neighbours(a, b, 3, **own),
-    "knn_cos_5": lambda a, b, **own: nearest_neighbours(a, b, 5, **own),
-}
+#: Neighbours that a model of this name asks; ``ncm`` asks the class means.
+NEIGHBOURS = {"knn_cos_1": 1, "knn_cos_3": 3, "knn_cos_5": 5}
 
 
 def ablate(train: DataFrame, test: DataFrame, columns: list[tuple[str, str]], models: list[str]) -> DataFrame:
     """(features, method, weighted_f1) of each subset and model.
 
     Every row becomes one for each subset, and subsets never meet: one plan for each model
-    whatever the number of subsets.
+    whatever the number of subsets. Neighbours are searched once, for the model that asks most,
+    and written to the shared folder; other models take the first of these.
     """
     blocks, truth, out = (blocks_of(test), blocks_of(train)), test.select(F.col("entry").alias("query"), F.col("label").cast("string").alias("true")), None
     each = F.array(*[F.struct(F.lit(n).alias("subset"), keep_ordinals(F.col("features"), own).alias("features")) for n, own in subsets(columns).items()])
     a, b = (t.select("entry", "label", F.explode(each).alias("s")).select("entry", "label", "s.*") for t in (train, test))
+    most = max((NEIGHBOURS.get(m, 0) for m in models), default=0)
+    if most:
+        order = Window.partitionBy("subset", "query").orderBy(F.desc("sim"), "target")
+        near = kept(similar(b, a, most, blocks=blocks, by="subset").select("subset", "query", "target", F.row_number().over(order).alias("rk")), "neighbours")
     for m in models:
-        rows = evaluate(truth, MODELS[m](a, b, by="subset", blocks=blocks), ["subset"], [{"subset": n} for n in subsets(columns)])
+        preds = most_frequent(near.where(F.col("rk") <= NEIGHBOURS[m]), train, "subset") if m in NEIGHBOURS else nearest_mean(a, b, by="subset", blocks=blocks)
+        rows = evaluate(truth, preds, ["subset"], [{"subset": n} for n in subsets(columns)])
         rows = rows.select(F.col("subset").alias("features"), F.lit(m).alias("method"), "weighted_f1")
         out = rows if out is None else out.unionByName(rows)
     return out
