@@ -134,3 +134,27 @@ def test_alignment(spark):
     assert J.unseen_labels(test, train).count() == 1
     merged = J.all_splits(train=test, test=test.drop("label"))
     assert merged.where("split = 'test' and label is null").count() == 2
+
+
+def test_short_vectors_keep_what_they_have(spark):
+    assert column(spark, [[1.0, 2.0, 3.0, 4.0], [1.0], None], "array<double>", X.keep_ordinals(F.col("v"), [0, 1, 3])) == [[1.0, 2.0, 4.0], [1.0], None]
+    assert column(spark, [[1.0]], "array<double>", X.keep_ordinals(F.col("v"), [])) == [[]]
+
+
+def test_counts_of_rows_that_repeat_a_key(spark):
+    """Only keys of several rows are shuffled; letters beyond ASCII and long k-mers are counted as well."""
+    rows = [("a", "ABAB"), ("a", "AB"), ("b", "ÄBÄB"), ("c", None), (None, "ABC"), ("d", "A")]
+    df = spark.createDataFrame(rows, "entry string, sequence string")
+    assert {tuple(r) for r in O.kmer_counts(df, 2).collect()} == {("a", "AB", 3), ("a", "BA", 1), ("b", "ÄB", 2), ("b", "BÄ", 1), (None, "AB", 1), (None, "BC", 1)}
+    one = df.where("entry = 'b' OR entry IS NULL")
+    assert "HashAggregate" not in O.kmer_counts(one, 2)._jdf.queryExecution().executedPlan().toString()
+    long = spark.createDataFrame([("e", "ABCDEFGHIJ")], "entry string, sequence string")
+    assert {r["motif"] for r in O.kmer_presence(long, 9).collect()} == {"ABCDEFGHI", "BCDEFGHIJ"}
+    assert {r["motif"] for r in O.kmer_presence(long, 8).collect()} == {"ABCDEFGH", "BCDEFGHI", "CDEFGHIJ"}
+    assert {(r["entry"], r["dipeptide"], r["freq"]) for r in S.dipeptides(spark.createDataFrame([("f", "ACAC"), ("g", "AC"), ("g", "CA")], "entry string, sequence string"), "sequence", ["entry"]).collect()} == {("f", "AC", 2 / 3), ("f", "CA", 1 / 3), ("g", "AC", 1.0), ("g", "CA", 1.0)}
+
+
+def test_support_is_counted_in_parts(spark):
+    df = spark.createDataFrame([("a", "X", "ABAB"), ("b", "X", "ABC"), ("c", "Y", "ABÄ"), ("d", None, "AB")], "entry string, label string, sequence string").repartition(3)
+    found = O._held(O.support(df, 2), df).collect()
+    assert {tuple(r) for r in found} == {("X", "AB", 2), ("X", "BA", 1), ("X", "BC", 1), ("Y", "AB", 1), ("Y", "BÄ", 1), (None, "AB", 1)}
