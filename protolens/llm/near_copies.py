@@ -48,6 +48,9 @@ WORDS, SIMILARITY = 5, 0.8
 PAIR, WIDE = 2, 9
 #: Rows beside each other in a cell that are compared first.
 REACH = 3
+#: Turns in which rows beside each other are compared, in another order each time, at most; and the
+#: links for each thousand rows below which a turn is the last.
+TURNS, WORTH = 6, 5
 #: Texts of the sample that orders shingles, and texts of it that make a shingle common.
 ORDERED, COMMON = 10_000, 4
 #: Common shingles that tasks are told of; the others are ordered as rare ones.
@@ -347,10 +350,15 @@ def _possible(similarity: float):
     return over
 
 
-def possible(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) that sketches as wide as their texts (t) are long allow: these are a
-    twentieth of the texts, so only texts of pairs that are nearly similar have to meet."""
-    wide = stage(texts.select("t").mapInArrow(_wide, "u long, n int, wide binary"), "wide")
+def wide_sketches(texts: DataFrame) -> DataFrame:
+    """(u, n, wide): sketches as wide as their texts (t) are long, a twentieth of the texts."""
+    return stage(texts.select("t").mapInArrow(_wide, "u long, n int, wide binary"), "wide")
+
+
+def possible(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, wide: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) that wide sketches allow, so only texts of pairs that are nearly similar
+    have to meet."""
+    wide = wide_sketches(texts) if wide is None else wide
     side = lambda c: wide.select(F.col("u").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "wa", "nb", "wb")
     return stage(both.mapInArrow(_possible(similarity), "a long, b long"), "possible")
@@ -525,18 +533,38 @@ def _by_prints(texts: DataFrame, nodes: DataFrame, distance: int, block: int, lo
     known = texts.join(bounded(some.select("row"), n), "row", "left_semi").select("t").mapInArrow(_sketched, "u long, n int, sketch binary, t string")
     known = stage(known.join(bounded(some.select("u", "fp"), n), "u"), "near-texts")
     parts = _partitions(known.select("fp").distinct(), distance)
-    beside = _rooted(known, None).select("u", "root", "n", "fp", "sketch").mapInArrow(_placed(parts, False), _CELL)
-    beside = beside.repartitionByRange("c", "fp", "u").sortWithinPartitions("c", "fp", "u")
-    tested = stage(beside.mapInArrow(_partners(SIMILARITY, distance, REACH), "a long, b long").distinct(), "beside")
-    similar = stage(alike(possible(tested, known), known), "similar")
-    groups = stage(components(similar), "groups")
+    wide = wide_sketches(known)
+    cells = lambda groups: _rooted(known, groups).select("u", "root", "n", "fp", "sketch").mapInArrow(_placed(parts, False), _CELL)
+    similar, tested, groups = _in_turns(cells, lambda pairs: alike(possible(pairs, known, wide=wide), known), distance, None, None, None, n)
     met = pairs_within(_rooted(known, groups), distance, block)
     met = stage(met.join(tested, ["a", "b"], "left_anti"), "met")
-    return similar.unionByName(stage(alike(possible(met, known), known), "similar")), tested.unionByName(met)
-
-
-def _by_shingles(texts: DataFrame, nodes: DataFrame, groups: DataFrame | None, tested: DataFrame | None, words: int, block: int) -> DataFrame:
-    """Pairs of similar texts of different groups, found by shared first shingles.
+    return similar.unionByName(stage(alike(possible(met, known, wide=wide), known), "similar")), tested.unionByName(met)
+
+
+def _in_turns(cells, verified, distance: int | None, similar: DataFrame | None, tested: DataFrame | None, groups: DataFrame | None, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(similar, tested, groups) after rows beside each other in a cell were compared, by
+    fingerprint first and then in orders by chance, which brings a large group together with a
+    few pairs for each row instead of all. It only spares later work: all pairs of rows that are
+    still in different groups are compared after it, so no link depends on these orders.
+    ``cells`` makes the records of groups, ``verified`` tells similar pairs."""
+    for turn in range(TURNS):
+        rows = cells(groups).withColumn("o", F.xxhash64("u", F.lit(turn)) if turn or distance is None else F.col("fp"))
+        rows = rows.repartitionByRange("c", "o", "u").sortWithinPartitions("c", "o", "u").drop("o")
+        found = rows.mapInArrow(_partners(SIMILARITY, distance, REACH), "a long, b long").distinct()
+        found = stage(found if tested is None else found.join(tested, ["a", "b"], "left_anti"), "beside")
+        tested = found if tested is None else tested.unionByName(found)
+        more = stage(verified(found), "similar")
+        links = more.count()
+        if links or groups is None:
+            similar = more if similar is None else similar.unionByName(more)
+            groups = stage(components(similar), "groups")
+        if links * 1000 <= n * WORTH:
+            break
+    return similar, tested, groups
+
+
+def _by_shingles(texts: DataFrame, nodes: DataFrame, similar: DataFrame | None, groups: DataFrame | None, tested: DataFrame | None, words: int, block: int) -> DataFrame:
+    """``similar`` and pairs of similar texts of different groups, found by shared first shingles.
 
     ``words`` of all texts set the number of heaps. A shingle that the sample says is in more
     than a heap's records is spread over all heaps and goes on whatever texts have it.
@@ -549,17 +577,25 @@ def _by_shingles(texts: DataFrame, nodes: DataFrame, groups: DataFrame | None, t
     dealt = stage(rooted.mapInArrow(_dealt(SIMILARITY, (known, times), hot, heaps), "heap long, blob binary"), "first-shingles", "none")
     shared = dealt.where("heap >= 0").groupBy("heap").applyInArrow(_sharing(hot), "c long, num long, at int")
     about = dealt.where("heap < 0").select("blob").mapInArrow(_about, "num long, u long, root long, n int, sketch binary")
-    none, zero = F.lit(-1).cast("int"), F.lit(0)
-    cells = stage(shared, "shared-shingles").join(about, "num").select("c", none.alias("side"), zero.alias("role"), "u", "root", "n", "at", zero.cast("long").alias("fp"), "sketch")
-    met = _meet(_cells(cells, block), None)
-    met = stage(met if tested is None else met.join(tested, ["a", "b"], "left_anti"), "met")
+    about = stage(about, "about")
+    shared = stage(shared, "shared-shingles")
+
+    def cells(groups: DataFrame | None) -> DataFrame:
+        own = _rooted(about.drop("root"), groups).join(shared, "num")
+        return own.select("c", F.lit(-1).cast("int").alias("side"), F.lit(0).alias("role"), "u", "root", "n", "at", F.lit(0).cast("long").alias("fp"), "sketch")
 
     def of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct()
         return texts.join(bounded(stage(wanted.join(nodes.select("u", "row"), "u"), "meeting")), "row").select("u", "t")
 
-    near = possible(met, of(met))
-    return stage(alike(near, stage(of(near), "meeting-texts")), "similar")
+    def verified(pairs: DataFrame) -> DataFrame:
+        near = possible(pairs, of(pairs))
+        return alike(near, stage(of(near), "meeting-texts"))
+
+    similar, tested, groups = _in_turns(cells, verified, None, similar, tested, groups, nodes.count())
+    met = _meet(_cells(cells(groups), block), None)
+    met = stage(met.join(tested, ["a", "b"], "left_anti"), "met")
+    return similar.unionByName(stage(verified(met), "similar"))
 
 
 def near_copies(docs: DataFrame, distance: int = WIDE, block: int = BLOCK, longest: int = LONGEST, rest: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -580,9 +616,7 @@ def near_copies(docs: DataFrame, distance: int = WIDE, block: int = BLOCK, longe
     groups = None if similar is None else stage(components(similar), "groups")
     if rest:
         words = prints.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-        more = _by_shingles(texts, nodes, groups, tested, words, block)
-        similar = more if similar is None else similar.unionByName(more)
-        groups = components(similar)
+        groups = components(_by_shingles(texts, nodes, similar, groups, tested, words, block))
     if groups is None:
         groups = docs.sparkSession.createDataFrame([], "node long, root long")
     return groups.select(F.col("node").alias("u"), "root"), prints

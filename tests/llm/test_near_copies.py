@@ -147,3 +147,33 @@ def test_near_copies_are_whole(spark):
     root = roots(range(len(rows)), links)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert sorted(r["doc_id"] for r in N.one_of_each(df).collect()) == sorted(set(root.values()))
+
+
+def test_pairs_of_a_large_group_that_meet(spark, monkeypatch):
+    """A group of near copies comes together with a few pairs for each text, not all."""
+    import random
+
+    from protolens.llm import near_copies
+
+    rng = random.Random(5)
+    one, texts = [f"w{i}" for i in range(300)], []
+    for _ in range(600):
+        own = list(one)
+        for _ in range(5):
+            own[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    whole, met = near_copies.stage, []
+
+    def counted(df, name, *more):
+        out = whole(df, name, *more)
+        if name in ("met", "beside"):
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "stage", counted)
+    left = [r["doc_id"] for r in near_copies.one_of_each(docs).collect()]
+    monkeypatch.setattr(near_copies, "TURNS", 1)
+    once, met[:] = sum(met), []
+    assert left == [r["doc_id"] for r in near_copies.one_of_each(docs).collect()]
+    assert once < 30 * 600, (once, sum(met))
