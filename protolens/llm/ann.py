@@ -39,6 +39,8 @@ SAMPLE, TARGET = 20_000, 0.985
 LISTS, SHARE, CODES, SUBSPACES = 32_768, 8, 256, 16
 #: Vectors and queries of one searched block, on average.
 BLOCK, QUERIES = 8_192, 2_048
+#: Pairs of a query and a vector that are held at a time.
+PAIRS = 1 << 19
 #: Shortlist of a query in a block: at least so many, and so many for each wanted neighbour.
 RERANK, PER_NEIGHBOUR = 48, 5
 
@@ -156,11 +158,6 @@ def _probed(index: Index, probes: int):
 def _search(index: Index, k: int):
     short_list = max(RERANK, PER_NEIGHBOUR * k)
 
-    def first(other: np.ndarray, query: int, ids: np.ndarray) -> np.ndarray:
-        """The first ``k`` of equal vectors, sorted by id, that are not the query's own."""
-        a, b = np.searchsorted(ids[other], [query, query + 1])
-        return np.concatenate([other[: min(a, k)], other[b : b + k]])[:k]
-
     def block(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(queries) and len(rows):
@@ -168,42 +165,80 @@ def _search(index: Index, k: int):
             v = np.array(rows["v"].tolist(), float)
             ids = rows["vec_id"].to_numpy()
             _, one, same = np.unique(v.view(np.dtype((np.void, v.dtype.itemsize * v.shape[1]))).ravel(), return_index=True, return_inverse=True)
-            members = np.argsort(same.ravel(), kind="stable")
-            ends = np.concatenate([[0], np.cumsum(np.bincount(same.ravel()))])
-            codes = np.frombuffer(b"".join(rows["codes"].iloc[one]), np.uint8).reshape(len(one), -1).astype(np.int64)
-            centre = index.coarse[int(rows["list"].iloc[0])]
-            subs = np.arange(codes.shape[1])
-            off = np.sqrt(((index.moved(v[one]) - centre - index.fine[subs, codes].reshape(len(one), -1)) ** 2).sum(1))
-
-            def ranked(some: np.ndarray, query: int, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                """Rows of some distinct vectors, at most ``k`` of each, and their distances."""
-                exact = np.sqrt(((v[one[some]] - q) ** 2).sum(1))
-                own = [first(members[ends[s] : ends[s + 1]], query, ids) for s in some]
-                return np.concatenate([*own, np.zeros(0, np.int64)]), np.repeat(exact, [len(o) for o in own])
-
-            for query, q in zip(queries["query_id"], queries["q"], strict=True):
-                q = np.asarray(q, float)
-                r = (index.moved(q) - centre).reshape(len(index.fine), 1, -1)
-                near = ((r - index.fine) ** 2).sum(2)[subs, codes].sum(1)
-                short = np.argpartition(near, short_list)[:short_list] if len(near) > short_list else np.arange(len(near))
-                at, d = ranked(short, query, q)
-                if len(short) < len(near):
+            same = same.ravel()
+            members, sizes = np.argsort(same, kind="stable"), np.bincount(same)
+            starts = np.cumsum(sizes) - sizes
+            x = v[one]
+            n, subs = len(x), np.arange(len(index.fine))
+            codes = np.frombuffer(b"".join(rows["codes"].iloc[one]), np.uint8).reshape(n, -1).astype(np.int64)
+            centre = index.coarse[int(rows["list"].iloc[0])].astype(float)
+            own = index.moved(x) - centre
+            off = np.sqrt(((own - index.fine[subs, codes].reshape(n, -1)) ** 2).sum(1))
+            squares = (own**2).sum(1)
+            # Distances of moved vectors, and those by products, may be off by so much.
+            rough = 1e-15 * index.factor * x.shape[1] * (np.abs(x).max() + np.abs(index.middle).max())
+            names, asked = queries["query_id"].to_numpy(), np.array(queries["q"].tolist(), float)
+            step = max(1, PAIRS // n)
+            for at in range(0, len(names), step):
+                query, q = names[at : at + step], asked[at : at + step]
+                r = index.moved(q) - centre
+                parts = r.reshape(len(r), len(index.fine), -1)
+                near = np.zeros((len(r), n))
+                for s, f in enumerate(index.fine):
+                    near += np.maximum(_squares(parts[:, s], f.astype(float)), 0)[:, codes[:, s]]
+                # Rows of the query's own id are no candidates; a vector that only they have isn't one either.
+                a, b = np.searchsorted(ids, query), np.searchsorted(ids, query, side="right")
+                gone = np.zeros((len(r), n), bool)
+                for i in np.flatnonzero(b > a):
+                    which, times = np.unique(same[a[i] : b[i]], return_counts=True)
+                    gone[i, which[times == sizes[which]]] = True
+                near[gone] = np.inf
+                if n > short_list:
+                    short = np.argpartition(near, short_list, axis=1)[:, :short_list]
+                    rest = np.arange(len(r))[:, None]
+                    exact = np.sqrt(((x[short] - q[:, None]) ** 2).sum(2))
+                    exact[gone[rest, short]] = np.inf
+                    last = (np.partition(exact, k - 1, axis=1)[:, k - 1] * index.factor)[:, None]
                     # Moved by at most its coding error, so a vector that can be among the nearest is ranked as well.
-                    last = np.partition(d, k - 1)[k - 1] * index.factor if len(d) >= k else np.inf
                     code = np.sqrt(near)
-                    able = code - off <= last + 1e-9 * (last + code + off)
-                    able[short] = False
-                    more = ranked(np.flatnonzero(able), query, q)
-                    at, d = np.concatenate([at, more[0]]), np.concatenate([d, more[1]])
-                best = np.lexsort((ids[at], d))[:k]
-                out["query_id"].append(np.full(len(best), query))
-                out["vec_id"].append(ids[at[best]])
-                out["score"].append(d[best])
+                    able = ~(code - off > last + rough + 1e-9 * (last + code + off))
+                    own_q = (r**2).sum(1)[:, None]
+                    able &= ~(own_q + squares - 2 * r @ own.T > (last + rough) ** 2 * (1 + 1e-9) + 1e-12 * (own_q + squares))
+                    able[rest, short] = True
+                    able &= ~gone
+                    i, s = np.nonzero(able)
+                else:
+                    i, s = np.nonzero(~gone)
+                d = np.concatenate([*(np.sqrt(((x[s[j : j + PAIRS >> 4]] - q[i[j : j + PAIRS >> 4]]) ** 2).sum(1)) for j in range(0, len(i), PAIRS >> 4)), np.zeros(0)])
+                i, s, d = _nearest_of(i, s, d, k, True)
+                # Of equal vectors the first ``k`` can matter that are not the query's own.
+                times = np.minimum(sizes[s], k + (b - a)[i])
+                one_by_one = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                row = members[np.repeat(starts[s], times) + one_by_one]
+                i, d = np.repeat(i, times), np.repeat(d, times)
+                other = ids[row] != query[i]
+                i, row, d = _nearest_of(i[other], row[other], d[other], k)
+                out["query_id"].append(query[i])
+                out["vec_id"].append(ids[row])
+                out["score"].append(d)
         return pd.DataFrame({c: np.concatenate([*v, np.zeros(0)]).astype(float if c == "score" else np.int64) for c, v in out.items()})
 
     return block
 
 
+def _nearest_of(i: np.ndarray, row: np.ndarray, d: np.ndarray, k: int, ties: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` nearest rows of each query ``i``, ties to the smaller row, or all that tie with the last."""
+    order = np.lexsort((row, d, i))
+    i, row, d = i[order], row[order], d[order]
+    first = np.searchsorted(i, i)
+    place = np.arange(len(i)) - first
+    keep = place < k
+    if ties and len(i):
+        last = np.minimum(first + k, np.searchsorted(i, i, side="right")) - 1
+        keep |= d <= d[last]
+    return i[keep], row[keep], d[keep]
+
+
 def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query row."""
     rows = usable(vectors, id_col, vector_col)
