@@ -108,6 +108,34 @@ def test_affinity_vectors(spark):
     assert {r["entry"]: (r["label"], r["features"]) for r in R.affinity_features(m, q, t).collect()} == {"q": ("A", [2.0, 0.0, 1.0]), "none": ("B", [0.0, 0.0, 0.0])}
 
 
+def test_affinity_rows_are_sparse(spark):
+    """A row holds its hits only, whatever the width of the table, and models take it."""
+    m = spark.createDataFrame([("q", "a", 2.0), ("q", "c", 1.0)], "query string, target string, value double")
+    t = spark.createDataFrame([("a", 0), ("b", 1), ("c", 10**7)], "entry string, row_no long")
+    q = spark.createDataFrame([("q", "A"), ("none", "B")], "entry string, label string")
+    rows = R.affinity_vectors(m, q, t)
+    got = {r["entry"]: r["features"] for r in rows.collect()}
+    assert got["q"].size == got["none"].size == 10**7 + 1
+    assert (got["q"].indices.tolist(), got["q"].values.tolist(), len(got["none"].indices)) == ([0, 10**7], [2.0, 1.0], 0)
+    t = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "entry string, row_no long")
+    rows = R.affinity_vectors(m, q, t)
+    for model in (M.linear_svm, M.logistic_regression):
+        assert {r["query"]: r["pred"] for r in model(rows, rows).collect()} == {"q": "A", "none": "B"}
+
+
+def test_machine_without_its_kernel(monkeypatch):
+    """Columns of the kernel are made as needed and few are held; weights are those of the whole matrix."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 4))
+    y = np.where(x[:, 0] + 0.5 * rng.normal(size=300) > 0, 1.0, -1.0)
+    whole, bias = M._dual(np.exp(-0.25 * ((x[:, None] - x[None]) ** 2).sum(-1)), y, 1.0)
+    monkeypatch.setattr(M, "HELD", 300 * 20)
+    kernel = M._Radial(x, 0.25)
+    some, own = M._dual(kernel, y, 1.0)
+    assert len(kernel.held) <= 20
+    assert np.allclose(whole, some, atol=1e-3) and abs(bias - own) < 1e-3
+
+
 def test_dual_reaches_its_tolerance():
     """Overlapping classes that take more than 2,000 pair updates."""
     rng = np.random.default_rng(4)
