@@ -107,10 +107,10 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["row", "doc_id", "u", "fp", "words"])
 
 
-def _keys(fp: np.ndarray, parts: list[tuple[int, int]], probes: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(32-bit keys, row, role) of all records of fingerprints; role 0 is indexed and probes,
+def _keys(fp: np.ndarray, parts: list[tuple[int, int]], probes: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(32-bit keys, row, role, part) of all records of fingerprints; role 0 is indexed and probes,
     2 probes. Keys that meet by chance cost a comparison and nothing else."""
-    keys, rows, roles = [], [], []
+    keys, rows, roles, own = [], [], [], []
     with np.errstate(over="ignore"):
         for i, (mask, threshold) in enumerate(parts):
             bits = [b for b in range(64) if mask >> b & 1] if probes else []
@@ -121,7 +121,8 @@ def _keys(fp: np.ndarray, parts: list[tuple[int, int]], probes: bool = True) ->
             keys.append((mixed >> np.uint64(32)).astype(np.int64).ravel())
             rows.append(np.repeat(np.arange(len(fp)), len(flips)))
             roles.append(np.tile(np.array([0] + [2] * (len(flips) - 1), np.int32), len(fp)))
-    return np.concatenate(keys), np.concatenate(rows), np.concatenate(roles)
+            own.append(np.full(len(rows[-1]), i, np.int32))
+    return np.concatenate(keys), np.concatenate(rows), np.concatenate(roles), np.concatenate(own)
 
 
 def _probed(parts: list[tuple[int, int]]):
@@ -130,7 +131,7 @@ def _probed(parts: list[tuple[int, int]]):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _few(batches, 1024):
             fp = batch.column(0).to_numpy()
-            k, row, role = _keys(fp, parts)
+            k, row, role, _ = _keys(fp, parts)
             yield pa.RecordBatch.from_arrays([pa.array((k - (1 << 31)).astype(np.int32)), pa.array(fp[row]), pa.array(role.astype(np.int8))], names=["k", "fp", "role"])
 
     return over
@@ -190,14 +191,14 @@ def _with_partner(distance: int, longest: int):
 
 
 def _placed(parts: list[tuple[int, int]], probes: bool):
-    """Records (``_CELL``) of nodes (u, root, n, fp, sketch)."""
+    """Records (``_CELL``) of nodes (u, root, n, fp, sketch); ``at`` is the part of the key."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _few(batches, 512):
-            k, row, role = _keys(batch.column(3).to_numpy(), parts, probes)
+            k, row, role, part = _keys(batch.column(3).to_numpy(), parts, probes)
             own = batch.take(pa.array(row))
             none = pa.array(np.full(len(k), -1, np.int32))
-            columns = [pa.array(k), none, pa.array(role), own.column(0), own.column(1), own.column(2), none, own.column(3), own.column(4)]
+            columns = [pa.array(k), none, pa.array(role), own.column(0), own.column(1), own.column(2), pa.array(part), own.column(3), own.column(4)]
             yield pa.RecordBatch.from_arrays(columns, names=["c", "side", "role", "u", "root", "n", "at", "fp", "sketch"])
 
     return over
@@ -248,10 +249,12 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield held
 
 
-def _partners(similarity: float, distance: int | None, reach: int | None):
+def _partners(similarity: float, distance: int | None, reach: int | None, parts: list[tuple[int, int]] | None = None):
     """(a, b): pairs of a cell's records of different roots that lie within ``reach`` rows of each
     other (None: all), without those that fingerprints (``distance``), sizes, places in the
-    common order or sketches rule out."""
+    common order or sketches rule out. With ``parts`` a pair of fingerprints counts in one cell
+    only of all in which it meets: the first part whose bits are near enough, indexed under the
+    lesser name."""
     share = similarity / (1 + similarity)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,6 +273,13 @@ def _partners(similarity: float, distance: int | None, reach: int | None):
                 if distance is not None:
                     ok &= np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= distance
                     most = np.minimum(n[i], n[j])
+                    if parts:
+                        some = np.flatnonzero(ok)
+                        x, y = i[some], j[some]
+                        bits = (fp[x] ^ fp[y]).view(np.uint64)
+                        first = np.stack([np.bitwise_count(bits & np.uint64(m)) <= t for m, t in parts]).argmax(axis=0)
+                        named = np.where(u[x] < u[y], role[x], role[y]) == 0
+                        ok[some] = (at[x] == first) & (at[y] == first) & named
                 else:
                     most = np.minimum(n[i] - at[i], n[j] - at[j])  # in common, if this is the first of it
                 both = n[i].astype(np.int64) + n[j]
@@ -294,9 +304,9 @@ def _pairs(held: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def _meet(cells: DataFrame, distance: int | None) -> DataFrame:
+def _meet(cells: DataFrame, distance: int | None, parts: list[tuple[int, int]] | None = None) -> DataFrame:
     whole = cells.repartition("c").sortWithinPartitions("c", "root", "u")
-    return whole.mapInArrow(_partners(SIMILARITY, distance, None), "a long, b long").distinct()
+    return whole.mapInArrow(_partners(SIMILARITY, distance, None, parts), "a long, b long").distinct()
 
 
 def _alike(words: int, similarity: float):
@@ -502,7 +512,7 @@ def pairs_within(nodes: DataFrame, distance: int, block: int = BLOCK) -> DataFra
     if not parts:
         return nodes.sparkSession.createDataFrame([], "a long, b long")
     rows = nodes.select("u", "root", "n", "fp", "sketch").mapInArrow(_placed(parts, True), _CELL)
-    return _meet(_cells(rows, block), distance)
+    return _meet(_cells(rows, block), distance, parts)
 
 
 def with_partners(values: DataFrame, distance: int, longest: int = LONGEST) -> DataFrame:

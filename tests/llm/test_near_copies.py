@@ -177,3 +177,22 @@ def test_pairs_of_a_large_group_that_meet(spark, monkeypatch):
     once, met[:] = sum(met), []
     assert left == [r["doc_id"] for r in near_copies.one_of_each(docs).collect()]
     assert once < 30 * 600, (once, sum(met))
+
+
+def test_pairs_count_in_one_cell(spark):
+    """A pair of near fingerprints that meets in several cells comes out once, before ``distinct``."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    base = rng.integers(-(2**63), 2**63 - 1, 12)
+    fps = [int(b) ^ sum(1 << int(x) for x in rng.choice(63, rng.integers(0, 5), replace=False)) for b in base for _ in range(8)]
+    nodes = spark.createDataFrame([(i + 1, i + 1, 10, f, bytes(N.SKETCH // 8)) for i, f in enumerate(fps)], "u long, root long, n int, fp long, sketch binary")
+    parts = N._partitions(nodes.select("fp").distinct(), N.WIDE)
+    rows = nodes.mapInArrow(N._placed(parts, True), N._CELL).repartition("c").sortWithinPartitions("c", "root", "u")
+    got = sorted(map(tuple, rows.mapInArrow(N._partners(N.SIMILARITY, N.WIDE, None, parts), "a long, b long").collect()))
+    near = [(a + 1, b + 1) for a in range(len(fps)) for b in range(a + 1, len(fps)) if (fps[a] ^ fps[b]).bit_count() <= N.WIDE]
+    assert got == near and len(near) > 200
+    assert rows.mapInArrow(N._partners(N.SIMILARITY, N.WIDE, None), "a long, b long").count() >= len(near)
+    assert sorted(map(tuple, N.pairs_within(nodes, N.WIDE, 40).collect())) == near
+    links = N.components(nodes.select(F.lit(1).cast("long").alias("a"), F.col("u").alias("b")))
+    assert links.rdd.getNumPartitions() <= 4 and links.select("root").distinct().count() == 1
