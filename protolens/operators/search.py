@@ -85,9 +85,12 @@ def kmers(strings: DataFrame, k: int, distinct: int = 1) -> DataFrame:
     s = F.col("s").cast("binary")
     every = F.transform(F.sequence(F.lit(1), F.octet_length("s") - k + 1), lambda i: F.substring(s, i, F.lit(k)))
     rows = strings.where(F.octet_length("s") >= k).select("entry", F.octet_length("s").alias("n"), F.posexplode(every).alias("pos", "kmer"))
-    if distinct > 1:
-        rows = rows.where(F.size(F.array_distinct(F.split(F.col("kmer").cast("string"), ""))) >= distinct)
-    return rows
+    return varied(rows, distinct)
+
+
+def varied(rows: DataFrame, distinct: int) -> DataFrame:
+    """The rows whose ``kmer`` has so many different letters."""
+    return rows.where(F.size(F.array_distinct(F.split(F.col("kmer").cast("string"), ""))) >= distinct) if distinct > 1 else rows
 
 
 def seed_length(total: int, letters: int) -> int:
@@ -122,9 +125,10 @@ def _similar(scoring: Scoring, seed_loss: int):
 
 def seeds(queries: DataFrame, scoring: Scoring, k: int, seed_loss: int, distinct: int = 1) -> DataFrame:
     """(query, n_q, q_pos, kmer): each query's k-mers and all that are similar enough; similar
-    ones are sought once for each distinct k-mer."""
+    ones are sought once for each distinct k-mer. Seeds have enough different letters, so the
+    many k-mers of the targets that meet them need not be asked."""
     own = kmers(queries, k, distinct).select(F.col("entry").alias("query"), F.col("n").alias("n_q"), F.col("pos").alias("q_pos"), F.col("kmer").alias("own"))
-    near = own.select("own").distinct().mapInArrow(_similar(scoring, seed_loss), "own binary, kmer binary")
+    near = varied(own.select("own").distinct().mapInArrow(_similar(scoring, seed_loss), "own binary, kmer binary"), distinct)
     return own.join(near, "own").select("query", "n_q", "q_pos", "kmer")
 
 
@@ -134,7 +138,7 @@ def candidates(queries: DataFrame, targets: DataFrame, scoring: Scoring, k: int,
     asked = seeds(queries, scoring, k, seed_loss, distinct)
     if asked.limit(seed_rows + 1).count() <= seed_rows:
         asked = F.broadcast(asked)
-    held = kmers(targets, k, distinct).select(F.col("entry").alias("target"), F.col("n").alias("n_t"), F.col("pos").alias("t_pos"), "kmer")
+    held = kmers(targets, k).select(F.col("entry").alias("target"), F.col("n").alias("n_t"), F.col("pos").alias("t_pos"), "kmer")
     met = held.join(asked, "kmer").select("query", "target", "q_pos", (F.col("t_pos") - F.col("q_pos")).alias("diagonal"), F.least("n_q", "n_t").alias("n"))
     lines = met.groupBy("query", "target", "diagonal").agg(F.min("q_pos").alias("first"), F.max("q_pos").alias("last"), F.count("*").alias("matches"), F.max("n").alias("n"))
     lines = lines.where(F.col("last") - F.col("first") >= F.least(F.lit(k), F.col("n") - k))
@@ -194,15 +198,49 @@ def align(q: bytes, t: bytes, matrix: np.ndarray, gap_open: int, gap_extend: int
     return best
 
 
-def _aligned(scoring: Scoring):
+def best_score(q: bytes, t: bytes, matrix: np.ndarray, gap_open: int, gap_extend: int) -> tuple[int, int, int]:
+    """(score, q_end, t_end) of ``align``, which costs a fraction of following where alignments began."""
+    b = np.frombuffer(t, np.uint8)
+    n = len(b)
+    if not n:
+        return 0, 0, 0
+    profile = {a: matrix[a][b].astype(np.int32) for a in set(q)}
+    steps = (np.arange(n) * gap_extend).astype(np.int32)
+    closing = steps[:-1] + np.int32(gap_open)
+    h, e, best = np.zeros(n, np.int32), np.full(n, -1 << 30, np.int32), (0, 0, 0)
+    for i, a in enumerate(q):
+        e = np.maximum(e - np.int32(gap_extend), h - np.int32(gap_open))
+        now = profile[a].copy()
+        now[1:] += h[:-1]
+        np.maximum(now, e, out=now)
+        np.maximum(now, 0, out=now)
+        if n > 1:
+            top = np.maximum.accumulate((now + steps)[:-1])
+            top -= closing
+            np.maximum(now[1:], top, out=now[1:])
+        h = now
+        j = int(h.argmax())
+        if h[j] > best[0]:
+            best = (int(h[j]), i + 1, j + 1)
+    return best
+
+
+def _aligned(scoring: Scoring, rate: float, total: int, evalue: float):
+    """Alignments of pairs; those whose scores are beyond ``evalue`` are left out before the places
+    where they begin are sought."""
     matrix = scoring.matrix()
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for query, target, q, t in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                score, same, columns, *places = align(q.encode(), t.encode(), matrix, scoring.gap_open, scoring.gap_extend)
-                out.append((query, target, score, same / columns if columns else 0.0, *places, len(q.encode())))
+                q, t = q.encode(), t.encode()
+                score, q_end, t_end = best_score(q, t, matrix, scoring.gap_open, scoring.gap_extend)
+                chance = math.log(max(1, len(q)) * max(1, total)) + math.log(scoring.karlin_k) - score * rate
+                if score <= 0 or evalue <= 0 or chance > math.log(evalue) + 1e-6:  # what is just beyond goes by the filter after this
+                    continue
+                score, same, columns, *places = align(q[:q_end], t[:t_end], matrix, scoring.gap_open, scoring.gap_extend)
+                out.append((query, target, score, same / columns if columns else 0.0, *places, len(q)))
             kinds = [pa.string(), pa.string(), pa.int64(), pa.float64(), *[pa.int64()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=_COLUMNS)
 
@@ -234,7 +272,7 @@ def search(queries: DataFrame, targets: DataFrame, scoring: Scoring, k: int | No
     spark = queries.sparkSession  # a number given is not coalesced: pairs are small rows of much work
     tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = pairs.select("query", "target", "q", "t").repartition(tasks, "query", "target")
-    found = dealt.mapInArrow(_aligned(scoring), "query string, target string, score long, fident double, q_start long, q_end long, t_start long, t_end long, m long")
+    found = dealt.mapInArrow(_aligned(scoring, rate, total, evalue), "query string, target string, score long, fident double, q_start long, q_end long, t_start long, t_end long, m long")
     bits = (F.col("score") * F.lit(rate) - F.lit(math.log(scoring.karlin_k))) / F.lit(math.log(2))
     found = found.withColumn("bits", bits).withColumn("evalue", F.col("m") * F.lit(float(total)) * F.pow(F.lit(2.0), -F.col("bits")))
     return found.where((F.col("evalue") <= evalue) & (F.col("score") > 0)).select("query", "target", "score", "bits", "evalue", "fident", "q_start", "q_end", "t_start", "t_end")

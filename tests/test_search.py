@@ -139,3 +139,25 @@ def test_no_rows(spark):
     assert H.search(none, some, NEAR, 3).count() == 0 and H.search(some, none, NEAR, 3).count() == 0
     assert H.seed_length(0, 20) == 3 and H.seed_length(25_600, 20) == 4
     assert np.asarray(NEAR.matrix()[ord("X")]).max() == -6
+
+
+def test_scores_alone_equal_alignments():
+    rng = np.random.default_rng(11)
+    scoring = H.identity("ABCD")
+    matrix = scoring.matrix()
+    for n in (0, 1, 2, 40, 90):
+        for m in (0, 1, 30, 70):
+            q, t = (bytes(rng.choice(list(b"ABCD"), size).astype(np.uint8)) for size in (m, n))
+            score, q_end, t_end = H.best_score(q, t, matrix, 3, 1)
+            whole = H.align(q, t, matrix, 3, 1) if n else (0,) * 7
+            assert (score, q_end, t_end) == (whole[0], whole[4], whole[6])
+            if score:
+                assert H.align(q[:q_end], t[:t_end], matrix, 3, 1) == whole
+
+
+def test_letters_are_asked_of_seeds_only(spark):
+    rows = spark.createDataFrame([("a", "AAAAAAAA"), ("b", "ABCDABCD")], "entry string, s string")
+    found = H.seeds(rows, H.identity("ABCD"), 4, 0, 3).collect()
+    assert {bytes(r["kmer"]) for r in found} == {b"ABCD", b"BCDA", b"CDAB", b"DABC"}
+    assert {(r["query"], r["target"]) for r in H.candidates(rows, rows, H.identity("ABCD"), 4, 0, distinct=3).collect()} == {("b", "b")}
+    assert [r for r in H.candidates(rows, rows, H.identity("ABCD"), 4, 0).collect() if r["query"] == "a"]
