@@ -35,7 +35,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from protolens.llm._util import bounded, small_batches, spare, stage, text_of
@@ -57,6 +57,8 @@ ORDERED, COMMON = 10_000, 4
 TOLD = 100_000
 #: Places of a sketch of a set, a multiple of 64.
 SKETCH = 512
+#: Keys before a record's own that it holds, so that a pair isn't told again under each that it shares.
+BEFORE = 4
 #: Records of a key that meet in one task.
 BLOCK = 4096
 #: Records of a key that are compared to find out whether a fingerprint has a partner; all of
@@ -254,7 +256,8 @@ def _partners(similarity: float, distance: int | None, reach: int | None, parts:
     other (None: all), without those that fingerprints (``distance``), sizes, places in the
     common order or sketches rule out. With ``parts`` a pair of fingerprints counts in one cell
     only of all in which it meets: the first part whose bits are near enough, indexed under the
-    lesser name."""
+    lesser name. What follows a sketch are the keys just before this one in the text's order: where
+    all pairs meet, one whose records share such a key has met under that already."""
     share = similarity / (1 + similarity)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,6 +266,7 @@ def _partners(similarity: float, distance: int | None, reach: int | None, parts:
             mixed = np.minimum.reduceat(root, cut[:-1]) < np.maximum.reduceat(root, cut[:-1])
             keep = np.repeat(mixed, np.diff(cut))
             c, side, role, u, root, n, at, fp, sketch = (x[keep] for x in (c, side, role, u, root, n, at, fp, sketch))
+            sketch, before = np.split(sketch, [SKETCH // 64], axis=1)
             i, d, held, count = np.arange(len(c)), 0, [], 0
             while len(i) and (reach is None or d < reach):
                 d += 1
@@ -287,7 +291,12 @@ def _partners(similarity: float, distance: int | None, reach: int | None, parts:
                 x, y = i[ok], j[ok]
                 differ = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
                 near = differ <= (1 - 2 * share) * both[ok] + 1e-9
-                x, y = u[x[near]], u[y[near]]
+                x, y = x[near], y[near]
+                if reach is None and before.shape[1]:
+                    p, q = before[x][:, :, None], before[y][:, None, :]
+                    new = ~((p == q) & (p != 0)).any(axis=(1, 2))
+                    x, y = x[new], y[new]
+                x, y = u[x], u[y]
                 held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
                 count += len(x)
                 if count > _PAIRS:
@@ -588,11 +597,14 @@ def _by_shingles(texts: DataFrame, nodes: DataFrame, similar: DataFrame | None,
     shared = dealt.where("heap >= 0").groupBy("heap").applyInArrow(_sharing(hot), "c long, num long, at int")
     about = dealt.where("heap < 0").select("blob").mapInArrow(_about, "num long, u long, root long, n int, sketch binary")
     about = stage(about, "about")
+    order = Window.partitionBy("num").orderBy("at")
+    packed = lambda c: F.unhex(F.lpad(F.hex(F.coalesce(c, F.lit(0).cast("long"))), 16, "0"))
+    shared = shared.withColumn("before", F.concat(*[packed(F.lag("c", i).over(order)) for i in range(1, BEFORE + 1)]))
     shared = stage(shared, "shared-shingles")
 
     def cells(groups: DataFrame | None) -> DataFrame:
         own = _rooted(about.drop("root"), groups).join(shared, "num")
-        return own.select("c", F.lit(-1).cast("int").alias("side"), F.lit(0).alias("role"), "u", "root", "n", "at", F.lit(0).cast("long").alias("fp"), "sketch")
+        return own.select("c", F.lit(-1).cast("int").alias("side"), F.lit(0).alias("role"), "u", "root", "n", "at", F.lit(0).cast("long").alias("fp"), F.concat("sketch", "before").alias("sketch"))
 
     def of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct()

@@ -1,6 +1,7 @@
 """Near copies against plain versions."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from test_simhash import roots
 
@@ -196,3 +197,17 @@ def test_pairs_count_in_one_cell(spark):
     assert sorted(map(tuple, N.pairs_within(nodes, N.WIDE, 40).collect())) == near
     links = N.components(nodes.select(F.lit(1).cast("long").alias("a"), F.col("u").alias("b")))
     assert links.rdd.getNumPartitions() <= 4 and links.select("root").distinct().count() == 1
+
+
+def test_a_pair_is_told_under_its_first_shared_key_only():
+    def cell(key, *before):
+        held = np.zeros(N.BEFORE, np.uint64)
+        held[: len(before)] = before
+        sketch = b"\0" * (N.SKETCH // 8) + held.tobytes()
+        whole = lambda v, kind: pa.array([v, v], kind)
+        columns = [whole(key, pa.int64()), whole(-1, pa.int32()), whole(0, pa.int32()), pa.array([1, 2]), pa.array([1, 2]), whole(20, pa.int32()), whole(len(before), pa.int32()), whole(0, pa.int64()), whole(sketch, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["c", "side", "role", "u", "root", "n", "at", "fp", "sketch"])
+
+    told = lambda reach: sum(b.num_rows for b in N._partners(N.SIMILARITY, None, reach)(iter([cell(5), cell(6, 5), cell(7, 6, 5)])))
+    assert told(None) == 1
+    assert told(N.REACH) == 3  # rows beside each other need not have met before
