@@ -27,6 +27,8 @@ FACTOR, BOND, CA_NEAR = 0.084 * 332, -0.5, 9.0
 RADII, OTHER, PROBE, DOTS = {"H": 1.2, "C": 1.7, "N": 1.55, "O": 1.52, "S": 1.8, "P": 1.8}, 1.7, 1.4, 100
 #: Edge in Å of the blocks of space in which surfaces are measured: about a thousand atoms.
 EDGE = 25.6
+#: Structures of up to so many atoms are not cut; such structures share a task's call, up to so many atoms.
+WHOLE, TOGETHER = 1000, 8192
 
 
 def _three(name: str, at: int) -> list[Column]:
@@ -128,31 +130,55 @@ def radius_of(element: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for pair in RADII.items() for x in pair])[element], F.lit(OTHER))
 
 
-def in_blocks(atoms: DataFrame, edge: float, reach: float) -> DataFrame:
-    """``atoms`` dealt to blocks of space (bx, by, bz): an atom's own block, where ``own`` is set,
-    and all others that it lies within ``reach`` of."""
-    rows = atoms.where("x is not null and y is not null and z is not null")
+def parted(rows: DataFrame, whole: int) -> tuple[DataFrame, int]:
+    """(``rows`` with ``bucket``, number of tasks): entries of at most ``whole`` rows share a bucket
+    with others, of up to TOGETHER rows but as many as there are tasks; larger ones have none. Rows
+    are few bytes of much work, so the number of tasks for them is given."""
+    sizes = rows.groupBy(F.col("entry").alias("of")).agg(F.count("*").alias("held"))
+    spark = rows.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    small = sizes.where(F.col("held") <= whole).agg(F.sum("held")).first()[0] or 0
+    buckets = max(1, -(-small // TOGETHER), min(tasks, -(-small // 1024)))
+    rows = rows.join(sizes, F.col("entry").eqNullSafe(F.col("of"))).drop("of")
+    return rows.withColumn("bucket", F.when(F.col("held") <= whole, F.pmod(F.xxhash64("entry"), F.lit(buckets)))).drop("held"), tasks
+
+
+def dealt(atoms: DataFrame, edge: float, reach: float, whole: int = WHOLE):
+    """``atoms`` grouped for work on structures, by (bucket, cut, bx, by, bz). An entry of at most
+    ``whole`` atoms stays whole in a bucket of several. An atom of a larger one, ``cut``, goes to its
+    own block of space, where ``own`` is set, and to all others that it lies within ``reach`` of."""
+    rows, tasks = parted(atoms.where("x is not null and y is not null and z is not null"), whole)
+    stays = F.col("bucket").isNotNull()
+    rows = rows.withColumn("cut", F.when(~stays, F.col("entry")))
+    cell = lambda v: F.floor(v / F.lit(edge))
     for c in "xyz":
-        cell = lambda v: F.floor(v / F.lit(edge))
-        rows = rows.withColumn(f"b{c}", F.explode(F.sequence(cell(F.col(c) - reach), cell(F.col(c) + reach))))
-    mine = [F.floor(F.col(c) / F.lit(edge)) == F.col(f"b{c}") for c in "xyz"]
-    return rows.withColumn("own", mine[0] & mine[1] & mine[2])
+        blocks = F.when(stays, F.array(F.lit(None).cast("long"))).otherwise(F.sequence(cell(F.col(c) - reach), cell(F.col(c) + reach)))
+        rows = rows.withColumn(f"b{c}", F.explode(blocks))
+    mine = [cell(F.col(c)) == F.col(f"b{c}") for c in "xyz"]
+    keys = ["bucket", "cut", "bx", "by", "bz"]
+    return rows.withColumn("own", stays | (mine[0] & mine[1] & mine[2])).repartition(tasks, *keys).groupBy(*keys)
 
 
 def _block_surfaces(rows: pa.Table) -> pa.Table:
     p = np.stack([rows.column(c).to_numpy() for c in "xyz"], axis=1).astype(float)
-    own = np.flatnonzero(rows.column("own").to_numpy(zero_copy_only=False))
-    area = accessible_surface(p, rows.column("radius").to_numpy(), own=own)
-    return pa.table({"entry": rows.column("entry").take(own), "atom": rows.column("atom").take(own), "area": pa.array(area)})
-
-
-def atom_surfaces(atoms: DataFrame) -> DataFrame:
-    """(entry, atom, area) of (entry, atom, element, x, y, z): a task for each block of space with
-    the atoms around it; atoms are told apart by (entry, atom)."""
+    own, radius = rows.column("own").to_numpy(zero_copy_only=False), rows.column("radius").to_numpy()
+    code = rows.column("entry").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    area = np.zeros(len(p))
+    for e in range(code.max(initial=-1) + 1):
+        at = np.flatnonzero(code == e)
+        mine = own[at]
+        area[at[mine]] = accessible_surface(p[at], radius[at], own=np.flatnonzero(mine))
+    at = np.flatnonzero(own)
+    return pa.table({"entry": rows.column("entry").take(at), "atom": rows.column("atom").take(at), "area": pa.array(area[at])})
+
+
+def atom_surfaces(atoms: DataFrame, whole: int = WHOLE) -> DataFrame:
+    """(entry, atom, area) of (entry, atom, element, x, y, z): a call for several small entries, or
+    for each block of space with the atoms around it; atoms are told apart by (entry, atom)."""
     reach = 2 * (max(*RADII.values(), OTHER) + PROBE)
-    rows = in_blocks(atoms.select("entry", "atom", radius_of(F.col("element")).alias("radius"), *[F.col(c).cast("double").alias(c) for c in "xyz"]), EDGE, reach)
+    rows = atoms.select("entry", "atom", radius_of(F.col("element")).alias("radius"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
     name = atoms.schema["atom"].dataType.simpleString()
-    return rows.groupBy("entry", "bx", "by", "bz").applyInArrow(_block_surfaces, f"entry string, atom {name}, area double")
+    return dealt(rows, EDGE, reach, whole).applyInArrow(_block_surfaces, f"entry string, atom {name}, area double")
 
 
 def surfaces(atoms: DataFrame) -> DataFrame:

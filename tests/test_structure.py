@@ -114,6 +114,25 @@ def test_alpha_spheres(spark):
         assert got[k] == pytest.approx(v, abs=1e-2)
 
 
+def test_small_structures_stay_whole(spark):
+    """Atoms of small entries are dealt once, not to every block around, and blocks, whole entries
+    and entries that share a call give the same spheres, pockets and surfaces."""
+    rng = np.random.default_rng(9)
+    made = {e: rng.uniform(-9, 9, (n, 3)) for e, n in (("a", 60), ("b", 3), ("c", 45), ("d", 1))}
+    rows = [(e, i, "C", *map(float, v)) for e, p in made.items() for i, v in enumerate(p)] + [(None, 7, "C", 1.0, 1.0, 1.0)]
+    atoms = spark.createDataFrame(rows, "entry string, atom long, element string, x double, y double, z double").repartition(3)
+    assert U.dealt(atoms, 7.0, 6.0).count().agg({"count": "sum"}).first()[0] == len(rows)
+    found = {w: C.alpha_spheres(atoms, 2.0, 6.0, edge=7.0, whole=w) for w in (0, 50, 1000)}
+    got = {w: {(r["entry"], tuple(r["atoms"])): (r["x"], r["y"], r["z"], r["radius"], r["apolar"]) for r in f.collect()} for w, f in found.items()}
+    assert len(got[0]) > 40 and {e for e, _ in got[0]} == {"a", "c"} and got[0].keys() == got[50].keys() == got[1000].keys()
+    assert all(got[w][k] == pytest.approx(v, abs=1e-9) for w in (50, 1000) for k, v in got[0].items())
+    areas = [{(r["entry"], r["atom"]): r["area"] for r in U.atom_surfaces(atoms, w).collect()} for w in (0, 1000)]
+    assert areas[0] == areas[1] and len(areas[0]) == len(rows)
+    least = max(1, min(len([k for k in got[0] if k[0] == e]) for e in "ac"))
+    pockets = [sorted((r["sphere"], r["pocket"]) for r in C.pocket_spheres(found[0], 1.5, 2, w).collect()) for w in (0, least, 1000)]
+    assert pockets[0] == pockets[1] == pockets[2] and len({p for _, p in pockets[0]}) > 2
+
+
 def shell(radius, n=220):
     """Atoms evenly on a sphere."""
     k = np.arange(n) + 0.5
