@@ -98,38 +98,55 @@ def seed_length(total: int, letters: int) -> int:
     return max(3, math.ceil(math.log(max(total, 1)) / math.log(letters)))
 
 
-def _similar(scoring: Scoring, seed_loss: int):
-    letters = scoring.letters.encode()
-    row = {a: sorted(zip(scoring.table[i], letters, strict=True), reverse=True) for i, a in enumerate(letters)}
-
-    def of(kmer: bytes) -> list[bytes]:
-        if any(a not in row for a in kmer):
-            return []
-        rest = [0]
-        for a in reversed(kmer):
-            rest.append(rest[-1] + row[a][0][0])
-        found, least = [(0, b"")], sum(dict((c, s) for s, c in row[a])[a] for a in kmer) - seed_loss
-        for at, a in enumerate(kmer):
-            need = least - rest[len(kmer) - at - 1]
-            found = [(n + s, b + bytes([c])) for n, b in found for s, c in row[a] if n + s >= need]
-        return [b for _, b in found]
-
+def similar(own: np.ndarray, scoring: Scoring, seed_loss: int, distinct: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(row of ``own``, k-mer) of all k-mers that score at most ``seed_loss`` less against a row of
+    ``own`` (bytes: n x k) than it does itself, with so many different letters. Letters that are
+    not known have none."""
+    letters, table = np.frombuffer(scoring.letters.encode(), np.uint8), np.array(scoring.table)
+    number = np.full(256, -1)
+    number[letters] = np.arange(len(letters))
+    code = number[own]
+    rows = np.flatnonzero((code >= 0).all(axis=1))
+    code = code[rows]
+    best = table.max(axis=1)[code]
+    short = table[code, code].sum(axis=1) - seed_loss - best.sum(axis=1)  # what may be lost of the best, below zero
+    at, lost, made = np.arange(len(rows)), np.zeros(len(rows), np.int64), np.zeros((len(rows), 0), np.uint8)
+    for i in range(code.shape[1]):
+        loss = lost[:, None] + table[code[at, i]] - best[at, i][:, None]
+        found, letter = np.nonzero(loss >= short[at][:, None])
+        at, lost, made = at[found], loss[found, letter], np.concatenate([made[found], letters[letter][:, None]], axis=1)
+    if distinct > 1:
+        varied = (np.diff(np.sort(made, axis=1), axis=1) != 0).sum(axis=1) + 1 >= distinct
+        at, made = at[varied], made[varied]
+    return rows[at], made
+
+
+def _seeds(scoring: Scoring, k: int, seed_loss: int, distinct: int):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                own = [(k, b) for k in batch.column(0).slice(at, 256).to_pylist() for b in of(k)]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.binary()), pa.array([b for _, b in own], pa.binary())], names=["own", "kmer"])
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                own = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(-1, k)
+                at, made = similar(own, scoring, seed_loss, distinct)
+                ends = pa.py_buffer(np.arange(0, (len(made) + 1) * k, k, dtype=np.int32))
+                found = pa.Array.from_buffers(pa.binary(), len(made), [None, ends, pa.py_buffer(made.tobytes())])
+                yield pa.RecordBatch.from_arrays([*[part.column(c).take(pa.array(at)) for c in range(3)], found], names=["query", "n_q", "q_pos", "kmer"])
 
     return over
 
 
 def seeds(queries: DataFrame, scoring: Scoring, k: int, seed_loss: int, distinct: int = 1) -> DataFrame:
-    """(query, n_q, q_pos, kmer): each query's k-mers and all that are similar enough; similar
-    ones are sought once for each distinct k-mer. Seeds have enough different letters, so the
-    many k-mers of the targets that meet them need not be asked."""
-    own = kmers(queries, k, distinct).select(F.col("entry").alias("query"), F.col("n").alias("n_q"), F.col("pos").alias("q_pos"), F.col("kmer").alias("own"))
-    near = varied(own.select("own").distinct().mapInArrow(_similar(scoring, seed_loss), "own binary, kmer binary"), distinct)
-    return own.join(near, "own").select("query", "n_q", "q_pos", "kmer")
+    """(query, n_q, q_pos, kmer): each query's k-mers and all that are similar enough, told where the
+    k-mers lie, so that nothing but the queries is shuffled. Seeds have enough different letters, so
+    the many k-mers of the targets that meet them need not be asked."""
+    own = kmers(queries.repartition(_tasks(queries)), k, distinct).select(F.col("entry").alias("query"), F.col("n").alias("n_q"), F.col("pos").alias("q_pos"), F.col("kmer").alias("own"))
+    return own.mapInArrow(_seeds(scoring, k, seed_loss, distinct), "query string, n_q int, q_pos int, kmer binary")
+
+
+def _tasks(rows: DataFrame) -> int:
+    """A number of tasks that is given, as it is not coalesced: small rows of much work."""
+    spark = rows.sparkSession
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def candidates(queries: DataFrame, targets: DataFrame, scoring: Scoring, k: int, seed_loss: int, max_seqs: int = MAX_SEQS, distinct: int = 1, seed_rows: int = SEED_ROWS) -> DataFrame:
@@ -269,9 +286,7 @@ def search(queries: DataFrame, targets: DataFrame, scoring: Scoring, k: int | No
     pairs = candidates(queries, targets, scoring, k, seed_loss, max_seqs, distinct, seed_rows)
     side = lambda d, name, s: d.select(F.col("entry").alias(name), F.col("s").alias(s))
     pairs = pairs.join(side(queries, "query", "q"), "query").join(side(targets, "target", "t"), "target")
-    spark = queries.sparkSession  # a number given is not coalesced: pairs are small rows of much work
-    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = pairs.select("query", "target", "q", "t").repartition(tasks, "query", "target")
+    dealt = pairs.select("query", "target", "q", "t").repartition(_tasks(queries), "query", "target")
     found = dealt.mapInArrow(_aligned(scoring, rate, total, evalue), "query string, target string, score long, fident double, q_start long, q_end long, t_start long, t_end long, m long")
     bits = (F.col("score") * F.lit(rate) - F.lit(math.log(scoring.karlin_k))) / F.lit(math.log(2))
     found = found.withColumn("bits", bits).withColumn("evalue", F.col("m") * F.lit(float(total)) * F.pow(F.lit(2.0), -F.col("bits")))

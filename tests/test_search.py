@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -155,6 +156,21 @@ def test_scores_alone_equal_alignments():
                 assert H.align(q[:q_end], t[:t_end], matrix, 3, 1) == whole
 
 
+def test_seeds_are_told_where_the_queries_lie(spark):
+    """Similar k-mers against all k-mers; the plan of the seeds has no join and shuffles queries only."""
+    rows = [b"ACDE", b"GGGG", b"AXDE", b"ACDE", b"FACA"]
+    every = [bytes(p) for p in itertools.product(b"ACDEFG", repeat=4)]
+    for scoring, loss, distinct in ((NEAR, 5, 1), (NEAR, 5, 3), (NEAR, 0, 1), (H.Scoring("ACDEFG", tuple(tuple(i * j % 5 - 2 for j in range(6)) for i in range(6)), 3, 1), 1, 2)):
+        at, made = H.similar(np.frombuffer(b"".join(rows), np.uint8).reshape(-1, 4), scoring, loss, distinct)
+        score = lambda a, b: sum(scoring.table[scoring.letters.index(chr(x))][scoring.letters.index(chr(y))] for x, y in zip(a, b, strict=True))  # noqa: E731, B023
+        want = [(i, b) for i, a in enumerate(rows) if b"X" not in a for b in every if score(a, b) >= score(a, a) - loss and len(set(b)) >= distinct]
+        assert sorted(zip(at.tolist(), map(bytes, made), strict=True)) == want and want
+    found = H.seeds(spark.createDataFrame([("a", "ACDEFACDE"), ("n", None), ("s", "AC")], "entry string, s string"), NEAR, 4, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    assert {(r["query"], r["n_q"], r["q_pos"]) for r in found.collect()} == {("a", 9, i) for i in range(6)}
+
+
 def test_letters_are_asked_of_seeds_only(spark):
     rows = spark.createDataFrame([("a", "AAAAAAAA"), ("b", "ABCDABCD")], "entry string, s string")
     found = H.seeds(rows, H.identity("ABCD"), 4, 0, 3).collect()
