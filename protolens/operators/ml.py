@@ -27,6 +27,8 @@ from protolens.sources.files import kept
 
 #: Entries of a kernel that a task holds: of columns while a machine is fitted, of a block that is judged.
 HELD, JUDGED = 1 << 24, 1 << 21
+#: Separators that are fitted at a time, rows of a task in their passes at the most.
+AT_ONCE, PASS_ROWS = 8, 200_000
 
 
 def class_means(train: DataFrame, by: str | None = None) -> DataFrame:
@@ -68,12 +70,12 @@ def _as_vector(rows: DataFrame) -> Column:
     return F.col("features") if isinstance(rows.schema["features"].dataType, VectorUDT) else array_to_vector("features")
 
 
-def _fit_predict(estimator, train: DataFrame, test: DataFrame, passes: bool = False) -> DataFrame:
-    """``passes``: the estimator goes over the rows many times, so these are dealt to all cores, once."""
+def _fit_predict(estimator, train: DataFrame, test: DataFrame, passes: int = 0) -> DataFrame:
+    """``passes``: the estimator goes over the rows many times, so these are dealt to so many tasks, once."""
     data = train.select(F.col("label").cast("string").alias("label"), _as_vector(train).alias("features"))
     index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(data)
     indexed = index.transform(data)
-    indexed = (indexed.repartition(train.sparkSession.sparkContext.defaultParallelism) if passes else indexed).cache()
+    indexed = (indexed.repartition(passes) if passes else indexed).cache()
     try:
         model = estimator.fit(indexed)
     finally:
@@ -85,7 +87,7 @@ def _fit_predict(estimator, train: DataFrame, test: DataFrame, passes: bool = Fa
 def logistic_regression(train: DataFrame, test: DataFrame, c: float = 1.0, max_iter: int = 200) -> DataFrame:
     """Multinomial, L2; ``c`` is the inverse penalty of the summed loss."""
     n = max(1, train.count())
-    return _fit_predict(LogisticRegression(labelCol="y", family="multinomial", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8), train, test, passes=True)
+    return _fit_predict(LogisticRegression(labelCol="y", family="multinomial", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8), train, test, passes=train.sparkSession.sparkContext.defaultParallelism)
 
 
 def random_forest(train: DataFrame, test: DataFrame, trees: int = 100, balanced: bool = False, seed: int = 0) -> DataFrame:
@@ -95,9 +97,12 @@ def random_forest(train: DataFrame, test: DataFrame, trees: int = 100, balanced:
 
 def linear_svm(train: DataFrame, test: DataFrame, c: float = 1.0, max_iter: int = 100) -> DataFrame:
     """One hinge-loss separator for each class against the rest; the optimiser stops after
-    ``max_iter`` steps at the latest."""
+    ``max_iter`` steps at the latest. AT_ONCE separators are fitted at a time, each by hundreds of
+    short passes: together their tasks fill the cores, more tasks a pass only cost their start."""
     n = max(1, train.count())
-    return _fit_predict(OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=1.0 / (c * n), standardization=False), labelCol="y", parallelism=8), train, test, passes=True)
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    tasks = max(4, -(-cores // AT_ONCE), -(-n // PASS_ROWS))
+    return _fit_predict(OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=1.0 / (c * n), standardization=False), labelCol="y", parallelism=AT_ONCE), train, test, passes=tasks)
 
 
 class _Radial:

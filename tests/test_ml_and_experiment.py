@@ -177,3 +177,14 @@ def test_block_of_distances_holds_few_pairs():
     d = -np.round(np.sqrt(((b[None] - a[:, None]) ** 2).sum(2)), 6) + 0.0
     want = [(f"{i:04}", f"{j:04}", d[i, j]) for i in range(50) for j in np.lexsort((np.arange(700), -d[i]))[:5]]
     assert list(zip(got["query"], got["target"], got["sim"], strict=True)) == want and sum(held) < 50 * 40
+
+
+def test_separators_take_few_tasks_a_pass(spark, monkeypatch):
+    """Several separators are fitted at a time, so a pass takes few tasks whatever the cores, but more
+    where a task would have too many rows."""
+    data, seen = spark.range(90).selectExpr("string(id) entry", "string(id % 3) label", "array(double(id)) features"), []
+    monkeypatch.setattr(M, "_fit_predict", lambda estimator, train, test, passes: seen.append((estimator.getParallelism(), passes)))
+    M.linear_svm(data, data)
+    monkeypatch.setattr(M, "PASS_ROWS", 10)
+    M.linear_svm(data, data)
+    assert seen == [(8, 4), (8, 9)]
