@@ -41,6 +41,8 @@ LISTS, SHARE, CODES, SUBSPACES = 32_768, 8, 256, 16
 BLOCK, QUERIES = 8_192, 2_048
 #: Pairs of a query and a vector that are held at a time.
 PAIRS = 1 << 19
+#: Of these so many whose vectors are held as well.
+EXACT = PAIRS >> 4
 #: Shortlist of a query in a block: at least so many, and so many for each wanted neighbour.
 RERANK, PER_NEIGHBOUR = 48, 5
 
@@ -131,6 +133,17 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("v") == (most["n"] if most else 0))
 
 
+def _sampled(rows: DataFrame, total: int, n: int) -> pd.DataFrame:
+    """The ``n`` rows of least hash of their id. Hashes are even, so rows that can't be among them
+    don't leave their tasks, each of which would send ``n`` rows to the driver; ids that repeat may
+    leave too few, and all rows are ranked."""
+    hashed, share = F.xxhash64("vec_id"), 1.1 * (n + 1000) / total
+    able = rows if share >= 1 else rows.where(hashed <= F.lit(int(share * 2.0**64) - 2**63))
+    least = lambda some: some.orderBy(hashed, "vec_id").limit(n).toPandas()
+    found = least(able)
+    return found if share >= 1 or len(found) == n else least(rows)
+
+
 def _assigned(index: Index):
     def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -209,7 +222,7 @@ def _search(index: Index, k: int):
                     i, s = np.nonzero(able)
                 else:
                     i, s = np.nonzero(~gone)
-                d = np.concatenate([*(np.sqrt(((x[s[j : j + PAIRS >> 4]] - q[i[j : j + PAIRS >> 4]]) ** 2).sum(1)) for j in range(0, len(i), PAIRS >> 4)), np.zeros(0)])
+                d = np.concatenate([*(np.sqrt(((x[s[j : j + EXACT]] - q[i[j : j + EXACT]]) ** 2).sum(1)) for j in range(0, len(i), EXACT)), np.zeros(0)])
                 i, s, d = _nearest_of(i, s, d, k, True)
                 # Of equal vectors the first ``k`` can matter that are not the query's own.
                 times = np.minimum(sizes[s], k + (b - a)[i])
@@ -246,7 +259,7 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     spark = vectors.sparkSession
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(SAMPLE, SHARE * lists_for(total))).toPandas()
+    sample = _sampled(rows, total, max(SAMPLE, SHARE * lists_for(total)))
     index = fit(np.array(sample["v"].tolist(), float), total, k)
     named = rows.withColumn("rid", F.monotonically_increasing_id())
     placed = stage(named.mapInPandas(_assigned(index), "list int, vec_id long, rid long, codes binary, v array<double>"), "ivf")

@@ -132,3 +132,24 @@ def test_codes_that_rule_out_little(spark):
         d[q] = np.inf
         best = np.lexsort((ids, d))[:10]
         assert own["vec_id"].tolist() == best.tolist() and own["score"].tolist() == d[best].tolist()
+
+
+def test_many_pairs_of_a_block():
+    """More pairs than are ranked exactly at a time: 40 vectors, 2,000 queries."""
+    rng = np.random.default_rng(4)
+    x, q = rng.normal(size=(40, 8)), rng.normal(size=(2000, 8))
+    index = ann.Index(np.zeros((1, 8), np.float32), rng.normal(size=(2, 5, 4)).astype(np.float32), 1)
+    lists = np.zeros(len(x), int)
+    rows = ann.pd.DataFrame({"list": lists, "vec_id": np.arange(40), "codes": [c.tobytes() for c in index.code(x, lists)], "v": list(x)})
+    got = ann._search(index, 10)(ann.pd.DataFrame({"query_id": 100 + np.arange(2000), "q": list(q)}), rows)
+    d = np.sqrt(((x[None] - q[:, None]) ** 2).sum(2))
+    assert got["vec_id"].to_numpy().reshape(2000, 10).tolist() == np.argsort(d, axis=1)[:, :10].tolist()
+    np.testing.assert_allclose(got["score"].to_numpy().reshape(2000, 10), np.sort(d, axis=1)[:, :10])
+
+
+def test_sample_has_the_least_hashes(spark):
+    rows = spark.range(5000).select(ann.F.col("id").alias("vec_id"), ann.F.array(ann.F.col("id").cast("double")).alias("v")).repartition(7)
+    every = [r["vec_id"] for r in rows.orderBy(ann.F.xxhash64("vec_id"), "vec_id").limit(300).collect()]
+    assert ann._sampled(rows, 5000, 300)["vec_id"].tolist() == every
+    same = rows.withColumn("vec_id", ann.F.lit(1).cast("long"))
+    assert len(ann._sampled(same, 5000, 300)) == 300
