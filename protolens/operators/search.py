@@ -2,7 +2,8 @@
 
 Each k-mer of a query stands for all k-mers that score at most ``seed_loss`` less against it than
 it does itself. K-mers are so long that one match in all targets is expected by chance. They meet the k-mers of the targets in an equi-join, which is by broadcast if the counted seeds of
-all queries are few, so that the targets' k-mers are not shuffled; else it is a shuffled join.
+all queries are few, so that the targets' k-mers are not shuffled; else it is a shuffled join,
+whatever Spark takes their size for.
 Matches are summed by (query, target, diagonal): a target is a candidate if two k-mers that do
 not overlap match on one diagonal (one is enough where a string is too short for two). The
 ``max_seqs`` candidates with most matches on a diagonal are aligned in full; hits with an
@@ -153,8 +154,9 @@ def candidates(queries: DataFrame, targets: DataFrame, scoring: Scoring, k: int,
     """(query, target, matches): the ``max_seqs`` targets of each query with the most k-mer
     matches on a diagonal of at least two that don't overlap; ties to the smaller target."""
     asked = seeds(queries, scoring, k, seed_loss, distinct)
-    if asked.limit(seed_rows + 1).count() <= seed_rows:
-        asked = F.broadcast(asked)
+    # Spark estimates seeds by the size of the file that queries lie in, so without a count or a hint it may broadcast any number.
+    few = kmers(queries, k, distinct).count() <= seed_rows and asked.limit(seed_rows + 1).count() <= seed_rows
+    asked = F.broadcast(asked) if few else asked.hint("merge")
     held = kmers(targets, k).select(F.col("entry").alias("target"), F.col("n").alias("n_t"), F.col("pos").alias("t_pos"), "kmer")
     met = held.join(asked, "kmer").select("query", "target", "q_pos", (F.col("t_pos") - F.col("q_pos")).alias("diagonal"), F.least("n_q", "n_t").alias("n"))
     lines = met.groupBy("query", "target", "diagonal").agg(F.min("q_pos").alias("first"), F.max("q_pos").alias("last"), F.count("*").alias("matches"), F.max("n").alias("n"))

@@ -79,6 +79,17 @@ def frames(spark, queries, targets):
     return make(queries, [("short", "AC"), ("none", None), ("nothing", "")]), make(targets, [("short", "C"), ("none", None), (None, "ACDEFG")])
 
 
+@pytest.mark.parametrize("seed_rows", [0, 500_000])
+def test_seeds_are_broadcast_by_count_alone(spark, tmp_path, seed_rows):
+    """The size that Spark estimates of seeds is that of the file their queries lie in, times little."""
+    for name, rows in zip("qt", frames(spark, *strings()), strict=True):
+        rows.write.parquet(f"{tmp_path}/{name}")
+    found = H.candidates(*(spark.read.parquet(f"{tmp_path}/{name}") for name in "qt"), NEAR, 4, 4, distinct=2, seed_rows=seed_rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastHashJoin" in plan) == (seed_rows > 0)
+    assert ("SortMergeJoin" in plan) == (seed_rows == 0)
+
+
 @pytest.mark.parametrize("seed_rows", [0, 500_000])
 def test_search(spark, seed_rows):
     queries, targets = strings()
