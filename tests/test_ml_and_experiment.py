@@ -188,3 +188,13 @@ def test_separators_take_few_tasks_a_pass(spark, monkeypatch):
     monkeypatch.setattr(M, "PASS_ROWS", 10)
     M.linear_svm(data, data)
     assert seen == [(8, 4), (8, 9)]
+
+
+def test_separators_of_wide_rows_are_fitted_in_turns(spark):
+    """So many of them that what the driver holds does not grow with the width."""
+    from pyspark.ml.linalg import Vectors
+
+    rows = lambda width: spark.createDataFrame([("a", "x", Vectors.sparse(width, {0: 1.0}))], ["entry", "label", "features"])
+    assert M.at_once(rows(1000)) == M.AT_ONCE
+    assert [M.at_once(rows(n)) * n * M.VECTORS <= M.WEIGHTS for n in (200_000, 600_000, 1_000_000)] == [True] * 3
+    assert M.at_once(rows(100_000_000)) == 1
