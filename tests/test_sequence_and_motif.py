@@ -158,3 +158,18 @@ def test_support_is_counted_in_parts(spark):
     df = spark.createDataFrame([("a", "X", "ABAB"), ("b", "X", "ABC"), ("c", "Y", "ABÄ"), ("d", None, "AB")], "entry string, label string, sequence string").repartition(3)
     found = O._held(O.support(df, 2), df).collect()
     assert {tuple(r) for r in found} == {("X", "AB", 2), ("X", "BA", 1), ("X", "BC", 1), ("Y", "AB", 1), ("Y", "BÄ", 1), (None, "AB", 1)}
+
+
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_few_motifs_leave_kmers_where_they_lie(spark, monkeypatch, limit):
+    """Counted motifs are broadcast, whatever Spark estimates; more of them are joined by a shuffle."""
+    from protolens.operators import motif
+
+    monkeypatch.setattr(motif, "MOTIF_ROWS", limit)
+    rows = spark.createDataFrame([(f"e{i}", i, "xy"[i % 2], ("ABAB", "CDCD")[i % 2]) for i in range(12)], "entry string, row_no long, label string, sequence string")
+    found = motif.sweep(motif.support(rows, 3), rows, [2, 3], [1.5], motif.kmer_counts(rows, 3))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("hashpartitioning(motif" in plan) == (limit == 0)
+    assert "SortMergeJoin" in plan if limit == 0 else "_supported" not in plan
+    got = {(r["query"], r["min_members"], r["pred"]) for r in found.collect()}
+    assert got == {(f"e{i}", m, "xy"[i % 2]) for i in range(12) for m in (2, 3)}
